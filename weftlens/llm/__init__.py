@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality_repeats",)
+MODULES = ("quality_repeats", "pii_crf", "language_nb", "packing")
 
 
 def _gather(what: str) -> dict:
