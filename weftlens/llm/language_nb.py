@@ -30,7 +30,7 @@ class LanguageParams:
     train_documents: int = 20_000
     smoothing: float = 0.5
     #: n-grams that count as one independent piece of evidence when log odds become a score between 0 and 1.
-    evidence: float = 40.0
+    evidence: float = 8.0
 
 
 def _letters() -> np.ndarray:
