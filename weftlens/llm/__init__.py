@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality_repeats", "pii_crf", "language_nb", "packing")
+MODULES = ("quality_repeats", "pii_crf", "language_nb", "line_windows", "packing", "minhash_stars", "suffix_dedup", "ego_join")
 
 
 def _gather(what: str) -> dict:
