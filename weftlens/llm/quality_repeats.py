@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import SPACE, Spans, documents, map_arrow, row_sums, slices, utf8, words
 
@@ -168,6 +169,20 @@ def quality(docs: DataFrame, rules: RepeatRules = RepeatRules()) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, SCHEMA)
 
 
+def good_documents(docs: DataFrame, rules: RepeatRules = RepeatRules()) -> DataFrame:
+    """The rows of docs, with all their columns, that quality() keeps."""
+    names = docs.columns
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("_rest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(measure(part.column(0), rules)["kept"]))
+
+    return map_arrow(packed, run, packed.schema).select(*[F.col("text") if c == "text" else F.col("_rest").getField(c).alias(c) for c in names])
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
