@@ -32,15 +32,20 @@ def each(h: int, w: int, fn: Callable[[Column], Column]) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), fn)
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with value worked out once a row, however often fn uses it and whatever projections are merged."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def convolve(raster: Column, kernel: Sequence[Sequence[float]], h: int, w: int, border: str) -> Column:
     """Correlation with an odd-sized kernel."""
     ry, rx = len(kernel) // 2, len(kernel[0]) // 2
 
-    def value(i: Column) -> Column:
-        terms = [F.lit(float(k)) * at(raster, i, y - ry, x - rx, h, w, border) for y, row in enumerate(kernel) for x, k in enumerate(row) if k]
+    def value(a: Column, i: Column) -> Column:
+        terms = [F.lit(float(k)) * at(a, i, y - ry, x - rx, h, w, border) for y, row in enumerate(kernel) for x, k in enumerate(row) if k]
         return sum(terms[1:], terms[0])
 
-    return each(h, w, value)
+    return let(raster, lambda a: each(h, w, lambda i: value(a, i)))
 
 
 SOBEL_X = ((-1, 0, 1), (-2, 0, 2), (-1, 0, 1))
@@ -73,18 +78,18 @@ def pass_columns(raster: Column, weights: Sequence[float], h: int, w: int, borde
 def box(raster: Column, how: Callable[..., Column], radius: int, h: int, w: int) -> Column:
     """Grey dilation (F.greatest) or erosion (F.least) with a square; outside the image nothing counts."""
     steps = range(-radius, radius + 1)
-    return each(h, w, lambda i: how(*[at(raster, i, y, x, h, w, "nearest") for y in steps for x in steps]))
+    return let(raster, lambda a: each(h, w, lambda i: how(*[at(a, i, y, x, h, w, "nearest") for y in steps for x in steps])))
 
 
 def neighbour_count(mask: Column, h: int, w: int) -> Column:
     """Set pixels among the eight around each; outside counts as empty. mask: 0 or 1."""
 
-    def value(i: Column) -> Column:
+    def value(m: Column, i: Column) -> Column:
         y, x = (i / w).cast("int"), i % w
-        terms = [F.when((y + a >= 0) & (y + a < h) & (x + b >= 0) & (x + b < w), F.coalesce(F.get(mask, (i + a * w + b).cast("int")), F.lit(0))).otherwise(0) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+        terms = [F.when((y + a >= 0) & (y + a < h) & (x + b >= 0) & (x + b < w), F.coalesce(F.get(m, (i + a * w + b).cast("int")), F.lit(0))).otherwise(0) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
         return sum(terms[1:], terms[0])
 
-    return each(h, w, value)
+    return let(mask, lambda m: each(h, w, lambda i: value(m, i)))
 
 
 def local_maxima(raster: Column, h: int, w: int, radius: int, above: float) -> Column:
@@ -95,20 +100,29 @@ def local_maxima(raster: Column, h: int, w: int, radius: int, above: float) -> C
 
 def percentile(raster: Column, q: float) -> Column:
     """Linear interpolation between the sorted values of the array."""
-    ordered, rank = F.array_sort(raster), (F.size(raster) - 1) * F.lit(q)
-    low = F.floor(rank).cast("int")
-    a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(raster) - 1))
-    return a + (b - a) * (rank - low)
+
+    def value(ordered: Column) -> Column:
+        rank = (F.size(ordered) - 1) * F.lit(q)
+        low = F.floor(rank).cast("int")
+        a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
+        return a + (b - a) * (rank - low)
+
+    return let(F.array_sort(raster), value)
 
 
 def percentile_normalize(raster: Column, low: Column, high: Column) -> Column:
     """Values between two percentiles as 0 to 1, cut there."""
-    return F.transform(raster, lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - low) / (high - low + 1e-20))))
+    ends = F.struct(low.alias("a"), high.alias("b"))
+    return let(ends, lambda e: F.transform(raster, lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - e["a"]) / (e["b"] - e["a"] + 1e-20)))))
 
 
 def clip_to_8bit(raster: Column, low: Column, high: Column) -> Column:
     """Values between two percentiles as whole numbers 0 to 255."""
-    return F.transform(raster, lambda v: F.when(high == low, F.lit(0)).otherwise(((F.least(high, F.greatest(low, v)) - low) / F.when(high != low, high - low) * 255).cast("int")))
+
+    def value(v: Column, a: Column, b: Column) -> Column:
+        return F.when(b == a, F.lit(0)).otherwise(((F.least(b, F.greatest(a, v)) - a) / F.when(b != a, b - a) * 255).cast("int"))
+
+    return let(F.struct(low.alias("a"), high.alias("b")), lambda e: F.transform(raster, lambda v: value(v, e["a"], e["b"])))
 
 
 def minmax_8bit(raster: Column) -> Column:
@@ -137,5 +151,4 @@ def crop_center(raster: Column, h: int, w: int, height: int, width: int) -> Colu
 def hdm_contrast(raster: Column, most: float, saturated: float) -> Column:
     """Cut at most, spread to 0..255 between the saturated tails."""
     cut = F.transform(raster, lambda v: F.least(v, F.lit(float(most))))
-    low, high = percentile(cut, saturated / 2), percentile(cut, 1 - saturated / 2)
-    return percentile_normalize(cut, low, high)
+    return let(cut, lambda c: percentile_normalize(c, percentile(c, saturated / 2), percentile(c, 1 - saturated / 2)))

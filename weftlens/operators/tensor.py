@@ -58,9 +58,8 @@ def angle_bins(column: str, bins: int) -> Column:
 
 def randomness(column: str, bins: int = 180) -> Column:
     """1 / (sqrt(divergence from uniform) + 1) of the histogram of angles."""
-    numbers = angle_bins(column, bins)
     size = F.size(column).cast("double")
-    counts = F.transform(F.array_distinct(numbers), lambda b: F.size(F.filter(numbers, lambda x: x == b)) / size)
+    counts = R.let(angle_bins(column, bins), lambda numbers: F.transform(F.array_distinct(numbers), lambda b: F.size(F.filter(numbers, lambda x: x == b)) / size))
     divergence = F.aggregate(counts, F.lit(0.0), lambda s, p: s + p * F.ln(p * bins))
     return 1 / (F.sqrt(F.greatest(divergence, F.lit(0.0))) + 1)
 
