@@ -3,10 +3,12 @@
 Every window of LENGTH bytes belongs to one anchor: of the grams in it, the leftmost one with the least hash. Equal windows
 so have equal anchors at equal offsets. Anchors that stand once, the most by far, end there. All windows of one anchor place
 are a context. Contexts that are equal are settled by counting; only anchors with different contexts (where a repeat starts
-or ends) need bytes, one copy of each context. Those are dealt by anchor, an anchor with many contexts to several keys, and
-each pool of them is suffix-sorted: ranks of a difference-cover sample first, then one bucket of suffixes at a time, by its
+or ends) need bytes, one copy of each context. An anchor with many contexts is split by content: windows at like offsets share
+a longer core, whose hash is the new key, and most of those stand once. What is left is dealt by key, and each pool of it is
+suffix-sorted: ranks of a difference-cover sample first, then one bucket of suffixes at a time, by its
 leading bytes and, where those tie, by the ranks of the sample suffixes that the cover puts at one distance behind both.
-Windows of an anchor dealt to several keys that are alone under theirs are counted once more by their own hash.
+Should a core still have very many contexts, it is dealt to several keys, and windows that are alone under theirs are counted
+once more by their own hash.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ LENGTH = 200
 GRAM = 48
 #: Contexts of one anchor that go to one key, and bytes of contexts that are sorted together.
 CONTEXTS, POOL = 256, 1 << 20
+#: Windows that share a core when an anchor has more contexts than that.
+CORE = 16
 #: A difference cover modulo PERIOD: each difference is that of two members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Suffixes of a bucket that is sorted at a time; a leading byte with more is a bucket of its own.
@@ -39,12 +43,12 @@ def _key() -> Column:
 
 
 def contexts_of(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Row, first window, windows, anchor hash and context hash of every anchor place."""
+    """Row, first window, windows, anchor hash, context hash and the anchor's distance from the first window of every anchor place."""
     n = len(raw)
     wide = length - gram + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     spans = Spans(raw)
     grams = n - gram + 1
     at = np.arange(grams)
@@ -68,21 +72,21 @@ def contexts_of(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: in
     many = stop - first + 1
     anchor = place[first]
     whole = mix(spans.hash(first, first + many - 1 + length) + (anchor - first).astype(np.uint64))
-    return row[first], first - off[row[first]], many, value[anchor].view(np.int64), whole.view(np.int64)
+    return row[first], first - off[row[first]], many, value[anchor].view(np.int64), whole.view(np.int64), anchor - first
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """anchor, context, k (row), s (first window) and n (windows) of every anchor place of docs (k, text)."""
-    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("k", pa.int64()), ("s", pa.int64()), ("n", pa.int32())])
+    """anchor, context, k (row), s (first window), n (windows) and o (the anchor's distance from s) of every anchor place of docs (k, text)."""
+    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("k", pa.int64()), ("s", pa.int64()), ("n", pa.int16()), ("o", pa.int16())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in slices(batch.column(1)):
-                row, s, n, anchor, context = contexts_of(*utf8(batch.column(1).slice(a, b - a)))
-                yield pa.record_batch([pa.array(anchor), pa.array(context), pa.array(keys[a:b][row]), pa.array(s), pa.array(n, pa.int32())], schema=schema)
+                row, s, n, anchor, context, o = contexts_of(*utf8(batch.column(1).slice(a, b - a)))
+                yield pa.record_batch([pa.array(anchor), pa.array(context), pa.array(keys[a:b][row]), pa.array(s), pa.array(n, pa.int16()), pa.array(o, pa.int16())], schema=schema)
 
-    return map_arrow(docs, run, "anchor long, context long, k long, s long, n int")
+    return map_arrow(docs, run, "anchor long, context long, k long, s long, n short, o short")
 
 
 def _distances() -> np.ndarray:
@@ -253,42 +257,74 @@ def spans_alt(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, placed: DataFrame, scratch: Scratch) -> DataFrame:
-    """k and the runs [(s, n)] of windows of docs (k, text) that also stand elsewhere; placed: their anchors(), kept."""
-    twice = placed.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    """k and the runs [(s, n)] of windows of docs (k, text) that also stand elsewhere; placed: their anchors(), kept.
+
+    Counts are written before they are joined back, so that the joins read two plain exchanges and Spark can split hot keys.
+    """
+    twice = scratch.table(placed.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "twice")
     seen = scratch.table(placed.join(twice, "anchor"), "seen")
-    kinds = seen.groupBy("anchor").agg((F.min("context") != F.max("context")).alias("mixed"))
-    told = seen.join(kinds, "anchor")
-    plain = told.where("not mixed").select("k", "s", "n")
-    mixed = told.where("mixed").select("anchor", "context", "k", "s", "n")
-    one = scratch.table(mixed.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.min(F.struct("k", "s", "n")).alias("r")), "contexts")
-    counted = mixed.join(one.where("m > 1").select("anchor", "context"), ["anchor", "context"]).select("k", "s", "n")
-    salts = one.groupBy("anchor").agg(F.ceil(F.count("*") / CONTEXTS).cast("int").alias("salts"))
-    wanted = one.join(salts, "anchor").select("anchor", F.pmod("context", "salts").cast("int").alias("salt"), "salts", (F.col("m") > 1).alias("many"), "r.k", "r.s", "r.n")
-    by_row = wanted.groupBy("k").agg(F.collect_list(F.struct("anchor", "salt", "salts", "many", "s", "n")).alias("w"))
-    needed = _cut(docs.join(by_row, "k").select("k", "text", "w"))
+    one = scratch.table(seen.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.min(F.struct("k", "s", "n", "o")).alias("r")), "contexts")
+    counted = seen.join(one.where("m > 1").select("anchor", "context"), ["anchor", "context"]).select("k", "s", F.col("n").cast("int").alias("n"))
+    kinds = scratch.table(one.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1"), "kinds")
+    wanted = one.join(kinds, "anchor").select("anchor", (F.col("contexts") > CONTEXTS).alias("split"), (F.col("m") > 1).alias("many"), "r.k", "r.s", "r.n", "r.o")
+    by_row = wanted.groupBy("k").agg(F.collect_list(F.struct("anchor", "split", "many", "s", "n", "o")).alias("w"))
+    bytes_ = scratch.table(_cut(docs.join(by_row, "k").select("k", "text", "w")), "bytes")
+    plain = bytes_.where("not split").select("anchor", F.lit(0).alias("salt"), F.lit(1).alias("salts"), "many", "k", "s", "n", "bytes")
+    cores = bytes_.where("split")
+    core = scratch.table(cores.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.max("many").alias("many"), F.min(F.struct("k", "s", "n", "bytes")).alias("r")), "cores")
+    settled = cores.where("not many").join(core.where("m > 1 or many").select("anchor", "context"), ["anchor", "context"]).select("k", "s", "n")
+    core_kinds = core.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor", F.ceil(F.col("contexts") / CONTEXTS).cast("int").alias("salts"))
+    rest = core.join(core_kinds, "anchor").select("anchor", F.pmod("context", "salts").cast("int").alias("salt"), "salts", (F.col("many") | (F.col("m") > 1)).alias("many"), "r.k", "r.s", "r.n", "r.bytes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = plain.union(rest)
     sorted_ = scratch.table(sort_pools(needed.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")), "sorted")
     local = sorted_.where("h is null").select("k", "s", "n")
     again = sorted_.where("h is not null")
     elsewhere = again.groupBy("h", "g").agg(F.count("*").alias("m")).where("m > 1").select("h", "g")
     far = again.where("n = 1").join(elsewhere, ["h", "g"]).select("k", "s", "n")
-    runs = reduce(DataFrame.union, [plain, counted, local, far])
+    runs = reduce(DataFrame.union, [counted, settled, local, far])
     return runs.groupBy("k").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
 
 
+def split_by_core(data: bytes, anchor: int, s: int, n: int, o: int) -> list[tuple[int, int, int, int, bytes]]:
+    """New key, context, first window, windows and bytes of the parts of one context whose windows share a core.
+
+    A window's offset is the anchor's distance from its start; those with the same offset // CORE share a core, which lies in
+    every window of that range of offsets, whether it is in this context or not.
+    """
+    out = []
+    at, end = s, s + n
+    while at < end:
+        offset = o - (at - s)
+        group = offset // CORE
+        to = min(end, at + offset - group * CORE + 1)
+        begin = s + o - group * CORE
+        core = data[begin : begin - CORE + 1 + LENGTH]
+        part = data[at : to - 1 + LENGTH]
+        key = hashlib.blake2b(core, digest_size=8, key=(anchor & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), person=group.to_bytes(2, "little"))
+        whole = hashlib.blake2b(part, digest_size=8, key=offset.to_bytes(8, "little"))
+        out.append((int.from_bytes(key.digest(), "little", signed=True), int.from_bytes(whole.digest(), "little", signed=True), at, to - at, part))
+        at = to
+    return out
+
+
 def _cut(rows: DataFrame) -> DataFrame:
-    """The bytes of the wanted contexts of (k, text, w)."""
-    schema = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("many", pa.bool_()), ("k", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())])
+    """The bytes of the wanted contexts of (k, text, w); those of anchors to be split as their parts, under new keys."""
+    schema = pa.schema([("split", pa.bool_()), ("many", pa.bool_()), ("k", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for k, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
                 data = text.as_py()
-                out += [(w["anchor"], w["salt"], w["salts"], w["many"], k, w["s"], w["n"], data[w["s"] : w["s"] + w["n"] - 1 + LENGTH]) for w in wanted]
+                for w in wanted:
+                    if w["split"]:
+                        out += [(True, w["many"], k, *part) for part in split_by_core(data, w["anchor"], w["s"], w["n"], w["o"])]
+                    else:
+                        out.append((False, w["many"], k, w["anchor"], 0, w["s"], w["n"], data[w["s"] : w["s"] + w["n"] - 1 + LENGTH]))
             yield pa.record_batch([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
 
-    return map_arrow(rows, run, "anchor long, salt int, salts int, many boolean, k long, s long, n int, bytes binary")
+    return map_arrow(rows, run, "split boolean, many boolean, k long, anchor long, context long, s long, n int, bytes binary")
 
 
 def cover(runs: list[dict] | None, n: int, length: int = LENGTH) -> list[tuple[int, int]]:
