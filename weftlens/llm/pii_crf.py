@@ -83,7 +83,7 @@ class Tokens:
     spans: list[tuple[int, int]]
     features: np.ndarray  # (tokens, FEATURES), 0 or 1
     gaps: np.ndarray  # to the token before: 0 beside it, 1 in the same region, 2 farther or none
-    skips: np.ndarray  # (edges, 2): each token with the last one like it, if that is not its neighbour
+    skips: np.ndarray  # (edges, 2): each token with the last one like it, if that isn't close by
 
 
 FEATURES = ("bias", "at", "equals", "plus", "bracket", "dots3", "dots", "dash", "digits1_3", "digits4_7", "digits8_15", "digits16_19", "digits20", "all_digits", "upper_digits", "lower_digits", "long_mixed", "keyed", "after_key", "after_plus")
@@ -124,7 +124,7 @@ def tokens(text: str) -> Tokens:
         for kind, value in enumerate(key):
             if value:
                 j = last.get((kind, value))
-                if j is not None and j < k - 1:
+                if j is not None and (j < k - 1 or gaps[k] == 2):
                     skips.add((j, k))
                 last[kind, value] = k
     return Tokens(spans, np.array(rows, np.float64).reshape(-1, len(FEATURES)), np.array(gaps, np.int64), np.array(sorted(skips), np.int64).reshape(-1, 2))
