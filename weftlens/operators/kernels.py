@@ -476,3 +476,56 @@ def mean_field(scores: np.ndarray, colours: np.ndarray, rounds: int = 5, radius:
         p = np.exp(z - z.max(2, keepdims=True))
         p /= p.sum(2, keepdims=True)
     return p
+
+
+# ---- small geometry
+
+
+def pixels_between(y0: int, x0: int, y1: int, x1: int) -> np.ndarray:
+    """Whole-number points of the straight line between two pixels, both included, one a step along its longer side."""
+    n = max(abs(y1 - y0), abs(x1 - x0))
+    t = np.arange(n + 1) / max(n, 1)
+    return np.column_stack([np.floor(y0 + (y1 - y0) * t + 0.5), np.floor(x0 + (x1 - x0) * t + 0.5)]).astype(int)
+
+
+def interpolated(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Bilinear values at points, the image's edge values going on outside."""
+    y, x = np.clip(y, 0, image.shape[0] - 1), np.clip(x, 0, image.shape[1] - 1)
+    i, j = np.minimum(y.astype(int), max(image.shape[0] - 2, 0)), np.minimum(x.astype(int), max(image.shape[1] - 2, 0))
+    a, b = y - i, x - j
+    k, m = np.minimum(i + 1, image.shape[0] - 1), np.minimum(j + 1, image.shape[1] - 1)
+    return image[i, j] * (1 - a) * (1 - b) + image[i, m] * (1 - a) * b + image[k, j] * a * (1 - b) + image[k, m] * a * b
+
+
+def resized(image: np.ndarray, width: int) -> np.ndarray:
+    """The image at that width with its proportions kept, by bilinear values at pixel centres."""
+    h, w = image.shape
+    height = max(1, round(h * width / w))
+    y, x = np.mgrid[:height, :width]
+    return interpolated(image.astype(float), (y + 0.5) * h / height - 0.5, (x + 0.5) * w / width - 0.5)
+
+
+def upright(image: np.ndarray) -> np.ndarray:
+    """A portrait image turned a quarter to the left, so that its width is the longer side."""
+    return np.rot90(image) if image.shape[0] > image.shape[1] else image
+
+
+def smoothed_widths(widths: np.ndarray, sigma: float = 3.0) -> np.ndarray:
+    """Widths along a line under a Gaussian, mirrored at its ends."""
+    r = min(int(4 * sigma + 0.5), len(widths) - 1)
+    if r < 1:
+        return widths
+    t = np.arange(-r, r + 1)
+    g = np.exp(-t * t / (2 * sigma * sigma))
+    return np.convolve(np.pad(widths, r, mode="reflect"), g / g.sum(), "valid")
+
+
+def spline_curvature(path: np.ndarray, stiffness: float = 3.0) -> np.ndarray:
+    """Signed curvature of a path smoothed by penalised second differences."""
+    n = len(path)
+    if n < 5:
+        return np.zeros(n)
+    d = np.diff(np.eye(n), 2, axis=0)
+    p = np.linalg.solve(np.eye(n) + stiffness * d.T @ d, np.asarray(path, float))
+    v, a = np.gradient(p, axis=0), np.gradient(np.gradient(p, axis=0), axis=0)
+    return (v[:, 1] * a[:, 0] - v[:, 0] * a[:, 1]) / np.maximum((v**2).sum(1), 1e-12) ** 1.5

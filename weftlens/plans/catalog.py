@@ -512,10 +512,10 @@ def junctions_kept(spark, sf):
     return T.kept_junctions(j, gone).groupBy(F.col("image_id").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 3 AND count(*) <= 12")
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 40 AND count(*) <= 70")
 def contour_length_filter(spark, sf):
     n = tables.table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("length"))
-    return T.kept_contours(n, 3, 12).select("user_id", F.col("length").alias("n"))
+    return T.kept_contours(n, 40, 70).select("user_id", F.col("length").alias("n"))
 
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]

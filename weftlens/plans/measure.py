@@ -1,0 +1,178 @@
+"""From image files to patients' scores: one row of metrics an image, then statistics and scores.
+
+An image is measured by one kernel call, so the whole imaging part is a scan and a projection. Only the patients' statistics
+shuffle, and they move one short row an image.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..functions import scalar
+from ..operators import kernels as K, tabular as T
+from ..sources import params as P
+
+# fixed values: names of the result columns
+NAMES = {
+    "image": "Image",
+    "total_area": "Total Image Area (µm²)",
+    "resolution": "Image Res. (µm/pixel)",
+    "roi_share": "% ROI Area",
+    "width_share": "% WIDTH Area",
+    "hdm_share": "% HDM Area",
+    "roi_area": "Fibre Area (ROI, µm²)",
+    "width_area": "Fibre Area (WIDTH, µm²)",
+    "hdm_area": "Fibre Area (HDM, µm²)",
+    "coverage": "Fibre Coverage (WIDTH/ROI)",
+    "spine_area": "Area of Fibre Spines (µm²)",
+    "thickness": "Avg Thickness (WIDTH, µm)",
+    "lacunarity": "Lacunarity",
+    "normalized_lacunarity": "Normalized Lacunarity",
+    "length": "Total Length (µm)",
+    "endpoints": "Endpoints",
+    "endpoint_density": "Endpoints Density (µm⁻¹)",
+    "mean_length": "Avg Length (µm)",
+    "branchpoints": "Branchpoints",
+    "branchpoint_density": "Branchpoints Density (µm⁻¹)",
+    "fractal": "Box-Counting Fractal Dimension",
+    "alignment": "Orient. Alignment",
+    "variance": "Orient. Variance",
+    "alignment_width": "Orient. Alignment (WIDTH)",
+    "variance_width": "Orient. Variance (WIDTH)",
+    "gap_mean": "Mean (All gap area in µm²)",
+    "gap_std": "Std (All gap area in µm²)",
+    "gap_p5": "Percentile5 (All gap area in µm²)",
+    "gap_median": "Median (All gap area in µm²)",
+    "gap_p95": "Percentile95 (All gap area in µm²)",
+    "gap_radius": "Mean (All gap radius in µm)",
+    "gap_count": "Gap Circles Count (All)",
+    "gap_density": "Gap density (All, µm⁻²)",
+}
+SCHEMA = "roi_share double, width_share double, hdm_share double, spine_px long, length_px long, tips long, branches long, mean_length_px double, lacunarity double, fractal double, curvature map<int,double>, alignment double, variance double, alignment_width double, variance_width double, gap_px array<double>, roi_gap_px array<double>"
+
+
+def orientation_of(image: np.ndarray, mask: np.ndarray | None = None) -> tuple[float, float]:
+    """Alignment and circular variance of the smoothed gradients, under a mask; 0 and 0 under an empty one."""
+    t = np.arange(-8, 9)
+    g = np.exp(-t * t / 8.0)
+    smooth = K.filtered(image, g / g.sum(), g / g.sum())
+    gy, gx = K.filtered(smooth, np.array([1, 0, -1.0]), np.array([1, 2, 1.0])), K.filtered(smooth, np.array([1, 2, 1.0]), np.array([1, 0, -1.0]))
+    some = slice(None) if mask is None else mask
+    gx, gy = gx[some].ravel(), gy[some].ravel()
+    if not len(gx):
+        return 0.0, 0.0
+    xx, xy, yy = (gx * gx).mean(), (gx * gy).mean(), (gy * gy).mean()
+    angle = np.arctan2(2 * gx * gy, gy * gy - gx * gx)
+    return float(math.sqrt((yy - xx) ** 2 + 4 * xy * xy) / (xx + yy + 1e-10)), float(1 - math.hypot(np.cos(angle).mean(), np.sin(angle).mean()))
+
+
+def fractal_of(skeleton: np.ndarray) -> float:
+    """Less the slope of log box count over log size, for sizes from 4 up to a quarter of the image; 0 without two sizes."""
+    top = int(math.log2(max(1, min(skeleton.shape)))) - 2
+    sizes = [2**k for k in range(2, top + 1)]
+    if len(sizes) < 2 or not skeleton.any():
+        return 0.0
+    ys, xs = np.nonzero(skeleton)
+    n = [len(np.unique(ys // s * skeleton.shape[1] + xs // s)) for s in sizes]
+    return float(-np.polyfit(np.log(sizes), np.log(n), 1)[0])
+
+
+def metrics_of(gray: np.ndarray, params: dict) -> tuple:
+    """SCHEMA's values for one grey raster (0 … 255)."""
+    seg, det, quant, gap = (params[k] for k in ("Segmentation", "Detection", "Quantification", "Gap Analysis"))
+    dark = bool(det["Dark Line"])
+    shown = 255 - gray if dark else gray
+    roi = K.regions(shown, seg["Number of Labels"], seg["Color Threshold"], seg["Min Size"]) if params["Configs"]["Segmentation"] else np.ones(gray.shape, bool)
+    widths = tuple(P.windows(det["Min Line Width"], det["Max Line Width"], det["Line Width Step"]))
+    maps = K.ridge_maps(gray, widths, dark)
+    scale = [scalar.line_threshold(det[c], widths[0], widths[0] / (2 * math.sqrt(3)) + 0.5) for c in ("Low Contrast", "High Contrast")]
+    lines = K.linked_contours(maps, max(scale[0], 1e-6), max(scale[1], 1e-6), det["Minimum Line Length"], det["Maximum Line Length"])
+    if det["Extend Line"]:
+        lines = K.extended(lines, maps, scale[0])
+    lines = [c for c in lines if roi[tuple(np.clip(np.rint(c[:, :2]), 0, np.array(gray.shape) - 1).astype(int).T)].mean() > 0.5]
+    mask = K.drawn(lines, gray.shape)
+    half = []
+    for c in lines:
+        at = tuple(np.clip(np.rint(c[:, :2]), 0, np.array(gray.shape) - 1).astype(int).T)
+        half.append(K.line_widths(gray, c, np.column_stack([maps["ny"][at], maps["nx"][at]]), float(maps["sigma"][at].mean())))
+    wide = K.drawn(lines, gray.shape, half)
+    windows = P.windows(quant["Minimum Curvature Window"], quant["Maximum Curvature Window"], quant["Curvature Window Step"])
+    [(_, length, tips, branches, mean_length, lacunarity, _, bend)] = K.skeleton_metrics(mask, quant["Minimum Branch Length"], tuple(windows))
+    cut = np.minimum(shown, quant["Maximum Display HDM"])
+    low, high = np.percentile(cut, (50 * quant["Contrast Enhancement"], 100 - 50 * quant["Contrast Enhancement"]))
+    dense = (cut - low) / (high - low + 1e-20) > 0.5
+    circles = K.gap_circles(~mask, gap["Minimum Gap Diameter"] / 2) if params["Configs"]["Gap Analysis"] and gap["Minimum Gap Diameter"] and mask.any() else []
+    areas = [math.pi * r * r for _, _, r in circles]
+    inner = [math.pi * r * r for y, x, r in circles if roi[int(y), int(x)]]
+    return (float(roi.mean()), float(wide.mean()), float(dense.mean()), int(mask.sum()), length, tips, branches, mean_length, lacunarity, fractal_of(K.thinned(mask)), dict(zip(windows, bend, strict=True)), *orientation_of(gray), *orientation_of(gray, wide), areas, inner)
+
+
+def measured(images: DataFrame, params: dict | None = None) -> DataFrame:
+    """Metrics in physical units for decoded images (sources.images.SCHEMA); images with a problem or too small or empty go.
+
+    The curvature of each window stays a map until the sink, so the schema doesn't hang on the parameters.
+    """
+    params = params or P.DEFAULTS
+    widest = params["Detection"]["Max Line Width"]
+
+    full = StructType.fromDDL(f"image_id string, height int, width int, res_um double, {SCHEMA}")
+    names, out = full.names[4:], to_arrow_schema(full)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for image_id, h, w, c, res, data in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
+                pixels = np.frombuffer(data, np.uint8).reshape(h, w, c).astype(float)
+                gray = pixels[:, :, :3] @ np.array([0.299, 0.587, 0.114]) if c >= 3 else pixels[:, :, 0]
+                if (gray > 0).mean() > 1e-4:
+                    found = dict(zip(names, metrics_of(gray, params), strict=True))
+                    found["curvature"] = list(found["curvature"].items())
+                    rows.append({"image_id": image_id, "height": h, "width": w, "res_um": res} | found)
+            if rows:
+                yield from pa.Table.from_pylist(rows, schema=out).to_batches()
+
+    able = images.where("problem is null").where(F.least("height", "width") >= 2 * widest).select("image_id", "height", "width", "n_channels", "res_um", "data")
+    m = able.mapInArrow(run, full)
+    area, r = F.col("height") * F.col("width") * F.col("res_um") * F.col("res_um"), F.col("res_um")
+    square = r * r
+    m = m.withColumns({"total_area": area, "length": F.col("length_px") * r, "gaps": F.transform("gap_px", lambda a: a * square)})
+    q = {n: F.coalesce(F.when(F.size("gaps") > 0, F.get(F.array_sort("gaps"), F.floor((F.size("gaps") - 1) * p).cast("int"))), F.lit(0.0)) for n, p in (("gap_p5", 0.05), ("gap_median", 0.5), ("gap_p95", 0.95))}
+    n = F.size("gaps")
+    total = F.aggregate("gaps", F.lit(0.0), lambda s, a: s + a)
+    mean = scalar.safe_divide(total, n.cast("double"))
+    m = m.withColumns({"gap_mean": mean, "gap_count": n, "gap_radius": scalar.safe_divide(F.aggregate("gaps", F.lit(0.0), lambda s, a: s + F.sqrt(a / math.pi)), n.cast("double"))})
+    m = m.withColumn("gap_std", F.sqrt(scalar.safe_divide(F.aggregate("gaps", F.lit(0.0), lambda s, a: s + (a - F.col("gap_mean")) * (a - F.col("gap_mean"))), n.cast("double"))))
+    return m.select(
+        F.col("image_id").alias("image"), "total_area", F.col("res_um").alias("resolution"), "roi_share", "width_share", "hdm_share",
+        *[(F.col(f"{k}_share") * F.col("total_area")).alias(f"{k}_area") for k in ("roi", "width", "hdm")],
+        scalar.safe_divide(F.col("width_share"), F.col("roi_share")).alias("coverage"), (F.col("spine_px") * square).alias("spine_area"),
+        scalar.safe_divide(F.col("width_share") * F.col("total_area"), F.col("length")).alias("thickness"), "lacunarity",
+        scalar.normalized_lacunarity(F.col("lacunarity"), F.col("length"), r, F.col("total_area")).alias("normalized_lacunarity"), "length",
+        F.col("tips").alias("endpoints"), scalar.safe_divide(F.col("tips").cast("double"), F.col("length")).alias("endpoint_density"), (F.col("mean_length_px") * r).alias("mean_length"),
+        F.col("branches").alias("branchpoints"), scalar.safe_divide(F.col("branches").cast("double"), F.col("length")).alias("branchpoint_density"), "fractal", "curvature",
+        "alignment", "variance", "alignment_width", "variance_width", "gap_mean", "gap_std", *[c.alias(k) for k, c in q.items()], "gap_radius", "gap_count",
+        scalar.safe_divide(F.col("gap_count").cast("double"), F.col("total_area")).alias("gap_density"),
+    )
+
+
+def for_sink(metrics: DataFrame, windows: list[int]) -> DataFrame:
+    """The metrics under their result names, the curvature of each window as a column."""
+    bends = [F.coalesce(F.col("curvature")[w], F.lit(0.0)).alias(f"Curvature (win_sz={w})") for w in windows]
+    return metrics.select(*[F.col(k).alias(v) for k, v in NAMES.items()], *bends)
+
+
+def patient_scores(metrics: DataFrame) -> DataFrame:
+    """One row a patient: regions, types of the first one by name, means, deviations and errors, rigidity and bundling."""
+    parts = scalar.image_name_parts(F.col("image"))
+    bend = F.map_values("curvature")
+    named = metrics.withColumns({k: parts[k] for k in ("patient_id", "image_type", "tissue_type")}).withColumn("bend", scalar.safe_divide(F.aggregate(bend, F.lit(0.0), lambda s, v: s + v), F.size(bend).cast("double")))
+    columns = ["bend", "alignment", "coverage", "endpoint_density", "thickness", "fractal", "lacunarity", "length", "gap_mean"]
+    stats = T.group_statistics(named, ["patient_id"], columns, "image", ["image_type", "tissue_type"])
+    return T.composite_scores(stats, "bend_mean", "alignment_mean", "coverage_mean", "endpoint_density_mean", "thickness_mean", "fractal_mean")
