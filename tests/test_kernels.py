@@ -161,3 +161,16 @@ def test_regions_and_mean_field():
     p = K.mean_field(scores, image)
     assert np.allclose(p.sum(2), 1)
     assert ((p.argmax(2) == 1) == (image == 1)).mean() > ((scores.argmax(2) == 1) == (image == 1)).mean()
+
+
+def test_small_geometry():
+    assert K.pixels_between(0, 0, 2, 4).tolist() == [[0, 0], [1, 1], [1, 2], [2, 3], [2, 4]]
+    assert K.pixels_between(3, 3, 3, 3).tolist() == [[3, 3]]
+    image = np.arange(12.0).reshape(3, 4)
+    assert K.interpolated(image, np.array([0.5, 2, 9]), np.array([0.5, 3, 9])).tolist() == [2.5, 11, 11]
+    assert K.resized(image, 4).tolist() == image.tolist() and K.resized(np.full((10, 20), 3.0), 7).shape == (4, 7)
+    assert K.upright(np.zeros((5, 3))).shape == (3, 5)
+    assert np.allclose(K.smoothed_widths(np.full(30, 2.0)), 2)
+    t = np.linspace(0, np.pi, 80)
+    circle = np.column_stack([40 * np.sin(t), 40 * np.cos(t)])
+    assert np.allclose(np.abs(K.spline_curvature(circle, 0.1))[10:-10], 1 / 40, rtol=0.05)

@@ -564,3 +564,25 @@ def strongest_scale(spark, sf):
 def seed_order(spark, sf):
     w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return tables.table(spark, sf, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("seed"))
+
+
+@query("SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 6) AS length FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_quantity <= 20) GROUP BY l_suppkey")
+def edge_pruning(spark, sf):
+    e = tables.table(spark, sf, "lineitem").select("l_suppkey", F.when(F.col("l_returnflag") == "A", "end-to-brh").otherwise("brh-to-brh").alias("kind"), F.col("l_quantity").alias("length"))
+    return T.pruned_edges(e, "l_suppkey", 20).groupBy("l_suppkey").agg(F.count("*").alias("n"), r6(F.sum("length"), "length"))
+
+
+@query("SELECT event_id, round(CASE WHEN m < 0 THEN m + pi() ELSE m END, 6) AS angle FROM (SELECT event_id, (value - 3) % pi() AS m FROM events)")
+def half_circle_angles(spark, sf):
+    return tables.table(spark, sf, "events").select("event_id", r6(scalar.half_circle(F.col("value") - 3), "angle"))
+
+
+@query("SELECT o_orderkey, (CASE WHEN o_custkey % 7 = 0 THEN 1.0 ELSE round_even(1.0 / (o_custkey % 7)::DOUBLE, 2) END)::DOUBLE AS res FROM orders")
+def pixel_resolution(spark, sf):
+    return tables.table(spark, sf, "orders").select("o_orderkey", scalar.resolution_of((F.col("o_custkey") % 7).cast("double")).alias("res"))
+
+
+@query("WITH c AS (SELECT l_suppkey, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem GROUP BY l_suppkey) SELECT metric, count(*) AS n, round(avg(v), 6) AS mean FROM (SELECT 'd' AS metric, d AS v FROM c UNION ALL SELECT 't', t FROM c) GROUP BY metric")
+def metrics_unpivot(spark, sf):
+    m = tables.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"))
+    return m.unpivot(["l_suppkey"], ["d", "t"], "metric", "v").groupBy("metric").agg(F.count("*").alias("n"), r6(F.avg("v"), "mean"))
