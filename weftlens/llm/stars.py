@@ -11,21 +11,22 @@ from .common import Scratch
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the smallest node of its component.
 
-    Minima combine before each shuffle and the joins that bring them back have one row a node on one side, so a centre with
-    very many leaves is split over tasks. Each round is written to the shared folder; the loop ends when one changes nothing.
+    Minima combine before each shuffle and are written before they are joined back, so those joins read two plain exchanges and
+    a centre with very many leaves is split over tasks. Each round is kept in the shared folder; the loop ends when one changes
+    nothing.
     """
     now = scratch.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars-0")
     before = None
     for k in range(1, most_rounds + 1):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"least-{k}")
+        large = scratch.table(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"large-{k}")
+        low = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), f"low-{k}")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = scratch.table(small, f"stars-{k}")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if k > 1:
-            scratch.drop(f"stars-{k - 2}")
+        for name in (f"least-{k}", f"large-{k}", f"low-{k}", f"stars-{k - 1}"):
+            scratch.drop(name)
         now = after
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
