@@ -1,12 +1,13 @@
 """Near-duplicate documents: minima of many universal hashes, bands, verification on signatures and full sets, stars.
 
 Documents with equal shingle sets are one class, made by an aggregation that combines before the shuffle; only classes go on.
-Classes that share a band value meet the value's pivot, its member of least priority, never each other: rows stay linear in
-the size of a bucket. All buckets with one pivot form a group. A group of one pair is first verified on the signatures. Then
+Classes that share a band value meet the value's pivot, its member that shares values with the most others, never each other:
+rows stay linear in the size of a bucket. All buckets with one pivot form a group. A group of one pair is first verified on the signatures. Then
 each member is compared with its pivot on full sets; what goes on is the member's difference from the pivot, which gives
 exact intersections of members with one another (members far from the pivot go on with their sets). Members not linked to
-the pivot are compared with each other and with the linked ones in blocks, several tasks for a large group, and a block gives
-a spanning forest of its links. So no link between different texts is lost that shares a band, and none is listed twice.
+the pivot are compared with each other and with the linked ones; a large group is cut into blocks of like members, and how many
+elements of a difference stand in no other one rules out, exactly, most pairs of blocks. A pair of blocks gives a spanning
+forest of its links. So no link between different texts is lost that shares a band, and none is listed twice.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, Scratch, Spans, documents, map_arrow, mix, row_sums, slices, utf8, words
@@ -120,7 +121,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 def against_pivot(pairs: DataFrame, params: MinHashParams) -> DataFrame:
     """From (p, x, p_set, x_set): p, x, linked, far, n (of x) and what x goes on with."""
-    schema = pa.schema([("p", pa.int64()), ("x", pa.int64()), ("linked", pa.bool_()), ("far", pa.bool_()), ("n", pa.int64()), ("load", pa.binary())])
+    schema = pa.schema([("p", pa.int64()), ("x", pa.int64()), ("linked", pa.bool_()), ("far", pa.bool_()), ("n", pa.int64()), ("load", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,12 +133,18 @@ def against_pivot(pairs: DataFrame, params: MinHashParams) -> DataFrame:
                 union = len(a) + len(b) - both
                 linked = 100 * both >= params.percent * union
                 if both >= params.near_from * union:
-                    rows.append((p, x, linked, False, len(b), differ.tobytes()))
+                    rows.append((p, x, linked, False, len(b), differ.view(np.int64)))
                 if both < params.far_below * union:
-                    rows.append((p, x, False, True, len(b), b.tobytes()))
+                    rows.append((p, x, False, True, len(b), b.view(np.int64)))
             yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return map_arrow(pairs.select("p", "x", "p_set", "x_set"), run, "p long, x long, linked boolean, far boolean, n long, load binary")
+    return map_arrow(pairs.select("p", "x", "p_set", "x_set"), run, "p long, x long, linked boolean, far boolean, n long, load array<long>")
+
+
+def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """Each row's numbers, read without a copy."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return (values[a:b].copy() for a, b in zip(at[:-1], at[1:], strict=True))
 
 
 def forest(n: np.ndarray, loads: list[np.ndarray], linked: np.ndarray, far: bool, percent: int) -> list[tuple[int, int]]:
@@ -174,23 +181,44 @@ def forest(n: np.ndarray, loads: list[np.ndarray], linked: np.ndarray, far: bool
     return edges
 
 
-def between_members(members: DataFrame, params: MinHashParams) -> DataFrame:
+def blocked(members: DataFrame, sizes: DataFrame, params: MinHashParams, scratch: Scratch) -> DataFrame:
+    """Members of large groups (sizes: p, far, m) with the pairs of blocks (_i, _j) that may hold a link.
+
+    x and z can only be linked if their differences from the pivot differ in at most d = (100 - percent) / percent * n elements.
+    With t elements in a difference, u of them in no other one and w = t - u, that asks for t_x - d <= w_z - u_z and the same
+    the other way round. Blocks hold members of like t - d and w - u, so their bounds decide.
+    """
+    low, high = params.block
+    large = scratch.table(members.join(sizes, ["p", "far"]), "large")
+    owners = large.select("p", "far", "x", F.explode("load").alias("e")).groupBy("p", "far", "e").agg(F.count("*").alias("c"), F.min("x").alias("x")).where("c = 1")
+    alone = owners.groupBy("p", "far", "x").agg(F.count("*").alias("u"))
+    t, u, d = F.size("load"), F.coalesce("u", F.lit(0)), F.col("n") * (100 - params.percent) / params.percent
+    known = large.join(alone, ["p", "far", "x"], "left").withColumns({"_r": F.when(F.col("far"), 0.0).otherwise(t - d - 1e-6), "_v": F.when(F.col("far"), 0.0).otherwise((t - 2 * u).cast("double"))})
+    known = known.where(F.when(F.col("far"), 100 * (t - u) >= params.percent * F.col("n")).otherwise(u <= d + 1e-6))
+
+    def step(c: str) -> Column:
+        return F.greatest(F.lit(-4), F.least(F.lit(4), F.floor(4 * F.col(c) / d).cast("int")))
+
+    kinds = ["p", "far", "linked", "_rs", "_vs"]
+    known = scratch.table(known.withColumns({"_rs": step("_r"), "_vs": step("_v")}).drop("u"), "known")
+    size = F.greatest(F.lit(low), F.least(F.lit(high), F.floor(F.max("m") / 16)))
+    parts = known.groupBy(*kinds).agg(F.ceil(F.count("*") / size).cast("int").alias("_parts"))
+    own = known.join(parts, kinds).withColumn("_block", F.concat_ws(":", F.col("linked").cast("string"), "_rs", "_vs", F.pmod(F.xxhash64("x", F.lit("block")), "_parts").cast("string")))
+    bounds = scratch.table(own.groupBy("p", "far", "_block", "linked").agg(F.min("_r").alias("r"), F.max("_v").alias("v")), "bounds")
+    a, b = (bounds.select("p", "far", *[F.col(c).alias(f"{side}{c}") for c in ("_block", "linked", "r", "v")]) for side in "ab")
+    pairs = a.join(b, ["p", "far"]).where("a_block <= b_block and not (alinked and blinked) and ar <= bv and br <= av")
+    sides = F.explode(F.when(F.col("a_block") == F.col("b_block"), F.array("a_block")).otherwise(F.array("a_block", "b_block")))
+    met = scratch.table(pairs.select("p", "far", F.col("a_block").alias("_i"), F.col("b_block").alias("_j"), sides.alias("_block")), "block-pairs")
+    return own.join(met, ["p", "far", "_block"]).select("p", "far", "_i", "_j", "x", "linked", "n", "load")
+
+
+def between_members(members: DataFrame, params: MinHashParams, scratch: Scratch) -> DataFrame:
     """Edges (u, v) among the members of each group, from blocks of at most a bounded number of members."""
     spark = members.sparkSession
-    low, high = params.block
-    sizes = members.groupBy("p", "far").agg(F.sum(F.col("linked").cast("long")).alias("a"), F.sum((~F.col("linked")).cast("long")).alias("f")).where("f > 0 and a + f > 1")
-    block = F.greatest(F.lit(low), F.least(F.lit(high), ((F.col("a") + F.col("f")) / 16).cast("int")))
-    sizes = sizes.select("p", "far", F.ceil(F.col("a") / block).cast("int").alias("na"), F.ceil(F.col("f") / block).cast("int").alias("nf"))
-    own = members.join(sizes, ["p", "far"])
-    mine = F.pmod(F.xxhash64("x", F.lit("block")), F.when(F.col("linked"), F.greatest("na", F.lit(1))).otherwise(F.col("nf"))).cast("int")
-    own = own.withColumn("_mine", mine)
-    # an unlinked block i meets all unlinked blocks j >= i (keys i, j) and all linked ones (keys i, nf + j)
-    with_unlinked = F.transform(F.sequence(F.lit(0), F.col("nf") - 1), lambda j: F.struct(F.least(j, F.col("_mine")).alias("i"), F.greatest(j, F.col("_mine")).alias("j")))
-    with_linked = F.when(F.col("na") > 0, F.transform(F.sequence(F.lit(0), F.greatest("na", F.lit(1)) - 1), lambda j: F.struct(F.col("_mine").alias("i"), (F.col("nf") + j).alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
-    of_linked = F.transform(F.sequence(F.lit(0), F.col("nf") - 1), lambda i: F.struct(i.alias("i"), (F.col("nf") + F.col("_mine")).alias("j")))
-    dealt = own.withColumn("_to", F.explode(F.when(F.col("linked"), of_linked).otherwise(F.concat(with_unlinked, with_linked))))
+    sizes = scratch.table(members.groupBy("p", "far").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("f")).where("f > 0 and m > 1").drop("f"), "sizes")
+    few = members.join(sizes.where(F.col("m") <= params.block[0]).drop("m"), ["p", "far"]).select("p", "far", F.lit("").alias("_i"), F.lit("").alias("_j"), "x", "linked", "n", "load")
+    dealt = few.union(blocked(members, sizes.where(F.col("m") > params.block[0]), params, scratch))
     key = ["p", "far", "_i", "_j"]
-    dealt = dealt.select("p", "far", F.col("_to.i").alias("_i"), F.col("_to.j").alias("_j"), "x", "linked", "n", "load")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(parts, *key).sortWithinPartitions(*key)
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -204,13 +232,13 @@ def between_members(members: DataFrame, params: MinHashParams) -> DataFrame:
         def close() -> None:
             if len(held) > 1:
                 x = [r[0] for r in held]
-                found = forest(np.array([r[2] for r in held], np.int64), [np.frombuffer(r[3], np.uint64) for r in held], np.array([r[1] for r in held], bool), now[1], percent)
+                found = forest(np.array([r[2] for r in held], np.int64), [r[3] for r in held], np.array([r[1] for r in held], bool), now[1], percent)
                 edges.extend((x[a], x[b]) for a, b in found)
             held.clear()
 
         for batch in batches:
-            c = [batch.column(k).to_pylist() for k in range(8)]
-            for p, far, i, j, x, linked, n, load in zip(*c, strict=True):
+            c = [batch.column(k).to_pylist() for k in range(7)]
+            for p, far, i, j, x, linked, n, load in zip(*c, lists(batch.column(7)), strict=True):
                 if (p, far, i, j) != now:
                     close()
                     now = (p, far, i, j)
@@ -237,9 +265,14 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     docs = docs.select("doc_id", "text")
     every = scratch.table(sketch(docs, params), "sketches")
     classes = scratch.table(every.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
-    rows = classes.select("rep", F.explode("bands").alias("key"), F.xxhash64("rep", F.lit("priority")).alias("priority"))
-    pivots = rows.groupBy("key").agg(F.min(F.struct("priority", "rep")).alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", F.col("pivot.rep").alias("p"))
-    met = scratch.table(rows.join(pivots, "key").where("rep <> p").select("p", F.col("rep").alias("x")).distinct(), "met")
+    rows = classes.select("rep", F.explode("bands").alias("key"))
+    sizes = scratch.table(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes-of-buckets")
+    shared = scratch.table(rows.join(sizes, "key"), "shared")
+    # the member that meets the most others, as a rule the one that the others were copied from, is the pivot of all its buckets
+    liked = scratch.table(shared.groupBy("rep").agg(F.sum("m").alias("meets")), "liked")
+    ranked = scratch.table(shared.join(liked, "rep").select("key", "rep", "meets"), "ranked")
+    pivots = scratch.table(ranked.groupBy("key").agg(F.max(F.struct("meets", F.xxhash64("rep", F.lit("priority")).alias("h"), "rep")).alias("pivot")).select("key", F.col("pivot.rep").alias("p")), "pivots")
+    met = scratch.table(ranked.join(pivots, "key").where("rep <> p").select("p", F.col("rep").alias("x")).distinct(), "met")
     # a pair alone in its group is verified on the signatures first
     few = met.groupBy("p").agg(F.count("*").alias("m"), F.min("x").alias("x"))
     one = classes.select("rep", "n", "low")
@@ -251,7 +284,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     with_x = pairs.join(sets.toDF("x", "x_set"), "x")
     members = scratch.table(against_pivot(with_x.join(sets.toDF("p", "p_set"), "p"), params), "members")
     scratch.drop("sets")
-    edges = members.where("linked").select(F.col("p").alias("u"), F.col("x").alias("v")).union(between_members(members, params))
+    edges = members.where("linked").select(F.col("p").alias("u"), F.col("x").alias("v")).union(between_members(members, params, scratch))
     roots = components(edges, scratch)
     named = classes.select("s1", "s2", "n", "rep").join(roots.toDF("rep", "root"), "rep", "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("component"))
     out = every.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
