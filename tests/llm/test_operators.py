@@ -370,7 +370,7 @@ def near_by_hand(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("block", [(128, 1024), (8, 32)])
+@pytest.mark.parametrize("block", [(128, 1024), (8, 32), (40, 64)])
 def test_near_duplicates_against_brute_force(spark, texts, block):
     rows = [*texts, (500, "A b"), (501, "a  B")]
     got = minhash_stars.near_duplicates(frame(spark, rows), minhash_stars.MinHashParams(block=block)).collect()
@@ -378,6 +378,12 @@ def test_near_duplicates_against_brute_force(spark, texts, block):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_without_ids(spark):
+    same = "one two three four five six"
+    got = minhash_stars.near_duplicates(frame(spark, [(None, same), (None, same), (4, same), (3, same)])).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (0, 0, True), (3, 3, True), (4, 3, False)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_stars.near_duplicates(empty(spark)).count() == 0
 

@@ -120,25 +120,25 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 
 def against_pivot(pairs: DataFrame, params: MinHashParams) -> DataFrame:
-    """From (p, x, p_set, x_set): p, x, linked, far, n (of x) and what x goes on with."""
-    schema = pa.schema([("p", pa.int64()), ("x", pa.int64()), ("linked", pa.bool_()), ("far", pa.bool_()), ("n", pa.int64()), ("load", pa.list_(pa.int64()))])
+    """From (p, x, covered, p_set, x_set): p, x, covered, linked, far, n (of x) and what x goes on with."""
+    schema = pa.schema([("p", pa.int64()), ("x", pa.int64()), ("covered", pa.bool_()), ("linked", pa.bool_()), ("far", pa.bool_()), ("n", pa.int64()), ("load", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for p, x, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for p, x, covered, a, b in zip(*[batch.column(k).to_pylist() for k in range(3)], batch.column(3), batch.column(4), strict=True):
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 differ = np.setxor1d(a, b, assume_unique=True)
                 both = (len(a) + len(b) - len(differ)) // 2
                 union = len(a) + len(b) - both
                 linked = 100 * both >= params.percent * union
                 if both >= params.near_from * union:
-                    rows.append((p, x, linked, False, len(b), differ.view(np.int64)))
+                    rows.append((p, x, covered, linked, False, len(b), differ.view(np.int64)))
                 if both < params.far_below * union:
-                    rows.append((p, x, False, True, len(b), b.view(np.int64)))
+                    rows.append((p, x, covered, False, True, len(b), b.view(np.int64)))
             yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return map_arrow(pairs.select("p", "x", "p_set", "x_set"), run, "p long, x long, linked boolean, far boolean, n long, load array<long>")
+    return map_arrow(pairs.select("p", "x", "covered", "p_set", "x_set"), run, "p long, x long, covered boolean, linked boolean, far boolean, n long, load array<long>")
 
 
 def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
@@ -147,8 +147,9 @@ def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
     return (values[a:b].copy() for a, b in zip(at[:-1], at[1:], strict=True))
 
 
-def forest(n: np.ndarray, loads: list[np.ndarray], linked: np.ndarray, far: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest (index pairs) of the links among members, but for those whose both ends are linked to the pivot."""
+def forest(n: np.ndarray, loads: list[np.ndarray], linked: np.ndarray, covered: np.ndarray, far: bool, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest (index pairs) of the links among members, but for those whose both ends are linked to the pivot or
+    are compared in another group."""
     m = len(n)
     size = np.array([len(x) for x in loads])
     who = np.repeat(np.arange(m), size)
@@ -165,7 +166,7 @@ def forest(n: np.ndarray, loads: list[np.ndarray], linked: np.ndarray, far: bool
         both += matrix @ matrix.T
     common = both.astype(np.int64) if far else (n[:, None] + n[None, :] - (size[:, None] + size[None, :] - 2 * both.astype(np.int64))) // 2
     link = 100 * common >= percent * (n[:, None] + n[None, :] - common)
-    link &= ~(linked[:, None] & linked[None, :])
+    link &= ~(linked[:, None] & linked[None, :]) & ~(covered[:, None] & covered[None, :])
     open_, edges = np.ones(m, bool), []
     for root in range(m):
         if not open_[root]:
@@ -199,25 +200,32 @@ def blocked(members: DataFrame, sizes: DataFrame, params: MinHashParams, scratch
     def step(c: str) -> Column:
         return F.greatest(F.lit(-4), F.least(F.lit(4), F.floor(4 * F.col(c) / d).cast("int")))
 
-    kinds = ["p", "far", "linked", "_rs", "_vs"]
+    kinds = ["p", "far", "linked", "covered", "_rs", "_vs"]
     known = scratch.table(known.withColumns({"_rs": step("_r"), "_vs": step("_v")}).drop("u"), "known")
     size = F.greatest(F.lit(low), F.least(F.lit(high), F.floor(F.max("m") / 16)))
     parts = known.groupBy(*kinds).agg(F.ceil(F.count("*") / size).cast("int").alias("_parts"))
-    own = known.join(parts, kinds).withColumn("_block", F.concat_ws(":", F.col("linked").cast("string"), "_rs", "_vs", F.pmod(F.xxhash64("x", F.lit("block")), "_parts").cast("string")))
-    bounds = scratch.table(own.groupBy("p", "far", "_block", "linked").agg(F.min("_r").alias("r"), F.max("_v").alias("v")), "bounds")
-    a, b = (bounds.select("p", "far", *[F.col(c).alias(f"{side}{c}") for c in ("_block", "linked", "r", "v")]) for side in "ab")
-    pairs = a.join(b, ["p", "far"]).where("a_block <= b_block and not (alinked and blinked) and ar <= bv and br <= av")
+    own = known.join(parts, kinds).withColumn("_block", F.concat_ws(":", F.col("linked").cast("string"), F.col("covered").cast("string"), "_rs", "_vs", F.pmod(F.xxhash64("x", F.lit("block")), "_parts").cast("string")))
+    bounds = scratch.table(own.groupBy("p", "far", "_block", "linked", "covered").agg(F.min("_r").alias("r"), F.max("_v").alias("v")), "bounds")
+    a, b = (bounds.select("p", "far", *[F.col(c).alias(f"{side}{c}") for c in ("_block", "linked", "covered", "r", "v")]) for side in "ab")
+    pairs = a.join(b, ["p", "far"]).where("a_block <= b_block and not (alinked and blinked) and not (acovered and bcovered) and ar <= bv and br <= av")
     sides = F.explode(F.when(F.col("a_block") == F.col("b_block"), F.array("a_block")).otherwise(F.array("a_block", "b_block")))
     met = scratch.table(pairs.select("p", "far", F.col("a_block").alias("_i"), F.col("b_block").alias("_j"), sides.alias("_block")), "block-pairs")
-    return own.join(met, ["p", "far", "_block"]).select("p", "far", "_i", "_j", "x", "linked", "n", "load")
+    return own.join(met, ["p", "far", "_block"]).select("p", "far", "_i", "_j", "x", "linked", "covered", "n", "load")
 
 
 def between_members(members: DataFrame, params: MinHashParams, scratch: Scratch) -> DataFrame:
     """Edges (u, v) among the members of each group, from blocks of at most a bounded number of members."""
     spark = members.sparkSession
-    sizes = scratch.table(members.groupBy("p", "far").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("f")).where("f > 0 and m > 1").drop("f"), "sizes")
-    few = members.join(sizes.where(F.col("m") <= params.block[0]).drop("m"), ["p", "far"]).select("p", "far", F.lit("").alias("_i"), F.lit("").alias("_j"), "x", "linked", "n", "load")
-    dealt = few.union(blocked(members, sizes.where(F.col("m") > params.block[0]), params, scratch))
+    low, high = params.block
+    counts = [F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("f"), F.count_if(~F.col("covered")).alias("o")]
+    sizes = scratch.table(members.groupBy("p", "far").agg(*counts).where("f > 0 and o > 0 and m > 1").drop("f"), "sizes")
+    columns = ["x", "linked", "covered", "n", "load"]
+    few = members.join(sizes.where(F.col("m") <= low), ["p", "far"]).select("p", "far", F.lit("").alias("_i"), F.lit("").alias("_j"), *columns)
+    # few members that no other group covers: each block of the covered ones meets them all
+    some = members.join(sizes.where((F.col("m") > low) & (F.col("o") <= low)), ["p", "far"]).withColumn("_n", F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("o")) / high).cast("int")))
+    where = F.when(F.col("covered"), F.array(F.pmod(F.xxhash64("x", F.lit("block")), "_n").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("_n") - 1))
+    some = some.withColumn("_b", F.explode(where)).select("p", "far", F.col("_b").cast("string").alias("_i"), F.lit("").alias("_j"), *columns)
+    dealt = few.union(some).union(blocked(members, sizes.where(F.col("o") > low).drop("o"), params, scratch))
     key = ["p", "far", "_i", "_j"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(parts, *key).sortWithinPartitions(*key)
@@ -232,17 +240,17 @@ def between_members(members: DataFrame, params: MinHashParams, scratch: Scratch)
         def close() -> None:
             if len(held) > 1:
                 x = [r[0] for r in held]
-                found = forest(np.array([r[2] for r in held], np.int64), [r[3] for r in held], np.array([r[1] for r in held], bool), now[1], percent)
+                found = forest(np.array([r[3] for r in held], np.int64), [r[4] for r in held], np.array([r[1] for r in held], bool), np.array([r[2] for r in held], bool), now[1], percent)
                 edges.extend((x[a], x[b]) for a, b in found)
             held.clear()
 
         for batch in batches:
-            c = [batch.column(k).to_pylist() for k in range(7)]
-            for p, far, i, j, x, linked, n, load in zip(*c, lists(batch.column(7)), strict=True):
+            c = [batch.column(k).to_pylist() for k in range(8)]
+            for p, far, i, j, x, linked, covered, n, load in zip(*c, lists(batch.column(8)), strict=True):
                 if (p, far, i, j) != now:
                     close()
                     now = (p, far, i, j)
-                held.append((x, linked, n, load))
+                held.append((x, linked, covered, n, load))
             if edges:
                 yield pa.record_batch([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], schema=schema)
                 edges.clear()
@@ -257,14 +265,15 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text).
 
     Null texts and texts without words have no shingles and are their own component; texts of one to four words are one
-    shingle, so equal ones are linked. Rows that repeat a doc_id stand once each in the result and count as one node. Ties
+    shingle, so equal ones are linked. Rows that repeat a doc_id stand once each in the result and count as one node; rows without one are linked with
+    nothing and kept. Ties
     don't arise: a component is named by its smallest doc_id. Other columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     docs = docs.select("doc_id", "text")
     every = scratch.table(sketch(docs, params), "sketches")
-    classes = scratch.table(every.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
+    classes = scratch.table(every.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
     rows = classes.select("rep", F.explode("bands").alias("key"))
     sizes = scratch.table(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes-of-buckets")
     shared = scratch.table(rows.join(sizes, "key"), "shared")
@@ -278,7 +287,14 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     one = classes.select("rep", "n", "low")
     lone = few.where("m = 1").select("p", "x").join(one.toDF("p", "p_n", "p_low"), "p").join(one.toDF("x", "x_n", "x_low"), "x")
     lone = signatures_agree(lone, params)
-    pairs = scratch.table(met.join(few.where("m > 1").select("p"), "p").select("p", "x").union(lone), "pairs")
+    # a member is covered if it also is in the group of its pivot's own favourite pivot: two such meet there
+    best = F.max(F.struct("meets", F.xxhash64("p", F.lit("priority")).alias("h"), "p"))
+    parents = met.join(liked.toDF("p", "meets"), "p").groupBy(F.col("x").alias("child")).agg(best.alias("b")).select(F.col("child").alias("p"), F.col("b.p").alias("parent"))
+    under = met.join(few.where("m > 1").select("p"), "p").join(parents, "p", "left")
+    again = met.select(F.col("p").alias("parent"), "x", F.lit(True).alias("_there"))
+    covered = F.coalesce(F.col("_there") | (F.col("x") == F.col("parent")), F.col("x") == F.col("parent"), F.lit(False))
+    held = under.join(again, ["parent", "x"], "left").select("p", "x", covered.alias("covered"))
+    pairs = scratch.table(held.union(lone.select("p", "x", F.lit(False).alias("covered"))), "pairs")
     wanted = pairs.select(F.explode(F.array("p", "x")).alias("doc_id")).distinct()
     sets = scratch.table(full_sets(docs.join(wanted, "doc_id")).dropDuplicates(["doc_id"]), "sets")
     with_x = pairs.join(sets.toDF("x", "x_set"), "x")
@@ -288,8 +304,8 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     roots = components(edges, scratch)
     named = classes.select("s1", "s2", "n", "rep").join(roots.toDF("rep", "root"), "rep", "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("component"))
     out = every.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def signatures_agree(pairs: DataFrame, params: MinHashParams) -> DataFrame:
