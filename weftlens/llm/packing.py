@@ -25,9 +25,9 @@ from .common import Scratch, Spans, documents, map_arrow, slices, utf8, words
 
 SEQUENCE, END_ID = 2048, 0
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Bytes of text whose words are looked up together.
-TOKEN_CHUNK = 4 << 20
+TOKEN_CHUNK = 1 << 20
 #: Rows that share a rank counter; a length's pieces are dealt to this many rows a counter.
 RANK_ROWS, LEAST_COUNTERS = 100_000, 64
 
