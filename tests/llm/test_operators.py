@@ -278,6 +278,37 @@ def test_base_scores_and_gain(spark, small):
     assert gru_lm.score(empty(spark)).count() == 0
 
 
+def test_every_training_token_is_a_target_once_a_pass(monkeypatch):
+    p = gru_lm.LmParams(own=8, per_class=4, bins=3, hidden=5)
+    v = gru_lm.Vocabulary(np.arange(1, 41).astype(np.uint64), np.arange(40, 0, -1), 900, 41, p)
+    seen, outputs = np.zeros(v.inputs, int), gru_lm.outputs
+
+    def counted(w, h, target, *more, **named):
+        np.add.at(seen, target, 1)
+        return outputs(w, h, target, *more, **named)
+
+    monkeypatch.setattr(gru_lm, "outputs", counted)
+    for n in (1, 15, 17, 64 * 16 - 1, 64 * 16 + 63, 5000):
+        ids = np.random.default_rng(n).integers(0, v.inputs, n).astype(np.int32)
+        seen[:] = 0
+        gru_lm.train_on(gru_lm.start(v), ids, v, 2)
+        assert (seen == 2 * np.bincount(ids, minlength=v.inputs)).all()
+
+
+def test_weights_are_learned_from_all_documents(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 60)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    p = gru_lm.LmParams(own=8, per_class=4, bins=3, hidden=5, start_documents=0)
+    tokens = gru_lm.hashes(pa.array([t for _, t in rows]))[0]
+    hashed, n = np.unique(tokens, return_counts=True)
+    by = np.argsort(-n, kind="stable")
+    v = gru_lm.Vocabulary(hashed[by], n[by], int(n.sum()), len(n), p)
+    want = gru_lm.train_on(gru_lm.start(v), v.look_up(tokens)[0], v)
+    got = gru_lm.fit(docs, v)
+    assert all(np.allclose(got[k], want[k], atol=1e-6) for k in gru_lm.NAMES)
+
+
 # ---- 7
 
 

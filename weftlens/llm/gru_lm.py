@@ -3,8 +3,8 @@
 Counts of all training tokens are summed over the whole corpus by 64-bit hashes of the words. The most frequent words are
 the model's own; the others fall in bins by rank, within which they have their smoothed share of the bin's counts, and all
 words past the broadcast table, seen or not, are the last bin. A word's probability is that of its class given the state,
-times its own within the class. Training starts on the driver on a bounded sample, then every partition goes on with its
-share of its training documents by truncated backpropagation, and the weights are averaged. Scoring runs documents of like
+times its own within the class. Training starts on the driver on a bounded sample, then every partition goes on with all
+its training documents by truncated backpropagation, and the weights are averaged. Scoring runs documents of like
 length in step and carries their state from window to window to the end. Words past the table meet their counts in a join.
 """
 
@@ -32,10 +32,9 @@ class LmParams:
     per_class: int = 64
     bins: int = 16
     hidden: int = 32
-    #: Steps of a training window, documents side by side, and the share of training documents that partitions learn from.
+    #: Steps of a training window, and documents side by side.
     window: int = 16
     streams: int = 64
-    share: float = 1 / 16
     #: Documents of the driver's start sample (about so many, by hash), and its passes.
     start_documents: int = 400
     start_passes: int = 3
@@ -179,72 +178,112 @@ def outputs(w: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, vocabul
         d[rows, klass] -= 1
         grads = {"c": h.T @ d, "cb": d.sum(0), "o": np.zeros_like(w["o"]), "ob": np.zeros_like(w["ob"])}
         dh = d @ w["c"].T
-    for k in np.flatnonzero(np.diff(edges)):
-        some = own[edges[k] : edges[k + 1]]
-        part = slice(k * p.per_class, (k + 1) * p.per_class)
-        inner = h[some] @ w["o"][part].T + w["ob"][part]
+    met = np.flatnonzero(np.diff(edges))
+    if len(met):
+        # own words by class: the rows of one class are a slice
+        part = [slice(k * p.per_class, (k + 1) * p.per_class) for k in met]
+        span = [slice(a, b) for a, b in zip(edges[met], edges[met + 1], strict=True)]
+        mine = h[own]
+        inner = w["ob"].reshape(-1, p.per_class)[klass[own]]
+        for i, j in zip(part, span, strict=True):
+            inner[j] += mine[j] @ w["o"][i].T
         inner -= inner.max(1, keepdims=True)
-        e = np.exp(inner)
+        at = np.arange(len(own)), target[own] % p.per_class
+        hit = inner[at]
+        e = np.exp(inner, out=inner)
         total = e.sum(1)
-        at = np.arange(len(some)), target[some] - k * p.per_class
-        out[some] += inner[at] - np.log(total)
+        out[own] += hit - np.log(total)
         if gradient:
             e /= total[:, None]
             e[at] -= 1
-            grads["o"][part] = e.T @ h[some]
-            grads["ob"][part] = e.sum(0)
-            dh[some] += e @ w["o"][part]
+            change = np.empty_like(mine)
+            for i, j in zip(part, span, strict=True):
+                np.matmul(e[j].T, mine[j], out=grads["o"][i])
+                np.matmul(e[j], w["o"][i], out=change[j])
+            grads["ob"].reshape(-1, p.per_class)[met] = np.add.reduceat(e, edges[met], axis=0)
+            dh[own] += change
     return (out, dh, grads) if gradient else out
 
 
 def train_on(w: dict[str, np.ndarray], ids: np.ndarray, vocabulary: Vocabulary, passes: int = 1) -> dict[str, np.ndarray]:
-    """Adam over windows of parallel streams of ids; a stream's state is kept between windows and cleared after an end."""
+    """Adam over windows of parallel streams of ids; a stream's state is kept between windows and cleared after an end.
+
+    Each id is a target once a pass, the first of a stream too; the last streams are filled up with ends that are no targets.
+    """
     p = vocabulary.params
-    streams = max(1, min(p.streams, len(ids) // p.window))
-    length = len(ids) // streams
-    if length < 2:
+    if not len(ids):
         return w
-    stream = ids[: streams * length].reshape(streams, length).T
+    streams = max(1, min(p.streams, len(ids) // p.window))
+    length = -(-len(ids) // streams)
+    filled = np.full(streams * length + 1, vocabulary.end, np.int32)
+    filled[1 : len(ids) + 1] = ids
+    before_, target_ = filled[:-1].reshape(streams, length).T, filled[1:].reshape(streams, length).T
+    is_target = (np.arange(streams * length) < len(ids)).reshape(streams, length).T
     w = {k: v.copy() for k, v in w.items()}
     m, v, n = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
+    room = {k: np.empty_like(x) for k, x in w.items()}
     for _ in range(passes):
         h = np.zeros((streams, p.hidden), np.float32)
-        for at in range(0, length - 1, p.window):
-            inputs, target = stream[at : min(at + p.window, length - 1)], stream[at + 1 : min(at + p.window, length - 1) + 1]
+        for at in range(0, length, p.window):
+            inputs, target, some = before_[at : at + p.window], target_[at : at + p.window], is_target[at : at + p.window]
             t_all, kept = len(inputs), []
-            states = np.empty((t_all, streams, p.hidden), np.float32)
+            states, dxs, dhss = (np.empty((t_all, streams, k * p.hidden), np.float32) for k in (1, 3, 3))
+            ended = inputs == vocabulary.end
+            ends = ended.any(1)
             for t in range(t_all):
-                h = np.where((inputs[t] == vocabulary.end)[:, None], np.float32(0), h)
+                if ends[t]:
+                    h = np.where(ended[t][:, None], np.float32(0), h)
                 before = h
                 h, *rest = step(w, inputs[t], h)
                 kept.append((before, *rest))
                 states[t] = h
-            _, dh_out, g = outputs(w, states.reshape(-1, p.hidden), target.reshape(-1), vocabulary, gradient=True)
-            dh_out = dh_out.reshape(states.shape)
-            g |= {"x": np.zeros_like(w["x"]), "u": np.zeros_like(w["u"]), "b": np.zeros_like(w["b"])}
+            whole = bool(some.all())
+            _, d, g = outputs(w, states.reshape(-1, p.hidden) if whole else states[some], target.reshape(-1) if whole else target[some], vocabulary, gradient=True)
+            if whole:
+                dh_out = d.reshape(states.shape)
+            else:
+                dh_out = np.zeros_like(states)
+                dh_out[some] = d
             dh = np.zeros_like(h)
+            back = np.ascontiguousarray(w["u"].T)
             for t in range(t_all - 1, -1, -1):
                 before, z, r, new, hs = kept[t]
                 dh = dh + dh_out[t]
-                d_new = dh * (1 - z) * (1 - new * new)
-                d_z = dh * (before - new) * z * (1 - z)
-                d_r = d_new * hs * r * (1 - r)
-                dx = np.concatenate([d_z, d_r, d_new], 1)
-                dhs = np.concatenate([d_z, d_r, d_new * r], 1)
-                g["u"] += before.T @ dhs
-                g["b"] += dx.sum(0)
-                np.add.at(g["x"], inputs[t], dx)
-                dh = dh * z + dhs @ w["u"].T
-                dh = np.where((inputs[t] == vocabulary.end)[:, None], np.float32(0), dh)
+                k, dx, dhs = p.hidden, dxs[t], dhss[t]
+                d_new = dh * (1 - z)
+                d_new *= 1 - new * new
+                dx[:, :k] = dh * (before - new) * z * (1 - z)
+                dx[:, k : 2 * k] = d_new * hs * r * (1 - r)
+                dx[:, 2 * k :] = d_new
+                dhs[:, : 2 * k] = dx[:, : 2 * k]
+                dhs[:, 2 * k :] = d_new * r
+                dh = dh * z + dhs @ back
+                if ends[t]:
+                    dh = np.where(ended[t][:, None], np.float32(0), dh)
+            dx = dxs.reshape(-1, 3 * p.hidden)
+            g["u"] = np.concatenate([x[0] for x in kept]).T @ dhss.reshape(-1, 3 * p.hidden)
+            g["b"] = dx.sum(0)
+            flat = inputs.reshape(-1)
+            by = np.argsort(flat, kind="stable")
+            rows, first = np.unique(flat[by], return_index=True)
+            g["x"] = np.add.reduceat(dx[by], first, axis=0)  # of the rows that occur
             n += 1
-            scale = 1 / (t_all * streams)
-            norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values()))) * scale
+            scale = 1 / int(some.sum())
+            norm = float(np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))) * scale
             scale *= min(1.0, 1.0 / max(norm, 1e-9))
+            pace = np.float32(p.rate * np.sqrt(1 - 0.99**n) / (1 - 0.9**n))
             for key, x in g.items():
                 x = x * np.float32(scale)
-                m[key] += np.float32(0.1) * (x - m[key])
-                v[key] += np.float32(0.01) * (x * x - v[key])
-                w[key] -= np.float32(p.rate * np.sqrt(1 - 0.99**n) / (1 - 0.9**n)) * m[key] / (np.sqrt(v[key]) + np.float32(1e-7))
+                here = rows if key == "x" else slice(None)
+                m[key] *= np.float32(0.9)
+                m[key][here] += np.float32(0.1) * x
+                v[key] *= np.float32(0.99)
+                v[key][here] += np.float32(0.01) * (x * x)
+                change = np.sqrt(v[key], out=room[key])
+                change += np.float32(1e-7)
+                np.divide(m[key], change, out=change)
+                change *= pace
+                w[key] -= change
     return w
 
 
@@ -335,8 +374,7 @@ def fit(training: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
         if many:
             yield pa.record_batch([pa.array([many]), pa.array([(total / many).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
-    chosen = training.where(F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(1 << 30)) < int((1 << 30) * p.share)).select("text")
-    parts = map_arrow(chosen, go_on, "n long, w binary")
+    parts = map_arrow(training.select("text"), go_on, "n long, w binary")
     found = map_arrow(parts.repartition(8, "n"), mean, "n long, w binary").collect()
     if not found:
         return w
