@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftlens.llm.common import Scratch, documents
 from weftlens.llm.line_windows import without_repeats
-from weftlens.llm.minhash_stars import near_duplicates
+from weftlens.llm.minhash_stars import MinHashParams, near_duplicates
 from weftlens.llm.packing import pack
 from weftlens.llm.pii_crf import redacted, train
 from weftlens.llm.quality_repeats import good_documents
 
 
+#: Near copies are those at a similarity of 0.8; so many bands miss such a pair with probability below 1e-8.
+NEAR = MinHashParams(percent=80, bands=35)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the repetition limits keep."""
     return good_documents(docs)
@@ -23,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near-duplicates."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """The document of least doc_id of each group of near-duplicates at a similarity of 0.8."""
+    gone = near_duplicates(docs, NEAR).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -419,6 +419,61 @@ def test_near_duplicates_of_nothing(spark):
     assert minhash_stars.near_duplicates(empty(spark)).count() == 0
 
 
+def near_at(rows, percent):
+    """Least id of each row's group under links of at least percent, and the similarities of all pairs."""
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall(lower(t or ""))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    root, alike, ids = {i: i for i in sets}, [], sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            union = len(sets[a]) + len(sets[b]) - both
+            if union and both:
+                alike.append(both / union)
+            if union and 100 * both >= percent * union:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root, alike
+
+
+def near_copies(seed):
+    """Groups of copies at all distances from one text each."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(12):
+        base = [f"{g}-{rng.randint(0, 99999)}" for _ in range(150)]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, 7)):
+                w[rng.randrange(150)] = f"q{rng.randint(0, 99999)}"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_pipeline_takes_near_copies_at_80(spark, small):
+    import corpus_pipeline
+
+    rows = near_copies(80)
+    want, alike = near_at(rows, 80)
+    assert sum(0.8 <= x < 0.85 for x in alike) > 50
+    kept = {i for i, r in want.items() if i == r}
+    assert kept != {i for i, r in near_at(rows, 85)[0].items() if i == r}
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), small).collect()} == kept
+
+
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
+def test_members_linked_to_each_other_meet_near_or_far(percent):
+    p = minhash_stars.MinHashParams(percent=percent)
+    # the pivot shares 600 of 1000 with x; z lacks just so many of x's that x and z are at the threshold
+    x, z = np.arange(1000, dtype=np.uint64), np.arange(1000 - 10 * percent, 1000, dtype=np.uint64)
+    for pivot in (np.arange(600, dtype=np.uint64), np.arange(599, dtype=np.uint64)):
+        near = [len(np.intersect1d(pivot, y)) / len(np.union1d(pivot, y)) for y in (x, z)]
+        assert 100 * len(z) >= percent * len(x)
+        assert all(s >= p.near_from for s in near) or all(s < p.far_below for s in near)
+
+
 # ---- 9
 
 

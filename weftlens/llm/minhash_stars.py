@@ -30,17 +30,22 @@ WORDS = 5
 class MinHashParams:
     #: Links: 100 * intersection >= percent * union.
     percent: int = 85
-    #: bands x rows minima. A pair at 0.85 misses all bands with probability (1 - 0.85 ** 4) ** 25 < 1e-8.
+    #: bands x rows minima. A pair at 0.85 misses all bands with probability (1 - 0.85 ** 4) ** 25 < 1e-8; at 0.80 that takes 35.
     bands: int = 25
     rows: int = 4
     #: A lone pair whose signatures agree less than this much below the threshold (over five deviations) isn't compared.
     slack: float = 0.19
-    #: Members nearer than this go on with their difference from the pivot, those under far_below with their sets.
-    near_from: float = 0.45
+    #: Members from near_from on go on with their difference from the pivot, those under far_below with their sets.
     far_below: float = 0.60
     #: Members of a block: a sixteenth of the group between these bounds.
     block: tuple[int, int] = (128, 1024)
 
+    @property
+    def near_from(self) -> float:
+        """Jaccard distance is a metric, so two linked members' similarities to the pivot differ by at most 1 - percent / 100:
+        either both are under far_below or both from here on."""
+        return self.far_below - (100 - self.percent) / 100 - 1e-9
+
 
 _RNG = np.random.default_rng(8)
 _STEPS = [np.uint64(x * 2 + 1) for x in _RNG.integers(1, 1 << 62, WORDS, dtype=np.uint64)]
