@@ -40,3 +40,43 @@ def test_entry(spark):
 
     df = __spark_entry__.entry(spark)
     assert df.count() == 10 and "z_alignment" in df.columns
+
+
+def least_by_hand(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for k, a, b in edges:
+        low, high = sorted((find((k, a)), find((k, b))))
+        root[high] = low
+    return {x: find(x)[1] for x in root}
+
+
+def test_components_against_brute_force(spark, small):
+    import random
+
+    from weftlens.operators import graphs
+    from weftlens.plans.catalog import all_edges
+
+    rng = random.Random(2)
+    chain = [(1, i, i + 1) for i in range(300)]
+    odd = [(2, 5, 5), (2, 7, 8), (2, 8, 7), (3, -4, 9), *[(4, rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)]]
+    rows = [(k, a, b) for k, a, b in [*chain, *chain, *odd]]
+    rng.shuffle(rows)
+    got = graphs.components(spark.createDataFrame(rows, "k long, src long, dst long"), "k").collect()
+    assert {(r["k"], r["node"]): r["root"] for r in got} == least_by_hand(rows) and len(got) == len(least_by_hand(rows))
+    every = QUERIES["graph_components_all"](spark, small).collect()
+    rows = [tuple(r) for r in all_edges(spark, small).collect()]
+    assert len(rows) == spark.read.parquet(f"{small}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_orderkey").distinct().count()
+    assert {(r["k"], r["node"]): r["root"] for r in every} == least_by_hand(rows) and len(every) == len({x for k, a, b in rows for x in ((k, a), (k, b))})
+
+
+def test_components_never_group_by_key_alone(spark):
+    from weftlens.operators import graphs
+
+    e = spark.createDataFrame([(1, 2, 3)], "k long, src long, dst long")
+    assert "FlatMapGroups" not in graphs.components(e, "k")._jdf.queryExecution().optimizedPlan().toString()

@@ -1,4 +1,4 @@
-"""Graphs kept as edge tables: components by spreading the least label."""
+"""Graphs kept as edge tables: components by alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
@@ -6,31 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df, worked out once; in the checkpoint folder where there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def components(edges: DataFrame, key: str, most_rounds: int = 64) -> DataFrame:
     """(key, node, root) of the undirected edges (key, src, dst): root is the component's least node.
 
-    Each graph (an image's skeleton, at most a few thousand nodes) is one group; its labels spread by vectorised minima until
-    they rest, so a chain of n nodes takes about log n rounds.
+    Edges are made distinct first, and a step groups by key and node, never by key alone, so a graph of any size is dealt over
+    tasks; its rounds grow with the logarithm of its size. A node that only has a loop is its own root.
     """
-    import numpy as np
-    import pandas as pd
-
-    kind = dict(edges.dtypes)
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, ends = np.unique(pdf[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
-        ends = ends.reshape(-1, 2)
-        root = np.arange(len(nodes))
-        while True:
-            low = np.minimum(root[ends[:, 0]], root[ends[:, 1]])
-            new = root.copy()
-            for side in (0, 1):
-                np.minimum.at(new, ends[:, side], low)
-                np.minimum.at(new, root[ends[:, side]], low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        return pd.DataFrame({key: pdf[key].iloc[0], "node": nodes, "root": nodes[root]})
-
-    return edges.select(key, "src", "dst").groupBy(key).applyInPandas(label, f"{key} {kind[key]}, node {kind['src']}, root {kind['src']}")
+    kind = dict(edges.dtypes)["src"]
+    ends = edges.select(key, F.greatest("src", "dst").cast(kind).alias("u"), F.least("src", "dst").cast(kind).alias("v"))
+    first = now = _kept(ends.distinct())
+    now, before = now.where("u <> v"), None
+    for _ in range(most_rounds):
+        both = now.union(now.select(key, F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(key, "u").agg(F.min("v").alias("m")).select(key, "u", F.least("u", "m").alias("m"))
+        large = _kept(both.join(least, [key, "u"]).where("v > u").select(key, F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy(key, "u").agg(F.min("v").alias("m"))
+        stars = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+        now = _kept(large.join(low, [key, "u"]).select(key, stars).select(key, "e.u", "e.v").where("u <> v").distinct())
+        state = now.agg(F.count("*"), F.sum(F.xxhash64(key, "u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    else:
+        raise RuntimeError("the components have not settled")
+    nodes = first.select(key, F.explode(F.array("u", "v")).alias("node")).distinct()
+    return nodes.join(now.toDF(key, "node", "root"), [key, "node"], "left").select(key, "node", F.coalesce("root", "node").alias("root"))

@@ -512,6 +512,33 @@ def junctions_kept(spark, sf):
     return T.kept_junctions(j, gone).groupBy(F.col("image_id").alias("k")).agg(F.count("*").alias("n"))
 
 
+# The three above follow their SQL, which folds the keys of a few rows; these three take all rows of lineitem.
+ALL_EDGES = "e AS (SELECT DISTINCT l_suppkey AS k, l_partkey * 2 AS src, l_orderkey * 2 + 1 AS dst FROM lineitem)"
+
+
+def all_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts (even nodes) and orders (odd ones) that meet at a supplier."""
+    return tables.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), (F.col("l_partkey") * 2).alias("src"), (F.col("l_orderkey") * 2 + 1).alias("dst")).distinct()
+
+
+@query(f"WITH {ALL_EDGES}, d AS (SELECT k, node, count(*) AS d FROM (SELECT k, src AS node FROM e UNION ALL SELECT k, dst FROM e) GROUP BY ALL) SELECT k, count(*) FILTER (WHERE d = 1) AS tips, count(*) FILTER (WHERE d > 2) AS branches, count(*) AS nodes FROM d GROUP BY k")
+def degree_counts_all(spark, sf):
+    return T.degrees(all_edges(spark, sf), "k")
+
+
+@query()
+def graph_components_all(spark, sf):
+    return graphs.components(all_edges(spark, sf), "k")
+
+
+@query(f"WITH {ALL_EDGES} SELECT k, count(*) AS n FROM e ANTI JOIN (SELECT o_orderkey * 2 + 1 AS dst FROM orders WHERE o_orderstatus = 'F') r USING (dst) GROUP BY k")
+def junctions_kept_all(spark, sf):
+    j = all_edges(spark, sf).select(F.col("k").alias("image_id"), F.col("src").alias("cont1"), F.col("dst").alias("cont2"))
+    shut = tables.table(spark, sf, "orders").where("o_orderstatus = 'F'").select((F.col("o_orderkey") * 2 + 1).alias("contour_id"))
+    gone = j.select("image_id", F.col("cont2").alias("contour_id")).join(shut, "contour_id", "left_semi").distinct()
+    return T.kept_junctions(j, gone).groupBy(F.col("image_id").alias("k")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 40 AND count(*) <= 70")
 def contour_length_filter(spark, sf):
     n = tables.table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("length"))
