@@ -2,10 +2,11 @@
 
 Vectors are made unit length and projected on a few leading principal directions; a cosine of at least the threshold bounds the
 distance by epsilon there too. Vectors are sorted by label and by the cells, epsilon wide, of their projections and cut into
-blocks of consecutive ones. Blocks of a label whose bounding boxes are at most epsilon apart are joined: their intervals of
-the order are halved again and again, pairs of halves that are provably farther apart are skipped, and short ones are
-compared. A pair of blocks gives each vector's number of links and a spanning forest of the links, never the links. Equal
-vectors are one class from the start, made by an aggregation that combines before the shuffle.
+blocks of consecutive ones. Consecutive blocks of a label make a tile; tiles whose bounding boxes are at most epsilon apart are
+joined, so a block is sent once to each near tile, not once to each near block. There its intervals of the order are halved
+again and again, pairs of halves that are provably farther apart are skipped, and short ones are compared. A pair of blocks
+gives each vector's number of links and a spanning forest of the links, never the links. Equal vectors are one class from the
+start, made by an aggregation that combines before the shuffle and named by its hash.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow
@@ -25,24 +27,35 @@ from .stars import components
 @dataclass(frozen=True)
 class GridParams:
     cosine: float = 0.93
-    #: Leading principal directions of the grid, and the vectors (by hash, about so many) that they are fitted on.
+    #: Leading principal directions of the grid and of the bounding boxes, and the vectors (by hash, about so many) that they are
+    #: fitted on.
     directions: int = 4
+    bounds: int = 12
     fit_vectors: int = 4096
     #: Vectors of a block, and of an interval that isn't halved any more.
     block: int = 1024
     least: int = 128
+    #: Blocks of a tile.
+    tile: int = 8
 
     @property
     def epsilon(self) -> float:
         return float(np.sqrt(2 - 2 * self.cosine) + 1e-9)
 
 
-def _unit(column: pa.Array) -> list[np.ndarray]:
-    out = []
-    for v in column:
-        x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        out.append(x / np.sqrt(x @ x))
-    return out
+#: A class of equal vectors: its smallest vec_id, those without one last, and its hash.
+NODE = "struct<none: boolean, id: long, a: long, b: long>"
+NODE_TYPE = pa.struct([("none", pa.bool_()), ("id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _vectors(column: pa.Array) -> list[np.ndarray]:
+    """Each row's numbers, as they are stored."""
+    return [v.values.to_numpy(zero_copy_only=False) for v in column]
+
+
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    x = rows.astype(np.float64)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def principal(vectors: DataFrame, params: GridParams) -> dict[int, np.ndarray]:
@@ -51,13 +64,13 @@ def principal(vectors: DataFrame, params: GridParams) -> dict[int, np.ndarray]:
     if n > params.fit_vectors:
         vectors = vectors.where(F.pmod(F.xxhash64("rep", F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * params.fit_vectors / n))
     by: dict[int, list[np.ndarray]] = {}
-    for x in _unit(vectors.select("embedding").toArrow()["embedding"].combine_chunks()) if n else []:
+    for x in _vectors(vectors.select("embedding").toArrow()["embedding"].combine_chunks()) if n else []:
         by.setdefault(len(x), []).append(x)
     out = {}
     for size, some in by.items():
-        m = np.stack(some)
+        m = unit_rows(np.stack(some))
         m = m - m.mean(0)
-        out[size] = np.linalg.eigh(m.T @ m)[1][:, ::-1][:, : params.directions].copy()
+        out[size] = np.linalg.eigh(m.T @ m)[1][:, ::-1][:, : params.bounds].copy()
     return out
 
 
@@ -118,12 +131,32 @@ def _forest(link: np.ndarray, same: bool) -> list[tuple[int, int]]:
     return edges
 
 
+def boxes_apart(a: str, b: str) -> Column:
+    """Squared distance of two boxes (columns a_low, a_high, b_low, b_high)."""
+    gaps = F.zip_with(F.arrays_zip(f"{a}_low", f"{a}_high"), F.arrays_zip(f"{b}_low", f"{b}_high"), lambda x, y: F.greatest(F.lit(0.0), x[f"{a}_low"] - y[f"{b}_high"], y[f"{b}_low"] - x[f"{a}_high"]))
+    return F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x)
+
+
+def near_tiles(blocks: DataFrame, params: GridParams) -> DataFrame:
+    """Pairs (i, j), i <= j, of tiles of one label whose boxes are at most epsilon apart, from rows (label, size, tile, low, high)."""
+    eps = params.epsilon
+    least, most = (F.array(*[pick(F.col(c)[k]) for k in range(params.bounds)]) for pick, c in ((F.min, "low"), (F.max, "high")))
+    boxes = blocks.groupBy("label", "size", "tile").agg(least.alias("low"), most.alias("high"))
+    boxes = boxes.withColumns({"c0": F.floor(F.col("low")[0] / eps), "c1": F.floor(F.col("high")[0] / eps)})
+    left = boxes.select("label", "size", F.col("tile").alias("i"), F.col("low").alias("i_low"), F.col("high").alias("i_high"), (F.col("c0") - 1).alias("i0"), F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1)).alias("cell"))
+    right = boxes.select("label", "size", F.col("tile").alias("j"), F.col("low").alias("j_low"), F.col("high").alias("j_high"), F.col("c0").alias("j0"), F.explode(F.sequence("c0", "c1")).alias("cell"))
+    met = left.join(right, ["label", "size", "cell"]).where((F.col("i") <= F.col("j")) & (F.col("cell") == F.greatest("i0", "j0")))
+    return met.where(boxes_apart("i", "j") <= eps * eps).select("i", "j")
+
+
 def near_vectors(vectors: DataFrame, params: GridParams = GridParams()) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of vectors (vec_id, embedding, label).
 
     Vectors that are null, zero or hold a null or a non-finite number, and those with a null label, have no link and are
-    their own component; vectors of different lengths are never linked. Rows that are equal count each. Other columns are
-    ignored; an empty table gives an empty one.
+    their own component; vectors of different lengths are never linked. Rows that are equal, or share a vec_id, count each. A
+    row without a vec_id takes part in links; the component is named by the smallest vec_id that there is, null if there is none,
+    and the row is kept in the latter case only. Ties at the threshold are links. Other columns are ignored; an empty table
+    gives an empty one.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "grid")
@@ -131,16 +164,16 @@ def near_vectors(vectors: DataFrame, params: GridParams = GridParams()) -> DataF
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & (norm > 0), F.lit(False))
     keyed = vectors.select("vec_id", "label", "embedding").withColumn("_ok", usable).withColumn("_h", F.when(F.col("_ok"), F.struct(F.xxhash64("label", "embedding").alias("a"), F.xxhash64("embedding", F.lit("vector"), "label").alias("b"))))
-    classes = scratch.table(keyed.where("_ok").groupBy("_h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("embedding").alias("embedding")), "classes")
+    classes = keyed.where("_ok").groupBy("_h").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    classes = scratch.table(classes.withColumn("rep", F.struct(F.col("id").isNull().alias("none"), F.col("id").cast("long").alias("id"), "_h.a", "_h.b")).drop("id"), "classes")
     directions = principal(classes.select("rep", "embedding"), params)
     k = params.directions
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = []
-            for x in _unit(batch.column(3)):
-                at = x @ directions[len(x)] if len(x) in directions else np.zeros(0)
-                at = np.pad(at, (0, k - len(at)))
+            for x in _vectors(batch.column(3)):
+                at = project(unit_rows(x[None]), directions, k)[0, :k]
                 cells.append([len(x), *np.floor(at / params.epsilon).astype(int).tolist()])
             yield pa.record_batch([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=["rep", "m", "label", "embedding", "cells"])
 
@@ -148,82 +181,104 @@ def near_vectors(vectors: DataFrame, params: GridParams = GridParams()) -> DataF
     placed = map_arrow(base, place, base.select("*", F.array(F.lit(0)).alias("cells")).schema)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.repartitionByRange(parts, "label", "cells", "rep").sortWithinPartitions("label", "cells", "rep")
-    block_schema = pa.schema([("label", placed_label(classes)), ("block", pa.int64()), ("size", pa.int32()), ("ids", pa.list_(pa.int64())), ("m", pa.list_(pa.int64())), ("data", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
+    block_schema = pa.schema([("label", arrow_type(classes, "label")), ("size", pa.int32()), ("tile", pa.int64()), ("block", pa.int64()), ("ids", pa.list_(NODE_TYPE)), ("m", pa.list_(pa.int64())), ("data", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
+    number_type = arrow_type(classes, "embedding").value_type.to_pandas_dtype()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         now = None
+        # names of tiles and blocks are of this partition: its number and a running one
+        part, tiles, blocks_, inside = TaskContext.get().partitionId() << 32, 0, 0, 0
 
         def close() -> pa.RecordBatch:
+            nonlocal blocks_, inside, tiles
             label, size = now
-            unit = np.stack([r[2] for r in held])
-            at = project(unit, directions, k)
-            values = [[label], [held[0][0]], [size], [[r[0] for r in held]], [[r[1] for r in held]], [unit.tobytes()], [at.min(0).tolist()], [at.max(0).tolist()]]
+            if inside == params.tile:
+                tiles, inside = tiles + 1, 0
+            rows = np.stack([r[2] for r in held])
+            at = project(unit_rows(rows), directions, params.bounds)
+            values = [[label], [size], [part + tiles], [part + blocks_], [[r[0] for r in held]], [[r[1] for r in held]], [rows.astype(number_type).tobytes()], [at.min(0).tolist()], [at.max(0).tolist()]]
             held.clear()
+            blocks_, inside = blocks_ + 1, inside + 1
             return pa.record_batch([pa.array(v, f.type) for v, f in zip(values, block_schema, strict=True)], schema=block_schema)
 
         for batch in batches:
             ids, times, labels = (batch.column(c).to_pylist() for c in range(3))
-            for rep, m, label, x in zip(ids, times, labels, _unit(batch.column(3)), strict=True):
+            for rep, m, label, x in zip(ids, times, labels, _vectors(batch.column(3)), strict=True):
                 if held and ((label, len(x)) != now or len(held) == params.block):
                     yield close()
+                if (label, len(x)) != now and inside:
+                    tiles, inside = tiles + 1, 0
                 now = (label, len(x))
                 held.append((rep, m, x))
         if held:
             yield close()
 
     label_type = dict(vectors.dtypes)["label"]
-    blocks = scratch.table(map_arrow(ordered, cut, f"label {label_type}, block long, size int, ids array<long>, m array<long>, data binary, low array<double>, high array<double>"), "blocks")
-    eps = params.epsilon
-    boxes = blocks.select("label", "size", "block", "low", "high", F.floor(F.col("low")[0] / eps).alias("c0"), F.floor(F.col("high")[0] / eps).alias("c1"))
-    left = boxes.select("label", "size", F.col("block").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"), (F.col("c0") - 1).alias("a0"), F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1)).alias("cell"))
-    right = boxes.select("label", "size", F.col("block").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"), F.col("c0").alias("b0"), F.explode(F.sequence("c0", "c1")).alias("cell"))
-    apart = F.zip_with(F.arrays_zip("a_low", "a_high"), F.arrays_zip("b_low", "b_high"), lambda x, y: F.greatest(F.lit(0.0), x["a_low"] - y["b_high"], y["b_low"] - x["a_high"]))
-    apart2 = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x)
-    near = left.join(right, ["label", "size", "cell"]).where((F.col("a") <= F.col("b")) & (F.col("cell") == F.greatest("a0", "b0"))).where(apart2 <= eps * eps).select("a", "b", "size")
-    load = blocks.select("block", "ids", "m", "data")
-    pairs = near.join(load.toDF("a", "a_ids", "a_m", "a_data"), "a").join(load.toDF("b", "b_ids", "b_m", "b_data"), "b")
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
+    blocks = scratch.table(map_arrow(ordered, cut, f"label {label_type}, size int, tile long, block long, ids array<{NODE}>, m array<long>, data binary, low array<double>, high array<double>"), "blocks")
+    near = scratch.table(near_tiles(blocks, params), "near")
+    sides = near.select("i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("tile"))
+    dealt = sides.join(blocks.select("tile", "block", "size", "ids", "m", "data"), "tile").select("i", "j", "tile", "block", "size", "ids", "m", "data")
+    dealt = dealt.repartition(parts, "i", "j").sortWithinPartitions("i", "j", "tile", "block")
+    schema = pa.schema([("u", NODE_TYPE), ("v", NODE_TYPE), ("links", pa.int64())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            i, j = now
+            for a in held:
+                for b in held:
+                    if (i == j and a[1] <= b[1]) or (i != j and a[0] == i and b[0] == j):
+                        yield links_between(a, b)
+            held.clear()
+
         for batch in batches:
             for r in range(batch.num_rows):
-                a, b, size = (batch.column(c)[r].as_py() for c in range(3))
-                ids_a, m_a, ids_b, m_b = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (3, 4, 6, 7))
-                x, y = (np.frombuffer(batch.column(c)[r].as_buffer(), np.float64).reshape(-1, size) for c in (5, 8))
-                link = interval_join(x, y, project(x, directions, k), project(y, directions, k), a == b, params)
-                edges = _forest(link, a == b)
-                there = link @ m_b
-                u, v, n = [ids_a], [ids_a], [there]
-                if a != b:
-                    u.append(ids_b)
-                    v.append(ids_b)
-                    n.append(link.T @ m_a)
-                e = np.array(edges, np.int64).reshape(-1, 2)
-                u, v, n = np.concatenate([*u, ids_a[e[:, 0]]]), np.concatenate([*v, ids_b[e[:, 1]]]), np.concatenate([*n, np.zeros(len(e), np.int64)])
-                some = (n > 0) | (u != v)
-                yield pa.record_batch([pa.array(u[some]), pa.array(v[some]), pa.array(n[some].astype(np.int64))], schema=schema)
-
-    found = scratch.table(map_arrow(pairs.select("a", "b", "size", "a_ids", "a_m", "a_data", "b_ids", "b_m", "b_data"), join, "u long, v long, links long"), "found")
+                i, j, tile, block, size = (batch.column(c)[r].as_py() for c in range(5))
+                if (i, j) != now:
+                    if held:
+                        yield from pairs()
+                    now = (i, j)
+                ids, m = batch.column(5)[r].values, batch.column(6)[r].values.to_numpy(zero_copy_only=False)
+                x = unit_rows(np.frombuffer(batch.column(7)[r].as_buffer(), number_type).reshape(-1, size))
+                held.append((tile, block, ids, m, x, project(x, directions, params.bounds)))
+        if held:
+            yield from pairs()
+
+    def links_between(a: tuple, b: tuple) -> pa.RecordBatch:
+        same = a[1] == b[1]
+        link = interval_join(a[4], b[4], a[5], b[5], same, params)
+        e = np.array(_forest(link, same), np.int64).reshape(-1, 2)
+        own = [(a[2], link @ b[3])] if same else [(a[2], link @ b[3]), (b[2], link.T @ a[3])]
+        counted = [(ids.take(pa.array(np.flatnonzero(n))), n[n > 0]) for ids, n in own]
+        u = pa.concat_arrays([*[c[0] for c in counted], a[2].take(pa.array(e[:, 0]))])
+        v = pa.concat_arrays([*[c[0] for c in counted], b[2].take(pa.array(e[:, 1]))])
+        n = np.concatenate([*[c[1] for c in counted], np.zeros(len(e), np.int64)])
+        return pa.record_batch([u, v, pa.array(n.astype(np.int64))], schema=schema)
+
+    found = scratch.table(map_arrow(dealt, join, f"u {NODE}, v {NODE}, links long"), "found")
     roots = components(found.where("u <> v").select("u", "v"), scratch)
     links = found.where("links > 0").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("others"))
-    named = classes.select("_h", "rep", "m").join(links, "rep", "left").join(roots.toDF("rep", "root"), "rep", "left").select("_h", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component"))
+    named = classes.select("_h", "rep", "m").join(links, "rep", "left").join(roots.toDF("rep", "root"), "rep", "left")
+    named = scratch.table(named.select("_h", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rep")["id"].alias("component"), F.lit(True).alias("_in")), "named")
     out = keyed.select("vec_id", "_h").join(named, "_h", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    component = F.when(F.col("_in"), F.col("component")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def project(unit: np.ndarray, directions: dict[int, np.ndarray], k: int) -> np.ndarray:
-    """Projections of unit rows; a length that the sample lacked, or a missing direction, counts as 0 everywhere."""
+    """k projections of unit rows; a length that the sample lacked, or a missing direction, counts as 0 everywhere."""
     d = directions.get(unit.shape[1])
-    at = unit @ d if d is not None else np.zeros((len(unit), 0))
+    at = unit @ d[:, :k] if d is not None else np.zeros((len(unit), 0))
     return np.pad(at, ((0, 0), (0, k - at.shape[1])))
 
 
-def placed_label(classes: DataFrame) -> pa.DataType:
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    return to_arrow_type(classes.schema["label"].dataType)
+    return to_arrow_type(df.schema[column].dataType)
 
 
 def op10_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
