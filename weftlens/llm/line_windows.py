@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow
+from .common import Scratch, documents, map_arrow
 
 #: Lines of a window.
 WINDOW = 3
@@ -36,9 +36,14 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def later_windows(docs: DataFrame) -> DataFrame:
-    """_row and _lines, the first lines of its windows that stood earlier in the corpus."""
+    """_row and _lines, the first lines of its windows that stood earlier in the corpus.
+
+    First places are written before they are joined back, so that the join reads two plain exchanges and Spark can split a
+    window that very many places share.
+    """
+    scratch = Scratch(docs.sparkSession, "windows")
     every = windows(docs).withColumn("_place", F.struct("doc_id", "_row", "_at"))
-    first = every.groupBy("_h", "_g").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    first = scratch.table(every.groupBy("_h", "_g").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "first")
     later = every.join(first, ["_h", "_g"]).where("_place > _first")
     return later.groupBy("_row").agg(F.collect_set("_at").alias("_lines"))
 
@@ -46,9 +51,11 @@ def later_windows(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, any others) with repeated lines removed, and n_lines, n_removed at the end.
 
-    A null text stays null with 0 lines; texts of fewer than three lines have no window and stay; windows of blank lines
-    never count. Rows equal in doc_id and text are one place, so they keep the same lines. Equal windows in one document
-    count as anywhere else: the later goes. n_chars, where there is such a column, is counted anew.
+    A null text stays null with 0 lines, an empty one is one line; texts of fewer than three lines have no window and stay;
+    windows of blank lines never count. Rows equal in doc_id and text are one place, so they keep the same lines. Equal windows
+    in one document count as anywhere else: the later goes. Rows with one doc_id and different texts come in the order of their
+    hashes, rows without a doc_id first. A very long text is one row of as many windows as it has lines. n_chars, where there is
+    such a column, is counted anew; an empty table gives an empty one.
     """
     names = docs.columns
     rest = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("_rest")
@@ -90,12 +97,13 @@ def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op4_line_windows": op4_line_windows}
 ORACLE = {
     "op4_line_windows": r"""
-WITH l AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
-w AS (SELECT doc_id, i, array_to_string(lines[i + 1 : i + 3], chr(10)) AS w FROM (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS i FROM l WHERE len(lines) >= 3)),
-ok AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth FROM w WHERE regexp_matches(w, '[^\x20\x09-\x0D]')),
-gone AS (SELECT DISTINCT doc_id, i + j AS at FROM ok, (SELECT unnest(range(3)) AS j) WHERE nth > 1),
-every AS (SELECT doc_id, unnest(lines) AS line, unnest(range(0, len(lines))) AS at FROM l),
-kept AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.at) FILTER (WHERE g.at IS NULL) AS t, count(*) AS n, count(g.at) AS r FROM every e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.at = g.at GROUP BY e.doc_id)
-SELECT l.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM l LEFT JOIN kept USING (doc_id)
+WITH l AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r, doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS lines FROM (SELECT DISTINCT doc_id, text FROM documents)),
+w AS (SELECT r, i, array_to_string(lines[i + 1 : i + 3], chr(10)) AS w FROM (SELECT r, lines, unnest(range(0, len(lines) - 2)) AS i FROM l WHERE len(lines) >= 3)),
+ok AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY r, i) AS nth FROM w WHERE regexp_matches(w, '[^\x20\x09-\x0D]')),
+gone AS (SELECT DISTINCT r, i + j AS at FROM ok, (SELECT unnest(range(3)) AS j) WHERE nth > 1),
+every AS (SELECT r, unnest(lines) AS line, unnest(range(0, len(lines))) AS at FROM l),
+kept AS (SELECT e.r, string_agg(e.line, chr(10) ORDER BY e.at) FILTER (WHERE g.at IS NULL) AS t, count(*) AS n, count(g.at) AS gone FROM every e LEFT JOIN gone g ON e.r = g.r AND e.at = g.at GROUP BY e.r)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d JOIN l ON l.doc_id IS NOT DISTINCT FROM d.doc_id AND l.text IS NOT DISTINCT FROM d.text LEFT JOIN kept USING (r)
 """
 }
