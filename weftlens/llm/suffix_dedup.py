@@ -37,9 +37,14 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 BUCKET = 1 << 17
 
 
+#: 128 bits that tell rows of documents apart.
+KEY = "struct<a: long, b: long>"
+KEY_TYPE = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+
+
 def _key() -> Column:
-    """Tells rows of documents apart (rows equal in doc_id and text are one)."""
-    return F.xxhash64("doc_id", "text")
+    """KEY of a row (rows equal in doc_id and text are one)."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", F.lit("row"), "doc_id").alias("b"))
 
 
 def contexts_of(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -77,16 +82,15 @@ def contexts_of(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: in
 
 def anchors(docs: DataFrame) -> DataFrame:
     """anchor, context, k (row), s (first window), n (windows) and o (the anchor's distance from s) of every anchor place of docs (k, text)."""
-    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("k", pa.int64()), ("s", pa.int64()), ("n", pa.int16()), ("o", pa.int16())])
+    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("k", KEY_TYPE), ("s", pa.int64()), ("n", pa.int16()), ("o", pa.int16())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in slices(batch.column(1)):
                 row, s, n, anchor, context, o = contexts_of(*utf8(batch.column(1).slice(a, b - a)))
-                yield pa.record_batch([pa.array(anchor), pa.array(context), pa.array(keys[a:b][row]), pa.array(s), pa.array(n, pa.int16()), pa.array(o, pa.int16())], schema=schema)
+                yield pa.record_batch([pa.array(anchor), pa.array(context), batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(s), pa.array(n, pa.int16()), pa.array(o, pa.int16())], schema=schema)
 
-    return map_arrow(docs, run, "anchor long, context long, k long, s long, n short, o short")
+    return map_arrow(docs, run, f"anchor long, context long, k {KEY}, s long, n short, o short")
 
 
 def _distances() -> np.ndarray:
@@ -198,7 +202,7 @@ def sort_pools(needed: DataFrame, length: int = LENGTH) -> DataFrame:
     rows (k, s, n, h, g): repeated windows if h is null, else one window (n = 1, or n = 2 if its class is settled) to be
     counted by its hash.
     """
-    schema = pa.schema([("k", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
+    schema = pa.schema([("k", KEY_TYPE), ("s", pa.int64()), ("n", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
 
     def settle(held: list[tuple]) -> pa.RecordBatch:
         group, salts, many, k, s, n, data = zip(*held, strict=True)
@@ -220,8 +224,8 @@ def sort_pools(needed: DataFrame, length: int = LENGTH) -> DataFrame:
         turn[1:] &= ~hit[:-1] | (row[1:] != row[:-1])
         first = np.flatnonzero(turn)
         last = np.flatnonzero(hit & np.append(~hit[1:] | (row[1:] != row[:-1]), True))
-        k_, s_ = np.array(k, np.int64), np.array(s, np.int64)
-        out_k, out_s, out_n = k_[row[first]], s_[row[first]] + within[first], last - first + 1
+        k_, s_ = pa.array(k, KEY_TYPE), np.array(s, np.int64)
+        out_s, out_n = s_[row[first]] + within[first], last - first + 1
         again = np.flatnonzero(np.array(salts, np.int64)[row] > 1)
         if len(again):
             _, one = np.unique(found[again], return_index=True)
@@ -230,8 +234,8 @@ def sort_pools(needed: DataFrame, length: int = LENGTH) -> DataFrame:
         h = spans.hash(starts[again], starts[again] + length)
         g = spans_alt(text, starts[again], length)
         size = np.where((times[found[again]] > 1) | known[found[again]], 2, 1)
-        none = pa.nulls(len(out_k), pa.int64())
-        return pa.record_batch([pa.array(np.append(out_k, k_[row[again]])), pa.array(np.append(out_s, s_[row[again]] + within[again])), pa.array(np.append(out_n, size), pa.int32()), pa.concat_arrays([none, pa.array(h.view(np.int64))]), pa.concat_arrays([none, pa.array(g.view(np.int64))])], schema=schema)
+        none = pa.nulls(len(out_s), pa.int64())
+        return pa.record_batch([k_.take(pa.array(np.append(row[first], row[again]))), pa.array(np.append(out_s, s_[row[again]] + within[again])), pa.array(np.append(out_n, size), pa.int32()), pa.concat_arrays([none, pa.array(h.view(np.int64))]), pa.concat_arrays([none, pa.array(g.view(np.int64))])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -248,7 +252,7 @@ def sort_pools(needed: DataFrame, length: int = LENGTH) -> DataFrame:
         if held:
             yield settle(held)
 
-    return map_arrow(needed, run, "k long, s long, n int, h long, g long")
+    return map_arrow(needed, run, f"k {KEY}, s long, n int, h long, g long")
 
 
 def spans_alt(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -256,14 +260,18 @@ def spans_alt(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return Spans(((text.astype(np.uint16) * 167 + 89) % 256).astype(np.uint8)).hash(starts, starts + length)
 
 
-def repeated_windows(docs: DataFrame, placed: DataFrame, scratch: Scratch) -> DataFrame:
+def repeated_windows(docs: DataFrame, placed: DataFrame, scratch: Scratch, count_first: bool = True) -> DataFrame:
     """k and the runs [(s, n)] of windows of docs (k, text) that also stand elsewhere; placed: their anchors(), kept.
 
+    Without count_first equal contexts are not settled by counting: the suffix sort decides on each place of an anchor that
+    stands more than once. The result is the same; whole copies then cost as many bytes to sort as they have.
     Counts are written before they are joined back, so that the joins read two plain exchanges and Spark can split hot keys.
     """
     twice = scratch.table(placed.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "twice")
     seen = scratch.table(placed.join(twice, "anchor"), "seen")
-    one = scratch.table(seen.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.min(F.struct("k", "s", "n", "o")).alias("r")), "contexts")
+    place = F.struct("k", "s", "n", "o")
+    every = seen.select("anchor", "context", F.lit(1).alias("m"), place.alias("r"))
+    one = scratch.table(seen.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.min(place).alias("r")) if count_first else every, "contexts")
     counted = seen.join(one.where("m > 1").select("anchor", "context"), ["anchor", "context"]).select("k", "s", F.col("n").cast("int").alias("n"))
     kinds = scratch.table(one.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1"), "kinds")
     wanted = one.join(kinds, "anchor").select("anchor", (F.col("contexts") > CONTEXTS).alias("split"), (F.col("m") > 1).alias("many"), "r.k", "r.s", "r.n", "r.o")
@@ -271,16 +279,18 @@ def repeated_windows(docs: DataFrame, placed: DataFrame, scratch: Scratch) -> Da
     bytes_ = scratch.table(_cut(docs.join(by_row, "k").select("k", "text", "w")), "bytes")
     plain = bytes_.where("not split").select("anchor", F.lit(0).alias("salt"), F.lit(1).alias("salts"), "many", "k", "s", "n", "bytes")
     cores = bytes_.where("split")
-    core = scratch.table(cores.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.max("many").alias("many"), F.min(F.struct("k", "s", "n", "bytes")).alias("r")), "cores")
+    piece = F.struct("k", "s", "n", "bytes")
+    every = cores.select("anchor", "context", F.lit(1).alias("m"), "many", piece.alias("r"))
+    core = scratch.table(cores.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.max("many").alias("many"), F.min(piece).alias("r")) if count_first else every, "cores")
     settled = cores.where("not many").join(core.where("m > 1 or many").select("anchor", "context"), ["anchor", "context"]).select("k", "s", "n")
-    core_kinds = core.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor", F.ceil(F.col("contexts") / CONTEXTS).cast("int").alias("salts"))
+    core_kinds = scratch.table(core.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor", F.ceil(F.col("contexts") / CONTEXTS).cast("int").alias("salts")), "core-kinds")
     rest = core.join(core_kinds, "anchor").select("anchor", F.pmod("context", "salts").cast("int").alias("salt"), "salts", (F.col("many") | (F.col("m") > 1)).alias("many"), "r.k", "r.s", "r.n", "r.bytes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     needed = plain.union(rest)
     sorted_ = scratch.table(sort_pools(needed.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")), "sorted")
     local = sorted_.where("h is null").select("k", "s", "n")
     again = sorted_.where("h is not null")
-    elsewhere = again.groupBy("h", "g").agg(F.count("*").alias("m")).where("m > 1").select("h", "g")
+    elsewhere = scratch.table(again.groupBy("h", "g").agg(F.count("*").alias("m")).where("m > 1").select("h", "g"), "elsewhere")
     far = again.where("n = 1").join(elsewhere, ["h", "g"]).select("k", "s", "n")
     runs = reduce(DataFrame.union, [counted, settled, local, far])
     return runs.groupBy("k").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
@@ -310,7 +320,7 @@ def split_by_core(data: bytes, anchor: int, s: int, n: int, o: int) -> list[tupl
 
 def _cut(rows: DataFrame) -> DataFrame:
     """The bytes of the wanted contexts of (k, text, w); those of anchors to be split as their parts, under new keys."""
-    schema = pa.schema([("split", pa.bool_()), ("many", pa.bool_()), ("k", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())])
+    schema = pa.schema([("split", pa.bool_()), ("many", pa.bool_()), ("k", KEY_TYPE), ("anchor", pa.int64()), ("context", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,7 +334,7 @@ def _cut(rows: DataFrame) -> DataFrame:
                         out.append((False, w["many"], k, w["anchor"], 0, w["s"], w["n"], data[w["s"] : w["s"] + w["n"] - 1 + LENGTH]))
             yield pa.record_batch([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
 
-    return map_arrow(rows, run, "split boolean, many boolean, k long, anchor long, context long, s long, n int, bytes binary")
+    return map_arrow(rows, run, f"split boolean, many boolean, k {KEY}, anchor long, context long, s long, n int, bytes binary")
 
 
 def cover(runs: list[dict] | None, n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -341,18 +351,19 @@ def cover(runs: list[dict] | None, n: int, length: int = LENGTH) -> list[tuple[i
     return list(zip(s[first].tolist(), e[np.append(first[1:], len(s)) - 1].tolist(), strict=True))
 
 
-def repeats_removed(docs: DataFrame) -> DataFrame:
+def repeats_removed(docs: DataFrame, count_first: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs (doc_id, text).
 
     Null texts are empty; texts under LENGTH bytes have no window and stay whole. Every copy of a repeat goes, its first one
     too, and a string that stands twice in one document counts. Rows that repeat another, doc_id and all, are places of their
-    own, so they lose their windows. Other columns are ignored; an empty table gives an empty one.
+    own, so they lose their windows. A very long text is hashed as one chunk, and its runs are cut from it row by row. Other
+    columns are ignored; an empty table gives an empty one. count_first: see repeated_windows().
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     keyed = docs.select("doc_id", "text", _key().alias("k"))
     long_ = keyed.where(F.octet_length("text") >= LENGTH).select("k", "text")
     placed = scratch.table(anchors(long_), "anchors")
-    found = repeated_windows(long_, placed, scratch)
+    found = repeated_windows(long_, placed, scratch, count_first)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
