@@ -239,7 +239,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SEQUENC
     counts = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = places(plan(counts, size))
     counters = max(LEAST_COUNTERS, -(-sum(counts.values()) // RANK_ROWS))
-    dealt = kept.withColumn("_counter", F.pmod(F.xxhash64("doc_id"), F.lit(counters)))
+    dealt = kept.withColumn("_counter", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(counters)))
     by_length = Window.partitionBy("length").orderBy("_counter").rowsBetween(Window.unboundedPreceding, -1)
     before = dealt.groupBy("length", "_counter").agg(F.count("*").alias("_n")).select("length", "_counter", F.coalesce(F.sum("_n").over(by_length), F.lit(0)).alias("_before"))
     within = Window.partitionBy("length", "_counter").orderBy("doc_id", "piece", "ids_crc32")
