@@ -17,10 +17,15 @@ from pyspark.sql import functions as F
 
 from .common import crc32_mod, documents, map_arrow, slices
 
+#: A letter, or a character that looks like one to the pattern and isn't (superscripts, Roman numerals).
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 @dataclass(frozen=True)
 class LanguageParams:
     #: Buckets of the hashed n-grams, a power of two, and the n-grams' lengths.
@@ -80,7 +85,11 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 def learn(docs: DataFrame, params: LanguageParams = LanguageParams()) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities (buckets + 1 rows: the last one is the prior) from docs (doc_id, text, lang)."""
+    """Languages and their log probabilities (buckets + 1 rows: the last one is the prior) from docs (doc_id, text, lang).
+
+    Rows with a null text or lang teach nothing; empty texts teach the prior alone; rows that repeat count each time. Other
+    columns are ignored; an empty table gives no language.
+    """
     labelled = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     n = labelled.count()
     if n > params.train_documents:
@@ -119,8 +128,9 @@ def learn(docs: DataFrame, params: LanguageParams = LanguageParams()) -> tuple[l
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, params: LanguageParams = LanguageParams()) -> DataFrame:
     """doc_id, lang_pred and score of each row of docs (doc_id, text).
 
-    Without a letter, with a null text or with nothing learned the language is ``und`` and the score 0. Ties go to the
-    language that comes first by name.
+    Without a letter, with a null or an empty text or with nothing learned the language is ``und`` and the score 0. Ties go to
+    the language that comes first by name. Rows that repeat stay apart; a very long text is scored whole, as a chunk of its own.
+    Other columns are ignored; an empty table gives an empty one.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
     rows = table.astype(np.float32)
@@ -131,7 +141,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, params: Langua
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 texts = _texts(batch.column(1).slice(a, b - a))
-                some = np.array([bool(langs) and LETTER.search(t) is not None for t in texts])
+                some = np.array([bool(langs) and has_letter(t) for t in texts])
                 names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
                 if some.any():
                     found, bounds = grams([t for t, s in zip(texts, some, strict=True) if s], params)
