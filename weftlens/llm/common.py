@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,12 +28,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Scratch:
     """Tables written to the folder that the driver and all executors share, so that no lost executor loses them.
 
-    The folder is ``spark.checkpoint.dir``; only where it is unset (tests) a local temporary folder is taken.
+    The folder is ``spark.checkpoint.dir``, else the one of ``SparkContext.setCheckpointDir``; where neither is set, a local
+    master takes a temporary folder and any other one raises.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        sc = spark.sparkContext
+        root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        if not root and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not root:
             root = f"file://{tempfile.gettempdir()}/weftlens-scratch"
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -53,10 +60,29 @@ class Scratch:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches bounded in bytes, not only in rows."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` with batches bounded in bytes, not only in rows.
+
+    Spark reads the bound when it runs the plan, so it is set on the session, but only where the caller has set none.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps Python workers from task to task, and the C library keeps what it freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def crc32_mod(doc_id: Column, modulus: int) -> Column:
@@ -64,11 +90,6 @@ def crc32_mod(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(-1))
 
 
-def text_only(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns with text first made a string; clashing extra columns never come along."""
-    return docs.select(*[docs[c] for c in columns])
-
-
 def slices(text: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Row ranges of at most so many bytes of text (a single longer row is alone)."""
     if not len(text):
