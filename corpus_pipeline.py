@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftlens.llm.common import Scratch, documents
 from weftlens.llm.line_windows import without_repeats
-from weftlens.llm.minhash_stars import MinHashParams, near_duplicates
+from weftlens.llm.minhash_stars import MinHashParams, without_near_duplicates
 from weftlens.llm.packing import pack
 from weftlens.llm.pii_crf import redacted, train
 from weftlens.llm.quality_repeats import good_documents
@@ -16,29 +16,42 @@ from weftlens.llm.quality_repeats import good_documents
 NEAR = MinHashParams(percent=80, bands=35)
 
 
+# All stages: an empty table gives an empty one; other columns of docs come along unchanged, whatever their names; texts are
+# worked on whole, a very long one as a chunk of its own.
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the repetition limits keep."""
+    """Documents that the rules and the repetition limits keep.
+
+    Null and empty texts have no words and go; rows that repeat are judged each, so all or none of them stay.
+    """
     return good_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of windows that stood earlier in the corpus."""
+    """All documents, without the lines of windows that stood earlier in the corpus.
+
+    Null texts stay null, texts of fewer than three lines as they are; a text may become empty. Rows equal in doc_id and text
+    are one place and keep the same lines.
+    """
     return without_repeats(docs).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near-duplicates at a similarity of 0.8."""
-    gone = near_duplicates(docs, NEAR).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document of least doc_id of each group of near-duplicates at a similarity of 0.8.
+
+    Texts without words, null ones and rows without a doc_id stay; of rows equal in doc_id and text one stays.
+    """
+    return without_near_duplicates(docs, NEAR).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; null and empty texts stay so, rows that repeat stay apart."""
     return redacted(docs, train(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the documents' pieces in sequences."""
+    """Places of the documents' pieces in sequences; null and empty texts are one token, rows that repeat are packed each."""
     return pack(docs)
 
 
