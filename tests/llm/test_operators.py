@@ -275,6 +275,8 @@ def test_base_scores_and_gain(spark, small):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(tok[i]), sum(c[x] > 0 for x in tok[i]), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tok[i]), rel=1e-9)
         assert math.isfinite(r["score"]) and r["score"] < 0
+    by_model, by_counts, n_held = (sum(f(got[i]) for i, _ in rows if held[i]) for f in (lambda r: r["score"], lambda r: r["base_score"], lambda r: r["n_tokens"]))
+    assert by_model / n_held > by_counts / n_held + 0.1  # held-out gain over the counts, in log10 a token
     assert gru_lm.score(empty(spark)).count() == 0
 
 
@@ -309,6 +311,57 @@ def test_weights_are_learned_from_all_documents(spark):
     assert all(np.allclose(got[k], want[k], atol=1e-6) for k in gru_lm.NAMES)
 
 
+def test_weights_do_not_hang_on_the_partitioning(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 60)))) for i in range(200)] + [(None, "a b a b"), (5, "h g"), (5, "h g"), (6, None), (7, "")]
+    p = gru_lm.LmParams(own=8, per_class=4, bins=3, hidden=5, shard=1500, learned=700)
+    tokens = gru_lm.hashes(pa.array([t for _, t in rows]))[0]
+    hashed, n = np.unique(tokens, return_counts=True)
+    by = np.argsort(-n, kind="stable")
+    v = gru_lm.Vocabulary(hashed[by], n[by], int(n.sum()), len(n), p)
+    one, other = (gru_lm.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(k), v) for k in (1, 5))
+    assert all(np.allclose(one[k], other[k], atol=1e-5) for k in gru_lm.NAMES)
+
+
+def test_scores_of_odd_rows_and_clashing_columns(spark):
+    rows = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "a b"), (4, "z" * 50000), (5, "word " * 20000)]
+    got = gru_lm.score(frame(spark, rows), params=gru_lm.LmParams(table=64, own=16, per_class=4)).collect()
+    assert sorted(r["n_tokens"] for r in got) == [1, 1, 2, 3, 4, 4, 20001] and all(math.isfinite(r["score"]) for r in got)
+    same = [r["score"] for r in got if r["doc_id"] == 3]
+    assert same[0] == pytest.approx(same[1])
+
+
+def test_gradients_through_time():
+    """Of the recurrent weights, by finite differences of a window's loss."""
+    p = gru_lm.LmParams(own=8, per_class=4, bins=3, hidden=4, streams=2, window=6)
+    v = gru_lm.Vocabulary(np.arange(1, 41).astype(np.uint64), np.arange(40, 0, -1), 900, 41, p)
+    ids = np.array([0, 3, v.end, 5, 2, 1, 7, 9, v.end, 4, 4, 6], np.int32)
+    start = {k: x.astype(np.float64) * 3 for k, x in gru_lm.start(v).items()}
+    filled = np.append(v.end, ids)
+    before, target = filled[:-1].reshape(2, 6).T, filled[1:].reshape(2, 6).T
+
+    def loss(w):
+        h, total = np.zeros((2, 4)), 0.0
+        for t in range(6):
+            h = np.where((before[t] == v.end)[:, None], 0.0, h)
+            h = gru_lm.step(w, before[t], h)[0]
+            total -= gru_lm.outputs(w, h, target[t], v).sum()
+        return total / 12
+
+    # the first Adam step moves each weight by the rate against the sign of its gradient
+    after = gru_lm.train_on({k: x.astype(np.float32) for k, x in start.items()}, ids, v)
+    for key in ("x", "u", "b"):
+        moved = after[key] - start[key].astype(np.float32)
+        for at in np.ndindex(*start[key].shape):
+            w = {k: x.copy() for k, x in start.items()}
+            w[key][at] += 1e-5
+            up = loss(w)
+            w[key][at] -= 2e-5
+            slope = (up - loss(w)) / 2e-5
+            if abs(slope) > 1e-4:
+                assert moved[at] * slope < 0, (key, at)
+
+
 # ---- 7
 
 

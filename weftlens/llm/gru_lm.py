@@ -3,13 +3,16 @@
 Counts of all training tokens are summed over the whole corpus by 64-bit hashes of the words. The most frequent words are
 the model's own; the others fall in bins by rank, within which they have their smoothed share of the bin's counts, and all
 words past the broadcast table, seen or not, are the last bin. A word's probability is that of its class given the state,
-times its own within the class. Training starts on the driver on a bounded sample, then every partition goes on with all
-its training documents by truncated backpropagation, and the weights are averaged. Scoring runs documents of like
-length in step and carries their state from window to window to the end. Words past the table meet their counts in a join.
+times its own within the class. Documents become numbers once, in a table that both training and scoring read. Training starts
+on the driver on a bounded sample, then goes on from there with all training documents by truncated backpropagation, in shards
+that documents belong to by hash, so the weights don't hang on the partitioning; the shards' weights are averaged. Scoring runs
+documents of like length in step and carries their state from window to window to the end. Words past the table meet their
+counts in a join.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,13 +37,17 @@ class LmParams:
     hidden: int = 32
     #: Steps of a training window, and documents side by side.
     window: int = 16
-    streams: int = 64
-    #: Documents of the driver's start sample (about so many, by hash), and its passes.
+    streams: int = 256
+    #: Documents of the driver's start sample (about so many, by hash, of those with at most start_tokens), and its passes.
     start_documents: int = 400
+    start_tokens: int = 1 << 14
     start_passes: int = 3
-    rate: float = 4e-3
-    #: Text held to be scored together, in bytes, and documents that run in step.
-    together: int = 24 << 20
+    rate: float = 8e-3
+    #: Training tokens of a shard, about, and tokens that are learned from at once.
+    shard: int = 1 << 23
+    learned: int = 1 << 21
+    #: Tokens held to be scored together, and documents that run in step.
+    together: int = 1 << 22
     in_step: int = 1024
     smoothing: float = 0.1
 
@@ -116,6 +123,17 @@ class Vocabulary:
         self.log_count = np.log10(smoothed)[by]
         self.log_end = float(np.log10(n_end + params.smoothing))
 
+    @property
+    def number_type(self) -> str:
+        """Numbers of input tokens in the table of documents."""
+        return "<u2" if self.inputs <= 1 << 16 else "<u4"
+
+    def bare(self) -> Vocabulary:
+        """The sizes without the table, for tasks that need no more."""
+        out = copy.copy(self)
+        out.keys = out.where = out.share = out.log_count = None
+        return out
+
     def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Input numbers of tokens and their rows in the table (-1: none)."""
         key, which = np.unique(tokens, return_inverse=True)
@@ -146,7 +164,10 @@ def shapes(vocabulary: Vocabulary) -> dict[str, tuple[int, ...]]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    out = np.tanh(x * x.dtype.type(0.5))
+    out += 1
+    out *= x.dtype.type(0.5)
+    return out
 
 
 def step(w: dict[str, np.ndarray], inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -213,7 +234,7 @@ def train_on(w: dict[str, np.ndarray], ids: np.ndarray, vocabulary: Vocabulary,
     p = vocabulary.params
     if not len(ids):
         return w
-    streams = max(1, min(p.streams, len(ids) // p.window))
+    streams = max(1, min(p.streams, len(ids) // p.window, max(8, len(ids) // (64 * p.window))))  # few ids still are many steps
     length = -(-len(ids) // streams)
     filled = np.full(streams * length + 1, vocabulary.end, np.int32)
     filled[1 : len(ids) + 1] = ids
@@ -329,41 +350,89 @@ def unflatten(flat: np.ndarray, sizes: dict[str, tuple[int, ...]]) -> dict[str,
     return out
 
 
-def fit(training: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """Weights from training (doc_id, text): a start on the driver, then the mean of what the partitions make of it."""
+def numbered(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """docs (doc_id, text, held_out) as numbers: ids (bytes), what the table gives to the scores, and tokens past it with times."""
+    fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("n_in_table", pa.int64()), ("base", pa.float64()), ("share", pa.float64()), ("ids", pa.binary()), ("tail", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]
+    schema = pa.schema(fields)
+
+    def look(text: pa.Array, same: list[pa.Array]) -> pa.RecordBatch:
+        rows = len(text)
+        tokens, at = hashes(text)
+        number, row = vocabulary.look_up(tokens)
+        doc = np.repeat(np.arange(rows), np.diff(at))
+        end, some = number == vocabulary.end, row >= 0
+        rare = ~some & ~end
+        value, part = np.zeros(len(row)), np.zeros(len(row))
+        value[some], part[some] = vocabulary.log_count[row[some]], vocabulary.share[row[some]]
+        value[end], part[rare] = vocabulary.log_end, -vocabulary.log_rare
+        base = np.bincount(doc, value, minlength=rows) - np.diff(at) * vocabulary.log_all
+        known = np.bincount(doc, some | end & (vocabulary.n_end > 0), minlength=rows).astype(np.int64)
+        by = np.lexsort((tokens[rare], doc[rare]))
+        t, d = tokens[rare][by], doc[rare][by]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
+        first = np.flatnonzero(new)
+        tail_at = pa.array(np.searchsorted(d[first], np.arange(rows + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(tail_at, pa.array(t[first].view(np.int64))), pa.ListArray.from_arrays(tail_at, pa.array(np.diff(np.append(first, len(t))), pa.int32()))]
+        data = number.astype(vocabulary.number_type)
+        ids = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((at * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+        return pa.record_batch([*same, pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(np.bincount(doc, part, minlength=rows)), ids, *lists], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1), 4 << 20):
+                yield look(batch.column(1).slice(a, b - a), [batch.column(c).slice(a, b - a) for c in (0, 2, 3)])
+
+    keyed = docs.select("doc_id", "text", "held_out", F.xxhash64("doc_id", "text").alias("key"))
+    return map_arrow(keyed, run, "doc_id long, held_out boolean, key long, n_tokens long, n_in_table long, base double, share double, ids binary, tail array<long>, times array<int>")
+
+
+def fit(training: DataFrame, vocabulary: Vocabulary, numbers: DataFrame | None = None) -> dict[str, np.ndarray]:
+    """Weights from training (doc_id, text), or numbers, its numbered() rows: a start on the driver, then the mean of the shards."""
     p = vocabulary.params
-    n = training.count()
+    if numbers is None:
+        numbers = numbered(training.select("doc_id", "text", F.lit(False).alias("held_out")), vocabulary)
+    numbers = numbers.where("not held_out").select("doc_id", "key", "n_tokens", "ids")
+    n, tokens = numbers.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     pick = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(1 << 30))
-    few = training.where(pick < int((1 << 30) * min(1.0, p.start_documents / max(n, 1)))).select("text")
-    text = few.toArrow()["text"].combine_chunks()
-    text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string())
-    ids = vocabulary.look_up(hashes(text)[0])[0]
-    w = train_on(start(vocabulary), ids, vocabulary, p.start_passes)
-    sizes = shapes(vocabulary)
+    few = numbers.where((pick < int((1 << 30) * min(1.0, p.start_documents / max(n, 1)))) & (F.col("n_tokens") <= p.start_tokens)).orderBy("doc_id", "key").select("ids")
+    kind, bare = vocabulary.number_type, vocabulary.bare()
+    ids = np.frombuffer(b"".join(few.toArrow()["ids"].to_pylist()), kind).astype(np.int32)
+    w = train_on(start(bare), ids, bare, p.start_passes)
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, many = dict(w), 0
-        held, size = [], 0
-
-        def learn() -> int:
-            nonlocal mine
-            if not held:
-                return 0
-            tokens = np.concatenate(held)
-            mine = train_on(mine, tokens, vocabulary)
-            held.clear()
-            return len(tokens)
+        total, all_ = None, 0
+        mine, many, now = dict(w), 0, None
+        held: list[np.ndarray] = []
+        size = 0
+
+        def learn() -> None:
+            nonlocal mine, many, size
+            if held:
+                ids = np.concatenate(held).astype(np.int32)
+                mine, many, size = train_on(mine, ids, bare), many + len(ids), 0
+                held.clear()
+
+        def close() -> None:
+            nonlocal total, all_, mine, many
+            learn()
+            if many:
+                part = np.frombuffer(flatten(mine), np.float32).astype(np.float64) * many
+                total, all_ = part if total is None else total + part, all_ + many
+            mine, many = dict(w), 0
 
         for batch in batches:
-            for a, b in slices(batch.column(0), 4 << 20):
-                held.append(vocabulary.look_up(hashes(batch.column(0).slice(a, b - a))[0])[0])
+            for shard, raw in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                if shard != now:
+                    close()
+                    now = shard
+                held.append(np.frombuffer(raw.as_buffer(), kind).copy())
                 size += len(held[-1])
-            if size > 1 << 21:
-                many += learn()
-                size = 0
-        many += learn()
-        if many:
-            yield pa.record_batch([pa.array([many]), pa.array([flatten(mine)], pa.binary())], names=["n", "w"])
+                if size > p.learned:
+                    learn()
+        close()
+        if all_:
+            yield pa.record_batch([pa.array([all_]), pa.array([(total / all_).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, many = None, 0
@@ -374,65 +443,44 @@ def fit(training: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
         if many:
             yield pa.record_batch([pa.array([many]), pa.array([(total / many).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
-    parts = map_arrow(training.select("text"), go_on, "n long, w binary")
-    found = map_arrow(parts.repartition(8, "n"), mean, "n long, w binary").collect()
+    shards = max(1, -(-int(tokens) // p.shard))
+    parts = min(shards, int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = numbers.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).select("shard", "doc_id", "key", "ids").repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "key")
+    learned = map_arrow(dealt, go_on, "n long, w binary")
+    found = map_arrow(learned.repartition(8, "n"), mean, "n long, w binary").collect()
     if not found:
         return w
     many = sum(r["n"] for r in found)
-    return unflatten(sum(np.frombuffer(r["w"], np.float32).astype(np.float64) * (r["n"] / many) for r in found), sizes)
+    return unflatten(sum(np.frombuffer(r["w"], np.float32).astype(np.float64) * (r["n"] / many) for r in found), shapes(bare))
 
 
 def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 10 = 0", params: LmParams = LmParams()) -> DataFrame:
     """op6's columns for each row of docs (doc_id, text); rows where held_out is true are not learned from.
 
     Null and empty texts are an end alone. A null doc_id is not held out. With nothing to learn from, counts are 0 and the
-    weights those of the start. Rows that repeat are scored and learned from each time; other columns are ignored; an empty
-    table gives an empty one.
+    weights those of the start. Rows that repeat are scored and learned from each time; a very long text is scored to its end
+    beside shorter ones; other columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "gru")
     docs = docs.select("doc_id", "text", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"))
-    training = docs.where(~F.col("held_out")).select("doc_id", "text")
-    counts = scratch.table(token_counts(training.select("text")), "counts")
+    counts = scratch.table(token_counts(docs.where(~F.col("held_out")).select("text")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "hash").limit(params.table).toArrow()
     vocabulary = Vocabulary(top["hash"].to_numpy().view(np.uint64), top["n"].to_numpy(), int(total), int(distinct), params)
-    weights = fit(training, vocabulary)
-    fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_in_table", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("tail", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]
-    schema = pa.schema(fields)
-
-    def flush(ids: list, held: list, texts: list) -> pa.RecordBatch:
-        numbers, bounds, base, share, known, tail, times, tail_at = [], [np.zeros(1, np.int64)], [], [], [], [], [], [np.zeros(1, np.int64)]
-        for text in texts:
-            for a, b in slices(text, 4 << 20):
-                tokens, at = hashes(text.slice(a, b - a))
-                number, row = vocabulary.look_up(tokens)
-                end = number == vocabulary.end
-                some = row >= 0
-                value, part = np.zeros(len(row)), np.zeros(len(row))
-                value[some], part[some] = vocabulary.log_count[row[some]], vocabulary.share[row[some]]
-                value[end] = vocabulary.log_end
-                rare = ~some & ~end
-                part[rare] = -vocabulary.log_rare
-                numbers.append(number)
-                bounds.append(at[1:] + bounds[-1][-1])
-                doc = np.repeat(np.arange(b - a), np.diff(at))
-                base.append(np.bincount(doc, value, minlength=b - a) - np.diff(at) * vocabulary.log_all)
-                share.append(np.bincount(doc, part, minlength=b - a))
-                known.append(np.bincount(doc, some | end & (vocabulary.n_end > 0), minlength=b - a))
-                by = np.lexsort((tokens[rare], doc[rare]))
-                t, d = tokens[rare][by], doc[rare][by]
-                new = np.ones(len(t), bool)
-                new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
-                first = np.flatnonzero(new)
-                tail.append(t[first])
-                times.append(np.diff(np.append(first, len(t))))
-                tail_at.append(np.searchsorted(d[first], np.arange(1, b - a + 1)) + tail_at[-1][-1])
-        bounds_ = np.concatenate(bounds)
-        model = document_scores(weights, np.concatenate(numbers), bounds_, vocabulary) + np.concatenate(share)
-        at = pa.array(np.concatenate(tail_at), pa.int32())
-        lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(tail).view(np.int64))), pa.ListArray.from_arrays(at, pa.array(np.concatenate(times), pa.int32()))]
-        return pa.record_batch([pa.concat_arrays(ids), pa.concat_arrays(held), pa.array(np.diff(bounds_)), pa.array(np.concatenate(known).astype(np.int64)), pa.array(np.concatenate(base)), pa.array(model), *lists], schema=schema)
+    numbers = scratch.table(numbered(docs, vocabulary).withColumn("row", F.monotonically_increasing_id()), "numbers")
+    weights = fit(docs, vocabulary, numbers)
+    kind, bare = vocabulary.number_type, vocabulary.bare()
+    kept = ["row", "doc_id", "held_out", "n_tokens", "n_in_table", "base", "share"]
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.concatenate([b.column(3).to_numpy(zero_copy_only=False) for b in held])
+        ids = np.concatenate([np.frombuffer(b"".join(b.column(7).to_pylist()), kind) for b in held]).astype(np.int32)
+        found = document_scores(weights, ids, np.append(0, np.cumsum(sizes)), bare)
+        at = 0
+        for b in held:
+            yield pa.record_batch([*b.columns[:7], pa.array(found[at : at + b.num_rows])], names=[*kept, "model"])
+            at += b.num_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -440,22 +488,21 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 10 =
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                size += batch.nbytes
+                size += batch.column(7).nbytes // np.dtype(kind).itemsize
             if size > params.together:
-                yield flush(*[[b.column(k) for b in held] for k in (0, 2, 1)])
+                yield from flush(held)
                 held, size = [], 0
         if held:
-            yield flush(*[[b.column(k) for b in held] for k in (0, 2, 1)])
+            yield from flush(held)
 
-    made = map_arrow(docs, run, "doc_id long, held_out boolean, n_tokens long, n_in_table long, base double, model double, tail array<long>, times array<int>")
-    made = scratch.table(made.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tails = made.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("hash"), F.col("t.times").alias("times"))
+    made = map_arrow(numbers.select(*kept, "ids"), run, "row long, doc_id long, held_out boolean, n_tokens long, n_in_table long, base double, share double, model double")
+    tails = numbers.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("hash"), F.col("t.times").alias("times"))
     met = tails.join(counts.withColumnRenamed("n", "c"), "hash", "left")
     log_c = F.log10(F.coalesce("c", F.lit(0)) + F.lit(float(params.smoothing)))
     summed = met.groupBy("row").agg(F.sum(F.col("times") * log_c).alias("logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("seen"))
-    out = made.drop("tail", "times").join(summed, "row", "left")
+    out = made.join(scratch.table(summed, "tails"), "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_in_table") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("model") + logs).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_in_table") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("model") + F.col("share") + logs).alias("score"))
 
 
 def op6_gru_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
