@@ -31,8 +31,8 @@ END = np.uint64(0x5EED0FE0D0C0FFEE)
 class LmParams:
     #: Words in the table that goes to all tasks (16 bytes each), the model's own words, and words of a class.
     table: int = 1 << 18
-    own: int = 2048
-    per_class: int = 64
+    own: int = 1024
+    per_class: int = 32
     bins: int = 16
     hidden: int = 32
     #: Steps of a training window, and documents side by side.
