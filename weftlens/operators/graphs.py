@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df, worked out once; in the checkpoint folder where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """df, worked out once and kept in the checkpoint folder that the driver and all executors share.
+
+    The folder is that of the session; only a local master, as in tests, gets a temporary one where none is set.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='weftlens-')}")
+    return df.checkpoint()
 
 
 def components(edges: DataFrame, key: str, most_rounds: int = 64) -> DataFrame:
