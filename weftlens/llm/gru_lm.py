@@ -34,7 +34,7 @@ class LmParams:
     own: int = 1024
     per_class: int = 32
     bins: int = 16
-    hidden: int = 32
+    hidden: int = 24
     #: Steps of a training window, and documents side by side.
     window: int = 16
     streams: int = 256
@@ -44,7 +44,7 @@ class LmParams:
     start_passes: int = 3
     rate: float = 8e-3
     #: Training tokens of a shard, about, and tokens that are learned from at once.
-    shard: int = 1 << 23
+    shard: int = 1 << 22
     learned: int = 1 << 21
     #: Tokens held to be scored together, and documents that run in step.
     together: int = 1 << 22
@@ -445,7 +445,7 @@ def fit(training: DataFrame, vocabulary: Vocabulary, numbers: DataFrame | None =
 
     shards = max(1, -(-int(tokens) // p.shard))
     parts = min(shards, int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = numbers.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).select("shard", "doc_id", "key", "ids").repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "key")
+    dealt = numbers.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).select("shard", "doc_id", "key", "ids").repartitionByRange(parts, "shard").sortWithinPartitions("shard", "doc_id", "key")
     learned = map_arrow(dealt, go_on, "n long, w binary")
     found = map_arrow(learned.repartition(8, "n"), mean, "n long, w binary").collect()
     if not found:
