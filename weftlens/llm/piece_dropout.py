@@ -4,12 +4,14 @@ Merges follow the piece model: of all neighbouring symbols whose join is a piece
 is merged, until none is left. A candidate is skipped if a hash of the seed, the document and the candidate's first and last
 character falls under the dropout rate, so each occurrence of a word has its own segmentation, and the same one in every run.
 No piece reaches over the start of a word, so the agendas of all words of a chunk are worked off together: a round takes the
-best candidate of each word's agenda. Characters that no piece holds, and the space mark itself, become bytes, so decoding
+best candidate of each word's agenda. Very long unbroken runs are first cut where no piece of the model stands across, so no
+merge can; what is still long has an agenda of its own, a heap. Characters that no piece holds, and the space mark itself, become bytes, so decoding
 gives back the text exactly.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -21,9 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, map_arrow, mix, slices, utf8
 
 SEED, RATE = 7, 0.1
+#: Characters of an unbroken run from which it is cut where no piece stands across, and from which it gets a heap.
+LONG, HEAP = 64, 256
 SPACE = "▁"
 _NONE = np.int64(1) << np.int64(62)
 _FIRST, _LAST = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_STEP = 0x9E3779B97F4A7C15
 _BOTH = np.uint64((int(_FIRST) + int(_LAST)) % (1 << 64))
 
 
@@ -49,6 +54,19 @@ class Pieces:
         self.character[0x20] = self.character[ord(SPACE)]
         self.character[ord(SPACE)] = -1  # in a text it isn't a space
         pairs = {plain[p[:j]] << 32 | plain[p[j:]]: k for p, k in plain.items() for j in range(1, len(p)) if p[:j] in plain and p[j:] in plain}
+        self.pairs, self._ranks = pairs, None
+        # hashes of the pieces of each length and of their beginnings, with a space for the mark
+        longest = max((len(p) for p in plain), default=1)
+        self.whole: list[set | np.ndarray] = [set() for _ in range(longest + 1)]
+        self.begun: list[set | np.ndarray] = [set() for _ in range(longest + 1)]
+        for p in plain:
+            h = 0
+            for j, c in enumerate(p.replace(SPACE, " "), 1):
+                h = (h * _STEP + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+                if j > 1:
+                    (self.whole if j == len(p) else self.begun)[j].add(h)
+        self.whole = [np.array(sorted(x), np.uint64) for x in self.whole]
+        self.begun = [np.array(sorted(x), np.uint64) for x in self.begun]
         self.bits = np.uint64(64 - max(10, (8 * len(pairs)).bit_length()))
         size = 1 << (64 - int(self.bits))
         self.keys, self.values = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
@@ -82,6 +100,69 @@ class Pieces:
             todo, key, at = todo[on], key[on], (at[on] + 1) & (len(self.keys) - 1)
         return out
 
+    def crossed(self, point: np.ndarray) -> np.ndarray:
+        """Which characters have a piece of the model across their left edge."""
+        n = len(point)
+        turn = np.zeros(n + 1, np.int64)
+        p = point.astype(np.uint64) + np.uint64(1)
+        at, h = np.arange(n), p.copy()
+        for length in range(2, len(self.whole)):
+            on = at + length <= n
+            at, h = at[on], h[on]
+            h = h * np.uint64(_STEP) + p[at + length - 1]
+            hit = at[among(h, self.whole[length])]
+            np.add.at(turn, hit + 1, 1)
+            np.add.at(turn, hit + length, -1)
+            on = among(h, self.begun[length])
+            at, h = at[on], h[on]
+            if not len(at):
+                break
+        return np.cumsum(turn[:-1]) > 0
+
+    def one_agenda(self, symbol: list[int], value: list[int], join: list[int], salt: int, start: int, limit: int) -> tuple[list[int], list[int]]:
+        """Symbols and first characters of one long run after all merges; value and join: its first candidates."""
+        n, none, mask = len(symbol), int(_NONE), (1 << 64) - 1
+        first_by, last_by = int(_FIRST), int(_LAST)
+        rank, pairs = self.rank_list(), self.pairs
+        after, before, last = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(n))
+        heap = [v << 32 | k for k, v in enumerate(value) if v != none]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            k = top & 0xFFFFFFFF
+            if value[k] != top >> 32:
+                continue
+            other = after[k]
+            symbol[k], last[k], after[k] = join[k], last[other], after[other]
+            value[other], symbol[other] = none, -1
+            if after[k] < n:
+                before[after[k]] = k
+            for a in (k, before[k]):
+                if a < 0:
+                    continue
+                b = after[a]
+                value[a] = none
+                joined = pairs.get(symbol[a] << 32 | symbol[b]) if b < n else None
+                if joined is None:
+                    continue
+                if limit:
+                    x = (salt + (start + a) * first_by + (start + last[b]) * last_by) & mask
+                    x ^= x >> 30
+                    x = x * 0xBF58476D1CE4E5B9 & mask
+                    x ^= x >> 27
+                    x = x * 0x94D049BB133111EB & mask
+                    if (x ^ x >> 31) >> 32 < limit:
+                        continue
+                value[a], join[a] = rank[joined], joined
+                heapq.heappush(heap, rank[joined] << 32 | a)
+        left = [k for k in range(n) if symbol[k] >= 0]
+        return [symbol[k] for k in left], left
+
+    def rank_list(self) -> list[int]:
+        if self._ranks is None:
+            self._ranks = self.rank.tolist()
+        return self._ranks
+
     def encode(self, raw: np.ndarray, off: np.ndarray, keys: np.ndarray, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of utf8() and their bounds; keys: one number a row, which with rate decides what is skipped."""
         rows = len(off) - 1
@@ -102,6 +183,9 @@ class Pieces:
         fresh = np.ones(len(point), bool)
         fresh[1:] = space[1:] & ~space[:-1] | (symbol[1:] < 0) | (symbol[:-1] < 0)
         fresh[bounds[:-1][full]] = True
+        edges = np.append(np.flatnonzero(fresh), len(point))
+        for a in np.flatnonzero(np.diff(edges) > LONG):
+            fresh[edges[a] : edges[a + 1]] |= ~self.crossed(point[edges[a] : edges[a + 1]])
         first = np.arange(len(point))
         doc = np.repeat(np.arange(rows), n)
         salt = keys[doc] - bounds[doc].astype(np.uint64) * _BOTH  # makes the hash one of places in the row
@@ -124,6 +208,16 @@ class Pieces:
 
         value, join = np.full(len(symbol), _NONE), np.zeros(len(symbol), np.int32)
         score(np.arange(len(symbol)))
+        edges = np.append(np.flatnonzero(fresh), len(point))
+        heaped = np.flatnonzero(np.diff(edges) > HEAP)
+        if len(heaped):
+            short = np.ones(len(point), bool)
+            for a, b in zip(edges[heaped].tolist(), edges[heaped + 1].tolist(), strict=True):
+                found, at = self.one_agenda(symbol[a:b].tolist(), value[a:b].tolist(), join[a:b].tolist(), int(salt[a]), a, int(limit))
+                done_symbol.append(np.array(found, np.int32))
+                done_first.append(np.array(at, np.int64) + a)
+                short[a:b] = False
+            symbol, first, last, unit, salt, value, join = (x[short] for x in (symbol, first, last, unit, salt, value, join))
         while len(symbol):
             starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
             best = np.minimum.reduceat(np.where(value < _NONE, value << np.int64(32) | np.arange(len(value)), _NONE), starts)
@@ -174,11 +268,20 @@ class Pieces:
         return out[keep], ends - np.searchsorted(full, np.arange(len(bounds)))
 
 
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values stand in an ascending array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(ordered, values)
+    at[at == len(ordered)] = 0
+    return ordered[at] == values
+
+
 def encoded(docs: DataFrame, model_path: str | None = None, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """doc_id and ids of each row of docs (doc_id, text); rate 0 gives the model's own segmentation.
 
     A null text has null ids, an empty one none. Rows with the same doc_id share their skips, so equal rows stay equal; a
-    null doc_id counts as 0. Other columns are ignored; an empty table gives an empty one.
+    null doc_id counts as 0. A long text without spaces takes time in proportion to its length, but for a logarithm. Other columns are ignored; an empty table gives an empty one.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
