@@ -2,11 +2,12 @@
 
 Patterns give the base spans. The field then labels the tokens that show evidence (a digit, ``@``, ``=`` or ``+``, or letters in
 both cases with digits); tokens without evidence are observed as outside, so the chain runs over the others. Tokens of a
-document that repeat, or that have the same digits or the same letters and digits, share a skip potential with the last one
-like them, however far away; loopy sum-product passing over chain and skip edges then makes their labels agree. The weights
-are trained here: counts of feature sets, of neighbouring labels and of labels across skip edges, taken from all documents
-with the patterns as labels, fit a softmax for the tokens and smoothed log ratios for the edges. Spans that the field finds
-beside the base ones are of the kinds ``crf-email … crf-secret``.
+document that repeat, or that have the same digits or the same letters and digits, share a skip potential with the first and
+the last one like them, however far away; loopy sum-product passing over chain and skip edges then makes their labels agree.
+The weights are trained here: counts of feature sets, of neighbouring labels and of labels across skip edges, taken from all
+documents with the patterns as labels, fit a softmax for the tokens and smoothed log ratios for the edges. A token that no
+pattern labels but that is like one with a label is left out of the counts: its label isn't known, the skip edge is to decide
+it. Spans that the field finds beside the base ones are of the kinds ``crf-email … crf-secret``; a secret's is its value alone.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("outside", "email", "ip", "card", "phone", "secret")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a number is only tried from its start, else a long run of digits would take quadratic time
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 EVIDENCE = re.compile(r"[0-9@=+]")
@@ -35,7 +37,10 @@ TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 #: Pairs of agreeing labels across skip edges that count as seen before any document.
 SKIP_PRIOR = 10.0
 #: Weak labels of secrets for training: access keys, and values given to a name like password.
-SECRET = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?i:password|passwd|secret|token|api[_-]?key)[\x20\x09]*[=:][\x20\x09]*[\"']?[^\x20\x09-\x0D\"',;]{8,}")
+SECRET = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?i:password|passwd|secret|token|api[_-]?key)[\x20\x09]*[=:][\x20\x09]*[\"']?([^\x20\x09-\x0D\"',;]{8,})")
+#: What stands before the value in a token that names a secret, and quotes and brackets after it.
+BEFORE_VALUE = re.compile(r"(?:[^=:]*(?i:password|passwd|secret|token|api[_-]?key)[^=:]*[=:]+)?[\"'({\[<=:]*")
+AFTER_VALUE = "\"')}]>#;,."
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -83,7 +88,7 @@ class Tokens:
     spans: list[tuple[int, int]]
     features: np.ndarray  # (tokens, FEATURES), 0 or 1
     gaps: np.ndarray  # to the token before: 0 beside it, 1 in the same region, 2 farther or none
-    skips: np.ndarray  # (edges, 2): each token with the last one like it, if that isn't close by
+    skips: np.ndarray  # (edges, 2): each token with the first and the last one like it, if they aren't close by
 
 
 FEATURES = ("bias", "at", "equals", "plus", "bracket", "dots3", "dots", "dash", "digits1_3", "digits4_7", "digits8_15", "digits16_19", "digits20", "all_digits", "upper_digits", "lower_digits", "long_mixed", "keyed", "after_key", "after_plus")
@@ -118,21 +123,22 @@ def tokens(text: str) -> Tokens:
         # tokens are alike if they are the same, or if their last seven digits (six at least) or their letters and digits are
         keys.append((core, digits[-7:] if n >= 6 else "", (letters + digits).lower() if n >= 2 and letters else ""))
         before_end, before = b, core
+    first: dict[tuple[int, str], int] = {}
     last: dict[tuple[int, str], int] = {}
     skips = set()
     for k, key in enumerate(keys):
         for kind, value in enumerate(key):
             if value:
-                j = last.get((kind, value))
-                if j is not None and (j < k - 1 or gaps[k] == 2):
-                    skips.add((j, k))
+                for j in {first.setdefault((kind, value), k), last.get((kind, value), k)}:
+                    if j < k and (j < k - 1 or gaps[k] == 2):
+                        skips.add((j, k))
                 last[kind, value] = k
     return Tokens(spans, np.array(rows, np.float64).reshape(-1, len(FEATURES)), np.array(gaps, np.int64), np.array(sorted(skips), np.int64).reshape(-1, 2))
 
 
 def weak_labels(text: str, base: list[list[tuple[int, int]]], spans: list[tuple[int, int]]) -> np.ndarray:
     """Labels of the tokens from the patterns' spans, earlier kinds first; secrets last."""
-    marked = [(a, b, k + 1) for k, some in enumerate(base) for a, b in some] + [(*m.span(), 5) for m in SECRET.finditer(text)]
+    marked = [(a, b, k + 1) for k, some in enumerate(base) for a, b in some] + [(*m.span(1 if m[1] else 0), 5) for m in SECRET.finditer(text)]
     out = np.zeros(len(spans), np.int64)
     starts = np.array([a for a, _ in spans])
     ends = np.array([b for _, b in spans])
@@ -141,6 +147,14 @@ def weak_labels(text: str, base: list[list[tuple[int, int]]], spans: list[tuple[
     return out
 
 
+def unsure(y: np.ndarray, skips: np.ndarray) -> np.ndarray:
+    """Which tokens have no label though one like them has one."""
+    out = np.zeros(len(y), bool)
+    for i, j in ((skips[:, 0], skips[:, 1]), (skips[:, 1], skips[:, 0])):
+        out[i[(y[i] == 0) & (y[j] > 0)]] = True
+    return out
+
+
 @dataclass(frozen=True)
 class Field:
     """Weights: features x labels, and log potentials of label pairs beside each other by gap and across skip edges."""
@@ -148,7 +162,7 @@ class Field:
     unary: np.ndarray
     chain: np.ndarray  # (3, labels, labels)
     skip: np.ndarray  # (labels, labels)
-    rounds: int = 12
+    rounds: int = 50
 
 
 def train(docs: DataFrame) -> Field:
@@ -163,13 +177,15 @@ def train(docs: DataFrame) -> Field:
                     continue
                 t = tokens(text)
                 y = weak_labels(text, base_spans(text), t.spans)
-                for row, label in zip(t.features.astype(np.uint8), y, strict=True):
+                hidden = unsure(y, t.skips)
+                for row, label in zip(t.features.astype(np.uint8)[~hidden], y[~hidden], strict=True):
                     key = ("f", f"{row.tobytes().hex()}:{label}")
                     counts[key] = counts.get(key, 0) + 1
-                for gap, a, b in zip(t.gaps[1:], y[:-1], y[1:], strict=True):
+                sure = ~(hidden[:-1] | hidden[1:])
+                for gap, a, b in zip(t.gaps[1:][sure], y[:-1][sure], y[1:][sure], strict=True):
                     key = ("c", f"{gap}:{a}:{b}")
                     counts[key] = counts.get(key, 0) + 1
-                for i, j in t.skips:
+                for i, j in t.skips[~(hidden[t.skips].any(1))]:
                     key = ("s", f"{y[i]}:{y[j]}")
                     counts[key] = counts.get(key, 0) + 1
         if counts:
@@ -224,7 +240,10 @@ def marginals(t: Tokens, field: Field) -> np.ndarray:
     if not len(i):
         p = np.exp(own)
         return p / p.sum(1, keepdims=True)
-    pair = np.exp(np.concatenate([field.chain[t.gaps[1:]], np.broadcast_to(field.skip, (len(t.skips), labels, labels))]))
+    # an edge's potential is one of few, so messages of like edges are one product
+    pair = np.exp(np.concatenate([field.chain, field.skip[None]]))
+    kind = np.concatenate([t.gaps[1:], np.full(len(t.skips), len(field.chain))])
+    alike = [np.flatnonzero(kind == k) for k in range(len(pair))]
     there, back = np.zeros((len(i), labels)), np.zeros((len(i), labels))  # log messages i -> j and j -> i
     for _ in range(field.rounds):
         total = own.copy()
@@ -232,8 +251,10 @@ def marginals(t: Tokens, field: Field) -> np.ndarray:
         np.add.at(total, i, back)
         to_j = np.exp(np.clip(total[i] - back, -60, 60))
         to_i = np.exp(np.clip(total[j] - there, -60, 60))
-        there_new = np.log(np.einsum("ea,eab->eb", to_j, pair) + 1e-30)
-        back_new = np.log(np.einsum("eb,eab->ea", to_i, pair) + 1e-30)
+        there_new, back_new = np.empty_like(there), np.empty_like(back)
+        for k, some in enumerate(alike):
+            there_new[some] = np.log(to_j[some] @ pair[k] + 1e-30)
+            back_new[some] = np.log(to_i[some] @ pair[k].T + 1e-30)
         there_new -= there_new.max(1, keepdims=True)
         back_new -= back_new.max(1, keepdims=True)
         moved = max(np.abs(there_new - there).max(), np.abs(back_new - back).max())
@@ -265,10 +286,15 @@ def find(text: str, field: Field, least: float = 0.6) -> list[tuple[str, int, in
     added: list[list] = []
     for k in np.flatnonzero(sure):
         a, b = t.spans[k]
+        if LABELS[label[k]] == "secret":
+            value = text[a:b].rstrip(AFTER_VALUE)
+            a, b = a + BEFORE_VALUE.match(value).end(), a + len(value)
+            if a >= b:
+                continue
         at = int(np.searchsorted(starts, b, "left")) if starts else 0
         if at and reach[at - 1] > a:
             continue
-        if added and added[-1][0] == label[k] and t.gaps[k] == 0 and added[-1][3] == k - 1:
+        if added and added[-1][0] == label[k] and LABELS[label[k]] != "secret" and t.gaps[k] == 0 and added[-1][3] == k - 1:
             added[-1][2:] = [b, k]
         else:
             added.append([label[k], a, b, k])
@@ -278,8 +304,9 @@ def find(text: str, field: Field, least: float = 0.6) -> list[tuple[str, int, in
 def spans_of(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, counts of the base kinds, the base spans' digest and all spans, for each row of docs (doc_id, text).
 
-    Null and empty texts have none; overlapping base spans of different kinds all stand; repeated rows stay apart; columns
-    other than doc_id and text are ignored; an empty table gives an empty one.
+    Null and empty texts have none; overlapping base spans of different kinds all stand; repeated rows stay apart; a very long
+    text takes time and memory in proportion to its length; columns other than doc_id and text are ignored; an empty table gives
+    an empty one.
     """
     import hashlib
 
