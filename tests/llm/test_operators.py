@@ -101,6 +101,73 @@ def test_marginals_are_exact_on_a_chain():
     assert np.allclose(pii_crf.marginals(t, field), total / total.sum(1, keepdims=True), atol=1e-3)
 
 
+@pytest.mark.parametrize("kind,pattern", [("IP", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("CARD", r"[0-9]([\x20-]?[0-9])+"), ("PHONE", r"\+[0-9][\x20().0-9-]+[0-9]")])
+def test_other_base_spans_equal_their_patterns(kind, pattern):
+    rng, plain, made = random.Random(20), re.compile(pattern), getattr(pii_crf, kind)
+    for _ in range(20000):
+        t = "".join(rng.choice("12..-+ (x") for _ in range(rng.randint(0, 24)))
+        assert [m.span() for m in made.finditer(t)] == [m.span() for m in plain.finditer(t)]
+
+
+def exact_marginals(t, field):
+    n, k = len(t.spans), len(pii_crf.LABELS)
+    own, total = t.features @ field.unary, np.zeros((n, k))
+    for y in np.ndindex(*[k] * n):
+        e = sum(own[i, y[i]] for i in range(n)) + sum(field.chain[t.gaps[i], y[i - 1], y[i]] for i in range(1, n)) + sum(field.skip[y[i], y[j]] for i, j in t.skips)
+        p = math.exp(e)
+        for i in range(n):
+            total[i, y[i]] += p
+    return total / total.sum(1, keepdims=True)
+
+
+def test_skip_edges_against_enumeration():
+    """A loop of chain and skip edges: loopy passing is near the exact marginals and has their labels."""
+    rng = np.random.default_rng(3)
+    k = len(pii_crf.LABELS)
+    for seed in range(5):
+        field = pii_crf.Field(rng.normal(size=(len(pii_crf.FEATURES), k)), 0.3 * rng.normal(size=(3, k, k)), 1.2 * np.eye(k))
+        t = pii_crf.Tokens([(i, i + 1) for i in range(5)], rng.integers(0, 2, (5, len(pii_crf.FEATURES))).astype(float), np.array([2, 0, 1, 2, 1]), np.array([[0, 3], [0, 4], [3, 4]]))
+        want, got = exact_marginals(t, field), pii_crf.marginals(t, field)
+        assert np.abs(want - got).max() < 0.12
+        sure = want.max(1) > 0.6
+        assert (want.argmax(1) == got.argmax(1))[sure].all()
+
+
+def test_a_secret_is_its_value(spark, small):
+    docs = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet")
+    field = pii_crf.train(docs)
+    # the corpus has secrets of this form alone, so the field knows no other
+    for text in ('x token = "11acdfb36bb72224148e6160f674b4be45601bff"### y', 'token = "f0ddae3b09ae356cbefecdd3232fa5489bb400d6", z'):
+        found = [text[a:b] for kind, a, b in pii_crf.find(text, field) if kind == "crf-secret"]
+        assert found == re.findall("[0-9a-f]{40}", text), text
+
+
+def test_skip_potentials_change_labels(spark, small):
+    """A repeat without evidence of its own takes the label of one that has it, and only by way of the skip edge."""
+    from dataclasses import replace
+
+    docs = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet")
+    field = pii_crf.train(docs)
+    without = replace(field, skip=np.zeros_like(field.skip))
+    text = "call +1-555-234-5678 soon. " + "word " * 80 + "or 5552345678, " + "word " * 80 + "or 555-234-5678 now"
+    t = pii_crf.tokens(text)
+    assert len(t.skips) >= 2
+    more = pii_crf.marginals(t, field)[1:, 4] - pii_crf.marginals(t, without)[1:, 4]
+    assert (more > 0.02).all(), more
+
+
+def test_odd_rows_of_personal_data(spark):
+    text = "mail a.b@c.de now"
+    rows = [(1, text), (1, text), (None, text), (2, None), (3, "")]
+    docs = frame(spark, rows)
+    field = pii_crf.train(docs)
+    got = sorted(((r["doc_id"] or 0), r["n_email"]) for r in pii_crf.spans_of(docs, field).collect())
+    assert got == [(0, 1), (1, 1), (1, 1), (2, 0), (3, 0)]
+    out = pii_crf.redacted(docs, field)
+    assert out.columns == docs.columns and sorted(r["text"] or "" for r in out.collect()) == ["", "", *["mail [EMAIL] now"] * 3]
+    assert pii_crf.redacted(empty(spark), field).count() == 0
+
+
 # ---- 2
 
 
@@ -124,6 +191,47 @@ def test_grams_stay_in_their_text():
         assert (both[:, bounds[k] : bounds[k + 1]] == language_nb.grams([t], p)[0]).all()
 
 
+def test_language_against_a_plain_bayes():
+    """Counts in dictionaries, one n-gram at a time."""
+    p = language_nb.LanguageParams()
+
+    def bucket(g):
+        h = 0
+        for c in g:
+            h = (h + ord(c) + 1) * 0x9E3779B1 & 0xFFFFFFFF
+            h ^= h >> 15
+        return (h * 0x85EBCA77 & 0xFFFFFFFF) >> (32 - p.buckets.bit_length() + 1)
+
+    def grams_of(t):
+        t = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in f" {t} ".lower())
+        return [bucket(t[i : i + n]) for n in p.orders for i in range(len(t) - n + 1)]
+
+    rng = random.Random(22)
+    texts_ = ["".join(rng.choice(c) for _ in range(rng.randint(1, 80))) for c in ("abcd éx", "cdef ß1", "efgh ø.") for _ in range(30)]
+    for t in texts_:
+        found, _ = language_nb.grams([t], p)
+        assert sorted(x for row in found.tolist() for x in row if x >= 0) == sorted(grams_of(t))
+
+
+def test_language_predictions_against_a_plain_bayes(spark):
+    p = language_nb.LanguageParams()
+    rng = random.Random(23)
+    rows = [(k, "".join(rng.choice(c) for _ in range(rng.randint(5, 60))), lang) for k, (c, lang) in enumerate([("abcd é", "a"), ("cdef ß", "b"), ("efgh ø", "c")] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table = language_nb.learn(docs, p)
+    counts = {x: collections.Counter() for x in langs}
+    for _, t, lang in rows:
+        counts[lang].update(x for row in language_nb.grams([t], p)[0].tolist() for x in row if x >= 0)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_nb.predict(docs, langs, table, p).collect()}
+    for k, t, _ in rows:
+        mine = [x for row in language_nb.grams([t], p)[0].tolist() for x in row if x >= 0]
+        score = {x: math.log(sum(r[2] == x for r in rows) / len(rows)) + sum(math.log((counts[x][g] + p.smoothing) / (sum(counts[x].values()) + p.smoothing * p.buckets)) for g in mine) for x in langs}
+        best = max(score.values())
+        assert score[got[k]] > best - 1e-3
+    odd = language_nb.predict(spark.createDataFrame([(1, "² ½ ①"), (1, "Ⅷ"), (None, "dcba")], "doc_id long, text string"), langs, table).collect()
+    assert sorted(r["lang_pred"] for r in odd) == ["a", "und", "und"]
+
+
 # ---- 3
 
 
@@ -428,6 +536,68 @@ def test_pieces_round_trip_and_agenda(spark):
     assert piece_dropout.digests(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.3])
+def test_long_runs_have_the_same_pieces(rate, monkeypatch):
+    """Cut and heaped runs against the rule and against runs that are neither."""
+    pieces = piece_dropout.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(70)
+    rows = ["".join(rng.choice(c) for _ in range(n)) for c, n in (("ab", 70), ("etaoin", 90), ("aB3+/", 90), ("a", 80), ("the ", 60), ("é日x", 75))]
+    keys = piece_dropout.row_keys(pa.array(range(len(rows))), 7)
+    raw, off = piece_dropout.utf8(pa.array(rows))
+    plain = pieces.encode(raw, off, keys, rate)
+    monkeypatch.setattr(piece_dropout, "LONG", 8)
+    monkeypatch.setattr(piece_dropout, "HEAP", 8)
+    ids, at = pieces.encode(raw, off, keys, rate)
+    assert ids.tolist() == plain[0].tolist() and at.tolist() == plain[1].tolist()
+    for k, t in enumerate(rows):
+        assert ids[at[k] : at[k + 1]].tolist() == agenda(pieces, t, int(keys[k]), rate)
+
+
+def long_texts():
+    rng = random.Random(71)
+    return ["".join(rng.choice("etaoinshr") for _ in range(1 << 20)), "1" * (1 << 20), "ab12 cd " * (1 << 17), "x\n" * (1 << 19)]
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_a_megabyte_of_one_text(k):
+    """Each operator's kernel on one very long text, in time and memory in proportion to its length."""
+    import time
+
+    text = long_texts()[k]
+    column = pa.array([text, None, ""])
+    took = {}
+
+    def timed(name, fn):
+        began = time.time()
+        out = fn()
+        took[name] = time.time() - began
+        return out
+
+    assert timed("pii", lambda: pii_crf.base_spans(text)) == [[], [], [], []]
+    timed("tokens", lambda: pii_crf.tokens(text))
+    assert timed("quality", lambda: quality_repeats.measure(column, quality_repeats.RepeatRules()))["n_words"].tolist() == [len(text.split()), 0, 0]
+    pieces = piece_dropout.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    raw, off = piece_dropout.utf8(column)
+    ids, at = timed("dropout", lambda: pieces.encode(raw, off, piece_dropout.row_keys(pa.array([1, 2, 3]), 7)))
+    back, ends = pieces.decode(ids, at)
+    assert back[ends[0] : ends[1]].tobytes().decode() == text
+    assert len(timed("grams", lambda: language_nb.grams([text], language_nb.LanguageParams()))[0]) == 3
+    assert timed("shingles", lambda: minhash_stars.shingles(column))[1][-1] >= 1
+    assert timed("contexts", lambda: suffix_dedup.contexts_of(raw, off))[2].sum() == len(raw) - 199
+    assert timed("lm", lambda: gru_lm.hashes(column))[1].tolist() == [0, len(text.split()) + 1, len(text.split()) + 2, len(text.split()) + 3]
+    assert max(took.values()) < 60, took
+
+
+def test_a_megabyte_row_through_spark(spark):
+    rows = [(1, "word " * 200000), (2, "z" * (1 << 20)), (3, "a b c"), (None, None)]
+    docs = frame(spark, rows)
+    assert line_windows.without_repeats(docs).count() == 4
+    assert packing.pack(docs, size=2048).groupBy("doc_id").sum("length").where("doc_id = 1").first()[1] > 200000
+    got = {r["doc_id"]: r for r in minhash_stars.near_duplicates(docs).collect()}
+    assert got[1]["n_shingles"] == 1 and got[2]["kept"]
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.repeats_removed(docs).collect()} == {1: 1000000, 2: 1 << 20, 3: 0, None: 0}
+
+
 # ---- 8
 
 
@@ -468,6 +638,35 @@ def test_near_duplicates_without_ids(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (0, 0, True), (3, 3, True), (4, 3, False)]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that share a doc_id are linked through their own texts only."""
+    one, two, three = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(7, one), (8, one + " z"), (8, two), (9, two + " y"), (3, three), (3, three)]
+    got = sorted((r["doc_id"], r["component_id"]) for r in minhash_stars.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(3, 3), (3, 3), (7, 7), (8, 7), (8, 8), (9, 8)]
+    kept = minhash_stars.without_near_duplicates(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, three), (7, one), (8, two)]
+
+
+@pytest.mark.parametrize("elements", [1 << 20, 400, 4000])
+def test_near_duplicates_in_blocks_of_few_shingles(spark, elements):
+    rows = near_copies(81)
+    got = minhash_stars.near_duplicates(frame(spark, rows), minhash_stars.MinHashParams(block=(4, 8), elements=elements)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == near_by_hand(rows)
+
+
+def test_common_elements_in_slices(monkeypatch):
+    rng = np.random.default_rng(8)
+    loads = [np.unique(rng.choice(pool, n)) for n in (0, 1, 50, 200, 200, 77) for pool in [rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2)]]
+    loads += [np.unique(np.concatenate([loads[3][::2], loads[4][::3]]))]
+    for size in (1 << 19, 37):
+        monkeypatch.setattr(minhash_stars, "SLICE", size)
+        monkeypatch.setattr(minhash_stars, "COLUMNS", 16)
+        both = minhash_stars.common_elements(loads)
+        assert all(both[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(loads) for j, b in enumerate(loads) if i != j)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_stars.near_duplicates(empty(spark)).count() == 0
 
@@ -554,6 +753,12 @@ def test_suffix_dedup_against_brute_force(spark, texts, contexts, monkeypatch):
     assert got == removed_by_hand(rows)
 
 
+def test_suffix_dedup_decides_the_same_without_counting(spark, texts):
+    rows = [*texts[:120], (600, "z" * 200), (601, "z" * 200), (None, "z" * 201), (700, texts[20][1]), (700, texts[21][1])]
+    got = [sorted(map(str, suffix_dedup.repeats_removed(frame(spark, rows), count).collect())) for count in (True, False)]
+    assert got[0] == got[1]
+
+
 def test_suffix_classes():
     rng = np.random.default_rng(1)
     for length in (20, 40, 200):
@@ -615,6 +820,44 @@ def test_grid_join_against_brute_force(spark, block, least):
     assert sum(r[1] for r in got) > 100
 
 
+def test_grid_join_without_ids_and_with_repeated_ones(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(5, 8))
+    rows = [(None, [1.0, 2.0], 1), (None, [1.0, 2.01], 1), (5, [1.0, 2.02], 1), (None, [-3.0, 1.0], 1), (None, None, 1)]
+    for k in range(150):
+        v = centres[rng.integers(5)] + rng.normal(size=8) * 0.2
+        rows.append((None if rng.random() < 0.2 else int(rng.integers(40)), [float(x) for x in v.astype(np.float32)], int(rng.integers(2))))
+    big = 1 << 60
+    want = links_by_hand([(big if i is None else i, e, label) for i, e, label in rows])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    for p in (ego_join.GridParams(), ego_join.GridParams(block=8, least=4, tile=2)):
+        got = ego_join.near_vectors(df, p).collect()
+        assert sorted((big if r["vec_id"] is None else r["vec_id"], r["n_links"], big if r["component_id"] is None else r["component_id"], r["kept"]) for r in got) == want
+
+
+def test_grid_join_skips_tiles(spark):
+    """Well separated groups: far fewer pairs of tiles than there are."""
+    rng = np.random.default_rng(12)
+    rows = [(k, [float(x) for x in np.eye(16)[k % 8] + rng.normal(size=16) * 0.02], 1) for k in range(640)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    p = ego_join.GridParams(block=16, least=8, tile=1)
+    seen, near = [], ego_join.near_tiles
+
+    def counted(blocks, params):
+        out = near(blocks, params)
+        seen.append((out.count(), blocks.select("tile").distinct().count()))
+        return out
+
+    ego_join.near_tiles = counted
+    try:
+        got = ego_join.near_vectors(df, p).collect()
+    finally:
+        ego_join.near_tiles = near
+    assert {r["n_links"] for r in got} == {79}
+    [(pairs, tiles)] = seen
+    assert pairs < 0.35 * tiles * (tiles + 1) / 2
+
+
 def test_grid_join_of_nothing(spark):
     assert ego_join.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
