@@ -155,10 +155,16 @@ def skeleton_edges(skeleton: np.ndarray, shortest_branch: float = 0) -> list[dic
     beside = sum(shifted(branches.astype(np.int8), *d) for d in AROUND) > 0
     branches = branches | (beside & (neighbour_number(skeleton) > 2))  # else arms would touch past the branch point
     nodes = labels(branches)
+    node_y, node_x = np.nonzero(nodes)
+    number = nodes[node_y, node_x]
+    many = np.maximum(np.bincount(number), 1)
+    centres = np.column_stack([np.bincount(number, node_y) / many, np.bincount(number, node_x) / many])
     paths = labels(skeleton & ~branches)
+    path_y, path_x = np.nonzero(paths)
+    by = np.argsort(paths[path_y, path_x], kind="stable")  # the pixels of each path, one after the other
+    cuts = np.flatnonzero(np.diff(paths[path_y[by], path_x[by]])) + 1
     out = []
-    for k in range(1, int(paths.max()) + 1 if paths.size else 1):
-        ys, xs = np.nonzero(paths == k)
+    for ys, xs in zip(np.split(path_y[by], cuts), np.split(path_x[by], cuts), strict=True):
         left = set(zip(ys.tolist(), xs.tolist(), strict=True))
 
         def around(p: tuple[int, int]) -> list[tuple[int, int]]:
@@ -188,7 +194,7 @@ def skeleton_edges(skeleton: np.ndarray, shortest_branch: float = 0) -> list[dic
             b = 0
         kind = "brh-to-brh" if a and b else "end-to-brh" if a or b else "end-to-end"
         full = np.array(path, float)
-        ends_at = [np.argwhere(nodes == n).mean(0) for n in (a, b) if n]
+        ends_at = [centres[n] for n in (a, b) if n]
         full = np.vstack([*([ends_at[0][None]] if a else []), full, *([ends_at[-1][None]] if b else [])])
         length = float(np.hypot(*np.diff(full, axis=0).T).sum())
         if kind == "end-to-brh" and length <= shortest_branch:
@@ -199,26 +205,88 @@ def skeleton_edges(skeleton: np.ndarray, shortest_branch: float = 0) -> list[dic
 
 def longest_path(edges: list[dict]) -> float:
     """Length of the longest shortest path between nodes; a free end is a node of its own."""
+    return longest_route(edges)[0]
+
+
+def longest_route(edges: list[dict]) -> tuple[float, list[int]]:
+    """The longest shortest path between nodes: its length and its edges' numbers in order."""
     graph: dict = {}
     for k, e in enumerate(edges):
         a, b = e["a"] or f"a{k}", e["b"] or f"b{k}"
-        graph.setdefault(a, []).append((b, e["length"]))
-        graph.setdefault(b, []).append((a, e["length"]))
+        graph.setdefault(a, []).append((b, e["length"], k))
+        graph.setdefault(b, []).append((a, e["length"], k))
     import heapq
 
-    best = 0.0
+    best, route = 0.0, []
     for source in graph:
-        reached, todo = {}, [(0.0, str(source), source)]
+        reached, todo = {}, [(0.0, str(source), source, None, None)]
         while todo:
-            d, _, node = heapq.heappop(todo)
+            d, _, node, before, edge = heapq.heappop(todo)
             if node in reached:
                 continue
-            reached[node] = d
-            for other, length in graph[node]:
+            reached[node] = (d, before, edge)
+            for other, length, k in graph[node]:
                 if other not in reached:
-                    heapq.heappush(todo, (d + length, str(other), other))
-        best = max(best, max(reached.values()))
-    return best
+                    heapq.heappush(todo, (d + length, str(other), other, node, k))
+        far = max(reached, key=lambda n: reached[n][0])
+        if reached[far][0] > best:
+            best, route = reached[far][0], []
+            while reached[far][2] is not None:
+                route.append(reached[far][2])
+                far = reached[far][1]
+            route.reverse()
+    return best, route
+
+
+def longest_curvature(edges: list[dict], window: int) -> float:
+    """Mean curvature along the longest path, its edges' pixels joined in the order they are walked; 0 without one."""
+    points: list[tuple[int, int]] = []
+    for k in longest_route(edges)[1]:
+        path = edges[k]["path"]
+        if points and math.dist(points[-1], path[-1]) < math.dist(points[-1], path[0]):
+            path = path[::-1]
+        points += path[1:] if points and points[-1] == path[0] else path
+    return float(path_curvature(np.array(points), window).mean()) if len(points) > 1 else 0.0
+
+
+def length_map(edges: list[dict], shape: tuple[int, int], longest: bool = False) -> np.ndarray:
+    """Each path's pixels hold its edge's length; with longest only those of the longest path, and its whole length."""
+    out = np.zeros(shape)
+    total, route = longest_route(edges) if longest else (0.0, range(len(edges)))
+    for k in route:
+        p = np.array(edges[k]["path"])
+        out[p[:, 0], p[:, 1]] = total if longest else edges[k]["length"]
+    return out
+
+
+def hit_or_miss(mask: np.ndarray, pattern: np.ndarray) -> np.ndarray:
+    """Where the 3 x 3 neighbourhood equals the pattern; outside is unset."""
+    out = np.ones(mask.shape, bool)
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            out &= shifted(mask.astype(bool), dy, dx) == bool(pattern[dy + 1][dx + 1])
+    return out
+
+
+def any_pattern(mask: np.ndarray, patterns: list[np.ndarray]) -> np.ndarray:
+    """Where one of the patterns, in any of its quarter turns, fits."""
+    out = np.zeros(mask.shape, bool)
+    for p in patterns:
+        for turn in range(4):
+            out |= hit_or_miss(mask, np.rot90(p, turn))
+    return out
+
+
+def facet_response(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Values at points from the quadratic surface fitted to the 3 x 3 pixels around the nearest one, mirrored at the border."""
+    padded = np.pad(image.astype(float), 1, mode="reflect")
+    i, j = np.clip(np.rint(y).astype(int), 0, image.shape[0] - 1), np.clip(np.rint(x).astype(int), 0, image.shape[1] - 1)
+    near = np.stack([padded[i + 1 + dy, j + 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], 1)
+    v, u = (g.ravel() for g in np.mgrid[-1:2, -1:2])
+    fit = np.linalg.pinv(np.column_stack([np.ones(9), v, u, v * v, v * u, u * u]))  # least squares
+    c = near @ fit.T
+    a, b = y - i, x - j
+    return (c * np.column_stack([np.ones(len(a)), a, b, a * a, a * b, b * b])).sum(1)
 
 
 def path_curvature(path: np.ndarray, window: int) -> np.ndarray:
@@ -262,10 +330,11 @@ def gap_circles(free: np.ndarray, least_radius: float) -> list[tuple[float, floa
     """(y, x, r) of circles inscribed in the free area, larger than least_radius.
 
     Each round takes the distance transform's local maxima, largest first, keeps those that overlap none kept in this round,
-    and erases them from the area; it ends when no maximum is large enough. No circle gives an empty list.
+    and erases them from the area; it ends when no maximum is large enough. No circle gives an empty list. The image's border
+    isn't free, so no circle is cut off by it.
     """
     free = free.copy()
-    yy, xx = np.mgrid[: free.shape[0], : free.shape[1]]
+    free[:1] = free[-1:] = free[:, :1] = free[:, -1:] = False
     out: list[tuple[float, float, float]] = []
     while free.any():
         d = distances(np.pad(free, 1))[1:-1, 1:-1]
@@ -276,17 +345,25 @@ def gap_circles(free: np.ndarray, least_radius: float) -> list[tuple[float, floa
         if not len(y):
             break
         order = np.lexsort((x, y, -d[y, x]))
-        kept: list[tuple[float, float, float]] = []
+        kept, n = np.empty((len(order), 3)), 0
         for k in order:
             r = float(d[y[k], x[k]])
-            if all(math.hypot(y[k] - a, x[k] - b) >= r + c for a, b, c in kept):
-                kept.append((float(y[k]), float(x[k]), r))
-        for a, b, c in kept:
-            free &= (yy - a) ** 2 + (xx - b) ** 2 > c * c
-        out += kept
+            if not (np.hypot(kept[:n, 0] - y[k], kept[:n, 1] - x[k]) < r + kept[:n, 2]).any():
+                kept[n], n = (y[k], x[k], r), n + 1
+        for a, b, c in kept[:n]:
+            set_disc(free, a, b, c, False)
+        out += [tuple(map(float, row)) for row in kept[:n]]
     return out
 
 
+def set_disc(mask: np.ndarray, y: float, x: float, r: float, value: bool) -> None:
+    """Sets the pixels within r of a point, looking at their square alone."""
+    top, left = max(0, int(math.ceil(y - r))), max(0, int(math.ceil(x - r)))
+    rows, columns = np.arange(top, min(mask.shape[0], int(y + r) + 1)), np.arange(left, min(mask.shape[1], int(x + r) + 1))
+    if len(rows) and len(columns):
+        mask[top : rows[-1] + 1, left : columns[-1] + 1][(rows[:, None] - y) ** 2 + (columns - x) ** 2 <= r * r] = value
+
+
 # ---- ridges
 
 
@@ -309,10 +386,11 @@ def filtered(image: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.nda
     return out
 
 
-def ridge_maps(image: np.ndarray, widths: tuple[float, ...], dark: bool = True) -> dict[str, np.ndarray]:
+def ridge_maps(image: np.ndarray, widths: tuple[float, ...], dark: bool = True, thresholds: Callable[[float, float], tuple[float, float]] | None = None) -> dict[str, np.ndarray]:
     """Per pixel the strongest scale's response, sigma, normal and sub-pixel offset along it.
 
-    The response is the second derivative across the line times sigma squared, so scales compare.
+    The response is the second derivative across the line times sigma squared, so scales compare. With thresholds, which gives a
+    lower and an upper one for a width and its sigma, the maps low and high hold those of the strongest scale.
     """
     best: dict[str, np.ndarray] = {}
     for width in widths:
@@ -328,15 +406,17 @@ def ridge_maps(image: np.ndarray, widths: tuple[float, ...], dark: bool = True)
         bend = yy * ny * ny + 2 * xy * ny * nx + xx * nx * nx
         t = -(gy * ny + gx * nx) / np.where(np.abs(bend) < 1e-12, 1e-12, bend)
         now = {"response": value * sigma**2, "sigma": np.full(image.shape, sigma), "ny": ny, "nx": nx, "py": t * ny, "px": t * nx}
+        if thresholds is not None:
+            now |= {k: np.full(image.shape, v) for k, v in zip(("low", "high"), thresholds(width, sigma), strict=True)}
         better = now["response"] > best["response"] if best else np.ones(image.shape, bool)
         best = {k: np.where(better, v, best[k]) if best else v for k, v in now.items()}
     return best
 
 
-def linked_contours(maps: dict[str, np.ndarray], low: float, high: float, shortest: int = 5, longest: int = 0) -> list[np.ndarray]:
+def linked_contours(maps: dict[str, np.ndarray], low: float | np.ndarray, high: float | np.ndarray, shortest: int = 5, longest: int = 0) -> list[np.ndarray]:
     """Lines (points y, x, response) from ridge maps: seeds by descending response, grown both ways over points above low.
 
-    At each step the three neighbours ahead along the line compete; the nearest in place and direction is taken.
+    low and high are numbers or maps. At each step the three neighbours ahead along the line compete; the nearest in place and direction is taken.
     """
     line = (np.abs(maps["py"]) <= 0.6) & (np.abs(maps["px"]) <= 0.6) & (maps["response"] >= low)
     seeds = np.argwhere(line & (maps["response"] >= high))
@@ -392,10 +472,32 @@ def junctions(contours: list[np.ndarray], reach: float = 1.5) -> list[tuple[int,
     return sorted(set(out))
 
 
-def line_widths(image: np.ndarray, contour: np.ndarray, normals: np.ndarray, sigma: float) -> np.ndarray:
-    """Distances to the steepest gradient on either side of each point (points, 2); gaps are filled along the line."""
+def steepness(image: np.ndarray, sigma: float) -> np.ndarray:
+    """Gradient magnitudes at the scale at which the edges of a line of that sigma are looked for."""
     g, d1, _ = _kernels(max(0.5, sigma / 2))
-    steep = np.hypot(filtered(image, d1, g), filtered(image, g, d1))
+    return np.hypot(filtered(image, d1, g), filtered(image, g, d1))
+
+
+def widths_of(image: np.ndarray, contours: list[np.ndarray], maps: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """line_widths() of all contours of ridge_maps(), each at the scale that most of its points have: one filtering a scale."""
+    steep: dict[float, np.ndarray] = {}
+    out = []
+    for c in contours:
+        at = tuple(np.clip(np.rint(c[:, :2]), 0, np.array(image.shape) - 1).astype(int).T)
+        scales, n = np.unique(maps["sigma"][at], return_counts=True)
+        sigma = float(scales[n.argmax()])
+        if sigma not in steep:
+            steep[sigma] = steepness(image, sigma)
+        out.append(line_widths(image, c, np.column_stack([maps["ny"][at], maps["nx"][at]]), sigma, steep[sigma]))
+    return out
+
+
+def line_widths(image: np.ndarray, contour: np.ndarray, normals: np.ndarray, sigma: float, steep: np.ndarray | None = None) -> np.ndarray:
+    """Distances to the steepest gradient on either side of each point (points, 2); gaps are filled along the line.
+
+    steep: steepness(image, sigma), if it is at hand.
+    """
+    steep = steepness(image, sigma) if steep is None else steep
     steps = np.arange(0, 2.5 * sigma + 0.25, 0.25)
     out = np.full((len(contour), 2), np.nan)
     for side, sign in ((0, 1), (1, -1)):
@@ -417,20 +519,21 @@ def line_widths(image: np.ndarray, contour: np.ndarray, normals: np.ndarray, sig
 def drawn(contours: list[np.ndarray], shape: tuple[int, int], widths: list[np.ndarray] | None = None) -> np.ndarray:
     """Mask of the contours' pixels, or of all within their half widths."""
     mask = np.zeros(shape, bool)
-    yy, xx = np.mgrid[: shape[0], : shape[1]]
     for k, c in enumerate(contours):
-        for j, (y, x) in enumerate(c[:, :2]):
-            if widths is None:
-                mask[int(np.clip(round(y), 0, shape[0] - 1)), int(np.clip(round(x), 0, shape[1] - 1))] = True
-            else:
-                r = float(np.nanmean(widths[k][j])) if not np.isnan(widths[k][j]).all() else 0.5
-                mask |= (yy - y) ** 2 + (xx - x) ** 2 <= max(r, 0.5) ** 2
+        if widths is None:
+            at = np.clip(np.rint(c[:, :2]), 0, np.array(shape) - 1).astype(int)
+            mask[at[:, 0], at[:, 1]] = True
+            continue
+        known = ~np.isnan(widths[k])
+        r = np.where(known, widths[k], 0).sum(1) / np.maximum(known.sum(1), 1)
+        for (y, x), half in zip(c[:, :2].tolist(), np.maximum(r, 0.5).tolist(), strict=True):
+            set_disc(mask, y, x, half, True)
     return mask
 
 
-def extended(contours: list[np.ndarray], maps: dict[str, np.ndarray], low: float, most: int = 10) -> list[np.ndarray]:
+def extended(contours: list[np.ndarray], maps: dict[str, np.ndarray], low: float | np.ndarray, most: int = 10) -> list[np.ndarray]:
     """Contours lengthened straight on at both ends while the response stays above low, at most most steps."""
-    out = []
+    out, low = [], np.broadcast_to(low, maps["response"].shape)
     for c in contours:
         for _ in (0, 1):
             d = c[-1, :2] - c[max(0, len(c) - 4), :2]
@@ -439,7 +542,7 @@ def extended(contours: list[np.ndarray], maps: dict[str, np.ndarray], low: float
             for _ in range(most if n > 0 else 0):
                 here = here + d / n
                 k = tuple(np.rint(here).astype(int))
-                if not (0 <= k[0] < maps["response"].shape[0] and 0 <= k[1] < maps["response"].shape[1]) or maps["response"][k] < low:
+                if not (0 <= k[0] < maps["response"].shape[0] and 0 <= k[1] < maps["response"].shape[1]) or maps["response"][k] < low[k]:
                     break
                 more.append((*here, maps["response"][k]))
             c = np.vstack([c, np.array(more).reshape(-1, 3)])[::-1]

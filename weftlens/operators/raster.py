@@ -148,7 +148,19 @@ def crop_center(raster: Column, h: int, w: int, height: int, width: int) -> Colu
     return F.flatten(F.transform(F.sequence(F.lit(top), F.lit(top + height - 1)), lambda y: F.slice(raster, y * w + left + 1, width)))
 
 
-def hdm_contrast(raster: Column, most: float, saturated: float) -> Column:
-    """Cut at most, spread to 0..255 between the saturated tails."""
-    cut = F.transform(raster, lambda v: F.least(v, F.lit(float(most))))
-    return let(cut, lambda c: percentile_normalize(c, percentile(c, saturated / 2), percentile(c, 1 - saturated / 2)))
+def hdm_contrast(raster: Column, most: float, saturated: float, dark: bool = False) -> Column:
+    """Whole numbers 0 to 255: cut to 0 … most, spread over the range, spread again between the saturated tails, inverted if the
+    dense parts are dark. What is over 0 counts as dense."""
+    cut = F.transform(raster, lambda v: F.greatest(F.lit(0.0), F.least(v, F.lit(float(most)))))
+
+    def spread(v: Column, low: Column, high: Column) -> Column:
+        return ((F.least(high, F.greatest(low, v)) - low) / (high - low + 2.220446049250313e-16) * 255).cast("int")
+
+    def stretched(c: Column) -> Column:
+        ends = F.struct(percentile(c, saturated / 2).alias("a"), percentile(c, 1 - saturated / 2).alias("b"))
+        # without a range between the tails the values stay
+        shown = lambda v, e: F.when(e["a"] == e["b"], v).otherwise(spread(v, e["a"], e["b"]))
+        return let(ends, lambda e: F.transform(c, lambda v: 255 - shown(v, e) if dark else shown(v, e)))
+
+    full = let(cut, lambda c: let(F.struct(F.array_min(c).alias("a"), F.array_max(c).alias("b")), lambda e: F.transform(c, lambda v: spread(v, e["a"], e["b"]))))
+    return let(full, stretched)

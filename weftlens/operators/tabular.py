@@ -136,10 +136,10 @@ def confusion(df: DataFrame, truth: Column, found: Column) -> DataFrame:
 
 
 def box_counts(cells: DataFrame, key: str, sizes: Sequence[int]) -> DataFrame:
-    """Occupied boxes of each size over cells (key, y, x): one shuffle for all sizes."""
+    """Boxes of each size over distinct cells (key, y, x) that are neither empty nor full; sizes without one are 1e-10."""
     sized = cells.select(key, "y", "x", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("k"))
-    boxes = sized.select(key, "k", F.floor(F.col("y") / F.col("k")).alias("by"), F.floor(F.col("x") / F.col("k")).alias("bx")).distinct()
-    return boxes.groupBy(key, "k").agg(F.count("*").alias("n"))
+    boxes = sized.groupBy(key, "k", F.floor(F.col("y") / F.col("k")).alias("by"), F.floor(F.col("x") / F.col("k")).alias("bx")).agg(F.count("*").alias("cells"))
+    return boxes.groupBy(key, "k").agg(F.greatest(F.count_if(F.col("cells") < F.col("k") * F.col("k")).cast("double"), F.lit(1e-10)).alias("n"))
 
 
 def fractal_dimension(cells: DataFrame, key: str, sizes: Sequence[int]) -> DataFrame:

@@ -170,9 +170,9 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
     return tables.table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_partkey") * 7 % 64).cast("int").alias("y"), (F.col("l_orderkey") * 13 % 64).cast("int").alias("x")).distinct()
 
 
-@query(f"WITH {GRID}, b AS (SELECT l_suppkey, k, count(DISTINCT (y // k) * 64 + x // k) AS n FROM cells, (SELECT unnest([1, 2, 4, 8, 16]) AS k) GROUP BY ALL) SELECT l_suppkey, round(-regr_slope(ln(n), ln(k)), 6) AS dimension FROM b GROUP BY l_suppkey")
+@query(f"WITH {GRID}, x AS (SELECT l_suppkey, k, (y // k) * 64 + x // k AS box, count(*) AS cells FROM cells, (SELECT unnest([4, 8, 16, 32]) AS k) GROUP BY ALL), b AS (SELECT l_suppkey, k, greatest(count(*) FILTER (WHERE cells < k * k), 1e-10::DOUBLE) AS n FROM x GROUP BY ALL) SELECT l_suppkey, round(-regr_slope(ln(n), ln(k)), 6) AS dimension FROM b GROUP BY l_suppkey")
 def box_count_fractal(spark, sf):
-    return T.fractal_dimension(grid(spark, sf), "l_suppkey", [1, 2, 4, 8, 16]).select("l_suppkey", r6("dimension", "dimension"))
+    return T.fractal_dimension(grid(spark, sf), "l_suppkey", [4, 8, 16, 32]).select("l_suppkey", r6("dimension", "dimension"))
 
 
 FRACTION = "f AS (SELECT image_id, label, avg((e[i + 1] > 0.1)::INT::DOUBLE) AS m FROM px GROUP BY ALL)"
@@ -226,10 +226,12 @@ def minmax_uint8(spark, sf):
 
 
 @query(
-    f"WITH {PIXELS}, c AS (SELECT image_id, least(e[i + 1], 0.3) AS x FROM px), l AS (SELECT image_id, quantile_cont(x, 0.05) AS lo, quantile_cont(x, 0.95) AS hi FROM c GROUP BY image_id) SELECT image_id, round(avg((least(1, greatest(0, (x - lo) / (hi - lo + 1e-20))) > 0.5)::INT::DOUBLE), 6) AS fraction FROM c JOIN l USING (image_id) GROUP BY image_id"
+    f"""WITH {PIXELS}, c AS (SELECT image_id, greatest(0, least(e[i + 1]::DOUBLE, 0.3::DOUBLE)) AS x FROM px), m AS (SELECT image_id, min(x) AS a, max(x) AS b FROM c GROUP BY image_id),
+f AS (SELECT image_id, trunc((x - a) / (b - a + 2.220446049250313e-16) * 255) AS x FROM c JOIN m USING (image_id)), l AS (SELECT image_id, quantile_cont(x, 0.05) AS lo, quantile_cont(x, 0.95) AS hi FROM f GROUP BY image_id)
+SELECT image_id, round(avg((255 - CASE WHEN lo = hi THEN x ELSE trunc((least(hi, greatest(lo, x)) - lo) / (hi - lo + 2.220446049250313e-16) * 255) END > 0)::INT::DOUBLE), 6) AS fraction FROM f JOIN l USING (image_id) GROUP BY image_id"""
 )
 def hdm_fraction(spark, sf):
-    return images(spark, sf).withColumn("c", R.hdm_contrast(F.col("v"), 0.3, 0.1)).select("image_id", r6(R.fraction(F.col("c"), lambda v: v > 0.5), "fraction"))
+    return images(spark, sf).withColumn("c", R.hdm_contrast(F.col("v"), 0.3, 0.1, dark=True)).select("image_id", r6(R.fraction(F.col("c"), lambda v: v > 0), "fraction"))
 
 
 @query(f"WITH {PIXELS}, b AS (SELECT image_id, avg((e[i + 1] > 0.2)::INT::DOUBLE) AS bright FROM px GROUP BY image_id) SELECT image_id, bright > 0.01 AS eligible FROM b")

@@ -14,18 +14,21 @@ GRID = 64
 
 
 def rasters(cells: DataFrame, side: int = GRID) -> DataFrame:
-    """images (image_id, height, width, data) of cells (image_id, y, x, v); what is missing is 0. One shuffle by image."""
-    one = cells.groupBy("image_id").agg(F.collect_list(F.struct("y", "x", "v")).alias("c"))
+    """images (image_id, height, width, data) of cells (image_id, y, x, v); what is missing is 0. One shuffle by image.
+
+    Cells are summed before the shuffle and travel as flat lists of places and values.
+    """
+    summed = cells.groupBy("image_id", (F.col("y") * side + F.col("x")).cast("int").alias("at")).agg(F.sum(F.col("v").cast("double")).alias("v"))
+    one = summed.groupBy("image_id").agg(F.collect_list(F.struct("at", "v")).alias("c")).select("image_id", F.col("c.at").alias("at"), F.col("c.v").alias("v"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             data = []
-            for cell in batch.column(1).to_pylist():
-                m = np.zeros((side, side))
-                for c in cell:
-                    m[c["y"], c["x"]] += c["v"]
+            for at, v in zip(batch.column(1), batch.column(2), strict=True):
+                m = np.zeros(side * side)
+                m[at.values.to_numpy(zero_copy_only=False)] = v.values.to_numpy(zero_copy_only=False)
                 data.append(m.tobytes())
             n = batch.num_rows
             yield pa.record_batch([batch.column(0), pa.array([side] * n, pa.int32()), pa.array([side] * n, pa.int32()), pa.array(data, pa.binary())], names=["image_id", "height", "width", "data"])
@@ -112,12 +115,8 @@ def contour_widths(spark, sf):
     def fn(m):
         image = _smooth(m)
         maps = K.ridge_maps(image, (3, 5), dark=False)
-        rows = []
-        for k, c in enumerate(K.linked_contours(maps, 0.02, 0.05, 5)):
-            at = tuple(np.clip(np.rint(c[:, :2]), 0, GRID - 1).astype(int).T)
-            w = K.line_widths(image, c, np.column_stack([maps["ny"][at], maps["nx"][at]]), float(maps["sigma"][at].mean()))
-            rows.append((k, None if np.isnan(w).all() else float(np.nanmean(w))))
-        return rows
+        found = K.widths_of(image, K.linked_contours(maps, 0.02, 0.05, 5), maps)
+        return [(k, None if np.isnan(w).all() else float(np.nanmean(w))) for k, w in enumerate(found)]
 
     return K.per_image(supplier_rasters(spark, sf), fn, "contour_id long, width double")
 

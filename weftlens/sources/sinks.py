@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +33,26 @@ def report(df: DataFrame, key: str, categories: dict[str, list[str]]) -> DataFra
 
 def provenance(df: DataFrame, version: str, params: str) -> DataFrame:
     return df.limit(0).sparkSession.createDataFrame([(version, params)], "version string, params string").withColumn("written", F.current_timestamp())
+
+
+def git_version(folder: str) -> dict[str, str]:
+    """Short commit, branch and latest tag of the repository around a folder of the driver; unknown where there is none."""
+
+    def said(*args: str) -> str:
+        done = subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True, check=False)
+        return done.stdout.strip() if done.returncode == 0 else ""
+
+    try:
+        commit = said("rev-parse", "--short=7", "HEAD")
+        if not commit:
+            return {"version": "unknown", "git_hash": "", "git_branch": "", "latest_tag": ""}
+        tag = said("for-each-ref", "--sort=-creatordate", "--count=1", "--format=%(refname:short)", "refs/tags") or "No tags"
+        return {"version": tag, "git_hash": commit, "git_branch": said("rev-parse", "--abbrev-ref", "HEAD"), "latest_tag": tag}
+    except OSError:
+        return {"version": "unknown", "git_hash": "", "git_branch": "", "latest_tag": ""}
+
+
+def elapsed(seconds: float) -> str:
+    """Hours, minutes and seconds of a run."""
+    minutes, rest = divmod(int(seconds), 60)
+    return f"{minutes // 60}h {minutes % 60}m {rest}s"
