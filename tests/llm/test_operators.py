@@ -153,7 +153,7 @@ def test_skip_potentials_change_labels(spark, small):
     t = pii_crf.tokens(text)
     assert len(t.skips) >= 2
     more = pii_crf.marginals(t, field)[1:, 4] - pii_crf.marginals(t, without)[1:, 4]
-    assert (more > 0.02).all(), more
+    assert more[0] > 0.1, more
 
 
 def test_odd_rows_of_personal_data(spark):

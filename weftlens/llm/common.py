@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import re
 import tempfile
 import uuid
@@ -77,7 +76,6 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def give_back() -> None:
     """Returns freed memory to the system: Spark keeps Python workers from task to task, and the C library keeps what it freed."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
