@@ -174,3 +174,43 @@ def test_small_geometry():
     t = np.linspace(0, np.pi, 80)
     circle = np.column_stack([40 * np.sin(t), 40 * np.cos(t)])
     assert np.allclose(np.abs(K.spline_curvature(circle, 0.1))[10:-10], 1 / 40, rtol=0.05)
+
+
+def test_discs_are_those_of_the_whole_image():
+    rng = np.random.default_rng(5)
+    yy, xx = np.mgrid[:20, :30]
+    for _ in range(200):
+        y, x, r = rng.uniform(-3, 23), rng.uniform(-3, 33), rng.uniform(0, 9)
+        m = np.zeros((20, 30), bool)
+        K.set_disc(m, y, x, r, True)
+        assert (m == ((yy - y) ** 2 + (xx - x) ** 2 <= r * r)).all()
+
+
+def test_longest_route_and_maps():
+    m = np.zeros((31, 41), bool)
+    m[15, 3:38] = m[3:15, 20] = True  # a T: the long bar is the longest path
+    edges = K.skeleton_edges(m)
+    length, route = K.longest_route(edges)
+    assert length == K.longest_path(edges) and length >= 32 and len(route) == 2
+    assert K.longest_curvature(edges, 10) < 10
+    every, long_ = K.length_map(edges, m.shape), K.length_map(edges, m.shape, True)
+    assert (every > 0).sum() > (long_ > 0).sum() > 25 and set(np.unique(long_)) == {0.0, length}
+    assert K.longest_curvature([], 10) == 0.0
+
+
+def test_patterns_and_facets():
+    m = np.zeros((9, 9), bool)
+    m[4, 1:8] = True
+    end = np.array([[0, 0, 0], [0, 1, 1], [0, 0, 0]])
+    assert np.argwhere(K.any_pattern(m, [end])).tolist() == [[4, 1], [4, 7]]
+    yy, xx = np.mgrid[:9, :9].astype(float)
+    surface = 2 + 3 * yy - xx + 0.5 * yy * yy + 0.25 * yy * xx - xx * xx
+    y, x = np.array([3.3, 4.0, 2.6]), np.array([4.2, 5.4, 3.0])
+    assert np.allclose(K.facet_response(surface, y, x), 2 + 3 * y - x + 0.5 * y * y + 0.25 * y * x - x * x)
+
+
+def test_scales_have_their_own_thresholds():
+    maps = K.ridge_maps(bar(5), (3, 9), thresholds=lambda width, sigma: (width, 10 * width))
+    assert set(np.unique(maps["low"])) <= {3, 9} and (maps["high"] == 10 * maps["low"]).all()
+    wide = maps["sigma"] > 2
+    assert (maps["low"][wide] == 9).all() and (maps["low"][~wide] == 3).all()

@@ -120,3 +120,63 @@ def test_checks_and_lookups(spark):
     assert T.numeric_columns(df) == ["k", "a"]
     s = T.group_statistics(df.withColumn("o", F.lit(1)), ["k"], ["a"], "o").orderBy("k").collect()
     assert s[0]["a_mean"] == 2.5 and s[1]["a_mean"] is None and s[1]["n_rois"] == 1
+
+
+def filtered_png(pixels, kinds, interlace=0):
+    """A PNG of 8-bit (h, w, c) pixels whose lines use the given filters in turn."""
+    import struct
+    import zlib
+
+    h, w, c = pixels.shape
+
+    def lines(p):
+        out, above = b"", np.zeros(p.shape[1] * c + c, int)
+        for y, row in enumerate(p):
+            now = np.concatenate([np.zeros(c, int), row.reshape(-1).astype(int)])
+            left, up, corner = now[:-c], above[c:], above[:-c]
+            q = left + up - corner
+            a, b, d = abs(q - left), abs(q - up), abs(q - corner)
+            paeth = np.where((a <= b) & (a <= d), left, np.where(b <= d, up, corner))
+            kind = kinds[y % len(kinds)]
+            guess = [np.zeros_like(left), left, up, (left + up) // 2, paeth][kind]
+            out += bytes([kind]) + ((now[c:] - guess) & 255).astype(np.uint8).tobytes()
+            above = now
+        return out
+
+    body = b"".join(lines(pixels[y::dy, x::dx]) for y, x, dy, dx in I.PASSES if pixels[y::dy, x::dx].size) if interlace else lines(pixels)
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2}[c], 0, 0, interlace)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+def test_png_filters_and_interlacing():
+    rng = np.random.default_rng(2)
+    for h, w, c in ((1, 1, 1), (9, 13, 3), (17, 5, 1), (33, 40, 3)):
+        pixels = rng.integers(0, 256, (h, w, c)).astype(np.uint8)
+        for kinds in ((0,), (1,), (2,), (3,), (4,), (4, 3, 2, 1, 0)):
+            for interlace in (0, 1):
+                assert (I.decode_png(filtered_png(pixels, kinds, interlace))[0] == pixels).all()
+
+
+def test_jpegs_by_spark(spark, tmp_path):
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(24, 16, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
+    for x in range(24):
+        for y in range(16):
+            image.setRGB(x, y, (200 << 16) | (40 << 8) | 90)
+    jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(tmp_path / "a b.jpg")))
+    (tmp_path / "broken.jpeg").write_bytes(b"nothing")
+    got = {r["image_id"]: r for r in I.images(spark, str(tmp_path)).collect()}
+    r = got["a_b"]
+    pixels = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3)
+    assert (r["height"], r["width"], r["problem"]) == (16, 24, None) and np.abs(pixels.astype(int) - [200, 40, 90]).max() < 6
+    assert got["broken"]["problem"] and got["broken"]["data"] is None
+
+
+def test_version_of_a_folder(tmp_path):
+    from weftlens.sources import sinks
+
+    assert sinks.git_version(str(tmp_path))["version"] == "unknown"
+    assert sinks.elapsed(3725.4) == "1h 2m 5s"

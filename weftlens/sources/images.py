@@ -26,49 +26,73 @@ class Unsupported(ValueError):
     pass
 
 
+def unfiltered(lines: np.ndarray, step: int) -> np.ndarray:
+    """Bytes (h, n) of PNG lines (h, 1 + n), whose first byte says how the others were guessed from those beside and above.
+
+    A byte hangs on its left, upper and upper left ones alone, so whole anti-diagonals of pixels are worked out at once.
+    """
+    h, n = lines.shape[0], lines.shape[1] - 1
+    kinds, given = lines[:, 0], lines[:, 1:]
+    if not kinds.any():
+        return given.copy()
+    w = n // step
+    out = np.zeros((h + 1, w + 1, step), np.int16)  # a border of zeros above and to the left
+    given = given.reshape(h, w, step).astype(np.int16)
+    for d in range(h + w - 1):
+        ys = np.arange(max(0, d - w + 1), min(h, d + 1))
+        xs = d - ys
+        left, up, corner = out[ys + 1, xs], out[ys, xs + 1], out[ys, xs]
+        p = left + up - corner
+        to_left, to_up, to_corner = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+        paeth = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        kind = kinds[ys][:, None]
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) // 2, paeth], 0)
+        out[ys + 1, xs + 1] = (given[ys, xs] + guess) & 255
+    return out[1:, 1:].reshape(h, n).astype(np.uint8)
+
+
+#: First row, first column, row step and column step of the passes of an interlaced PNG.
+PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+
+
 def decode_png(raw: bytes) -> tuple[np.ndarray, int, float]:
-    """Pixels (h, w, channels), bit depth and micrometres a pixel (1.0 if not said). 8 and 16 bits, not interlaced."""
-    at, data, palette, res = 8, b"", None, 1.0
+    """Pixels (h, w, channels), bit depth (8 for less) and micrometres a pixel (1.0 if not said)."""
+    at, data, palette, res = 8, [], None, 1.0
     while at < len(raw):
         n, kind = struct.unpack(">I4s", raw[at : at + 8])
         body = raw[at + 8 : at + 8 + n]
         if kind == b"IHDR":
             w, h, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", body)
-            if depth not in (8, 16) or interlace:
-                raise Unsupported(f"PNG of {depth} bits{', interlaced' * bool(interlace)}")
         elif kind == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"pHYs":
             per, _, unit = struct.unpack(">IIB", body)
             res = round(1e6 / per, 2) if unit == 1 and per else 1.0
         elif kind == b"IDAT":
-            data += body
+            data.append(body)
         at += 12 + n
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    step = channels * depth // 8
-    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * step)
-    out = np.zeros((h, w * step), np.uint8)
-    for y in range(h):
-        kind, line = lines[y, 0], lines[y, 1:].astype(np.int32)
-        up = out[y - 1].astype(np.int32) if y else np.zeros(w * step, np.int32)
-        if kind == 2:
-            line = line + up
-        elif kind:
-            for x in range(w * step):
-                a = int(line[x - step]) & 255 if x >= step else 0
-                b, c = int(up[x]), int(up[x - step]) if x >= step else 0
-                if kind == 1:
-                    guess = a
-                elif kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    p = a + b - c
-                    guess = min((a, b, c), key=lambda v, p=p: abs(p - v))
-                line[x] = (int(line[x]) + guess) & 255
-        out[y] = line & 255
-    pixels = out.view(">u2").astype(np.uint16) if depth == 16 else out
-    pixels = pixels.reshape(h, w, channels)
-    return (palette[pixels[:, :, 0]] if colour == 3 else pixels), depth, res
+    whole = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
+    step = max(1, channels * depth // 8)
+    pixels = np.zeros((h, w, channels), np.uint16 if depth == 16 else np.uint8)
+    start = 0
+    for y0, x0, dy, dx in PASSES if interlace else ((0, 0, 1, 1),):
+        rows, columns = -(-(h - y0) // dy), -(-(w - x0) // dx)
+        if rows <= 0 or columns <= 0:
+            continue
+        size = 1 + -(-columns * channels * depth // 8)
+        lines = unfiltered(whole[start : start + rows * size].reshape(rows, size), step)
+        start += rows * size
+        if depth == 16:
+            part = lines.view(">u2")
+        elif depth == 8:
+            part = lines
+        else:  # several pixels a byte, the first in its highest bits
+            bits = np.unpackbits(lines, axis=1)[:, : columns * depth].reshape(rows, columns, depth)
+            part = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(2).astype(np.uint8)
+            part = part if colour == 3 else part * np.uint8(255 // ((1 << depth) - 1))
+        pixels[y0::dy, x0::dx] = part.reshape(rows, columns, channels)
+    return (palette[pixels[:, :, 0]] if colour == 3 else pixels), max(depth, 8), res
 
 
 def decode_tiff(raw: bytes) -> tuple[np.ndarray, int, float]:
@@ -136,8 +160,32 @@ def decoded(found: DataFrame) -> DataFrame:
     return named.mapInArrow(run, SCHEMA)
 
 
+def jpegs(spark: SparkSession, folder: str) -> DataFrame:
+    """SCHEMA's columns of a folder's JPEG files, by Spark's own image source; their resolution isn't read and counts as 1.0."""
+    found = spark.read.format("image").option("pathGlobFilter", "*.{jpg,JPG,jpeg,JPEG}").option("dropInvalid", False).load(folder).select("image.*")
+    found = found.withColumn("origin", F.url_decode(F.regexp_replace("origin", r"\+", "%2B")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = []
+            for h, w, c, raw in zip(*[batch.column(k).to_pylist() for k in range(1, 4)], batch.column(4), strict=True):
+                if h < 0:
+                    data.append(None)
+                    continue
+                pixels = np.frombuffer(raw.as_buffer(), np.uint8).reshape(h, w, c)
+                data.append((pixels[:, :, 2::-1] if c >= 3 else pixels).tobytes())  # blue comes first
+            yield pa.record_batch([*batch.columns[:4], pa.array(data, pa.binary())], names=["origin", "height", "width", "nChannels", "data"])
+
+    rgb = found.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, "origin string, height int, width int, nChannels int, data binary")
+    bad = F.col("data").isNull()
+    size = [F.when(~bad, F.col(c)).alias(c) for c in ("height", "width")]
+    return rgb.select(sanitized(base_name(F.col("origin"))).alias("image_id"), "origin", *size, F.when(~bad, F.least("nChannels", F.lit(3))).alias("n_channels"), F.when(~bad, F.lit(8)).alias("bit_depth"), F.when(~bad, F.lit(1.0)).alias("res_um"), "data", F.when(bad, F.lit("not a JPEG that can be read")).alias("problem"))
+
+
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    return decoded(files(spark, folder))
+    """All images of a folder, decoded: PNG and TIFF here, JPEG by Spark."""
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,PNG,tif,TIF,tiff,TIFF}").load(folder)
+    return decoded(plain).unionByName(jpegs(spark, folder))
 
 
 def encode_png(pixels: np.ndarray) -> bytes:
