@@ -55,18 +55,7 @@ class Pieces:
         self.character[ord(SPACE)] = -1  # in a text it isn't a space
         pairs = {plain[p[:j]] << 32 | plain[p[j:]]: k for p, k in plain.items() for j in range(1, len(p)) if p[:j] in plain and p[j:] in plain}
         self.pairs, self._ranks = pairs, None
-        # hashes of the pieces of each length and of their beginnings, with a space for the mark
-        longest = max((len(p) for p in plain), default=1)
-        self.whole: list[set | np.ndarray] = [set() for _ in range(longest + 1)]
-        self.begun: list[set | np.ndarray] = [set() for _ in range(longest + 1)]
-        for p in plain:
-            h = 0
-            for j, c in enumerate(p.replace(SPACE, " "), 1):
-                h = (h * _STEP + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-                if j > 1:
-                    (self.whole if j == len(p) else self.begun)[j].add(h)
-        self.whole = [np.array(sorted(x), np.uint64) for x in self.whole]
-        self.begun = [np.array(sorted(x), np.uint64) for x in self.begun]
+        self.plain, self.whole, self.begun = plain, None, None
         self.bits = np.uint64(64 - max(10, (8 * len(pairs)).bit_length()))
         size = 1 << (64 - int(self.bits))
         self.keys, self.values = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
@@ -100,8 +89,23 @@ class Pieces:
             todo, key, at = todo[on], key[on], (at[on] + 1) & (len(self.keys) - 1)
         return out
 
+    def _hash_pieces(self) -> None:
+        """Hashes of the pieces of each length and of their beginnings, with a space for the mark; only long runs ask for them."""
+        longest = max((len(p) for p in self.plain), default=1)
+        whole: list[set] = [set() for _ in range(longest + 1)]
+        begun: list[set] = [set() for _ in range(longest + 1)]
+        for p in self.plain:
+            h = 0
+            for j, c in enumerate(p.replace(SPACE, " "), 1):
+                h = (h * _STEP + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+                if j > 1:
+                    (whole if j == len(p) else begun)[j].add(h)
+        self.whole, self.begun = ([np.array(sorted(x), np.uint64) for x in some] for some in (whole, begun))
+
     def crossed(self, point: np.ndarray) -> np.ndarray:
         """Which characters have a piece of the model across their left edge."""
+        if self.whole is None:
+            self._hash_pieces()
         n = len(point)
         turn = np.zeros(n + 1, np.int64)
         p = point.astype(np.uint64) + np.uint64(1)
