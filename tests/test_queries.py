@@ -80,3 +80,26 @@ def test_components_never_group_by_key_alone(spark):
 
     e = spark.createDataFrame([(1, 2, 3)], "k long, src long, dst long")
     assert "FlatMapGroups" not in graphs.components(e, "k")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_overlapping_circles_of_many_sizes_against_all_pairs(spark):
+    import math
+    import random
+
+    from weftlens.operators import tabular as T
+
+    rng = random.Random(5)
+    rows = [(k, i, rng.uniform(-300, 300), rng.uniform(-300, 300), rng.choice([0.0, 0.25, 2.0, 9.0, 2.0 ** rng.uniform(-3, 4)])) for k in (1, 2) for i in range(250)]
+    rows += [(1, 900, 10.0, 10.0, 400.0), (2, 901, 0.0, 0.0, 1e-14), (2, 902, 0.0, 0.0, 5.0), (3, 1, 0.0, 0.0, 0.0), (3, 2, 0.0, 0.0, 0.0), (4, 1, 0.0, 0.0, 1.0), (4, 2, 2.0, 0.0, 1.0), (4, 3, 0.0, 0.0, 1.0), (4, 4, 1.5, 0.5, 1.0)]
+    got = [tuple(r) for r in T.overlapping_circles(spark.createDataFrame(rows, "k long, id long, y double, x double, r double"), "k").collect()]
+    expected = {(k, i, j) for k, i, y, x, r in rows for l, j, v, u, s in rows if k == l and i < j and math.hypot(y - v, x - u) < r + s}
+    assert set(got) == expected and len(got) == len(expected)
+
+
+def test_gap_summaries_without_a_region(spark):
+    from weftlens.operators import tabular as T
+
+    left, whole = spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("a", 3.0), ("b", 4.0)], "k string, m double")
+    region = spark.createDataFrame([("a", None)], "k string, m double")
+    assert sorted(map(tuple, T.gap_summaries(left, whole, region, "k", ["m"]).collect())) == [("a", 3.0, 0.0), ("b", 0.0, 0.0)]
+    assert sorted(map(tuple, T.gap_summaries(left, whole, None, "k", ["m"]).collect())) == [("a", 0.0, 0.0), ("b", 0.0, 0.0)]

@@ -81,6 +81,16 @@ def box(raster: Column, how: Callable[..., Column], radius: int, h: int, w: int)
     return let(raster, lambda a: each(h, w, lambda i: how(*[at(a, i, y, x, h, w, "nearest") for y in steps for x in steps])))
 
 
+def eroded(mask: Column, h: int, w: int) -> Column:
+    """A 0/1 region without the pixels that touch its background, corners too."""
+    return box(mask, F.least, 1, h, w)
+
+
+def composed(raster: Column | str, mask: Column | str, fill: float) -> Column:
+    """The raster within the mask, fill elsewhere."""
+    return F.zip_with(raster, mask, lambda v, m: F.when(m == 1, v).otherwise(F.lit(fill)))
+
+
 def neighbour_count(mask: Column, h: int, w: int) -> Column:
     """Set pixels among the eight around each; outside counts as empty. mask: 0 or 1."""
 

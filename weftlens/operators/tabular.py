@@ -80,6 +80,15 @@ def looked_up(left: DataFrame, right: DataFrame | None, key: str, columns: Seque
     return left.join(some, key, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
 
 
+def gap_summaries(left: DataFrame, whole: DataFrame | None, region: DataFrame | None, key: str, columns: Sequence[str]) -> DataFrame:
+    """left with columns of the whole image's summary and, as roi_…, of its region's; both are 0 where the region has no row."""
+    if whole is None or region is None:
+        return left.withColumns({f"{p}{c}": F.lit(0.0) for p in ("", "roi_") for c in columns})
+    inner = region.select(key, *[F.col(c).alias(f"roi_{c}") for c in columns], F.lit(True).alias("_there"))
+    met = left.join(whole.select(key, *columns), key, "left").join(inner, key, "left")
+    return met.withColumns({f"{p}{c}": F.when(F.col("_there"), F.coalesce(f"{p}{c}", F.lit(0.0))).otherwise(0.0) for p in ("", "roi_") for c in columns}).drop("_there")
+
+
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
@@ -189,17 +198,27 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, value: str) -> Data
 
 
 def overlapping_circles(circles: DataFrame, key: str) -> DataFrame:
-    """Pairs a < b of circles (key, id, y, x, r) that overlap, by way of grid cells as wide as the largest diameter of a key.
+    """Pairs a < b of circles (key, id, y, x, r) that overlap, by way of grids whose cells halve from level to level.
 
-    Each circle is looked for in its own cell and the eight around it, so only near ones meet.
+    A circle's level has the narrowest cells, from the largest diameter of its key down, that are no narrower than the circle. It
+    is looked for in its cell there and the eight around it, and stands by its centre in the grids of all wider circles, so a
+    pair meets at the level of its wider circle and one large circle doesn't widen the cells of small ones.
     """
     wide = circles.groupBy(key).agg((2 * F.max("r")).alias("_w")).where("_w > 0")
-    celled = circles.join(wide, key).withColumns({"_cy": F.floor(F.col("y") / F.col("_w")), "_cx": F.floor(F.col("x") / F.col("_w"))})
-    a = celled.select(key, F.col("id").alias("a"), F.col("y").alias("ay"), F.col("x").alias("ax"), F.col("r").alias("ar"), "_cy", "_cx")
+    level = F.when(F.col("r") > 0, F.least(F.floor(F.log2(F.col("_w") / (2 * F.col("r"))) - 1e-9), F.lit(40))).otherwise(40)
+    placed = circles.join(wide, key).withColumn("_l", F.greatest(level, F.lit(0)).cast("int"))
+    levels = placed.groupBy(key).agg(F.collect_set("_l").alias("_all"))  # 41 at most
+
+    def cell(n: str) -> Column:
+        return F.floor(F.col(n) * F.pow(F.lit(2.0), "_g") / F.col("_w"))
+
+    stands = placed.join(levels, key).withColumn("_g", F.explode(F.filter("_all", lambda g: g <= F.col("_l"))))
+    a = stands.select(key, F.col("id").alias("a"), F.col("y").alias("ay"), F.col("x").alias("ax"), F.col("r").alias("ar"), F.col("_l").alias("_la"), "_g", cell("y").alias("_cy"), cell("x").alias("_cx"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = celled.withColumn("_s", F.explode(steps)).select(key, F.col("id").alias("b"), F.col("y").alias("by"), F.col("x").alias("bx"), F.col("r").alias("br"), (F.col("_cy") + F.col("_s.i")).alias("_cy"), (F.col("_cx") + F.col("_s.j")).alias("_cx"))
-    near = a.join(b, [key, "_cy", "_cx"]).where("a < b")
-    return near.where(F.hypot(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx")) < F.col("ar") + F.col("br")).select(key, "a", "b")
+    b = placed.withColumn("_g", F.col("_l")).withColumn("_s", F.explode(steps)).select(key, F.col("id").alias("b"), F.col("y").alias("by"), F.col("x").alias("bx"), F.col("r").alias("br"), "_g", (cell("y") + F.col("_s.i")).alias("_cy"), (cell("x") + F.col("_s.j")).alias("_cx"))
+    near = a.join(b, [key, "_g", "_cy", "_cx"]).where((F.col("_la") > F.col("_g")) & (F.col("a") != F.col("b")) | (F.col("a") < F.col("b")))
+    met = near.where(F.hypot(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx")) < F.col("ar") + F.col("br"))
+    return met.select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def degrees(edges: DataFrame, key: str) -> DataFrame:

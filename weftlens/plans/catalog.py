@@ -350,6 +350,19 @@ def roi_composite(spark, sf):
     return colours(spark, sf).select("l_orderkey", "l_linenumber", *[F.when(inside, F.col(k)).otherwise(228).cast("int").alias(n) for k, n in (("r", "red"), ("g", "green"))])
 
 
+ERODED = "least(" + ", ".join(f"(CASE WHEN {near(y, x)} > 0 THEN 1 ELSE 0 END)" for y in (-1, 0, 1) for x in (-1, 0, 1)) + ")"
+
+
+@query(f"WITH {PIXELS}, m AS (SELECT image_id, i, e[i + 1] AS v, {ERODED} AS inside FROM px) SELECT image_id, sum(inside)::BIGINT AS inside, round(sum(CASE WHEN inside = 1 THEN v ELSE 0 END), 6) AS kept, round(sum(CASE WHEN inside = 1 THEN v ELSE 228 END), 6) AS composed FROM m GROUP BY image_id")
+def roi_eroded_composite(spark, sf):
+    """Pixels of a region that its background, grown by one pixel, leaves; the others are 0 or the neutral grey."""
+    mask = R.eroded(F.transform("v", lambda v: F.when(v > 0, 1).otherwise(0)), SIDE, SIDE)
+    df = images(spark, sf).select("image_id", "v", mask.alias("m"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    kept, composed = (total(R.composed("v", "m", fill)) for fill in (0.0, 228.0))
+    return df.select("image_id", F.aggregate("m", F.lit(0).cast("long"), lambda s, x: s + x).alias("inside"), r6(kept, "kept"), r6(composed, "composed"))
+
+
 # ---- paths of points
 
 POINTS = "p AS (SELECT user_id, event_id, ts, value AS y, (event_id % 97)::DOUBLE AS x FROM events)"
@@ -447,6 +460,14 @@ def combine_left_lookup(spark, sf):
     return c.select("c_custkey", r6("spent", "spent"), r6("n", "n"))
 
 
+@query("WITH w AS (SELECT o_custkey AS k, avg(o_totalprice) AS m, count(*)::DOUBLE AS n FROM orders GROUP BY 1), r AS (SELECT o_custkey AS k, avg(o_totalprice) AS m, count(*)::DOUBLE AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT c_custkey, round(CASE WHEN r.k IS NULL THEN 0 ELSE w.m END, 6) AS mean, CASE WHEN r.k IS NULL THEN 0 ELSE w.n END AS n, round(coalesce(r.m, 0), 6) AS roi_mean, coalesce(r.n, 0) AS roi_n FROM customer LEFT JOIN w ON w.k = c_custkey LEFT JOIN r ON r.k = c_custkey")
+def guarded_gap_lookup(spark, sf):
+    o = tables.table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    whole, region = (x.groupBy("c_custkey").agg(F.avg("o_totalprice").alias("mean"), F.count("*").cast("double").alias("n")) for x in (o, o.where("o_orderstatus = 'F'")))
+    c = T.gap_summaries(tables.table(spark, sf, "customer").select("c_custkey"), whole, region, "c_custkey", ["mean", "n"])
+    return c.select("c_custkey", r6("mean", "mean"), "n", r6("roi_mean", "roi_mean"), "roi_n")
+
+
 @query("SELECT o_orderkey, year(o_orderdate)::INT AS year, o_orderstatus, NULL::DOUBLE AS o_totalprice FROM orders WHERE year(o_orderdate) % 2 = 0 UNION ALL SELECT o_orderkey, year(o_orderdate)::INT, NULL, round(o_totalprice, 6) FROM orders WHERE year(o_orderdate) % 2 = 1")
 def union_by_name(spark, sf):
     o = tables.table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
