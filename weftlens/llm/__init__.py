@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality_repeats", "pii_crf", "language_nb", "line_windows", "packing", "gru_lm", "piece_dropout", "minhash_stars", "suffix_dedup", "ego_join")
+MODULES = ("quality_repeats", "pii_crf", "language_nb", "line_windows", "packing", "gru_lm", "piece_dropout", "minhash_stars", "suffix_dedup", "ego_join", "token_counts", "whitening", "vector_codes")
 
 
 def _gather(what: str) -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import re
 import tempfile
 import uuid
@@ -163,6 +164,63 @@ class Spans:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
+#: Bytes of a word that are hashed block by block; longer ones have a digest each.
+BLOCKWISE = 256
+
+
+def _blocks(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the last byte."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range. Every block of eight bytes passes the finaliser, so no sum of powers can cancel."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    blocks = _blocks(raw)
+    now = np.flatnonzero(size <= BLOCKWISE)
+    now = now[size[now] > 0]
+    k = 0
+    while len(now):
+        left = size[now] - 8 * k
+        part = blocks[starts[now] + 8 * k] & _MASKS[np.minimum(left, 8)]
+        out[now] = mix((out[now] ^ part) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k + 1))
+        now = now[left > 8]
+        k += 1
+    for i in np.flatnonzero(size > BLOCKWISE).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def distinct_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct byte range, and which of them each range is. Hashes group; bytes decide."""
+    _, first, which = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+    size, like = ends - starts, first[which]
+    same = size == size[like]
+    blocks = _blocks(raw)
+    now = np.flatnonzero(same & (size > 0) & (size <= BLOCKWISE))
+    k = 0
+    while len(now):
+        left = size[now] - 8 * k
+        mask = _MASKS[np.minimum(left, 8)]
+        same[now] &= (blocks[starts[now] + 8 * k] & mask) == (blocks[starts[like[now]] + 8 * k] & mask)
+        now = now[left > 8]
+        k += 1
+    for i in np.flatnonzero(same & (size > BLOCKWISE) & (like != np.arange(len(size)))).tolist():
+        same[i] = np.array_equal(raw[starts[i] : ends[i]], raw[starts[like[i]] : ends[like[i]]])
+    if same.all():
+        return first, which
+    seen: dict[bytes, int] = {}
+    data = raw.tobytes()
+    which = np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return np.unique(which, return_index=True)[1], which
+
+
 def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of non-space bytes, never across rows, and how many precede each row (rows + 1)."""
     inside = ~SPACE[raw]
