@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from weftlens.plans import imaging  # noqa: F401
+from weftlens.plans import imaging, spatial  # noqa: F401
 from weftlens.plans.catalog import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

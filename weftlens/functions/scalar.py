@@ -145,7 +145,7 @@ def image_name_parts(name: Column) -> dict[str, Column]:
     before = F.coalesce(*[F.nullif(F.regexp_extract(name, p, 1), F.lit("")) for p in (r"(?i)^(.+?)\.vsi", r"(?i)^(.+?)\.czi", r"^([^\s_]+)")], F.lit(""))
     low = F.lower(name)
     suffix = F.coalesce(*[F.when(low.contains(c), F.lit(f"_{c}")) for c in CHANNELS], F.lit(""))
-    groups = F.transform(F.regexp_extract_all(F.regexp_extract(name, r"(?i)annotation(.*)$", 1), F.lit(r"\(([^()]+)\)"), 1), F.trim)
+    groups = F.transform(F.regexp_extract_all(F.regexp_extract(name, r"(?i)annotation(.*)$", 1), F.lit(r"\(([^()]+)\)"), 1), lambda g: F.trim(g))
     named = F.filter(groups, lambda g: ~F.lower(g).isin(*SHAPES))
     tissue = F.when(F.size(named) > 0, F.element_at(named, -1)).when(F.size(groups) > 0, F.element_at(groups, -1)).otherwise(F.lit(""))
     after = F.when(name.contains(")"), F.regexp_extract(name, r"(\)[^)]*)$", 1)).otherwise(name)

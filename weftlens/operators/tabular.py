@@ -33,12 +33,6 @@ def tiles(images: DataFrame, most: int) -> DataFrame:
     return cells.select("image_id", F.floor(F.col("_y") / F.col("_bh")).cast("int").alias("i"), F.floor(F.col("_x") / F.col("_bw")).cast("int").alias("j"), F.least("_y", F.col("height") - F.col("_bh")).cast("int").alias("y0"), F.least("_x", F.col("width") - F.col("_bw")).cast("int").alias("x0"), F.col("_bh").alias("tile_h"), F.col("_bw").alias("tile_w"))
 
 
-def batches(images: DataFrame, key: str, order: str, size: int) -> DataFrame:
-    """batch: numbers from 0 within each key, size images each by order."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return images.withColumn("batch", F.floor((rank - 1) / size).cast("int"))
-
-
 def group_statistics(df: DataFrame, by: Sequence[str], metrics: Sequence[str], ordinal: str, first: Sequence[str] = ()) -> DataFrame:
     """Rows, first values by ordinal, and mean, population deviation and standard error (non-null count) of each metric."""
     aggs = [F.count("*").alias("n_rois"), *[F.min_by(c, ordinal).alias(c) for c in first]]

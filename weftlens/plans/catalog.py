@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import graphs, raster as R, tabular as T, tensor
+from ..operators import graphs, order, raster as R, tabular as T, tensor
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -400,7 +400,15 @@ def gap_fill(spark, sf):
 
 @query("SELECT doc_id, source, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5)::INT AS batch FROM documents")
 def split_batches(spark, sf):
-    return T.batches(tables.table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 5)
+    return order.batches(tables.table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 5).drop("batch_no")
+
+
+@query(
+    "WITH n AS (SELECT l_quantity AS res, l_orderkey * 10 + l_linenumber AS path, (row_number() OVER (PARTITION BY l_quantity ORDER BY l_orderkey * 10 + l_linenumber) - 1) // 5 AS b FROM lineitem) SELECT path, res, b::INT AS batch, (dense_rank() OVER (ORDER BY res, b) - 1)::BIGINT AS batch_no FROM n"
+)
+def batches_in_total_order(spark, sf):
+    i = tables.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("path"), F.col("l_quantity").alias("res"))
+    return order.batches(i, "res", "path", 5)
 
 
 def sized_images(spark: SparkSession, sf: str) -> DataFrame:
@@ -420,26 +428,22 @@ def oversize_probe(spark, sf):
     return T.oversized(sized_images(spark, sf), 2048)
 
 
-NAMES = (
-    "K324.vsi - 20x_BF_01Annotation (Tumor)_1_roi.png",
-    "540.vsi - 20x_BF multi-band_01Annotation (Ellipse) (Tumor)_0_roi.png",
-    "K324.vsi_-_20x_POL_01Annotation_(Tumor)_1_roi.png",
-    "S7.czi_x_Annotation_(Polygon)_12_roi.png",
-    "abc_def_roi.png",
-    "P9 green_3_roi.png",
-)
-_LIST = ", ".join(f"'{n}'" for n in NAMES)
+#: File names in the forms that scanners give, built of an order's numbers.
+NAME = """CASE o_orderkey % 6 WHEN 0 THEN concat('K', o_custkey, '.vsi - 20x_', upper(substr('bfpolxpl', 1, 2)), '_01Annotation (Tumor)_', o_orderkey % 7, '_roi.png')
+WHEN 1 THEN concat(o_custkey, '.vsi - 20x_BF multi-band_01Annotation (Ellipse) (Stroma ', o_orderkey % 5, ')_', o_orderkey % 11, '_roi.png')
+WHEN 2 THEN concat('K', o_custkey, '.vsi_-_20x_POL_01Annotation_(Tumor)_', o_orderkey % 13, '_roi.png') WHEN 3 THEN concat('S', o_custkey, '.czi_x_Annotation_(Polygon)_', o_orderkey % 17, '_roi.png')
+WHEN 4 THEN concat(lower(o_orderstatus), o_custkey, '_def xpl _roi.png') ELSE concat('P', o_custkey, ' ', CASE o_orderkey % 4 WHEN 1 THEN 'green' WHEN 3 THEN 'Yellow' ELSE 'red' END, '_', o_orderkey % 19, '_roi.png') END"""
 _SHAPES = ", ".join(f"'{s}'" for s in scalar.SHAPES)
 
 
 @query(
-    rf"""WITH n AS (SELECT unnest([{_LIST}]) AS name), g AS (SELECT *, list_transform(regexp_extract_all(regexp_extract(name, '(?i)annotation(.*)$', 1), '\(([^()]+)\)', 1), lambda s: trim(s)) AS gs FROM n), f AS (SELECT *, list_filter(gs, lambda s: lower(s) NOT IN ({_SHAPES})) AS fs FROM g)
-SELECT name, coalesce(nullif(regexp_extract(name, '(?i)^(.+?)\.vsi', 1), ''), nullif(regexp_extract(name, '(?i)^(.+?)\.czi', 1), ''), nullif(regexp_extract(name, '^([^\s_]+)', 1), ''), '') || CASE WHEN lower(name) LIKE '%original%' THEN '_original' WHEN lower(name) LIKE '%red%' THEN '_red' WHEN lower(name) LIKE '%yellow%' THEN '_yellow' WHEN lower(name) LIKE '%green%' THEN '_green' ELSE '' END AS patient_id,
+    rf"""WITH n AS (SELECT o_orderkey, {NAME} AS name FROM orders), g AS (SELECT *, list_transform(regexp_extract_all(regexp_extract(name, '(?i)annotation(.*)$', 1), '\(([^()]+)\)', 1), lambda s: trim(s)) AS gs FROM n), f AS (SELECT *, list_filter(gs, lambda s: lower(s) NOT IN ({_SHAPES})) AS fs FROM g)
+SELECT o_orderkey, name, coalesce(nullif(regexp_extract(name, '(?i)^(.+?)\.vsi', 1), ''), nullif(regexp_extract(name, '(?i)^(.+?)\.czi', 1), ''), nullif(regexp_extract(name, '^([^\s_]+)', 1), ''), '') || CASE WHEN lower(name) LIKE '%original%' THEN '_original' WHEN lower(name) LIKE '%red%' THEN '_red' WHEN lower(name) LIKE '%yellow%' THEN '_yellow' WHEN lower(name) LIKE '%green%' THEN '_green' ELSE '' END AS patient_id,
 upper(regexp_extract(name, '(?i)[_\s](BF|POL|XPL)[_\s]', 1)) AS image_type, CASE WHEN len(fs) > 0 THEN fs[-1] WHEN len(gs) > 0 THEN gs[-1] ELSE '' END AS tissue_type, regexp_extract(CASE WHEN contains(name, ')') THEN regexp_extract(name, '(\)[^)]*)$', 1) ELSE name END, '_(\d+)', 1) AS roi_number FROM f"""
 )
 def parse_names(spark, sf):
-    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
-    return names.select("name", *[c.alias(k) for k, c in scalar.image_name_parts(F.col("name")).items()])
+    names = tables.table(spark, sf, "orders").select("o_orderkey", F.expr(NAME).alias("name"))
+    return names.select("o_orderkey", "name", *[c.alias(k) for k, c in scalar.image_name_parts(F.col("name")).items()])
 
 
 @query(r"SELECT page_id, regexp_replace(url, '[ ,:?/*]', '_', 'g') AS clean, regexp_replace(split_part(translate(url, '\', '/'), '/', -1), '\.[^.]*$', '') AS base FROM pages")
@@ -507,35 +511,6 @@ def circle_overlap_pairs(spark, sf):
     return T.overlapping_circles(circles(spark, sf), "k")
 
 
-EDGES = "e AS (SELECT l_suppkey % 50 AS k, l_partkey % 40 AS src, l_orderkey % 37 + 100 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45)"
-
-
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.table(spark, sf, "lineitem").where("l_linenumber = 1 and l_quantity > 45").select((F.col("l_suppkey") % 50).alias("k"), (F.col("l_partkey") % 40).alias("src"), (F.col("l_orderkey") % 37 + 100).alias("dst"))
-
-
-@query(f"WITH {EDGES}, d AS (SELECT k, node, count(*) AS d FROM (SELECT k, src AS node FROM e UNION ALL SELECT k, dst FROM e) GROUP BY ALL) SELECT k, count(*) FILTER (WHERE d = 1) AS tips, count(*) FILTER (WHERE d > 2) AS branches, count(*) AS nodes, round(CASE WHEN count(*) FILTER (WHERE d = 1 OR d > 2) = 0 THEN 0 ELSE 2.0::DOUBLE * sum(d) / count(*) FILTER (WHERE d = 1 OR d > 2) END, 6) AS growth FROM d GROUP BY k")
-def degree_counts(spark, sf):
-    e = edges(spark, sf)
-    n = e.groupBy("k").agg((2 * F.count("*")).cast("double").alias("ends"))
-    return T.degrees(e, "k").join(n, "k").select("k", "tips", "branches", "nodes", r6(T.growth_unit(F.col("ends"), F.col("tips"), F.col("branches")), "growth"))
-
-
-@query(
-    f"WITH RECURSIVE {EDGES}, s AS (SELECT DISTINCT k, src AS a, dst AS b FROM e UNION SELECT DISTINCT k, dst, src FROM e), r(k, n, c) AS (SELECT DISTINCT k, a, a FROM s UNION SELECT r.k, s.b, r.c FROM r JOIN s ON r.k = s.k AND r.n = s.a WHERE r.c < s.b) SELECT k, n AS node, min(c) AS root FROM r GROUP BY k, n"
-)
-def graph_components(spark, sf):
-    return graphs.components(edges(spark, sf), "k")
-
-
-@query(f"WITH {EDGES} SELECT k, count(*) AS n FROM e ANTI JOIN (SELECT 136 AS dst UNION ALL SELECT 100) r USING (dst) GROUP BY k")
-def junctions_kept(spark, sf):
-    j = edges(spark, sf).select(F.col("k").alias("image_id"), F.col("src").alias("cont1"), F.col("dst").alias("cont2"))
-    gone = j.select("image_id").distinct().withColumn("contour_id", F.explode(F.array(F.lit(136).cast("long"), F.lit(100).cast("long"))))
-    return T.kept_junctions(j, gone).groupBy(F.col("image_id").alias("k")).agg(F.count("*").alias("n"))
-
-
-# The three above follow their SQL, which folds the keys of a few rows; these three take all rows of lineitem.
 ALL_EDGES = "e AS (SELECT DISTINCT l_suppkey AS k, l_partkey * 2 AS src, l_orderkey * 2 + 1 AS dst FROM lineitem)"
 
 
@@ -549,6 +524,13 @@ def degree_counts_all(spark, sf):
     return T.degrees(all_edges(spark, sf), "k")
 
 
+@query(f"WITH {ALL_EDGES}, d AS (SELECT k, node, count(*) AS d FROM (SELECT k, src AS node FROM e UNION ALL SELECT k, dst FROM e) GROUP BY ALL) SELECT k, round(CASE WHEN count(*) FILTER (WHERE d = 1 OR d > 2) = 0 THEN 0 ELSE sum(d)::DOUBLE / count(*) FILTER (WHERE d = 1 OR d > 2) END, 6) AS growth FROM d GROUP BY k")
+def growth_units(spark, sf):
+    e = all_edges(spark, sf)
+    n = e.groupBy("k").agg(F.count("*").cast("double").alias("length"))
+    return T.degrees(e, "k").join(n, "k").select("k", r6(T.growth_unit(F.col("length"), F.col("tips"), F.col("branches")), "growth"))
+
+
 @query()
 def graph_components_all(spark, sf):
     return graphs.components(all_edges(spark, sf), "k")
