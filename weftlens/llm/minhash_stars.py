@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, Spans, documents, map_arrow, mix, row_sums, slices, utf8, words
+from .common import LOWER, Scratch, documents, map_arrow, mix, row_sums, slices, utf8, word_hashes, words
 from .stars import components
 
 WORDS = 5
@@ -69,7 +69,7 @@ def shingles(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, off = utf8(text)
     raw = LOWER[raw]
     starts, ends, at = words(raw, off)
-    word = Spans(raw).hash(starts, ends)
+    word = word_hashes(raw, starts, ends)
     n = np.diff(at)
     rows = len(n)
     row = np.repeat(np.arange(rows), n)
@@ -229,8 +229,48 @@ def forest(n: np.ndarray, loads: list[np.ndarray], linked: np.ndarray, covered:
     return edges
 
 
+def alone_elements(large: DataFrame, params: MinHashParams) -> DataFrame:
+    """(p, far, x, u): how many elements of a member's load no other member of its group has, by range of the elements' hashes.
+
+    A member is one row a range, and a group has one range for each params.elements of its e elements, so rows are in proportion
+    to members and a task holds one range of one group.
+    """
+    ranges = F.ceil(F.col("e") / params.elements).cast("int")
+    cut = large.select("p", "far", "x", "load", F.explode(F.sequence(F.lit(0), ranges - 1)).alias("_k"), ranges.alias("_n"))
+    part = F.when(F.col("_n") == 1, F.col("load")).otherwise(F.filter("load", lambda e: F.pmod(F.xxhash64(e), F.col("_n")) == F.col("_k")))
+    dealt = cut.select("p", "far", "_k", "x", part.alias("load")).where(F.size("load") > 0)
+    key = ["p", "far", "_k"]
+    sorted_ = dealt.repartition(int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
+    schema = pa.schema([("p", NODE_TYPE), ("far", pa.bool_()), ("x", NODE_TYPE), ("u", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[dict, np.ndarray]] = []
+        now = None
+
+        def close() -> pa.RecordBatch:
+            loads = [r[1] for r in held]
+            _, first, times = np.unique(np.concatenate(loads), return_index=True, return_counts=True)
+            owner = np.repeat(np.arange(len(loads)), [len(x) for x in loads])[first[times == 1]]
+            u = np.bincount(owner, minlength=len(loads))
+            out = pa.record_batch([pa.array([now[0]] * len(held), NODE_TYPE), pa.array([now[1]] * len(held)), pa.array([r[0] for r in held], NODE_TYPE), pa.array(u, pa.int64())], schema=schema)
+            held.clear()
+            return out
+
+        for batch in batches:
+            c = [batch.column(k).to_pylist() for k in range(4)]
+            for p, far, k, x, load in zip(*c, lists(batch.column(4)), strict=True):
+                if (p, far, k) != now and held:
+                    yield close()
+                now = (p, far, k)
+                held.append((x, load))
+        if held:
+            yield close()
+
+    return map_arrow(sorted_, run, f"p {NODE}, far boolean, x {NODE}, u long")
+
+
 def blocked(members: DataFrame, sizes: DataFrame, params: MinHashParams, scratch: Scratch) -> DataFrame:
-    """Members of large groups (sizes: p, far, m) with the pairs of blocks (_i, _j) that may hold a link.
+    """Members of large groups (sizes: p, far, m, e) with the pairs of blocks (_i, _j) that may hold a link.
 
     x and z can only be linked if their differences from the pivot differ in at most d = (100 - percent) / percent * n elements.
     With t elements in a difference, u of them in no other one and w = t - u, that asks for t_x - d <= w_z - u_z and the same
@@ -238,10 +278,9 @@ def blocked(members: DataFrame, sizes: DataFrame, params: MinHashParams, scratch
     """
     low, high = params.block
     large = scratch.table(members.join(sizes, ["p", "far"]), "large")
-    owners = large.select("p", "far", "x", F.explode("load").alias("e")).groupBy("p", "far", "e").agg(F.count("*").alias("c"), F.min("x").alias("x")).where("c = 1")
-    alone = owners.groupBy("p", "far", "x").agg(F.count("*").alias("u"))
+    alone = alone_elements(large, params).groupBy("p", "far", "x").agg(F.sum("u").alias("u"))
     t, u, d = F.size("load"), F.coalesce("u", F.lit(0)), F.col("n") * (100 - params.percent) / params.percent
-    known = large.join(alone, ["p", "far", "x"], "left").withColumns({"_r": F.when(F.col("far"), 0.0).otherwise(t - d - 1e-6), "_v": F.when(F.col("far"), 0.0).otherwise((t - 2 * u).cast("double"))})
+    known = large.drop("e").join(alone, ["p", "far", "x"], "left").withColumns({"_r": F.when(F.col("far"), 0.0).otherwise(t - d - 1e-6), "_v": F.when(F.col("far"), 0.0).otherwise((t - 2 * u).cast("double"))})
     known = known.where(F.when(F.col("far"), 100 * (t - u) >= params.percent * F.col("n")).otherwise(u <= d + 1e-6))
 
     def step(c: str) -> Column:
@@ -277,7 +316,7 @@ def between_members(members: DataFrame, params: MinHashParams, scratch: Scratch)
     some = members.join(sizes.where(~small & few_open).withColumn("_n", blocks.cast("int")), ["p", "far"])
     where = F.when(F.col("covered"), F.array(F.pmod(F.xxhash64("x", F.lit("block")), "_n").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("_n") - 1))
     some = some.withColumn("_b", F.explode(where)).select("p", "far", F.col("_b").cast("string").alias("_i"), F.lit("").alias("_j"), *columns)
-    dealt = few.union(some).union(blocked(members, sizes.where(~small & ~few_open).select("p", "far", "m"), params, scratch))
+    dealt = few.union(some).union(blocked(members, sizes.where(~small & ~few_open).select("p", "far", "m", "e"), params, scratch))
     key = ["p", "far", "_i", "_j"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(parts, *key).sortWithinPartitions(*key)
@@ -382,14 +421,15 @@ def without_near_duplicates(docs: DataFrame, params: MinHashParams = MinHashPara
     key = ["doc_id", "t1", "t2"]
     rows = found.where("doc_id is not null").groupBy(*key).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("m")).where("not kept or m > 1")
     rows = scratch.table(rows, "rows-that-go-or-repeat")
-    hashed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[h.alias(f"_{h_}") for h, h_ in zip(text_hash(), ("t1", "t2"), strict=True)])
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rest")  # so no name can clash
+    hashed = docs.select("doc_id", rest, *[h.alias(f"_{h_}") for h, h_ in zip(text_hash(), ("t1", "t2"), strict=True)])
     rows = rows.toDF("_doc_id", "_t1", "_t2", "_kept", "_m")
     same = (F.col("doc_id") == F.col("_doc_id")) & (hashed["_t1"] == rows["_t1"]) & (hashed["_t2"] == rows["_t2"])
-    out = hashed.join(rows, same, "left_anti").drop("_t1", "_t2")
+    out = hashed.join(rows, same, "left_anti").select("_rest")
     repeated = rows.where("_kept")
     if not repeated.isEmpty():
-        out = out.union(hashed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_t1", "_t2"]).drop("_t1", "_t2"))
-    return out
+        out = out.union(hashed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_t1", "_t2"]).select("_rest"))
+    return out.select(*[F.col("_rest").getField(c).alias(c) for c in docs.columns])
 
 
 def signatures_agree(pairs: DataFrame, params: MinHashParams) -> DataFrame:
