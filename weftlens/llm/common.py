@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch as Scratch
+
 #: Bytes of an Arrow batch that Spark hands to Python; it bounds a worker's memory together with CHUNK.
 BATCH_BYTES = 8 << 20
 #: Bytes of text that a numpy kernel works on at once; one longer document is a chunk of its own.
@@ -25,40 +24,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-class Scratch:
-    """Tables written to the folder that the driver and all executors share, so that no lost executor loses them.
-
-    The folder is ``spark.checkpoint.dir``, else the one of ``SparkContext.setCheckpointDir``; where neither is set, a local
-    master takes a temporary folder and any other one raises.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        sc = spark.sparkContext
-        root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-        if not root and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not root:
-            root = f"file://{tempfile.gettempdir()}/weftlens-scratch"
-        self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self._fs, path = self._path(self.root)
-        self._fs.deleteOnExit(path)
-
-    def _path(self, where: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(where)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        where = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(where)
-        return self.spark.read.schema(df.schema).parquet(where)
-
-    def drop(self, name: str) -> None:
-        fs, path = self._path(f"{self.root}/{name}")
-        fs.delete(path, True)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, not only in rows.
 
@@ -152,7 +117,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """Hashes of byte ranges of one buffer from prefix sums of a polynomial modulo 2 ** 64."""
+    """Hashes of byte ranges of one buffer from prefix sums of a polynomial modulo 2 ** 64, for ranges that overlap.
+
+    Long ranges can be made up that collide here; words and lines go by word_hashes().
+    """
 
     def __init__(self, raw: np.ndarray):
         n = len(raw)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, Spans, crc32_mod, documents, map_arrow, slices, utf8, words
+from .common import LOWER, Scratch, crc32_mod, documents, map_arrow, slices, utf8, word_hashes, words
 
 #: Stands for the end of a document among the words' hashes.
 END = np.uint64(0x5EED0FE0D0C0FFEE)
@@ -60,7 +60,7 @@ def hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     rows = len(text)
     bounds = at + np.arange(rows + 1)
     out = np.full(bounds[-1], END, np.uint64)
-    out[np.arange(len(starts)) + np.repeat(np.arange(rows), np.diff(at))] = Spans(raw).hash(starts, ends)
+    out[np.arange(len(starts)) + np.repeat(np.arange(rows), np.diff(at))] = word_hashes(raw, starts, ends)
     return out, bounds
 
 

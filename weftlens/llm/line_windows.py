@@ -48,8 +48,8 @@ def later_windows(docs: DataFrame) -> DataFrame:
     return later.groupBy("_row").agg(F.collect_set("_at").alias("_lines"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, any others) with repeated lines removed, and n_lines, n_removed at the end.
+def without_repeats(docs: DataFrame, counted: bool = True) -> DataFrame:
+    """docs (doc_id, text, any others) with repeated lines removed and, if counted, n_lines, n_removed at the end.
 
     A null text stays null with 0 lines, an empty one is one line; texts of fewer than three lines have no window and stay;
     windows of blank lines never count. Rows equal in doc_id and text are one place, so they keep the same lines. Equal windows
@@ -86,7 +86,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             cols.append(F.when(F.col("_removed") > 0, F.char_length("text").cast(docs.schema[c].dataType)).otherwise(F.col("_rest.n_chars")).alias(c))
         else:
             cols.append(F.col("_rest").getField(c).alias(c))
-    return out.select(*cols, F.col("_n").alias("n_lines"), F.col("_removed").alias("n_removed"))
+    return out.select(*cols, *([F.col("_n").alias("n_lines"), F.col("_removed").alias("n_removed")] if counted else []))
 
 
 def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

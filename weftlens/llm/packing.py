@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Spans, documents, map_arrow, slices, utf8, words
+from .common import Scratch, distinct_words, documents, map_arrow, slices, utf8, words
 
 SEQUENCE, END_ID = 2048, 0
 #: Words whose ids a worker remembers.
@@ -57,10 +57,16 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        probe = "It's 12 isn't naïve, Ünited_42 a-b"
+        alike = [t for w in probe.split() for t in (self.tokenizer.encode(w, add_special_tokens=False).ids)]
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.pieces: dict[str, tuple[int, ...]] = {}
         self._forget()
+        found = [t for w in probe.split() for t in self.ids[slice(*(self.at[self._word(w.encode())], None))]]
+        if found != alike or alike != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+            raise ValueError("words are split as for one kind of vocabulary, and this one differs")
+        self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
@@ -89,7 +95,7 @@ class WordIds:
         if len(self.pieces) > CACHE_WORDS:
             self.pieces.clear()
         starts, ends, bounds = words(raw, off)
-        _, first, which = np.unique(Spans(raw).hash(starts, ends), return_index=True, return_inverse=True)
+        first, which = distinct_words(raw, starts, ends)
         data, known = raw.tobytes(), self.known
         numbers = np.empty(len(first), np.int64)
         for k, (a, b) in enumerate(zip(starts[first].tolist(), ends[first].tolist(), strict=True)):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Spans, documents, map_arrow, row_sums, slices, utf8, words
+from .common import SPACE, distinct_words, documents, map_arrow, row_sums, slices, utf8, words
 
 #: The longest repeat that a document may hold, as a share of its words, and the words below which no repeat counts.
 LONGEST_SHARE, LONGEST_WORDS = 0.25, 40
@@ -121,10 +121,9 @@ def measure(text: pa.Array, rules: RepeatRules) -> dict[str, np.ndarray]:
     raw, off = utf8(text)
     rows = len(text)
     starts, ends, at = words(raw, off)
-    hashes = Spans(raw)
     n_words = np.diff(at)
     doc = np.repeat(np.arange(rows), n_words)
-    _, ids = np.unique(hashes.hash(starts, ends), return_inverse=True)
+    _, ids = distinct_words(raw, starts, ends)
     best = longest_repeats(ids, doc)
     n_repeat = row_sums(covered(best, 8), at)
     n_covered = row_sums(covered(best, rules.repeat_words), at)
@@ -141,7 +140,7 @@ def measure(text: pa.Array, rules: RepeatRules) -> dict[str, np.ndarray]:
     with_word = np.searchsorted(starts, l_end, "left") > np.searchsorted(starts, l_start, "left")
     l_start, l_end, l_doc = l_start[with_word], l_end[with_word], l_doc[with_word]
     l_end = l_end - ((raw[l_end - 1] == 10) if len(l_end) else 0)
-    l_hash = hashes.hash(l_start, l_end)
+    _, l_hash = distinct_words(raw, l_start, l_end)
     by = np.lexsort((l_hash, l_doc))
     again = np.zeros(len(by), bool)
     again[1:] = (l_hash[by][1:] == l_hash[by][:-1]) & (l_doc[by][1:] == l_doc[by][:-1])
