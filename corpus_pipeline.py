@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts stay null, texts of fewer than three lines as they are; a text may become empty. Rows equal in doc_id and text
     are one place and keep the same lines.
     """
-    return without_repeats(docs).select(*docs.columns)
+    return without_repeats(docs, counted=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words, null ones and rows without a doc_id stay; of rows equal in doc_id and text one stays.
     """
-    return without_near_duplicates(docs, NEAR).select(*docs.columns)
+    return without_near_duplicates(docs, NEAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
