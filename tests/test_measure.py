@@ -113,3 +113,37 @@ def test_a_large_image_in_time():
     K.drawn(lines, image.shape, K.widths_of(image, lines, maps))
     K.skeleton_edges(K.thinned(K.drawn(lines, image.shape)))
     assert len(lines) > 1000 and time.time() - began < 60
+
+
+def test_run_as_files(spark, tmp_path):
+    for k, angle in enumerate((0.0, 0.3, 0.6)):
+        (tmp_path / f"P{k // 2}.vsi_BF_Annotation(Tumor)_{k}_roi.png").write_bytes(I.encode_png(fibres(angle)))
+    params = P.parse("Detection:\n  Low Contrast: 20\n  High Contrast: 60\nGap Analysis:\n  Minimum Gap Diameter: 6\n")
+    measure.measured(I.images(spark, str(tmp_path)), params).write.parquet(f"{tmp_path}/metrics")
+    m = spark.read.parquet(f"{tmp_path}/metrics")
+    names = measure.write_run(m, f"{tmp_path}/out", [10, 20, 30])
+    assert names == ["QuantificationResults", "ResultsROI", "ResultsHDM", "PatientStatistics", "PatientScores"]
+    whole = {n: spark.read.parquet(f"{tmp_path}/out/{n}.parquet") for n in names}
+    assert whole["ResultsROI"].columns == list(measure.ROI_COLUMNS.values()) and whole["ResultsHDM"].columns == ["Image", "% HDM Area"]
+    rows = {r["image"]: r for r in m.collect()}
+    assert {r["Image"]: (r["Area (ROI)"], r["% WIDTH Area"]) for r in whole["ResultsROI"].collect()} == {k: (r["roi_area"], r["width_share"]) for k, r in rows.items()}
+    assert {r["Image"]: r["% HDM Area"] for r in whole["ResultsHDM"].collect()} == {k: r["hdm_share"] for k, r in rows.items()}
+    stats = {r["Patient"]: r for r in whole["PatientStatistics"].collect()}
+    of = [r["alignment"] for k, r in rows.items() if k.startswith("P0")]
+    assert stats["P0"]["No. of ROIs"] == 2 and np.isclose(stats["P0"]["Orient. Alignment MEAN"], np.mean(of)) and np.isclose(stats["P0"]["Orient. Alignment SEM"], np.std(of) / np.sqrt(2))
+    scores = whole["PatientScores"]
+    assert scores.columns[:4] == list(measure.META_COLUMNS.values()) and scores.columns[-2:] == ["Rigidity Score", "Bundling Score"] and scores.count() == 2
+    assert all(c.endswith(" MEAN") for c in scores.columns[4:-2])
+    text = spark.read.option("header", True).csv(f"{tmp_path}/out/ResultsHDM.csv").collect()
+    assert {r[0]: float(r[1]) for r in text} == {k: round(r["hdm_share"], 3) for k, r in rows.items()}
+
+
+def test_images_exported_and_read_again(spark, tmp_path):
+    from weftlens.sources import sinks
+
+    for k in range(3):
+        (tmp_path / f"a{k}.png").write_bytes(I.encode_png(fibres(k / 3)))
+    out = sinks.export_images(I.images(spark, str(tmp_path)), f"{tmp_path}/out").collect()
+    assert sorted(r["path"] for r in out) == [f"{tmp_path}/out/a{k}.png" for k in range(3)]
+    again = {r["image_id"]: r["data"] for r in I.images(spark, f"{tmp_path}/out").collect()}
+    assert again == {r["image_id"]: r["data"] for r in I.images(spark, str(tmp_path)).collect()} and len(again) == 3

@@ -221,3 +221,43 @@ def test_outline_of_a_square_and_a_notch(spark):
     square = {(1, y, x) for y in range(4) for x in range(4)}
     notch = {(2, y, x) for y in range(6) for x in range(6) if x < y or x >= 6 - y}
     assert got == square | notch
+
+
+@pytest.mark.parametrize("side", [1, 3, 5])
+def test_reflected_curvature_of_short_and_long_paths(spark, side):
+    from weftlens.operators import tabular as T
+
+    rng = random.Random(side)
+    paths = {k: [(float(rng.randint(0, 9)), float(rng.randint(0, 9))) for _ in range(k)] for k in (1, 2, 3, 4, 6, 11, 25)}
+    df = spark.createDataFrame([(k, i, y, x) for k, p in paths.items() for i, (y, x) in enumerate(p)], "k long, i long, y double, x double").repartition(3)
+    got = {(r["k"], r["i"]): r["angle"] for r in T.reflected_curvature(df, "k", ["i"], "y", "x", side).collect()}
+    for k, p in paths.items():
+        s, n = min(side, k - 1), k
+
+        def at(j, c):
+            return 2 * p[0][c] - p[-j][c] if j < 0 else 2 * p[-1][c] - p[2 * (n - 1) - j][c] if j >= n else p[j][c]  # noqa: B023
+
+        for i in range(n):
+            (ay, by), (ax, bx) = ([at(i, c) - at(i - s, c), at(i + s, c) - at(i, c)] for c in (0, 1))
+            assert math.isclose(got[k, i], math.degrees(abs(math.atan2(ax * by - ay * bx, ay * by + ax * bx))), abs_tol=1e-9), (k, i)
+
+
+def test_line_corrections_by_hand(spark):
+    from weftlens.operators import tabular as T
+
+    rng = random.Random(8)
+    value = {(i, j, q): rng.uniform(-1, 5) for i in range(21) for j in range(41) for q in T.QUANTITIES}
+    del value[7, 7, "width"]
+    table = spark.createDataFrame([(*k, v) for k, v in value.items()], "ratio_step int, width_step int, quantity string, value double")
+    lines = [(k, rng.uniform(1, 3), rng.uniform(1, 20), rng.uniform(-0.1, 1.1)) for k in range(300)] + [(900, 1.0, 6.0, 1.0), (901, 2.0, 4.0, 0.0), (902, 1.0, 2.75, 0.36)]
+    got = {r["id"]: r for r in T.line_corrections(spark.createDataFrame(lines, "id long, sigma double, width double, ratio double"), table).collect()}
+    for k, sigma, width, ratio in lines:
+        w = width / sigma
+        for q in T.QUANTITIES:
+            want = 0.0
+            if 2 <= w <= 6 and 0 <= ratio <= 1:
+                i, j = min(int(ratio * 20), 19), min(int((w - 2) * 10), 39)
+                b, a = ratio * 20 - i, (w - 2) * 10 - j
+                want = sum((b if p else 1 - b) * (a if r else 1 - a) * value.get((i + p, j + r, q), 0.0) for p in (0, 1) for r in (0, 1)) * (1 if q == "asymmetry" else sigma)
+            assert math.isclose(got[k][f"true_{q}"], want, abs_tol=1e-9)
+    assert len(got) == len(lines)

@@ -45,6 +45,16 @@ def symmetric_eigen(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
     return F.when(mid >= 0, mid + off).otherwise(mid - off), F.when(mid >= 0, mid - off).otherwise(mid + off)
 
 
+def strongest_normal(a: Column, b: Column, c: Column) -> tuple[Column, Column, Column]:
+    """Eigenvalue of larger magnitude of [[a, b], [b, c]] and its unit vector (first, second axis); an axis where b is 0."""
+    top = symmetric_eigen(a, b, c)[0]
+    size = F.hypot(b, top - a)
+    flat = F.abs(b) < 1e-12
+    first = F.when(flat, F.when(F.abs(a) >= F.abs(c), 1.0).otherwise(0.0)).otherwise(b / F.when(~flat, size))
+    second = F.when(flat, F.when(F.abs(a) >= F.abs(c), 0.0).otherwise(1.0)).otherwise((top - a) / F.when(~flat, size))
+    return top, first, second
+
+
 def orientation(xx: Column, xy: Column, yy: Column) -> Column:
     """Direction, in radians, along the structure of a tensor."""
     return F.lit(0.5) * F.atan2(2 * xy, yy - xx)

@@ -158,6 +158,31 @@ def curvature(points: DataFrame, key: str, order: Sequence[str], y: str, x: str,
     return points.withColumn("angle", F.degrees(F.abs(F.atan2(cross, dot))))
 
 
+def reflected_curvature(points: DataFrame, key: str, order: Sequence[str], y: str, x: str, side: int) -> DataFrame:
+    """points with angle as curvature() gives it, but at the ends too: beyond them a path goes on reflected through its end point.
+
+    The chords of a path of at most side points are as long as it allows; a single point has angle 0.
+    """
+    w, back_to_front = Window.partitionBy(key).orderBy(*order), Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    whole, reverse = (v.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) for v in (w, back_to_front))
+    at = F.struct(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"))
+    known = points.withColumns({"_p": at, "_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(key)), "_back": F.lag(at, side).over(w), "_ahead": F.lead(at, side).over(w)})
+    known = known.withColumns({"_first": F.array(*[F.nth_value("_p", k + 1).over(whole) for k in range(side + 1)]), "_last": F.array(*[F.nth_value("_p", k + 1).over(reverse) for k in range(side + 1)])})
+    s = F.least(F.lit(side), F.col("_n") - 1)
+
+    def through(ends: str, k: Column, c: str) -> Column:
+        return 2 * F.get(ends, F.lit(0))[c] - F.get(ends, k.cast("int"))[c]
+
+    def point(direct: str, j: Column, c: str) -> Column:
+        beyond = F.when(j < 0, through("_first", -j, c)).when(j > F.col("_n") - 1, through("_last", j - F.col("_n") + 1, c))
+        return F.coalesce(beyond, F.col(direct)[c], F.get("_first", F.greatest(j, F.lit(0)).cast("int"))[c])
+
+    chord = {f"_{d}{c}": (F.col("_p")[c] - point("_back", F.col("_i") - s, c) if d == "a" else point("_ahead", F.col("_i") + s, c) - F.col("_p")[c]) for d in "ab" for c in "yx"}
+    met = known.withColumns(chord)
+    cross, dot = F.col("_ax") * F.col("_by") - F.col("_ay") * F.col("_bx"), F.col("_ay") * F.col("_by") + F.col("_ax") * F.col("_bx")
+    return met.withColumn("angle", F.degrees(F.abs(F.atan2(cross, dot)))).select(*points.columns, "angle")
+
+
 def path_lengths(points: DataFrame, key: str, order: Sequence[str], y: str, x: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     step = F.hypot(F.col(y) - F.lag(y).over(w), F.col(x) - F.lag(x).over(w))
@@ -247,3 +272,28 @@ def interpolated_table(points: DataFrame, table: DataFrame) -> DataFrame:
     at = points.withColumns({"_i": F.floor("u").cast("int"), "_j": F.floor("v").cast("int")}).withColumns({"_a": F.col("u") - F.col("_i"), "_b": F.col("v") - F.col("_j")})
     corner = F.explode(F.array(*[F.struct((F.col("_i") + i).alias("i"), (F.col("_j") + j).alias("j"), ((F.col("_a") if i else 1 - F.col("_a")) * (F.col("_b") if j else 1 - F.col("_b"))).alias("w")) for i in (0, 1) for j in (0, 1)]))
     return at.withColumn("_c", corner).select("id", "_c.*").join(table, ["i", "j"]).groupBy("id").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+
+
+#: Width-bias tables have a value every tenth of a width over sigma from 2 to 6 and every twentieth of a gradients' ratio from 0 to 1.
+WIDTHS, RATIOS = (2.0, 6.0, 10), (0.0, 1.0, 20)
+#: The third axis of such a table; all but the asymmetry are in units of sigma.
+QUANTITIES = ("width", "asymmetry", "correction", "strong", "weak")
+
+
+def line_corrections(lines: DataFrame, table: DataFrame) -> DataFrame:
+    """lines (id, sigma, width, ratio) with the true values that table (ratio_step, width_step, quantity, value) gives for them.
+
+    Values are bilinear between the four corners around a line, all quantities from one join and one aggregation; the last steps go with the
+    cells before them. Outside the table's range all are 0, and so is a corner that the table lacks.
+    """
+    (low_w, high_w, per_w), (low_r, high_r, per_r) = WIDTHS, RATIOS
+    scaled = lines.withColumn("_w", F.col("width") / F.col("sigma"))
+    inside = F.col("_w").between(low_w, high_w) & F.col("ratio").between(low_r, high_r)
+    u, v = (F.col("ratio") - low_r) * per_r, (F.col("_w") - low_w) * per_w
+    i, j = F.least(F.floor(u), F.lit(int((high_r - low_r) * per_r) - 1)), F.least(F.floor(v), F.lit(int((high_w - low_w) * per_w) - 1))
+    at = scaled.where(inside).withColumns({"_i": i.cast("int"), "_j": j.cast("int"), "_a": v - j, "_b": u - i})
+    corners = F.explode(F.array(*[F.struct((F.col("_i") + p).alias("ratio_step"), (F.col("_j") + q).alias("width_step"), ((F.col("_b") if p else 1 - F.col("_b")) * (F.col("_a") if q else 1 - F.col("_a"))).alias("share")) for p in (0, 1) for q in (0, 1)]))
+    met = at.select("id", "sigma", corners.alias("c")).select("id", "sigma", "c.*").join(table, ["ratio_step", "width_step"])
+    unit = F.when(F.col("quantity") == QUANTITIES[1], 1.0).otherwise(F.col("sigma"))
+    found = met.groupBy("id").agg(*[F.sum(F.when(F.col("quantity") == q, F.col("share") * F.col("value") * unit)).alias(f"_{q}") for q in QUANTITIES])
+    return lines.join(found, "id", "left").select(*lines.columns, *[F.coalesce(f"_{q}", F.lit(0.0)).alias(f"true_{q}") for q in QUANTITIES])

@@ -44,6 +44,17 @@ def directions() -> Column:
     return F.zip_with("gx", "gy", lambda x, y: F.lit(0.5) * F.atan2(2 * x * y, y * y - x * x))
 
 
+def energy() -> Column:
+    """The tensor's energy at each pixel from gx and gy, from 0 to 1 between the image's 2nd and 98th percentile."""
+    raw = F.zip_with("gx", "gy", lambda x, y: x * x + y * y)
+
+    def spread(e: Column) -> Column:
+        ends = F.struct(R.percentile(e, 0.02).alias("low"), R.percentile(e, 0.98).alias("high"))
+        return R.let(ends, lambda b: F.transform(e, lambda v: F.least(F.greatest((v - b["low"]) / (b["high"] - b["low"] + 1e-20), F.lit(0.0)), F.lit(1.0))))
+
+    return R.let(raw, spread)
+
+
 def circular_variance(column: str) -> Column:
     """1 less the length of the mean of unit vectors at twice the angle."""
     c = R.mean(F.transform(column, lambda a: F.cos(2 * a)))

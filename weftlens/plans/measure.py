@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import scalar
 from ..operators import kernels as K, raster, tabular as T
-from ..sources import params as P
+from ..sources import params as P, sinks
 
 # fixed values: names of the result columns
 NAMES = {
@@ -312,3 +312,47 @@ def patient_scores(metrics: DataFrame) -> DataFrame:
     columns = ["bend", "alignment", "coverage", "endpoint_density", "thickness", "fractal", "lacunarity", "length", "gap_mean"]
     stats = T.group_statistics(named, ["patient_id"], columns, "image", ["image_type", "tissue_type"])
     return T.composite_scores(stats, "bend_mean", "alignment_mean", "coverage_mean", "endpoint_density_mean", "thickness_mean", "fractal_mean")
+
+
+# fixed values: names of the columns of the tables for regions, matrices, patients and scores
+ROI_COLUMNS = {"image": "Image", "roi_area": "Area (ROI)", "roi_share": "% ROI Area", "width_area": "Area (WIDTH)", "width_share": "% WIDTH Area", "intensity_roi": "Mean Fibre Intensity (ROI)", "intensity_width": "Mean Fibre Intensity (WIDTH)", "intensity_hdm": "Mean Fibre Intensity (HDM)"}
+HDM_COLUMNS = {"image": "Image", "hdm_share": "% HDM Area"}
+META_COLUMNS = {"patient_id": "Patient", "n_rois": "No. of ROIs", "image_type": "Image Type", "tissue_type": "Tissue Type"}
+SCORE_COLUMNS = {"rigidity": "Rigidity Score", "bundling": "Bundling Score"}
+
+
+def roi_table(metrics: DataFrame) -> DataFrame:
+    return metrics.select(*[F.col(k).alias(v) for k, v in ROI_COLUMNS.items()])
+
+
+def hdm_table(metrics: DataFrame) -> DataFrame:
+    return metrics.select(*[F.col(k).alias(v) for k, v in HDM_COLUMNS.items()])
+
+
+def patient_statistics(metrics: DataFrame, windows: list[int]) -> DataFrame:
+    """One row a patient: regions, types of the first one by name, and mean, deviation and error of every number of for_sink()."""
+    wide = for_sink(metrics, windows)
+    numbers = [c for c in T.numeric_columns(wide)]
+    short = {c: f"m{k}" for k, c in enumerate(numbers)}
+    parts = scalar.image_name_parts(F.col("image"))
+    plain = wide.select(F.col("Image").alias("image"), *[F.col(f"`{c}`").alias(s) for c, s in short.items()])
+    named = plain.withColumns({k: parts[k] for k in ("patient_id", "image_type", "tissue_type")})
+    stats = T.group_statistics(named, ["patient_id"], list(short.values()), "image", ["image_type", "tissue_type"])
+    return stats.select(*[F.col(k).alias(v) for k, v in META_COLUMNS.items()], *[F.col(f"{s}_{e}").alias(f"{c} {e.upper()}") for c, s in short.items() for e in ("mean", "std", "sem")])
+
+
+def score_table(metrics: DataFrame, windows: list[int]) -> DataFrame:
+    """The patients' means of every number with their scores."""
+    stats = patient_statistics(metrics, windows)
+    scores = patient_scores(metrics).select(F.col("patient_id").alias("_patient"), *[F.col(k).alias(v) for k, v in SCORE_COLUMNS.items()])
+    kept = [*META_COLUMNS.values(), *[c for c in stats.columns if c.endswith(" MEAN")]]
+    both = stats.join(scores, F.col("Patient").eqNullSafe(F.col("_patient")))
+    return both.select(*[F.col(f"`{c}`") for c in [*kept, *SCORE_COLUMNS.values()]])
+
+
+def write_run(metrics: DataFrame, folder: str, windows: list[int]) -> list[str]:
+    """All result tables of a run as CSV and Parquet; their names. metrics should be a table that has been written, as each one reads it."""
+    tables = {"QuantificationResults": for_sink(metrics, windows), "ResultsROI": roi_table(metrics), "ResultsHDM": hdm_table(metrics), "PatientStatistics": patient_statistics(metrics, windows), "PatientScores": score_table(metrics, windows)}
+    for name, table in tables.items():
+        sinks.write_results(table, folder, name)
+    return list(tables)

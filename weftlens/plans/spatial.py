@@ -11,9 +11,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graphs, pixels as X, points as O, raster as R
+from ..functions import scalar
+from ..operators import graphs, pixels as X, points as O, raster as R, tabular as T, tensor
 from ..sources import tables
-from .catalog import query, r6
+from .catalog import GX, GY, PIXELS, POINTS, SIDE as EIGHT, _AXX, _AXY, _AYY, images, near, points, query, r6
 
 GRID = 64
 CELLS = f"c AS (SELECT l_suppkey AS image_id, (l_partkey * 7 % {GRID})::BIGINT AS y, (l_orderkey * 13 % {GRID})::BIGINT AS x, count(*)::DOUBLE AS v FROM lineitem GROUP BY ALL)"
@@ -170,3 +171,68 @@ SELECT k, gy::BIGINT AS y, count(*) AS pixels, sum(gx)::BIGINT AS columns FROM n
 def outline_pixels(spark, sf):
     v = tables.table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("idx"), (F.col("c_acctbal") / 200).alias("y"), ((F.col("c_custkey") * 7 % 64) + F.lit(0.5)).alias("x"))
     return O.outline_pixels(v, "k").groupBy("k", "y").agg(F.count("*").alias("pixels"), F.sum("x").alias("columns"))
+
+
+# ---- measures that the per-image kernels also have
+
+
+@query(
+    f"""WITH {POINTS}, l AS (SELECT user_id, list({{'id': event_id, 'y': y::DOUBLE, 'x': x}} ORDER BY ts, event_id) AS p, count(*) AS n FROM p GROUP BY user_id), i AS (SELECT user_id, p, n, least(3, n - 1) AS s, unnest(range(n)) AS i FROM l),
+b AS (SELECT user_id, p[i + 1] AS h, CASE WHEN i >= s THEN p[i - s + 1].y ELSE 2 * p[1].y - p[s - i + 1].y END AS y0, CASE WHEN i >= s THEN p[i - s + 1].x ELSE 2 * p[1].x - p[s - i + 1].x END AS x0, CASE WHEN i + s < n THEN p[i + s + 1].y ELSE 2 * p[n].y - p[2 * n - 1 - i - s].y END AS y1, CASE WHEN i + s < n THEN p[i + s + 1].x ELSE 2 * p[n].x - p[2 * n - 1 - i - s].x END AS x1 FROM i)
+SELECT user_id, h.id AS event_id, round(degrees(abs(atan2((h.x - x0) * (y1 - h.y) - (h.y - y0) * (x1 - h.x), (h.y - y0) * (y1 - h.y) + (h.x - x0) * (x1 - h.x)))), 6) AS angle FROM b"""
+)
+def reflected_curvature(spark, sf):
+    return T.reflected_curvature(points(spark, sf), "user_id", ["ts", "event_id"], "y", "x", 3).select("user_id", "event_id", r6("angle", "angle"))
+
+
+@query(
+    f"""WITH {PIXELS}, g AS (SELECT image_id, i, ({GX}) AS gx, ({GY}) AS gy FROM px), e AS (SELECT image_id, list(gx * gx + gy * gy) AS l FROM g GROUP BY image_id), q AS (SELECT image_id, l, list_aggregate(l, 'quantile_cont', 0.02) AS low, list_aggregate(l, 'quantile_cont', 0.98) AS high FROM e),
+v AS (SELECT image_id, least(greatest((unnest(l) - low) / (high - low + 1e-20), 0), 1) AS v FROM q) SELECT image_id, round(avg(v), 6) AS mean, count(*) FILTER (WHERE v >= 1) AS full FROM v GROUP BY image_id"""
+)
+def energy_map(spark, sf):
+    e = tensor.gradients(images(spark, sf), "v", EIGHT, EIGHT).withColumn("e", tensor.energy())
+    return e.select("image_id", r6(R.mean(F.col("e")), "mean"), F.size(F.filter("e", lambda v: v >= 1)).cast("long").alias("full"))
+
+
+_SLOPE = f"(({near(0, 1)} - {near(0, -1)}) / 2) AS gx, (({near(1, 0)} - {near(-1, 0)}) / 2) AS gy"
+
+
+@query(
+    f"""WITH {PIXELS}, h AS (SELECT image_id, i, {_AXX} AS a, {_AXY} AS b, {_AYY} AS c, {_SLOPE} FROM px), m AS (SELECT *, (a + c) / 2 AS mid, sqrt((a - c) * (a - c) / 4 + b * b) AS off FROM h), t AS (SELECT *, CASE WHEN mid >= 0 THEN mid + off ELSE mid - off END AS top FROM m),
+n AS (SELECT *, CASE WHEN abs(b) < 1e-12 THEN (abs(a) >= abs(c))::INT ELSE b / sqrt(b * b + (top - a) * (top - a)) END AS nx, CASE WHEN abs(b) < 1e-12 THEN (abs(a) < abs(c))::INT ELSE (top - a) / sqrt(b * b + (top - a) * (top - a)) END AS ny FROM t),
+o AS (SELECT image_id, -(gy * ny + gx * nx) / (top + 1e-12) * ny AS dy, -(gy * ny + gx * nx) / (top + 1e-12) * nx AS dx FROM n) SELECT image_id, count(*) FILTER (WHERE abs(dy) <= 0.6 AND abs(dx) <= 0.6) AS points, round(sum(least(abs(dy), 1) + least(abs(dx), 1)), 5) AS moved FROM o GROUP BY image_id"""
+)
+def line_points(spark, sf):
+    """Pixels whose extremum across the strongest curvature lies within them, and how far it is off, at most a pixel an axis."""
+    kernels = {"a": ((1, -2, 1),), "b": ((0.25, 0, -0.25), (0, 0, 0), (-0.25, 0, 0.25)), "c": ((1,), (-2,), (1,)), "gx": ((-0.5, 0, 0.5),), "gy": ((-0.5,), (0,), (0.5,))}
+    h = images(spark, sf).withColumns({k: R.convolve(F.col("v"), m, EIGHT, EIGHT, "nearest") for k, m in kernels.items()})
+    one = h.select("image_id", F.explode(F.arrays_zip(*kernels)).alias("t")).select("image_id", "t.*")
+    top, nx, ny = scalar.strongest_normal(F.col("a"), F.col("b"), F.col("c"))
+    known = one.withColumns({"top": top, "nx": nx, "ny": ny})
+    dy, dx = scalar.subpixel_offset(F.lit(0.0), F.col("ny"), F.col("nx"), F.col("gy"), F.col("gx"), F.col("top"))
+    off = known.withColumns({"dy": F.abs(dy), "dx": F.abs(dx)})
+    return off.groupBy("image_id").agg(F.count_if((F.col("dy") <= 0.6) & (F.col("dx") <= 0.6)).alias("points"), F.round(F.sum(F.least("dy", F.lit(1.0)) + F.least("dx", F.lit(1.0))), 5).alias("moved"))
+
+
+@query("SELECT p_partkey, round(p_size / (2 * sqrt(3)) + 0.5, 6) AS sigma, (CASE WHEN p_partkey % 2 = 0 THEN 255 - p_size * 5 ELSE p_size * 5 END)::INT AS contrast FROM part")
+def detection_scales(spark, sf):
+    """The Gaussian for each line width, and contrasts turned round for dark lines."""
+    p = tables.table(spark, sf, "part")
+    return p.select("p_partkey", r6(scalar.sigma_of_width(F.col("p_size")), "sigma"), scalar.swap_contrast(F.col("p_size") * 5, F.col("p_partkey") % 2 == 0).cast("int").alias("contrast"))
+
+
+_NAMED = "CASE l_linenumber % 5 " + " ".join(f"WHEN {k} THEN '{q}'" for k, q in enumerate(T.QUANTITIES)) + " END"
+
+
+@query(
+    f"""WITH t AS (SELECT (l_suppkey % 21)::INT AS i, (l_partkey % 41)::INT AS j, {_NAMED} AS q, avg(l_quantity) AS v FROM lineitem GROUP BY ALL), p AS (SELECT o_orderkey AS id, (1 + o_custkey % 5)::DOUBLE AS sigma, o_totalprice % 30 AS width, (o_orderkey % 1009) / 1000.0::DOUBLE AS ratio FROM orders),
+s AS (SELECT *, width / sigma AS w FROM p), c AS (SELECT id, sigma, least(floor(ratio * 20), 19)::INT AS i, least(floor((w - 2) * 10), 39)::INT AS j, ratio * 20 - least(floor(ratio * 20), 19) AS b, (w - 2) * 10 - least(floor((w - 2) * 10), 39) AS a FROM s WHERE w BETWEEN 2 AND 6 AND ratio BETWEEN 0 AND 1),
+m AS (SELECT c.id, t.q, sum((CASE WHEN di = 1 THEN b ELSE 1 - b END) * (CASE WHEN dj = 1 THEN a ELSE 1 - a END) * v * CASE WHEN t.q = 'asymmetry' THEN 1 ELSE sigma END) AS v FROM c, (SELECT unnest([0, 1]) AS di), (SELECT unnest([0, 1]) AS dj), t WHERE t.i = c.i + di AND t.j = c.j + dj GROUP BY ALL)
+SELECT p.id, {", ".join(f"round(coalesce(max(m.v) FILTER (WHERE m.q = '{q}'), 0), 6) AS true_{q}" for q in T.QUANTITIES)} FROM p LEFT JOIN m ON m.id = p.id GROUP BY p.id"""
+)
+def line_corrections(spark, sf):
+    """Widths of orders corrected by a table of means over lineitem: 21 x 41 steps of five quantities."""
+    li, o = tables.table(spark, sf, "lineitem"), tables.table(spark, sf, "orders")
+    table = li.groupBy((F.col("l_suppkey") % 21).cast("int").alias("ratio_step"), (F.col("l_partkey") % 41).cast("int").alias("width_step"), F.expr(_NAMED).alias("quantity")).agg(F.avg("l_quantity").alias("value"))
+    p = o.select(F.col("o_orderkey").alias("id"), (1 + F.col("o_custkey") % 5).cast("double").alias("sigma"), (F.col("o_totalprice") % 30).alias("width"), ((F.col("o_orderkey") % 1009) / 1000.0).alias("ratio"))
+    return T.line_corrections(p, table).select("id", *[r6(f"true_{q}", f"true_{q}") for q in T.QUANTITIES])

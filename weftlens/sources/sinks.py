@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def rounded(df: DataFrame, places: int = 3) -> DataFrame:
-    return df.select(*[F.round(f.name, places).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`") for f in df.schema])
+    return df.select(*[F.round(F.col(f"`{f.name}`"), places).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`") for f in df.schema])
 
 
 def write_results(df: DataFrame, folder: str, name: str, partition: str | None = None) -> None:
@@ -21,6 +21,37 @@ def write_results(df: DataFrame, folder: str, name: str, partition: str | None =
         writer.option("header", True).format(kind).save(f"{folder}/{name}.{kind}")
 
 
+def export_images(images: DataFrame, folder: str) -> DataFrame:
+    """Writes each raster (image_id, height, width, n_channels, data) as {image_id}.png into folder; image_id, path and n_bytes.
+
+    Tasks write the files, each under a name of its own that is then renamed, so a task that runs twice leaves one whole file. The folder
+    must be one that all executors reach. The files are written when the result is read.
+    """
+
+    def run(batches):
+        import uuid
+
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+
+        from .images import encode_png
+
+        where, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        where.create_dir(root, recursive=True)
+        for batch in batches:
+            for image_id, h, w, c, data in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                png = encode_png(np.frombuffer(data, np.uint8).reshape(h, w, c))
+                path, part = f"{root}/{image_id}.png", f"{root}/.{image_id}-{uuid.uuid4().hex}"
+                with where.open_output_stream(part) as out:
+                    out.write(png)
+                where.move(part, path)
+                yield pa.record_batch([pa.array([image_id]), pa.array([path]), pa.array([len(png)], pa.int64())], names=["image_id", "path", "n_bytes"])
+
+    able = images.where("data is not null").select(F.col("image_id").cast("string"), "height", "width", "n_channels", "data")
+    return able.mapInArrow(run, "image_id string, path string, n_bytes long")
+
+
 def read_results(spark, folder: str, name: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(f"{folder}/{name}.csv")
 
