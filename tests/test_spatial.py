@@ -261,3 +261,90 @@ def test_line_corrections_by_hand(spark):
                 want = sum((b if p else 1 - b) * (a if r else 1 - a) * value.get((i + p, j + r, q), 0.0) for p in (0, 1) for r in (0, 1)) * (1 if q == "asymmetry" else sigma)
             assert math.isclose(got[k][f"true_{q}"], want, abs_tol=1e-9)
     assert len(got) == len(lines)
+
+
+def thinned_by_hand(cells):
+    """The same borders taken off one half round at a time, pixel by pixel."""
+    now, still, k = set(cells), 0, 0
+    while still < 2 and now:
+        gone = set()
+        for y, x in now:
+            p = [(y + dy, x + dx) in now for dy, dx in X.AROUND]
+            n, e, s, w = p[0], p[2], p[4], p[6]
+            turns = sum(not a and b for a, b in zip(p, p[1:] + p[:1], strict=True))
+            ok = not (n and e and s) and not (e and s and w) if k % 2 == 0 else not (n and e and w) and not (n and s and w)
+            if 2 <= sum(p) <= 6 and turns == 1 and ok:
+                gone.add((y, x))
+        now, still, k = now - gone, 0 if gone else still + 1, k + 1
+    return now
+
+
+def test_thin_lines_and_key_points(spark):
+    rng = random.Random(10)
+    images = {1: {(y, x) for y in range(4, 9) for x in range(30)} | {(y, x) for y in range(25) for x in range(12, 16)}, 2: {(y, x) for y in range(20) for x in range(20) if rng.random() < 0.7}, 3: {(5, 5)}, 4: {(y, x) for y in range(15) for x in range(15) if 16 < (y - 7) ** 2 + (x - 7) ** 2 < 50}}
+    df = spark.createDataFrame([(i, y, x) for i, c in images.items() for y, x in c] * 2, "image_id long, y long, x long")
+    got = collections.defaultdict(set)
+    lines = X.thinned(df)
+    for i, y, x in lines.collect():
+        got[i].add((y, x))
+    assert got == {i: thinned_by_hand(c) for i, c in images.items()}
+    kinds = {tuple(r) for r in X.key_points(lines).collect()}
+    want = set()
+    for i, c in got.items():
+        for y, x in c:
+            p = [(y + dy, x + dx) in c for dy, dx in X.AROUND]
+            turns = sum(not a and b for a, b in zip(p, p[1:] + p[:1], strict=True))
+            if sum(p) == 1 or turns >= 3:
+                want.add((i, y, x, "end" if sum(p) == 1 else "junction"))
+    assert kinds == want and {k for *_, k in kinds} == {"end", "junction"}
+    assert X.thinned(df.where("false")).collect() == []
+
+
+def test_holes_are_filled_by_size(spark):
+    rng = random.Random(11)
+    h, w = 14, 17
+    cells = {(y, x) for y in range(h) for x in range(w) if rng.random() < 0.68}
+    df = spark.createDataFrame([(1, y, x) for y, x in cells], "image_id long, y long, x long")
+    free = {(y, x) for y in range(h) for x in range(w)} - cells
+    root = labels_by_hand(free, False)
+    size = collections.Counter(root.values())
+    open_ = {root[p] for p in free if p[0] in (0, h - 1) or p[1] in (0, w - 1)}
+    want = cells | {p for p in free if root[p] not in open_ and size[root[p]] < 3}
+    assert {(r["y"], r["x"]) for r in X.without_small_holes(df, h, w, 3).collect()} == want and want != cells
+
+
+def test_gap_circles_of_all_rounds(spark):
+    rng = random.Random(12)
+    h, w, least, apart = 24, 30, 1.5, 2
+    mask = {(rng.randrange(h), rng.randrange(w)) for _ in range(12)}
+    df = spark.createDataFrame([(1, y, x) for y, x in mask], "image_id long, y long, x long")
+    got = X.gap_circles(df, h, w, least, apart)
+    taken, k, now = [], 0, set(mask)
+    while True:
+        k += 1
+        d = {(y, x): min((y - a) ** 2 + (x - b) ** 2 for a, b in now) for y in range(h) for x in range(w)}
+        able = [(v, y, x) for (y, x), v in d.items() if v > least**2 and v == max(d.get((y + i, x + j), 0) for i in range(-apart, apart + 1) for j in range(-apart, apart + 1))]
+        new = []
+        for v, y, x in sorted(able, key=lambda c: (-c[0], c[1], c[2])):
+            if all(math.hypot(y - a, x - b) >= math.sqrt(v) + r for a, b, r, _ in new):
+                new.append((y, x, math.sqrt(v), k))
+        if not new:
+            break
+        taken += new
+        now |= {(y + i, x + j) for y, x, r, _ in new for i in range(-int(r), int(r) + 1) for j in range(-int(r), int(r) + 1) if i * i + j * j <= int(r) ** 2 and 0 <= y + i < h and 0 <= x + j < w}
+    assert k > 2 and {(r["y"], r["x"], r["r"], r["round"]) for r in got.collect()} == {(float(y), float(x), r, n) for y, x, r, n in taken}
+    region = spark.createDataFrame([(1, y, x) for y in range(12) for x in range(w)], "image_id long, y long, x long")
+    assert X.inside(got, region).count() == sum(y < 12 for y, *_ in taken)
+
+
+def test_line_pixels_and_samples(spark):
+    rows = [(k, y0, x0, y1, x1) for k, (y0, x0, y1, x1) in enumerate([(0, 0, 0, 0), (0, 0, 3, 9), (5, 5, 0, 2), (2, 7, 2, 0), (-3, 4, 4, -3)])]
+    got = collections.defaultdict(list)
+    for r in sorted(X.line_pixels(spark.createDataFrame(rows, "id long, y0 long, x0 long, y1 long, x1 long")).collect(), key=lambda r: (r["id"], r["at"])):
+        got[r["id"]].append((r["y"], r["x"]))
+    for k, y0, x0, y1, x1 in rows:
+        n = max(abs(y1 - y0), abs(x1 - x0))
+        assert got[k] == [(math.floor(y0 + t * (y1 - y0) / n + 0.5), math.floor(x0 + t * (x1 - x0) / n + 0.5)) if n else (y0, x0) for t in range(n + 1)] and got[k][-1] == (y1, x1)
+    raster = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 1, 3.0), (1, 1, 0, 5.0), (1, 1, 1, 9.0)], "image_id long, y long, x long, v double")
+    ask = spark.createDataFrame([(1, 1, 0.5, 0.5), (1, 2, 0.0, 0.25), (1, 3, 1.0, 1.0), (1, 4, 1.5, 0.0), (1, 5, 9.0, 9.0)], "image_id long, id long, y double, x double")
+    assert {r["id"]: r["value"] for r in X.sampled(ask, raster).collect()} == {1: 4.5, 2: 1.5, 3: 9.0, 4: 2.5, 5: 0.0}

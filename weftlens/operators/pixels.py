@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import Scratch
 from .graphs import components
 from .raster import let
+from .points import chosen_circles
 from .tabular import gaps_filled
 
 #: A pixel's number is its row times this and its column, so numbers go in raster order.
@@ -215,3 +216,142 @@ def pixel_graph(pixels: DataFrame) -> DataFrame:
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(math.hypot(dy, dx)).alias("length")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
     ask = one.select("image_id", (F.col("y") * ROW + F.col("x")).alias("src"), "y", "x", F.explode(steps).alias("s")).select("image_id", "src", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "s.length")
     return ask.join(one, ["image_id", "y", "x"]).select("image_id", "src", (F.col("y") * ROW + F.col("x")).alias("dst"), "length")
+
+
+#: Neighbours clockwise from the one above; the k-th sets bit k of a code.
+AROUND = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+UP, RIGHT, DOWN, LEFT = 1, 4, 16, 64
+
+
+def neighbour_codes(pixels: DataFrame) -> DataFrame:
+    """(image_id, y, x, code) of distinct pixels: which of the eight around each are set, as bits in the order of AROUND.
+
+    Each pixel tells its neighbours; what they hear adds up before and after one shuffle.
+    """
+    one = pixels.select("image_id", "y", "x").distinct()
+    tell = F.explode(F.array(F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx"), F.lit(256).alias("bit")), *[F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx"), F.lit(1 << k).alias("bit")) for k, (dy, dx) in enumerate(AROUND)])).alias("t")
+    heard = one.select("*", tell).select("image_id", (F.col("y") + F.col("t.dy")).alias("y"), (F.col("x") + F.col("t.dx")).alias("x"), "t.bit")
+    return heard.groupBy("image_id", "y", "x").agg(F.sum("bit").cast("int").alias("code")).where("code >= 256").select("image_id", "y", "x", (F.col("code") - 256).alias("code"))
+
+
+def neighbours_of(code: Column) -> Column:
+    return F.bit_count(code)
+
+
+def crossings_of(code: Column) -> Column:
+    """How often unset turns to set on the way around a pixel."""
+    turned = F.shiftright(code, 1).bitwiseOR(F.shiftleft(code.bitwiseAND(1), 7))
+    return F.bit_count(turned.bitwiseAND(F.bitwise_not(code)).bitwiseAND(255))
+
+
+def matches(code: Column, patterns: Sequence[Sequence[Sequence[int]]]) -> Column:
+    """Whether any of the 3 x 3 patterns fits around a set pixel: 1 set, 0 unset, -1 either; its middle is 1."""
+    hits = []
+    for p in patterns:
+        care = sum(1 << k for k, (dy, dx) in enumerate(AROUND) if p[1 + dy][1 + dx] >= 0)
+        want = sum(1 << k for k, (dy, dx) in enumerate(AROUND) if p[1 + dy][1 + dx] == 1)
+        hits.append(code.bitwiseAND(care) == want)
+    out = hits[0]
+    for h in hits[1:]:
+        out = out | h
+    return out
+
+
+def thinned(pixels: DataFrame) -> DataFrame:
+    """(image_id, y, x) of the lines that are left of pixels when borders are taken off alternately from two sides.
+
+    A pixel goes in a half round if it has two to six neighbours, one crossing, and lacks a neighbour on the sides in turn; all of a half round go at a
+    time, so the result doesn't hang on partitions. Each half round is one shuffle and a table; rounds grow with the width of what is thinned.
+    """
+    shelf = Scratch(pixels.sparkSession, "thinned")
+    now, still, k = shelf.table(pixels.select("image_id", "y", "x").distinct(), "round-0"), 0, 0
+    n = now.count()
+    while still < 2 and n:
+        sides = ((UP | RIGHT | DOWN, RIGHT | DOWN | LEFT), (UP | RIGHT | LEFT, UP | DOWN | LEFT))[k % 2]
+        code = F.col("code")
+        goes = neighbours_of(code).between(2, 6) & (crossings_of(code) == 1)
+        for s in sides:
+            goes &= code.bitwiseAND(s) != s
+        k += 1
+        now = shelf.table(neighbour_codes(now).where(~goes).select("image_id", "y", "x"), f"round-{k}")
+        shelf.drop(f"round-{k - 1}")
+        left = now.count()
+        still, n = (still + 1 if left == n else 0), left
+    return now
+
+
+def key_points(lines: DataFrame) -> DataFrame:
+    """(image_id, y, x, kind) of the ends (one neighbour) and junctions (three crossings or more) of thin lines."""
+    code = F.col("code")
+    kind = F.when(neighbours_of(code) == 1, "end").when(crossings_of(code) >= 3, "junction")
+    return neighbour_codes(lines).withColumn("kind", kind).where("kind is not null").drop("code")
+
+
+def without_small_holes(pixels: DataFrame, height: int, width: int, least: int) -> DataFrame:
+    """(image_id, y, x) of pixels and of the holes in them of fewer than least pixels, that is those not joined to the border by a side."""
+    one = pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct()
+    grid = one.select("image_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long")))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
+    free = grid.join(one, ["image_id", "y", "x"], "left_anti")
+    border = ((F.col("y") == 0) | (F.col("y") == height - 1) | (F.col("x") == 0) | (F.col("x") == width - 1)).cast("double")
+    holes = labelled_runs(free.withColumn("v", border), corners=False).where((F.col("peak") == 0) & (F.col("size") < least))
+    return one.union(of_runs(holes).select("image_id", "y", "x"))
+
+
+def gap_circles(pixels: DataFrame, height: int, width: int, least: float, apart: int, rounds: int | None = None) -> DataFrame:
+    """Circles (image_id, y, x, r, round) that fill the gaps between pixels: largest first, none over another of its round.
+
+    A round takes the distances to the pixels, the places that are the largest within apart on both axes and farther than least, and the greedy
+    choice among their circles; the discs of what it took are pixels for the next one. It ends when no place is left, or after so many rounds.
+    """
+    shelf = Scratch(pixels.sparkSession, "gaps")
+    mask, found, k = shelf.table(pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct(), "mask-0"), [], 0
+    while rounds is None or k < rounds:
+        d = distances(mask, height, width)
+        across = Window.partitionBy("image_id", "y").orderBy("x").rangeBetween(-apart, apart)
+        down = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-apart, apart)
+        top = d.withColumn("_row", F.max("d2").over(across)).withColumn("_top", F.max("_row").over(down))
+        able = top.where((F.col("d2") == F.col("_top")) & (F.col("d2") > least * least)).select("image_id", (F.col("y") * ROW + F.col("x")).alias("id"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.sqrt("d2").alias("r"))
+        k += 1
+        new = shelf.table(chosen_circles(shelf.table(able, f"able-{k}"), "image_id").withColumn("round", F.lit(k)), f"round-{k}")
+        if new.isEmpty():
+            break
+        found.append(new)
+        whole = F.floor("r").cast("long")
+        rows = new.withColumns({"_r": whole, "_dy": F.explode(F.sequence(-whole, whole))}).withColumn("_w", F.floor(F.sqrt(F.col("_r") * F.col("_r") - F.col("_dy") * F.col("_dy"))))
+        disc = rows.select("image_id", (F.col("y") + F.col("_dy")).cast("long").alias("y"), F.explode(F.sequence((F.col("x") - F.col("_w")).cast("long"), (F.col("x") + F.col("_w")).cast("long"))).alias("x")).where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+        mask = shelf.table(mask.union(disc).distinct(), f"mask-{k}")
+        shelf.drop(f"mask-{k - 1}", f"able-{k}")
+    if not found:
+        return pixels.sparkSession.createDataFrame([], f"image_id {dict(pixels.dtypes)['image_id']}, y double, x double, r double, round int")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.select("image_id", "y", "x", "r", "round")
+
+
+def inside(circles: DataFrame, region: DataFrame) -> DataFrame:
+    """The circles whose centre is a pixel of region (image_id, y, x)."""
+    places = region.select("image_id", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")).distinct()
+    return circles.join(places, ["image_id", "y", "x"], "left_semi")
+
+
+def line_pixels(segments: DataFrame) -> DataFrame:
+    """(segment columns, at, y, x): the pixels of segments (y0, x0, y1, x1 whole numbers), one for each step of the longer axis."""
+    dy, dx = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
+    n = F.greatest(F.abs(dy), F.abs(dx))
+    steps = segments.withColumn("_n", n).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long"))))
+
+    def along(start: str, step: Column) -> Column:
+        # half steps go up; whole numbers throughout, so no rounding error moves a pixel
+        return F.when(F.col("_n") == 0, F.col(start)).otherwise(F.col(start) + F.floor((2 * F.col("at") * step + F.col("_n")) / F.when(F.col("_n") > 0, 2 * F.col("_n")))).cast("long")
+
+    return steps.select(*segments.columns, "at", along("y0", dy).alias("y"), along("x0", dx).alias("x"))
+
+
+def sampled(points: DataFrame, raster: DataFrame) -> DataFrame:
+    """points (image_id, id, y, x) with value, bilinear between the four pixels of raster (image_id, y, x, v) around; missing pixels are 0."""
+    at = points.withColumns({"_y": F.floor("y"), "_x": F.floor("x")}).withColumns({"_a": F.col("y") - F.col("_y"), "_b": F.col("x") - F.col("_x")})
+    corners = F.explode(F.array(*[F.struct((F.col("_y") + i).alias("y"), (F.col("_x") + j).alias("x"), ((F.col("_a") if i else 1 - F.col("_a")) * (F.col("_b") if j else 1 - F.col("_b"))).alias("share")) for i in (0, 1) for j in (0, 1)]))
+    met = at.select("image_id", "id", corners.alias("c")).select("image_id", "id", "c.*").where("share > 0")
+    summed = met.join(raster.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "v"), ["image_id", "y", "x"]).groupBy("image_id", "id").agg(F.sum(F.col("share") * F.col("v")).alias("value"))
+    return points.join(summed, ["image_id", "id"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kernels as K
+from ..operators import kernels as K, pixels as X
 from ..sources import tables
 from .catalog import query
 
@@ -45,25 +45,22 @@ def supplier_rasters(spark: SparkSession, sf: str) -> DataFrame:
 NATION = "c AS (SELECT DISTINCT c_nationkey AS image_id, (c_custkey * 7 % 64)::INT AS y, ((floor(c_acctbal)::BIGINT % 64 + 64) % 64)::INT AS x FROM customer)"
 
 
-def nation_rasters(spark: SparkSession, sf: str) -> DataFrame:
+def nation_cells(spark: SparkSession, sf: str) -> DataFrame:
     c = tables.table(spark, sf, "customer")
-    return rasters(c.select(F.col("c_nationkey").alias("image_id"), (F.col("c_custkey") * 7 % GRID).cast("int").alias("y"), F.pmod(F.floor("c_acctbal").cast("long"), F.lit(GRID)).cast("int").alias("x"), F.lit(1.0).alias("v")))
+    return c.select(F.col("c_nationkey").alias("image_id"), (F.col("c_custkey") * 7 % GRID).alias("y"), F.pmod(F.floor("c_acctbal").cast("long"), F.lit(GRID)).cast("long").alias("x"), F.lit(1.0).alias("v"))
 
 
 @query(
     f"WITH {NATION}, g AS (SELECT image_id, y, x FROM (SELECT DISTINCT image_id FROM c), (SELECT unnest(range(64))::INT AS y), (SELECT unnest(range(64))::INT AS x)), d AS (SELECT g.image_id, g.y, g.x, min((g.y - c.y) ** 2 + (g.x - c.x) ** 2) AS d FROM g JOIN c USING (image_id) GROUP BY ALL) SELECT image_id, round(max(sqrt(d)), 6) AS farthest, round(sum(sqrt(d)), 6) AS total FROM d GROUP BY image_id"
 )
 def distance_transform(spark, sf):
-    def fn(m):
-        d = K.distances(m == 0)
-        return [(round(float(d.max()), 6), float(d.sum()))]
-
-    return K.per_image(nation_rasters(spark, sf), fn, "farthest double, total double").select("image_id", "farthest", F.round("total", 6).alias("total"))
+    d = X.distances(nation_cells(spark, sf), GRID, GRID)
+    return d.groupBy("image_id").agg(F.round(F.max(F.sqrt("d2")), 6).alias("farthest"), F.round(F.sum(F.sqrt("d2")), 6).alias("total"))
 
 
 @query(f"WITH {NATION}, k AS (SELECT image_id, count(*) AS pixels FROM c GROUP BY image_id) SELECT image_id, pixels FROM k")
 def mask_pixels(spark, sf):
-    return K.per_image(nation_rasters(spark, sf), lambda m: [(int((m > 0).sum()),)], "pixels long")
+    return nation_cells(spark, sf).distinct().groupBy("image_id").agg(F.count("*").alias("pixels"))
 
 
 @query(
@@ -71,7 +68,7 @@ def mask_pixels(spark, sf):
 SELECT image_id, count(DISTINCT m) AS components FROM (SELECT image_id, n, min(root) AS m FROM r GROUP BY ALL) GROUP BY image_id"""
 )
 def raster_components(spark, sf):
-    return K.per_image(nation_rasters(spark, sf), lambda m: [(int(K.labels(m > 0).max()),)], "components long")
+    return X.labelled_runs(nation_cells(spark, sf)).groupBy("image_id").agg(F.count_distinct("root").alias("components"))
 
 
 @query()

@@ -236,3 +236,72 @@ def line_corrections(spark, sf):
     table = li.groupBy((F.col("l_suppkey") % 21).cast("int").alias("ratio_step"), (F.col("l_partkey") % 41).cast("int").alias("width_step"), F.expr(_NAMED).alias("quantity")).agg(F.avg("l_quantity").alias("value"))
     p = o.select(F.col("o_orderkey").alias("id"), (1 + F.col("o_custkey") % 5).cast("double").alias("sigma"), (F.col("o_totalprice") % 30).alias("width"), ((F.col("o_orderkey") % 1009) / 1000.0).alias("ratio"))
     return T.line_corrections(p, table).select("id", *[r6(f"true_{q}", f"true_{q}") for q in T.QUANTITIES])
+
+
+# ---- thin lines, gaps, samples
+
+_CODE = " + ".join(f"{1 << k} * count(*) FILTER (WHERE b.y - a.y = {dy} AND b.x - a.x = {dx})" for k, (dy, dx) in enumerate(X.AROUND))
+_CODES = f"k AS (SELECT a.image_id, a.y, a.x, ({_CODE})::INT AS code FROM c a JOIN c b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL)"
+#: A corner of a line in its four directions.
+CORNERS = (((-1, 1, -1), (0, 1, 1), (0, 0, -1)), ((-1, 1, -1), (1, 1, 0), (-1, 0, 0)), ((0, 0, -1), (0, 1, 1), (-1, 1, -1)), ((-1, 0, 0), (1, 1, 0), (-1, 1, -1)))
+
+
+def _fits(p) -> str:
+    care = sum(1 << k for k, (dy, dx) in enumerate(X.AROUND) if p[1 + dy][1 + dx] >= 0)
+    return f"code & {care} = {sum(1 << k for k, (dy, dx) in enumerate(X.AROUND) if p[1 + dy][1 + dx] == 1)}"
+
+
+@query(f"WITH {CELLS}, {_CODES} SELECT image_id, count(*) FILTER (WHERE bit_count(code) = 0) AS alone, count(*) FILTER (WHERE bit_count(code) = 1) AS ends, count(*) FILTER (WHERE bit_count((((code >> 1) | ((code & 1) << 7)) & ~code & 255)) >= 3) AS junctions, count(*) FILTER (WHERE {' OR '.join(f'({_fits(p)})' for p in CORNERS)}) AS corners FROM k GROUP BY image_id")
+def pixel_patterns(spark, sf):
+    """Lone pixels, ends, junctions, and those that fit one of four patterns."""
+    k = X.neighbour_codes(cells(spark, sf))
+    n, turns = X.neighbours_of(F.col("code")), X.crossings_of(F.col("code"))
+    return k.groupBy("image_id").agg(F.count_if(n == 0).alias("alone"), F.count_if(n == 1).alias("ends"), F.count_if(turns >= 3).alias("junctions"), F.count_if(X.matches(F.col("code"), CORNERS)).alias("corners"))
+
+
+@query()
+def thin_lines(spark, sf):
+    """Key points of the thinned sheets of parts and suppliers."""
+    return X.key_points(X.thinned(sheets(spark, sf)))
+
+
+@query()
+def holes_filled(spark, sf):
+    return X.without_small_holes(cells(spark, sf), GRID, GRID, 5).groupBy("image_id").agg(F.count("*").alias("pixels"))
+
+
+LEAST, APART = 2.0, 3
+
+
+@query(
+    f"""WITH {CELLS}, g AS (SELECT image_id, gy, gx FROM (SELECT DISTINCT image_id FROM c), (SELECT unnest(range({GRID})) AS gy), (SELECT unnest(range({GRID})) AS gx)), d AS (SELECT image_id, gy AS y, gx AS x, min((gy - y) ** 2 + (gx - x) ** 2) AS d FROM g JOIN c USING (image_id) GROUP BY ALL),
+a AS (SELECT *, max(d) OVER (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN {APART} PRECEDING AND {APART} FOLLOWING) AS m FROM d), b AS (SELECT *, max(m) OVER (PARTITION BY image_id, x ORDER BY y RANGE BETWEEN {APART} PRECEDING AND {APART} FOLLOWING) AS t FROM a),
+o AS (SELECT image_id AS k, list([{{'y': y::DOUBLE, 'x': x::DOUBLE, 'r': sqrt(d)}}] ORDER BY d DESC, y, x) AS l FROM b WHERE d = t AND d > {LEAST * LEAST} GROUP BY image_id), t AS (SELECT k, unnest({_TAKE}) AS t FROM o) SELECT k AS image_id, t.y AS y, t.x AS x, round(t.r, 6) AS r FROM t"""
+)
+def widest_gaps(spark, sf):
+    """The first round of gap circles of each supplier's raster."""
+    return X.gap_circles(cells(spark, sf), GRID, GRID, LEAST, APART, rounds=1).select("image_id", "y", "x", r6("r", "r"))
+
+
+_SEGMENTS = f"s AS (SELECT DISTINCT l_suppkey AS k, {ID} AS id, l_partkey * 7 % {GRID} AS y0, l_orderkey * 13 % {GRID} AS x0, l_orderkey * 5 % {GRID} AS y1, l_partkey * 3 % {GRID} AS x1 FROM lineitem)"
+
+
+@query(
+    f"""WITH {_SEGMENTS}, n AS (SELECT *, greatest(abs(y1 - y0), abs(x1 - x0)) AS n FROM s), t AS (SELECT *, unnest(range(n + 1)) AS t FROM n)
+SELECT k, count(*) AS pixels, sum(CASE WHEN n = 0 THEN y0 ELSE y0 + floor((2 * t * (y1 - y0) + n) / (2 * n)::DOUBLE) END)::BIGINT AS rows, sum(CASE WHEN n = 0 THEN x0 ELSE x0 + floor((2 * t * (x1 - x0) + n) / (2 * n)::DOUBLE) END)::BIGINT AS columns FROM t GROUP BY k"""
+)
+def line_pixels(spark, sf):
+    li = tables.table(spark, sf, "lineitem")
+    s = li.select(F.col("l_suppkey").alias("k"), F.expr(ID).alias("id"), *[(F.col(c) * m % GRID).alias(n) for n, c, m in (("y0", "l_partkey", 7), ("x0", "l_orderkey", 13), ("y1", "l_orderkey", 5), ("x1", "l_partkey", 3))]).distinct()
+    return X.line_pixels(s).groupBy("k").agg(F.count("*").alias("pixels"), F.sum("y").alias("rows"), F.sum("x").alias("columns"))
+
+
+@query(
+    f"""WITH {CELLS}, p AS (SELECT l_suppkey AS image_id, {ID} AS id, max(l_extendedprice) % 63 AS y, (max(l_orderkey) * 0.37::DOUBLE) % 63 AS x FROM lineitem GROUP BY ALL), f AS (SELECT *, floor(y)::BIGINT AS fy, floor(x)::BIGINT AS fx FROM p),
+v AS (SELECT f.image_id, id, sum((CASE WHEN i = 1 THEN f.y - fy ELSE 1 - (f.y - fy) END) * (CASE WHEN j = 1 THEN f.x - fx ELSE 1 - (f.x - fx) END) * c.v) AS v FROM f, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j), c WHERE c.image_id = f.image_id AND c.y = fy + i AND c.x = fx + j GROUP BY ALL)
+SELECT p.image_id, round(sum(coalesce(v, 0)), 5) AS total, count(*) FILTER (WHERE v > 0) AS hit FROM p LEFT JOIN v USING (image_id, id) GROUP BY p.image_id"""
+)
+def bilinear_samples(spark, sf):
+    p = tables.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("image_id"), F.expr(ID).alias("id")).agg((F.max("l_extendedprice") % 63).alias("y"), (F.max("l_orderkey") * 0.37 % 63).alias("x"))
+    found = X.sampled(p, cells(spark, sf))
+    return found.groupBy("image_id").agg(F.round(F.sum("value"), 5).alias("total"), F.count_if(F.col("value") > 0).alias("hit"))
