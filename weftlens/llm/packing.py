@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, distinct_words, documents, map_arrow, slices, utf8, words
 
 SEQUENCE, END_ID = 2048, 0
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 200_000
+#: Words whose ids a worker remembers, and half as many pieces of words.
+CACHE_WORDS = 100_000
 #: Bytes of text whose words are looked up together.
 TOKEN_CHUNK = 1 << 20
 #: Rows that share a rank counter; a length's pieces are dealt to this many rows a counter.
@@ -92,7 +92,7 @@ class WordIds:
         """The ids of all rows (utf8()), each row ended by END_ID, and the rows' bounds."""
         if len(self.known) > CACHE_WORDS:
             self._forget()
-        if len(self.pieces) > CACHE_WORDS:
+        if len(self.pieces) > CACHE_WORDS // 2:
             self.pieces.clear()
         starts, ends, bounds = words(raw, off)
         first, which = distinct_words(raw, starts, ends)
