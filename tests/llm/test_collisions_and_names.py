@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from weftlens.llm import gru_lm, minhash_stars, packing, quality_repeats
+from weftlens.llm import gru_lm, minhash_stars, packing, pii_crf, quality_repeats
 
 BITS = [bin(i).count("1") & 1 for i in range(1024)]
 ONE, TWO = "".join("ab"[b] for b in BITS), "".join("ba"[b] for b in BITS)
@@ -146,3 +146,15 @@ def test_near_dedup_brute_force(spark, small):
                 low, high = sorted((find(i), find(j)))
                 root[high] = low
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, small).collect()} == {i for i in ids if find(i) == i}
+
+
+def test_messages_that_still_move_are_reported(spark, small):
+    import dataclasses
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    field = pii_crf.train(docs)
+    got = {r["doc_id"]: r for r in pii_crf.spans_of(docs, field).collect()}
+    assert all(r["settled"] for r in got.values())
+    short = pii_crf.spans_of(docs, dataclasses.replace(field, rounds=1)).collect()
+    assert not all(r["settled"] for r in short)
+    assert {r["doc_id"]: r["base_sha256"] for r in short} == {k: r["base_sha256"] for k, r in got.items()}

@@ -162,6 +162,7 @@ class Field:
     unary: np.ndarray
     chain: np.ndarray  # (3, labels, labels)
     skip: np.ndarray  # (labels, labels)
+    #: Rounds after which messages that still move are taken as they are; spans_of() says so in its column settled.
     rounds: int = 50
 
 
@@ -231,7 +232,14 @@ def train(docs: DataFrame) -> Field:
 
 
 def marginals(t: Tokens, field: Field) -> np.ndarray:
-    """Loopy sum-product over chain and skip edges; all messages of a round are updated together."""
+    return inferred(t, field)[0]
+
+
+def inferred(t: Tokens, field: Field) -> tuple[np.ndarray, bool]:
+    """Marginals by loopy sum-product over chain and skip edges, and whether the messages have settled within the field's rounds.
+
+    All messages of a round are updated together.
+    """
     n, labels = len(t.spans), len(LABELS)
     own = t.features @ field.unary
     own -= own.max(1, keepdims=True)
@@ -239,12 +247,13 @@ def marginals(t: Tokens, field: Field) -> np.ndarray:
     j = np.concatenate([np.arange(1, n), t.skips[:, 1]])
     if not len(i):
         p = np.exp(own)
-        return p / p.sum(1, keepdims=True)
+        return p / p.sum(1, keepdims=True), True
     # an edge's potential is one of few, so messages of like edges are one product
     pair = np.exp(np.concatenate([field.chain, field.skip[None]]))
     kind = np.concatenate([t.gaps[1:], np.full(len(t.skips), len(field.chain))])
     alike = [np.flatnonzero(kind == k) for k in range(len(pair))]
     there, back = np.zeros((len(i), labels)), np.zeros((len(i), labels))  # log messages i -> j and j -> i
+    settled = False
     for _ in range(field.rounds):
         total = own.copy()
         np.add.at(total, j, there)
@@ -260,24 +269,29 @@ def marginals(t: Tokens, field: Field) -> np.ndarray:
         moved = max(np.abs(there_new - there).max(), np.abs(back_new - back).max())
         there, back = 0.5 * (there + there_new), 0.5 * (back + back_new)
         if moved < 1e-3:
+            settled = True
             break
     total = own.copy()
     np.add.at(total, j, there)
     np.add.at(total, i, back)
     p = np.exp(total - total.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
+    return p / p.sum(1, keepdims=True), settled
 
 
 def find(text: str, field: Field, least: float = 0.6) -> list[tuple[str, int, int]]:
-    """All spans of one text, (kind, start, end) in code points: base ones by kind, then the field's by kind."""
+    return found_in(text, field, least)[0]
+
+
+def found_in(text: str, field: Field, least: float = 0.6) -> tuple[list[tuple[str, int, int]], bool]:
+    """All spans of one text, (kind, start, end) in code points, base ones by kind, then the field's by kind, and whether messages settled."""
     base = base_spans(text)
     out = [(kind, a, b) for kind, some in zip(KINDS, base, strict=True) for a, b in some]
     if not EVIDENCE.search(text):
-        return out
+        return out, True
     t = tokens(text)
     if not t.spans:
-        return out
-    p = marginals(t, field)
+        return out, True
+    p, settled = inferred(t, field)
     label = p.argmax(1)
     sure = (label > 0) & (p[np.arange(len(label)), label] >= least)
     taken = sorted((a, b) for _, a, b in out)
@@ -298,11 +312,13 @@ def find(text: str, field: Field, least: float = 0.6) -> list[tuple[str, int, in
             added[-1][2:] = [b, k]
         else:
             added.append([label[k], a, b, k])
-    return out + [(f"crf-{LABELS[k]}", a, b) for k, a, b, _ in sorted(added, key=lambda x: (x[0], x[1]))]
+    return out + [(f"crf-{LABELS[k]}", a, b) for k, a, b, _ in sorted(added, key=lambda x: (x[0], x[1]))], settled
 
 
 def spans_of(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id, counts of the base kinds, the base spans' digest and all spans, for each row of docs (doc_id, text).
+    """doc_id, counts of the base kinds, the base spans' digest, all spans and settled, for each row of docs (doc_id, text).
+
+    settled is false where the field's messages still moved after its rounds; the spans are then those of the last round.
 
     Null and empty texts have none; overlapping base spans of different kinds all stand; repeated rows stay apart; a very long
     text takes time and memory in proportion to its length; columns other than doc_id and text are ignored; an empty table gives
@@ -310,7 +326,7 @@ def spans_of(docs: DataFrame, field: Field) -> DataFrame:
     """
     import hashlib
 
-    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("settled", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = hashlib.sha256(b"").hexdigest()
@@ -318,15 +334,15 @@ def spans_of(docs: DataFrame, field: Field) -> DataFrame:
             rows = []
             for text in batch.column(1).to_pylist():
                 if not text or not EVIDENCE.search(text):
-                    rows.append((0, 0, 0, 0, none, ""))
+                    rows.append((0, 0, 0, 0, none, "", True))
                     continue
-                found = find(text, field)
+                found, settled = found_in(text, field)
                 said = [f"{k}:{a}:{b}" for k, a, b in found]
                 counts = [sum(k == kind for k, _, _ in found) for kind in KINDS]
-                rows.append((*counts, hashlib.sha256(",".join(said[: sum(counts)]).encode()).hexdigest(), ",".join(said)))
-            yield pa.record_batch([batch.column(0), *[pa.array([r[k] for r in rows], schema.field(k + 1).type) for k in range(6)]], schema=schema)
+                rows.append((*counts, hashlib.sha256(",".join(said[: sum(counts)]).encode()).hexdigest(), ",".join(said), settled))
+            yield pa.record_batch([batch.column(0), *[pa.array([r[k] for r in rows], schema.field(k + 1).type) for k in range(7)]], schema=schema)
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, settled boolean")
 
 
 def redact(text: str, field: Field) -> str:
