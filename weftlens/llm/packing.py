@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, distinct_words, documents, map_arrow, slices, utf8, words
+from .common import LOWER, SPACE, Scratch, distinct_words, documents, map_arrow, slices, utf8, words
 
 SEQUENCE, END_ID = 2048, 0
-#: Words whose ids a worker remembers, and half as many pieces of words.
-CACHE_WORDS = 100_000
-#: Bytes of text whose words are looked up together.
+#: Pieces of words whose ids a worker remembers.
+CACHE_PIECES = 200_000
+#: Bytes of text whose pieces are looked up together.
 TOKEN_CHUNK = 1 << 20
 #: Rows that share a rank counter; a length's pieces are dealt to this many rows a counter.
 RANK_ROWS, LEAST_COUNTERS = 100_000, 64
@@ -35,9 +35,74 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
-#: A word of printable ASCII and Latin letters, whose pieces come from PIECE; all other words go through the whole tokenizer.
-PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
-PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^a-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u017f]+")
+#: Code points below 0x180 that a word to be split here is made of; a word with any other goes through the whole tokenizer.
+PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]")
+#: Kinds of them in lower case: runs of letters, single digits, runs of all others.
+LETTER = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f]")
+DIGIT = re.compile("[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]")
+LETTERS, DIGITS, OTHERS, WHOLE, GAP = range(5)
+#: Endings that are pieces of their own after a quote that begins a run.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each code point below 0x180 and the UTF-8 of its lower case (two bytes from 0x80 on)."""
+    kinds, lower = np.full(0x180, WHOLE, np.uint8), np.zeros((0x180, 2), np.uint8)
+    for code in range(0x180):
+        low = chr(code).lower()
+        if PLAIN.fullmatch(chr(code)):
+            kinds[code] = LETTERS if LETTER.fullmatch(low) else DIGITS if DIGIT.fullmatch(low) else OTHERS
+        if code >= 0x80 and len(low.encode()) == 2:
+            lower[code] = list(low.encode())
+    kinds[:128][SPACE[:128]] = GAP
+    return kinds, lower
+
+
+_KIND, _LOWER = _kinds()
+_BYTE_KIND = np.append(_KIND[:128], np.full(128, WHOLE, np.uint8))
+
+
+def split(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of all words of rows (utf8()): bytes in lower case, starts, ends, which are whole words left as they were, and how many precede each row."""
+    starts, ends, _ = words(raw, off)
+    n = len(raw)
+    low, kind, begins = LOWER[raw], _BYTE_KIND[raw], np.ones(n, bool)
+    lead = np.flatnonzero((raw[:-1] >= 0xC2) & (raw[:-1] <= 0xC5) & (raw[1:] & 0xC0 == 0x80))
+    if len(lead):
+        code = ((raw[lead] & 0x1F).astype(np.int64) << 6) | (raw[lead + 1] & 0x3F)
+        kind[lead] = kind[lead + 1] = _KIND[code]
+        low[lead], low[lead + 1] = _LOWER[code, 0], _LOWER[code, 1]
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGITS)
+    begins[lead + 1] = False
+    begins[starts] = True
+    begins &= kind != GAP
+    quote = np.flatnonzero(begins & (low == ord("'")))
+    if len(quote):
+        end = ends[np.searchsorted(starts, quote, "right") - 1]
+        after = [np.where(quote + k < end, low[np.minimum(quote + k, n - 1)], 0) for k in (1, 2)]
+        size = np.zeros(len(quote), np.int64)
+        for ending in ENDINGS:
+            size[np.logical_and.reduce([after[k] == ord(c) for k, c in enumerate(ending)])] = 1 + len(ending)
+        quote, end, size = quote[size > 0], end[size > 0], size[size > 0]
+        begins[quote + 1] = False
+        begins[(quote + size)[quote + size < end]] = True
+    odd = kind == WHOLE
+    odd[:-1] |= (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+    whole = np.zeros(n, bool)
+    at = np.flatnonzero(odd)
+    if len(at):
+        words_of = np.unique(np.searchsorted(starts, at, "right") - 1)
+        turns = np.zeros(n + 1, np.int8)
+        turns[starts[words_of]] += 1
+        turns[ends[words_of]] -= 1
+        whole = np.cumsum(turns[:-1], dtype=np.int8).view(bool)
+        low[whole] = raw[whole]
+        begins &= ~whole
+        begins[starts[words_of]] = True
+    first = np.flatnonzero(begins)
+    last = np.append(first[1:], n)
+    last[np.append(np.searchsorted(first, starts)[1:], len(first)) - 1] = ends
+    return low, first, last, whole[first], np.searchsorted(first, off)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,71 +113,65 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordIds:
-    """Token ids by word: this tokenizer drops white space and never joins across it.
+    """Token ids by pieces of words: this tokenizer drops white space and never joins across pieces.
 
-    Words and their pieces are remembered up to CACHE_WORDS; which of them are remembered changes no result.
+    Pieces are remembered up to CACHE_PIECES; which of them are remembered changes no result.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        probe = "It's 12 isn't naïve, Ünited_42 a-b"
-        alike = [t for w in probe.split() for t in (self.tokenizer.encode(w, add_special_tokens=False).ids)]
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.pieces: dict[str, tuple[int, ...]] = {}
         self._forget()
-        found = [t for w in probe.split() for t in self.ids[slice(*(self.at[self._word(w.encode())], None))]]
-        if found != alike or alike != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+        probe = "It's 12 isn't naïve, Ünited_42 a-b"
+        raw = np.frombuffer(probe.encode(), np.uint8)
+        if self.tokens(raw, np.array([0, len(raw)]))[0][:-1].tolist() != self.tokenizer.encode(probe, add_special_tokens=False).ids:
             raise ValueError("words are split as for one kind of vocabulary, and this one differs")
         self._forget()
 
     def _forget(self) -> None:
+        """Only the end id is left, as number 0."""
         self.known: dict[bytes, int] = {}
-        self.ids, self.at = array("I"), array("q", [0])
-
-    def _word(self, raw: bytes) -> int:
-        """The number of a new word, whose ids go to the end of the pool."""
-        word = raw.decode()
-        if not PLAIN.fullmatch(word) or "<|" in word:
-            self.ids.extend(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        self.ids, self.at = array("I", [END_ID]), array("q", [0, 1])
+
+    def _learn(self, raw: bytes, whole: bool) -> int:
+        """The number of a new piece, whose ids go to the end of the pool."""
+        if whole:
+            ids = self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids
+        elif raw.isascii():
+            ids = [t.id for t in self.tokenize(raw.decode())]
         else:
-            for piece in PIECE.findall(word.lower()):
-                ids = self.pieces.get(piece)
-                if ids is None:
-                    shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                    ids = self.pieces[piece] = tuple([t.id for t in self.tokenize(shown)])
-                self.ids.extend(ids)
+            ids = [t.id for t in self.tokenize(raw.decode("latin-1").translate(self.letters))]
+        self.ids.extend(ids)
         self.at.append(len(self.ids))
         self.known[raw] = n = len(self.at) - 2
         return n
 
     def tokens(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows (utf8()), each row ended by END_ID, and the rows' bounds."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_PIECES:
             self._forget()
-        if len(self.pieces) > CACHE_WORDS // 2:
-            self.pieces.clear()
-        starts, ends, bounds = words(raw, off)
-        first, which = distinct_words(raw, starts, ends)
-        data, known = raw.tobytes(), self.known
-        numbers = np.empty(len(first), np.int64)
-        for k, (a, b) in enumerate(zip(starts[first].tolist(), ends[first].tolist(), strict=True)):
-            word = data[a:b]
-            n = known.get(word)
-            numbers[k] = self._word(word) if n is None else n
+        rows = len(off) - 1
+        if not len(raw):
+            return np.full(rows, END_ID, np.uint32), np.arange(rows + 1)
+        low, starts, ends, whole, bounds = split(raw, off)
+        first, which = distinct_words(low, starts, ends)
+        data, known = low.tobytes(), self.known
+        found = []
+        for a, b, alone in zip(starts[first].tolist(), ends[first].tolist(), whole[first].tolist(), strict=True):
+            piece = data[a:b]
+            n = known.get(piece)
+            found.append(self._learn(piece, alone) if n is None else n)
+        numbers = np.array(found, np.int64)
         pool, at = np.array(self.ids, np.uint32), np.array(self.at)
-        size = (at[numbers + 1] - at[numbers])[which]
+        number = np.insert(numbers[which], bounds[1:], 0)
+        base = at[number]
+        size = at[number + 1] - base
         total = np.append(0, np.cumsum(size))
-        rows = len(off) - 1
-        out_bounds = total[bounds] + np.arange(rows + 1)
-        out = np.full(out_bounds[-1], END_ID, np.uint32)
-        row = np.repeat(np.arange(rows), np.diff(bounds))
-        shift = np.repeat(total[:-1], size)
-        where = np.arange(total[-1]) - shift
-        out[np.arange(total[-1]) + np.repeat(row, size)] = pool[np.repeat(at[numbers][which], size) + where]
-        return out, out_bounds
+        out = pool[np.arange(total[-1]) + np.repeat(base - total[:-1], size)]
+        return out, total[bounds + np.arange(rows + 1)]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE) -> DataFrame:
