@@ -35,6 +35,79 @@ def test_tiff():
     assert I.to_8bit(p).max() == 255
 
 
+def java_tiff(spark, pixels, packed, tile):
+    """A TIFF that Java's own writer makes of the pixels."""
+    jvm = spark._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(I.encode_png(pixels)))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("tiff").next()
+    how = writer.getDefaultWriteParam()
+    if packed:
+        how.setCompressionMode(2)
+        how.setCompressionType(packed)
+    if tile:
+        how.setTilingMode(2)
+        how.setTiling(tile, tile, 0, 0)
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), how)
+    stream.flush()
+    return bytes(out.toByteArray())
+
+
+@pytest.mark.parametrize("packed", [None, "LZW", "PackBits", "Deflate", "ZLib"])
+@pytest.mark.parametrize("tile", [0, 16])
+def test_tiff_of_another_writer(spark, packed, tile):
+    rng = np.random.default_rng(3)
+    smooth = (np.add.outer(np.arange(70), np.arange(45)) % 256).astype(np.uint8)
+    noise = rng.integers(0, 256, (90, 77, 3)).astype(np.uint8)
+    deep = rng.integers(0, 65536, (33, 50)).astype(np.uint16)
+    for p in (smooth, noise, deep, smooth[:5, :7]):
+        got, depth, _ = I.decode_tiff(java_tiff(spark, p, packed, tile))
+        assert depth == 8 * p.itemsize and (got == p.reshape(got.shape)).all()
+
+
+def blocks_tiff(blocks, extra, order="<"):
+    """A file of these blocks (uncompressed) with those tags, all of them lists of longs."""
+    import struct
+
+    at, offsets, body = 8, [], b"".join(blocks)
+    for b in blocks:
+        offsets.append(at)
+        at += len(b)
+    tiled = 322 in extra
+    tags = extra | {324 if tiled else 273: offsets, 325 if tiled else 279: [len(b) for b in blocks]}
+    lists, entries, end = b"", b"", 8 + len(body)
+    for tag, values in sorted(tags.items()):
+        data = struct.pack(order + f"{len(values)}I", *values)
+        where = data if len(values) == 1 else struct.pack(order + "I", end + len(lists))
+        lists += data if len(values) > 1 else b""
+        entries += struct.pack(order + "HHI", tag, 4, len(values)) + where
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", end + len(lists))
+    return head + body + lists + struct.pack(order + "H", len(tags)) + entries + b"\0" * 4
+
+
+def test_tiff_planes_differences_palette_and_broken():
+    rng = np.random.default_rng(4)
+    p = rng.integers(0, 65536, (5, 6, 2)).astype(np.uint16)
+    for order in "<>":
+        steps = np.diff(p, axis=1, prepend=np.zeros((5, 1, 2), np.uint16)).astype(order + "u2")
+        size = {256: [6], 257: [5], 258: [16], 277: [2], 317: [2]}
+        assert (I.decode_tiff(blocks_tiff([steps[:3].tobytes(), steps[3:].tobytes()], size | {278: [3]}, order))[0] == p).all()
+        planes = [steps[:, :, k].tobytes() for k in range(2)]
+        assert (I.decode_tiff(blocks_tiff(planes, size | {284: [2]}, order))[0] == p).all()
+    index = np.array([[0, 2], [255, 1]], np.uint8)
+    colours = rng.integers(0, 65536, (3, 256))
+    got = I.decode_tiff(blocks_tiff([index.tobytes()], {256: [2], 257: [2], 258: [8], 262: [3], 320: colours.ravel().tolist()}))[0]
+    assert (got == colours.T[index] >> 8).all()
+    with pytest.raises(I.Unsupported):
+        I.decode_tiff(blocks_tiff([b"abcd"], {256: [2], 257: [1 << 30], 258: [8], 278: [1]}))
+    with pytest.raises(I.Unsupported):
+        I.decode_tiff(blocks_tiff([b"\xff\xff\xff"], {256: [2], 257: [2], 258: [8], 259: [5]}))
+    with pytest.raises(I.Unsupported):
+        I.decode_tiff(blocks_tiff([b"abcd"], {256: [2], 257: [2], 258: [8], 259: [7]}))
+
+
 @pytest.fixture
 def folder(tmp_path):
     for k in range(4):

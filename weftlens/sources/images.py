@@ -1,4 +1,4 @@
-"""Image files as tables: a binary scan, decoders for PNG and plain TIFF in Python, resolution tags, masks of paths."""
+"""Image files as tables: a binary scan, decoders for PNG and TIFF in Python, resolution tags, masks of paths."""
 
 from __future__ import annotations
 
@@ -95,8 +95,49 @@ def decode_png(raw: bytes) -> tuple[np.ndarray, int, float]:
     return (palette[pixels[:, :, 0]] if colour == 3 else pixels), max(depth, 8), res
 
 
+def _unrun(data: bytes) -> bytes:
+    """Runs (PackBits) written out."""
+    out, at = [], 0
+    while at < len(data):
+        n = data[at]
+        out.append(data[at + 1 : at + 2 + n] if n < 128 else data[at + 1 : at + 2] * (257 - n) if n > 128 else b"")
+        at += n + 2 if n < 128 else 2 if n > 128 else 1
+    return b"".join(out)
+
+
+def _unlzw(data: bytes) -> bytes:
+    """LZW with codes of 9 to 12 bits, high bits first, that grow one code early; 256 clears the table, 257 ends."""
+    table = [bytes([b]) for b in range(256)] + [b"", b""]
+    out, last, bits, held, n = [], b"", 9, 0, 0
+    for byte in data:
+        held, n = held << 8 | byte, n + 8
+        if n < bits:
+            continue
+        n -= bits
+        code, held = held >> n, held & ((1 << n) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            del table[258:]
+            last, bits = b"", 9
+            continue
+        if code > len(table) - (not last):
+            raise Unsupported("LZW code out of order")
+        entry = table[code] if code < len(table) else last + last[:1]
+        if last:
+            table.append(last + entry[:1])
+            bits = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+        out.append(entry)
+        last = entry
+    return b"".join(out)
+
+
+#: How a block of a TIFF file is unpacked, by its compression number.
+UNPACK = {1: bytes, 5: _unlzw, 8: zlib.decompress, 32773: _unrun, 32946: zlib.decompress}
+
+
 def decode_tiff(raw: bytes) -> tuple[np.ndarray, int, float]:
-    """As decode_png, for uncompressed or deflated strips of 8 or 16 bits."""
+    """As decode_png, for strips or tiles of 8 or 16 bits, in one plane or a plane a channel, plain or as differences along lines."""
     order = "<" if raw[:2] == b"II" else ">"
     at = struct.unpack(order + "I", raw[4:8])[0]
     tags = {}
@@ -110,15 +151,31 @@ def decode_tiff(raw: bytes) -> tuple[np.ndarray, int, float]:
         tags[tag] = struct.unpack(order + code * n, where[: n * size])
     h, w, depth = tags[257][0], tags[256][0], tags.get(258, (1,))[0]
     channels, packed = tags.get(277, (1,))[0], tags.get(259, (1,))[0]
-    if depth not in (8, 16) or packed not in (1, 8, 32946) or tags.get(284, (1,))[0] != 1 or tags.get(317, (1,))[0] != 1:
+    planar, guess, palette = tags.get(284, (1,))[0], tags.get(317, (1,))[0], tags.get(320)
+    if depth not in (8, 16) or packed not in UNPACK or planar not in (1, 2) or guess not in (1, 2):
         raise Unsupported(f"TIFF of {depth} bits, compression {packed}")
-    strips = [raw[o : o + n] for o, n in zip(tags[273], tags[279], strict=True)]
-    data = b"".join(zlib.decompress(s) if packed != 1 else s for s in strips)
-    kind = np.dtype(np.uint8 if depth == 8 else order + "u2")
-    pixels = np.frombuffer(data, kind, h * w * channels).reshape(h, w, channels)
+    tiled = 322 in tags
+    bh, bw = (tags[323][0], tags[322][0]) if tiled else (min(tags.get(278, (h,))[0], h), w)
+    planes, inside = (channels, 1) if planar == 2 else (1, channels)
+    offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    if not bh or not bw or len(offsets) != planes * -(-h // bh) * -(-w // bw):
+        raise Unsupported("TIFF whose blocks don't cover it")
+    corners = [(p, y, x) for p in range(planes) for y in range(0, h, bh) for x in range(0, w, bw)]
+    stored = np.dtype(np.uint8 if depth == 8 else order + "u2")
+    kind = stored.newbyteorder("=")
+    blocks = []
+    for (_, y, _), o, n in zip(corners, offsets, sizes, strict=True):
+        rows = bh if tiled else min(bh, h - y)
+        block = np.frombuffer(UNPACK[packed](raw[o : o + n]), stored, rows * bw * inside).reshape(rows, bw, inside)
+        blocks.append(np.cumsum(block, axis=1, dtype=kind) if guess == 2 else block)
+    pixels = np.empty((h, w, channels), kind)
+    for (p, y, x), block in zip(corners, blocks, strict=True):
+        pixels[y : y + bh, x : x + bw, p : p + inside] = block[: h - y, : w - x]
+    if tags.get(262, (1,))[0] == 3 and palette and depth == 8:
+        pixels = (np.array(palette, np.uint16).reshape(3, -1).T >> 8).astype(np.uint8)[pixels[:, :, 0]]
     x = tags.get(282)
     res = round(x[1] / x[0], 2) if x and x[0] else 1.0
-    return pixels.astype(np.uint8 if depth == 8 else np.uint16), depth, res
+    return pixels, depth, res
 
 
 def to_8bit(pixels: np.ndarray) -> np.ndarray:
