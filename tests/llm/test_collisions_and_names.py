@@ -35,6 +35,29 @@ def test_colliding_words_have_their_own_ids(spark):
         assert got[k] == zlib.crc32(np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes())
 
 
+@pytest.mark.parametrize("kept", [packing.CACHE_PIECES, 40])
+def test_pieces_are_the_tokenizers(monkeypatch, kept):
+    """Quotes and their endings, digits, Latin letters in both cases, other scripts, special strings, with and without forgetting."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from weftlens.llm.common import utf8
+
+    monkeypatch.setattr(packing, "CACHE_PIECES", kept)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, ours = Tokenizer.from_file(path), packing.WordIds(path)
+    letters = [*"abcstremvdl''''  \n\t\x0b019AZ_-.<|>", *map(chr, range(0x80, 0x190)), *"\u4e2d\u0301\u200b\x00\x1f\x7f\u03a3\u2028"]
+    strings = ["'s", "'re", "'LL", "'Ve", "'r", "<|endoftext|>", "<", "|", "it's"]
+    rng = random.Random(5)
+    for _ in range(60):
+        some = rng.sample(letters, 9) + rng.sample(strings, 3)
+        rows = ["".join(rng.choices(some if rng.random() < 0.7 else letters + strings, k=rng.choice([0, 1, 4, 50]))) for _ in range(30)]
+        rows[rng.randrange(30)] = None
+        ids, bounds = ours.tokens(*utf8(pa.array(rows, pa.string())))
+        for k, e in enumerate(t.encode_batch([r or "" for r in rows], add_special_tokens=False)):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == [*e.ids, 0], rows[k]
+
+
 def test_other_vocabularies_are_refused_by_packing():
     with pytest.raises(ValueError):
         packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
