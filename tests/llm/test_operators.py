@@ -431,6 +431,33 @@ def test_weights_do_not_hang_on_the_partitioning(spark):
     assert all(np.allclose(one[k], other[k], atol=1e-5) for k in gru_lm.NAMES)
 
 
+def test_rounds_average_shards_and_keep_moments(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 60)))) for i in range(120)]
+    p = gru_lm.LmParams(own=8, per_class=4, bins=3, hidden=5, start_documents=0, shard=2000, round=1000)
+    tokens, at = gru_lm.hashes(pa.array([t for _, t in rows]))
+    hashed, n = np.unique(tokens, return_counts=True)
+    by = np.argsort(-n, kind="stable")
+    v = gru_lm.Vocabulary(hashed[by], n[by], int(n.sum()), len(n), p)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    numbers = gru_lm.numbered(docs.selectExpr("doc_id", "text", "false AS held_out"), v)
+    shards = -(-len(tokens) // p.shard)
+    place = {r[0]: r[1:] for r in numbers.selectExpr("doc_id", f"pmod(key, {shards})", "pmod(xxhash64(key), 2)").collect()}
+    number = v.look_up(tokens)[0]
+    w = gru_lm.start(v)
+    moments = gru_lm.Moments(w)
+    for k in range(2):
+        made = []
+        for shard in range(shards):
+            ids = np.concatenate([number[at[i] : at[i + 1]] for i in range(120) if place[i] == (shard, k)])
+            its = moments.copy()
+            made.append((len(ids), gru_lm.flatten(gru_lm.train_on(w, ids, v, moments=its), its)))
+        w, moments = gru_lm.unflatten(sum(m * f for m, f in made) / sum(m for m, _ in made), gru_lm.shapes(v))
+    got = gru_lm.fit(docs, v)
+    assert shards > 1 and moments.n > 2
+    assert all(np.allclose(got[k], w[k], atol=1e-5) for k in gru_lm.NAMES)
+
+
 def test_scores_of_odd_rows_and_clashing_columns(spark):
     rows = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "a b"), (4, "z" * 50000), (5, "word " * 20000)]
     got = gru_lm.score(frame(spark, rows), params=gru_lm.LmParams(table=64, own=16, per_class=4)).collect()

@@ -5,8 +5,8 @@ the model's own; the others fall in bins by rank, within which they have their s
 words past the broadcast table, seen or not, are the last bin. A word's probability is that of its class given the state,
 times its own within the class. Documents become numbers once, in a table that both training and scoring read. Training starts
 on the driver on a bounded sample, then goes on from there with all training documents by truncated backpropagation, in shards
-that documents belong to by hash, so the weights don't hang on the partitioning; the shards' weights are averaged. Scoring runs
-documents of like length in step and carries their state from window to window to the end. Words past the table meet their
+that documents belong to by hash, so the weights don't hang on the partitioning. Each document also belongs to a round: after each
+round the shards' weights and Adam's moments are averaged, and all shards go on from the mean. Scoring runs documents of like length in step and carries their state from window to window to the end. Words past the table meet their
 counts in a join.
 """
 
@@ -31,10 +31,10 @@ END = np.uint64(0x5EED0FE0D0C0FFEE)
 class LmParams:
     #: Words in the table that goes to all tasks (16 bytes each), the model's own words, and words of a class.
     table: int = 1 << 18
-    own: int = 1024
-    per_class: int = 32
+    own: int = 2048
+    per_class: int = 64
     bins: int = 16
-    hidden: int = 24
+    hidden: int = 32
     #: Steps of a training window, and documents side by side.
     window: int = 16
     streams: int = 256
@@ -43,8 +43,9 @@ class LmParams:
     start_tokens: int = 1 << 14
     start_passes: int = 3
     rate: float = 8e-3
-    #: Training tokens of a shard, about, and tokens that are learned from at once.
+    #: Training tokens of a shard, about, those that it learns from before the shards' weights are averaged, and those learned from at once.
     shard: int = 1 << 22
+    round: int = 1 << 20
     learned: int = 1 << 21
     #: Tokens held to be scored together, and documents that run in step.
     together: int = 1 << 22
@@ -226,10 +227,21 @@ def outputs(w: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, vocabul
     return (out, dh, grads) if gradient else out
 
 
-def train_on(w: dict[str, np.ndarray], ids: np.ndarray, vocabulary: Vocabulary, passes: int = 1) -> dict[str, np.ndarray]:
+class Moments:
+    """Adam's moments and number of steps, which go on from one call of train_on() to the next."""
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.m, self.v, self.n = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0.0
+
+    def copy(self) -> Moments:
+        return copy.deepcopy(self)
+
+
+def train_on(w: dict[str, np.ndarray], ids: np.ndarray, vocabulary: Vocabulary, passes: int = 1, moments: Moments | None = None) -> dict[str, np.ndarray]:
     """Adam over windows of parallel streams of ids; a stream's state is kept between windows and cleared after an end.
 
     Each id is a target once a pass, the first of a stream too; the last streams are filled up with ends that are no targets.
+    moments are gone on from and brought up to date.
     """
     p = vocabulary.params
     if not len(ids):
@@ -241,7 +253,8 @@ def train_on(w: dict[str, np.ndarray], ids: np.ndarray, vocabulary: Vocabulary,
     before_, target_ = filled[:-1].reshape(streams, length).T, filled[1:].reshape(streams, length).T
     is_target = (np.arange(streams * length) < len(ids)).reshape(streams, length).T
     w = {k: v.copy() for k, v in w.items()}
-    m, v, n = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
+    moments = moments or Moments(w)
+    m, v = moments.m, moments.v
     room = {k: np.empty_like(x) for k, x in w.items()}
     for _ in range(passes):
         h = np.zeros((streams, p.hidden), np.float32)
@@ -288,11 +301,11 @@ def train_on(w: dict[str, np.ndarray], ids: np.ndarray, vocabulary: Vocabulary,
             by = np.argsort(flat, kind="stable")
             rows, first = np.unique(flat[by], return_index=True)
             g["x"] = np.add.reduceat(dx[by], first, axis=0)  # of the rows that occur
-            n += 1
+            moments.n += 1
             scale = 1 / int(some.sum())
             norm = float(np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))) * scale
             scale *= min(1.0, 1.0 / max(norm, 1e-9))
-            pace = np.float32(p.rate * np.sqrt(1 - 0.99**n) / (1 - 0.9**n))
+            pace = np.float32(p.rate * np.sqrt(1 - 0.99**moments.n) / (1 - 0.9**moments.n))
             for key, x in g.items():
                 x = x * np.float32(scale)
                 here = rows if key == "x" else slice(None)
@@ -337,17 +350,22 @@ def document_scores(w: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarra
     return out / np.log(10)
 
 
-def flatten(w: dict[str, np.ndarray]) -> bytes:
-    return np.concatenate([w[k].ravel() for k in NAMES]).astype(np.float32).tobytes()
+def flatten(w: dict[str, np.ndarray], moments: Moments) -> np.ndarray:
+    return np.concatenate([*[part[k].ravel() for part in (w, moments.m, moments.v) for k in NAMES], [moments.n]]).astype(np.float64)
 
 
-def unflatten(flat: np.ndarray, sizes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k in NAMES:
-        n = int(np.prod(sizes[k]))
-        out[k] = flat[at : at + n].reshape(sizes[k]).astype(np.float32)
-        at += n
-    return out
+def unflatten(flat: np.ndarray, sizes: dict[str, tuple[int, ...]]) -> tuple[dict[str, np.ndarray], Moments]:
+    parts, at = [], 0
+    for _ in range(3):
+        out = {}
+        for k in NAMES:
+            n = int(np.prod(sizes[k]))
+            out[k] = flat[at : at + n].reshape(sizes[k]).astype(np.float32)
+            at += n
+        parts.append(out)
+    moments = Moments(parts[0])
+    moments.m, moments.v, moments.n = parts[1], parts[2], float(flat[at])
+    return parts[0], moments
 
 
 def numbered(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -388,7 +406,7 @@ def numbered(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def fit(training: DataFrame, vocabulary: Vocabulary, numbers: DataFrame | None = None) -> dict[str, np.ndarray]:
-    """Weights from training (doc_id, text), or numbers, its numbered() rows: a start on the driver, then the mean of the shards."""
+    """Weights from training (doc_id, text), or numbers, its numbered() rows: a start on the driver, then rounds of shards."""
     p = vocabulary.params
     if numbers is None:
         numbers = numbered(training.select("doc_id", "text", F.lit(False).alias("held_out")), vocabulary)
@@ -398,28 +416,42 @@ def fit(training: DataFrame, vocabulary: Vocabulary, numbers: DataFrame | None =
     few = numbers.where((pick < int((1 << 30) * min(1.0, p.start_documents / max(n, 1)))) & (F.col("n_tokens") <= p.start_tokens)).orderBy("doc_id", "key").select("ids")
     kind, bare = vocabulary.number_type, vocabulary.bare()
     ids = np.frombuffer(b"".join(few.toArrow()["ids"].to_pylist()), kind).astype(np.int32)
-    w = train_on(start(bare), ids, bare, p.start_passes)
+    w = start(bare)
+    moments = Moments(w)
+    w = train_on(w, ids, bare, p.start_passes, moments)
+    shards = max(1, -(-int(tokens) // p.shard))
+    rounds = max(1, -(-min(int(tokens), p.shard) // p.round))
+    dealt = numbers.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("key"), F.lit(rounds)).alias("round"), "doc_id", "key", "ids")
+    for k in range(rounds):
+        w, moments = next_round(dealt.where(F.col("round") == k).drop("round"), w, moments, bare, shards)
+    return w
+
+
+def next_round(dealt: DataFrame, w: dict[str, np.ndarray], moments: Moments, bare: Vocabulary, shards: int) -> tuple[dict[str, np.ndarray], Moments]:
+    """The mean, by tokens, of what each shard of dealt (shard, doc_id, key, ids) makes of w and its moments; these if dealt is empty."""
+    p, kind = bare.params, bare.number_type
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, all_ = None, 0
-        mine, many, now = dict(w), 0, None
+        mine, its, many, now = w, None, 0, None
         held: list[np.ndarray] = []
         size = 0
 
         def learn() -> None:
-            nonlocal mine, many, size
+            nonlocal mine, its, many, size
             if held:
                 ids = np.concatenate(held).astype(np.int32)
-                mine, many, size = train_on(mine, ids, bare), many + len(ids), 0
+                its = its or moments.copy()
+                mine, many, size = train_on(mine, ids, bare, moments=its), many + len(ids), 0
                 held.clear()
 
         def close() -> None:
-            nonlocal total, all_, mine, many
+            nonlocal total, all_, mine, its, many
             learn()
             if many:
-                part = np.frombuffer(flatten(mine), np.float32).astype(np.float64) * many
+                part = flatten(mine, its) * many
                 total, all_ = part if total is None else total + part, all_ + many
-            mine, many = dict(w), 0
+            mine, its, many = w, None, 0
 
         for batch in batches:
             for shard, raw in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
@@ -432,24 +464,26 @@ def fit(training: DataFrame, vocabulary: Vocabulary, numbers: DataFrame | None =
                     learn()
         close()
         if all_:
-            yield pa.record_batch([pa.array([all_]), pa.array([(total / all_).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
+            yield sent(total, all_)
+
+    def sent(total: np.ndarray, many: int) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([many]), pa.array([(total / many).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, many = None, 0
         for batch in batches:
-            for n_, w_ in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(w_.as_buffer(), np.float32).astype(np.float64) * n_
-                total, many = part if total is None else total + part, many + n_
+            for n, flat in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(flat.as_buffer(), np.float32).astype(np.float64) * n
+                total, many = part if total is None else total + part, many + n
         if many:
-            yield pa.record_batch([pa.array([many]), pa.array([(total / many).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
+            yield sent(total, many)
 
-    shards = max(1, -(-int(tokens) // p.shard))
-    parts = min(shards, int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = numbers.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).select("shard", "doc_id", "key", "ids").repartitionByRange(parts, "shard").sortWithinPartitions("shard", "doc_id", "key")
-    learned = map_arrow(dealt, go_on, "n long, w binary")
+    parts = min(shards, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by_shard = dealt.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard", "doc_id", "key")
+    learned = map_arrow(by_shard, go_on, "n long, w binary")
     found = map_arrow(learned.repartition(8, "n"), mean, "n long, w binary").collect()
     if not found:
-        return w
+        return w, moments
     many = sum(r["n"] for r in found)
     return unflatten(sum(np.frombuffer(r["w"], np.float32).astype(np.float64) * (r["n"] / many) for r in found), shapes(bare))
 
