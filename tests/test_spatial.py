@@ -1,6 +1,7 @@
 """Pixels, points and paths as rows against plain Python on odd inputs; the queries' SQL is run by test_queries."""
 
 import collections
+import colorsys
 import heapq
 import math
 import random
@@ -8,7 +9,8 @@ import random
 import numpy as np
 import pytest
 
-from weftlens.operators import graphs, order, pixels as X, points as O
+from weftlens.operators import graphs, order, pixels as X, points as O, regions
+from weftlens.plans import measure
 
 
 def places(spark, rows):
@@ -348,3 +350,79 @@ def test_line_pixels_and_samples(spark):
     raster = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 1, 3.0), (1, 1, 0, 5.0), (1, 1, 1, 9.0)], "image_id long, y long, x long, v double")
     ask = spark.createDataFrame([(1, 1, 0.5, 0.5), (1, 2, 0.0, 0.25), (1, 3, 1.0, 1.0), (1, 4, 1.5, 0.0), (1, 5, 9.0, 9.0)], "image_id long, id long, y double, x double")
     assert {r["id"]: r["value"] for r in X.sampled(ask, raster).collect()} == {1: 4.5, 2: 1.5, 3: 9.0, 4: 2.5, 5: 0.0}
+
+
+def shades_by_hand(shades, corners):
+    """Component numbers of equal values of a dict place -> value."""
+    steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy or dx) and (corners or not (dy and dx))]
+    label = {}
+    for start in sorted(shades):
+        if start in label:
+            continue
+        label[start], todo = start, [start]
+        while todo:
+            y, x = todo.pop()
+            for dy, dx in steps:
+                p = y + dy, x + dx
+                if p in shades and p not in label and shades[p] == shades[start]:
+                    label[p] = start
+                    todo.append(p)
+    return label
+
+
+def regions_by_hand(picture, side, levels, hue, above, least):
+    shades = {p: tuple(min(int(c * levels // 256), levels - 1) for c in v) for p, v in picture.items()}
+    label = shades_by_hand(shades, True)
+    groups = collections.defaultdict(list)
+    for p, k in label.items():
+        groups[k].append(picture[p])
+    means = {k: [math.floor(sum(c) / len(v)) for c in zip(*v)] for k, v in groups.items()}
+    tones = {k: colorsys.rgb_to_hsv(*[c / 255 for c in v]) for k, v in means.items()}
+    grey = all(h == 0 and s == 0 for h, s, _ in tones.values())
+    mu = (0, 0, 0.99) if grey else (hue, 160 / 255, 200 / 255)
+    close = {k: math.prod(math.exp(-((a - m) ** 2) / (2 * s * s)) / (s * math.sqrt(2 * math.pi)) for a, m, s in zip(t, mu, (0.1, 0.3, 0.5))) for k, t in tones.items()}
+    low, high = min(close.values()), max(close.values())
+    mask = {(y, x): label.get((y, x)) is not None and (close[label[y, x]] - low) / (high - low + 2.220446049250313e-16) > above for y in range(side) for x in range(side)}
+    if not any(mask.values()):
+        return set()
+    for value in (False, True):  # holes first, then objects
+        label = shades_by_hand(mask, False)
+        size = collections.Counter(label.values())
+        mask = {p: (not m if m == value and size[label[p]] < least else m) for p, m in mask.items()}
+    return {p for p, m in mask.items() if m}
+
+
+def test_regions_by_colour_against_brute_force(spark):
+    rng = random.Random(20)
+    side, schema = 12, "image_id string, y long, x long, r double, g double, b double"
+    pictures = {"noise": {(y, x): tuple(rng.choice((20, 90, 200)) for _ in range(3)) for y in range(side) for x in range(side)}}
+    pictures["blocks"] = {(y, x): ((200, 40, 90), (10, 20, 200), (240, 230, 235))[(y // 4 + x // 5) % 3] for y in range(side) for x in range(side)}
+    pictures["grey"] = {(y, x): (rng.choice((10, 120, 250)),) * 3 for y in range(side) for x in range(side)}
+    pictures["flat"] = {(y, x): (50, 60, 70) for y in range(side) for x in range(side)}
+    pictures["sparse"] = {p: v for p, v in pictures["noise"].items() if rng.random() < 0.4}
+    rows = [(k, y, x, *map(float, v)) for k, picture in pictures.items() for (y, x), v in picture.items()]
+    odd = [rows[0], (*rows[1][:3], 0.0, 0.0, 0.0), ("noise", 1, 1, None, 1.0, 1.0), ("noise", None, 1, 1.0, 1.0, 1.0), (None, 1, 1, 1.0, 1.0, 1.0)]
+    docs = spark.createDataFrame(rows + odd, schema)
+    for least in (1, 5):
+        got = collections.defaultdict(set)
+        for r in regions.colour_regions(docs, side, side, levels=3, least=least).collect():
+            assert (r["y"], r["x"]) not in got[r["image_id"]]
+            got[r["image_id"]].add((r["y"], r["x"]))
+        for k, picture in pictures.items():
+            assert got[k] == regions_by_hand(picture, side, 3, 0.96, 0.2, least), (k, least)
+    assert regions.colour_regions(docs.limit(0), side, side).count() == 0
+    assert regions.whole(docs.where("image_id = 'sparse'"), 3, 4).count() == 12
+
+
+def test_intensities_fall_back_to_grey_and_to_zero(spark):
+    schema = "image_id string, y long, x long, r double, g double, b double"
+    red, pale = (120.0, 20.0, 60.0), (250.0, 250.0, 250.0)
+    rows = [("a", 0, 0, *red), ("a", 0, 1, *pale), ("a", 0, 1, *pale), ("a", 1, 1, *pale), ("b", 0, 0, *pale), ("c", 0, 0, None, 1.0, 1.0)]
+    at = "image_id string, y int, x int"
+    masks = {"all": [("a", 0, 0), ("a", 0, 1), ("b", 0, 0)], "pale": [("a", 0, 1), ("a", 0, 1), ("a", 1, 1)], "none": []}
+    got = {r["image_id"]: r for r in regions.masked_intensities(spark.createDataFrame(rows, schema), {k: spark.createDataFrame(v, at) for k, v in masks.items()}).collect()}
+    stained = measure.eosin_gray(np.array([[red]]))[0, 0]
+    grey = int(250 * 0.2125 + 250 * 0.7154 + 250 * 0.0721)
+    assert stained < 180 and set(got) == {"a", "b"}
+    assert (got["a"]["all"], got["a"]["pale"], got["a"]["none"]) == (stained, pytest.approx(grey, abs=1), 0)
+    assert got["b"]["all"] == pytest.approx(grey, abs=1) and (got["b"]["pale"], got["b"]["none"]) == (0, 0)

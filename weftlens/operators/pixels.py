@@ -21,11 +21,11 @@ from .tabular import gaps_filled
 ROW = 1 << 32
 
 
-def runs(pixels: DataFrame) -> DataFrame:
-    """(image_id, y, x0, x1, top): runs of neighbouring pixels (image_id, y, x, v) of a row and the largest v in them."""
-    one = pixels.groupBy("image_id", "y", "x").agg(F.max("v").alias("v"))
+def runs(pixels: DataFrame, sums: Sequence[str] = ()) -> DataFrame:
+    """(image_id, y, x0, x1, top, *sums): runs of neighbouring pixels (image_id, y, x, v) of a row, the largest v in them and sums of columns."""
+    one = pixels.groupBy("image_id", "y", "x").agg(*[F.max(c).alias(c) for c in ("v", *sums)])
     island = F.col("x") - F.row_number().over(Window.partitionBy("image_id", "y").orderBy("x"))
-    return one.withColumn("_i", island).groupBy("image_id", "y", "_i").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.max("v").alias("top")).drop("_i")
+    return one.withColumn("_i", island).groupBy("image_id", "y", "_i").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.max("v").alias("top"), *[F.sum(c).alias(c) for c in sums]).drop("_i")
 
 
 def touching(found: DataFrame, corners: bool = True) -> DataFrame:
@@ -46,19 +46,19 @@ def touching(found: DataFrame, corners: bool = True) -> DataFrame:
     return met.select("image_id", F.col("run.id").alias("src"), F.col("_o.id").alias("dst"))
 
 
-def labelled_runs(pixels: DataFrame, corners: bool = True) -> DataFrame:
-    """runs() with root, the number of the component's first pixel, size, its pixels, and peak, its largest v.
+def labelled_runs(pixels: DataFrame, corners: bool = True, sums: Sequence[str] = ()) -> DataFrame:
+    """runs() with root, the number of the component's first pixel, size, its pixels, peak, its largest v, and its sums.
 
     Runs, not pixels, are the nodes of the star steps; sizes are added up by component before they are joined back.
     """
     shelf = Scratch(pixels.sparkSession, "runs")
-    found = shelf.table(runs(pixels), "runs")
+    found = shelf.table(runs(pixels, sums), "runs")
     number = (F.col("y").cast("long") * ROW + F.col("x0")).alias("node")
     alone = found.select("image_id", number.alias("src"), number.alias("dst"))
     roots = components(touching(found, corners).union(alone), "image_id")
     named = shelf.table(found.withColumn("node", number).join(roots, ["image_id", "node"]).drop("node"), "named")
-    sizes = shelf.table(named.groupBy("image_id", "root").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("size"), F.max("top").alias("peak")), "sizes")
-    return named.join(sizes, ["image_id", "root"])
+    sizes = shelf.table(named.groupBy("image_id", "root").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("size"), F.max("top").alias("peak"), *[F.sum(c).alias(c) for c in sums]), "sizes")
+    return named.drop(*sums).join(sizes, ["image_id", "root"])
 
 
 def of_runs(found: DataFrame, *more: str) -> DataFrame:
@@ -287,13 +287,16 @@ def key_points(lines: DataFrame) -> DataFrame:
     return neighbour_codes(lines).withColumn("kind", kind).where("kind is not null").drop("code")
 
 
-def without_small_holes(pixels: DataFrame, height: int, width: int, least: int) -> DataFrame:
-    """(image_id, y, x) of pixels and of the holes in them of fewer than least pixels, that is those not joined to the border by a side."""
+def without_small_holes(pixels: DataFrame, height: int, width: int, least: int, at_border: bool = False) -> DataFrame:
+    """(image_id, y, x) of pixels and of the holes in them of fewer than least pixels, that is those not joined to the border by a side.
+
+    With at_border, small gaps at the border are filled as well.
+    """
     one = pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct()
     grid = one.select("image_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long")))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
     free = grid.join(one, ["image_id", "y", "x"], "left_anti")
     border = ((F.col("y") == 0) | (F.col("y") == height - 1) | (F.col("x") == 0) | (F.col("x") == width - 1)).cast("double")
-    holes = labelled_runs(free.withColumn("v", border), corners=False).where((F.col("peak") == 0) & (F.col("size") < least))
+    holes = labelled_runs(free.withColumn("v", border), corners=False).where((F.lit(at_border) | (F.col("peak") == 0)) & (F.col("size") < least))
     return one.union(of_runs(holes).select("image_id", "y", "x"))
 
 

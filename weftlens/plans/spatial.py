@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import graphs, pixels as X, points as O, raster as R, tabular as T, tensor
+from ..operators import graphs, pixels as X, points as O, raster as R, regions, tabular as T, tensor
 from ..sources import tables
-from .catalog import GX, GY, PIXELS, POINTS, SIDE as EIGHT, _AXX, _AXY, _AYY, images, near, points, query, r6
+from ..sources.scratch import Scratch
+from .catalog import GX, GY, HSV, PIXELS, POINTS, RGB, SIDE as EIGHT, _AXX, _AXY, _AYY, _density, images, near, points, query, r6
 
 GRID = 64
 CELLS = f"c AS (SELECT l_suppkey AS image_id, (l_partkey * 7 % {GRID})::BIGINT AS y, (l_orderkey * 13 % {GRID})::BIGINT AS x, count(*)::DOUBLE AS v FROM lineitem GROUP BY ALL)"
@@ -305,3 +306,53 @@ def bilinear_samples(spark, sf):
     p = tables.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("image_id"), F.expr(ID).alias("id")).agg((F.max("l_extendedprice") % 63).alias("y"), (F.max("l_orderkey") * 0.37 % 63).alias("x"))
     found = X.sampled(p, cells(spark, sf))
     return found.groupBy("image_id").agg(F.round(F.sum("value"), 5).alias("total"), F.count_if(F.col("value") > 0).alias("hit"))
+
+
+# ---- regions by colour
+
+_PICTURES = f"p AS (SELECT l_suppkey AS image_id, (l_partkey * 7 % {GRID})::BIGINT AS y, (l_orderkey * 13 % {GRID})::BIGINT AS x, max(l_partkey * 11 % 256)::DOUBLE AS r, max(l_orderkey % 256)::DOUBLE AS g, max(l_linenumber * 36)::DOUBLE AS b FROM lineitem GROUP BY ALL)"
+_CLOSE = f"{_density('hue', 0.96, 0.1)} * {_density('sat', 160 / 255, 0.3)} * {_density('val', 200 / 255, 0.5)}"
+
+
+def pictures(spark: SparkSession, sf: str) -> DataFrame:
+    li = tables.table(spark, sf, "lineitem")
+    by = li.groupBy(F.col("l_suppkey").alias("image_id"), (F.col("l_partkey") * 7 % GRID).alias("y"), (F.col("l_orderkey") * 13 % GRID).alias("x"))
+    return by.agg(*[F.max(v).cast("double").alias(c) for c, v in (("r", F.col("l_partkey") * 11 % 256), ("g", F.col("l_orderkey") % 256), ("b", F.col("l_linenumber") * 36))])
+
+
+@query(
+    f"""WITH RECURSIVE {_PICTURES}, c AS (SELECT image_id * 8 + ((r >= 128)::INT * 2 + (g >= 128)::INT) * 2 + (b >= 128)::INT AS image_id, y, x, 0 AS v FROM p), {grown()},
+z AS (SELECT p.image_id, m.image_id AS k, root, count(*) AS size, floor(avg(r)) AS r, floor(avg(g)) AS g, floor(avg(b)) AS b FROM m JOIN p ON p.image_id = m.image_id // 8 AND p.y * 4294967296 + p.x = m.n AND (p.r >= 128)::INT * 4 + (p.g >= 128)::INT * 2 + (p.b >= 128)::INT = m.image_id % 8 GROUP BY ALL)
+{HSV.removeprefix(RGB).replace("FROM c)", "FROM z)")}, d AS (SELECT image_id, size, {_CLOSE} AS d FROM h), w AS (SELECT image_id, min(d) AS low, max(d) AS high FROM d GROUP BY ALL), f AS (SELECT image_id, size, (d - low) / (high - low + 2.220446049250313e-16) AS f FROM d JOIN w USING (image_id))
+SELECT image_id, count(*) AS regions, coalesce(sum(size) FILTER (WHERE f > 0.2), 0)::BIGINT AS chosen, round(sum(f * size), 5) AS closeness FROM f GROUP BY image_id"""
+)
+def hue_regions(spark, sf):
+    """Regions of one shade in each supplier's picture, pixels of those close to the hue, and the closeness of all pixels."""
+    shelf = Scratch(spark, "hue_regions")
+    found = regions.relative_closeness(shelf.table(regions.colour_runs(pictures(spark, sf), 2), "runs"), 0.96)
+    one = found.groupBy("image_id", "shade", "root").agg(F.max("size").alias("size"), F.max("closeness").alias("f"))
+    by = one.groupBy("image_id").agg(F.count("*").alias("regions"), F.coalesce(F.sum(F.when(F.col("f") > 0.2, F.col("size"))), F.lit(0)).alias("chosen"), F.round(F.sum(F.col("f") * F.col("size")), 5).alias("closeness"))
+    return by
+
+
+@query()
+def segmented_regions(spark, sf):
+    """The regions of each supplier's picture, without small holes and objects."""
+    return regions.colour_regions(pictures(spark, sf), GRID, GRID, levels=2, least=2)
+
+
+_FLOOR = math.log(1e-6)
+_DENSITY = " + ".join(f"ln(greatest({c} / 255, 1e-6)) / {_FLOOR!r}::DOUBLE * {scalar.UNMIX[k][1]!r}::DOUBLE" for k, c in enumerate("rgb"))
+_RED = " + ".join(f"{w}::DOUBLE * least(1, exp(greatest({_DENSITY}, 0) * {s}::DOUBLE * {_FLOOR!r}::DOUBLE))" for w, s in zip((0.2125, 0.7154, 0.0721), scalar.STAINS[1]))
+_MASK = f"(SELECT DISTINCT l_suppkey AS image_id, l_partkey * 7 % {GRID} AS y, l_orderkey * 13 % {GRID} AS x, true AS w FROM lineitem WHERE {{}})"
+_MASKS = {"returned": "l_returnflag = 'R'", "large": "l_quantity >= 49", "cheap": "l_extendedprice < 1500"}
+
+
+@query(
+    f"""WITH {_PICTURES}, v AS (SELECT image_id, y, x, floor(({_RED}) * 255) AS red, floor(0.2125::DOUBLE * r + 0.7154::DOUBLE * g + 0.0721::DOUBLE * b) AS grey FROM p)
+SELECT v.image_id, {", ".join(f"round(coalesce(avg(red) FILTER (WHERE {n}.w AND red < 180), avg(grey) FILTER (WHERE {n}.w), 0), 6) AS {n}" for n in _MASKS)} FROM v {" ".join(f"LEFT JOIN {_MASK.format(c)} {n} ON {n}.image_id = v.image_id AND {n}.y = v.y AND {n}.x = v.x" for n, c in _MASKS.items())} GROUP BY v.image_id"""
+)
+def intensities_under_masks(spark, sf):
+    li = tables.table(spark, sf, "lineitem")
+    masks = {n: li.where(c).select(F.col("l_suppkey").alias("image_id"), (F.col("l_partkey") * 7 % GRID).alias("y"), (F.col("l_orderkey") * 13 % GRID).alias("x")) for n, c in _MASKS.items()}
+    return regions.masked_intensities(pictures(spark, sf), masks).select("image_id", *[r6(n, n) for n in masks])
