@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
+from . import chunks
 from .tabular import overlapping_circles
 
 #: Bits of a target's place on each axis of its key's square, and those that one level of cells adds.
@@ -66,15 +67,23 @@ def nearest_in_plane(points: DataFrame, targets: DataFrame, key: str, leaf: int
     return every.drop("_p").join(found, [key, "id", "y", "x"], "left").select(key, "id", "nearest_id", "distance")
 
 
-def chosen_circles(circles: DataFrame, key: str) -> DataFrame:
+def chosen_circles(circles: DataFrame, key: str, most: int = 1 << 12) -> DataFrame:
     """The circles (key, id, y, x, r) that a greedy choice takes: largest first, then least id, none that overlaps a taken one.
 
-    Overlapping pairs point from the circle that comes first. In a round all circles that none comes before are taken at a time, those that they
+    Keys of at most so many circles are settled within tasks. For the others overlapping pairs point from the circle that comes first. In a round all circles that none comes before are taken at a time, those that they
     overlap are dropped, and the pairs of both go; what is never dropped is taken. Rounds are at most the longest descending
     chain of overlaps, not the number of circles.
     """
     shelf = Scratch(circles.sparkSession, "circles")
-    first = shelf.table(circles, "all")
+    small, large = chunks.halves(shelf.table(circles, "all"), [key], shelf, "all", most)
+    some = small.withColumn("_r", -F.col("r"))
+    kinds = dict(circles.dtypes)
+    found = chunks.by_key(some, [key], ["_r", "id"], chunks.chosen_circles, ", ".join(f"{c} {kinds[c]}" for c in circles.columns if c != key)).select(*circles.columns)
+    return found if large is None else found.union(_chosen_by_rounds(large, key, shelf).select(*circles.columns))
+
+
+def _chosen_by_rounds(circles: DataFrame, key: str, shelf: Scratch) -> DataFrame:
+    first = shelf.table(circles, "large")
     met = overlapping_circles(first, key)
     rank = first.select(key, "id", "r")
     both = met.join(rank.toDF(key, "a", "ra"), [key, "a"]).join(rank.toDF(key, "b", "rb"), [key, "b"])

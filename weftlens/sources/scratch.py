@@ -13,7 +13,8 @@ class Scratch:
     """Tables written to the shared folder, so that no lost executor loses them; those not dropped go when the session ends.
 
     The folder is ``spark.checkpoint.dir``, else the one of ``SparkContext.setCheckpointDir``; where neither is set, a local
-    master takes a temporary folder and any other one raises. A table's size is known to Spark, which so may broadcast a small one.
+    master takes a temporary folder and any other one raises. Tables are joined by sorting: files say little of a table's size in memory,
+    so by them Spark would broadcast, through the driver, tables that grow with the input.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -36,7 +37,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         where = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(where)
-        return self.spark.read.schema(df.schema).parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where).hint("merge")
 
     def drop(self, *names: str) -> None:
         for name in names:
