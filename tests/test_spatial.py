@@ -11,6 +11,7 @@ import pytest
 
 from weftlens.operators import graphs, order, pixels as X, points as O, regions
 from weftlens.plans import measure
+from weftlens.sources.scratch import Scratch
 
 
 def places(spark, rows):
@@ -426,3 +427,24 @@ def test_intensities_fall_back_to_grey_and_to_zero(spark):
     assert stained < 180 and set(got) == {"a", "b"}
     assert (got["a"]["all"], got["a"]["pale"], got["a"]["none"]) == (stained, pytest.approx(grey, abs=1), 0)
     assert got["b"]["all"] == pytest.approx(grey, abs=1) and (got["b"]["pale"], got["b"]["none"]) == (0, 0)
+
+
+def test_small_keys_in_tasks_equal_large_ones_by_rounds(spark):
+    rng = random.Random(11)
+    px = [((i, "a"), y, x, float(rng.randint(0, 9)), float(y)) for i in range(6) for y in range(20) for x in range(20) if rng.random() < 0.1 + 0.1 * i]
+    df = spark.createDataFrame(px, "image_id struct<i:long,s:string>, y long, x long, v double, r double")
+    for corners in (True, False):
+        found = [{tuple(r[c] for c in ("image_id", "y", "x0", "x1", "top", "root", "size", "peak", "r")) for r in X.labelled_runs(df, corners, ["r"], most=m).collect()} for m in (0, 120, 1 << 18)]
+        assert found[0] == found[1] == found[2] and len(found[0]) > 100
+    edges = spark.createDataFrame([(k, rng.randrange(40) * (k + 1), rng.randrange(40)) for k in range(4) for _ in range(10 + 10 * k)], "k long, src long, dst long")
+    one, two, three = ({tuple(r) for r in graphs.components(edges, "k", most=m).collect()} for m in (0, 25, 1 << 18))
+    assert one == two == three
+    circles = spark.createDataFrame([(k, i, rng.uniform(0, 30), rng.uniform(0, 30), rng.choice([0.0, 1.0, 1.0, 4.0])) for k in range(3) for i in range(30 + 60 * k)], "k long, id long, y double, x double, r double")
+    one, two, three = ({tuple(r) for r in O.chosen_circles(circles, "k", most=m).collect()} for m in (0, 100, 1 << 12))
+    assert one == two == three
+
+
+def test_written_tables_are_not_broadcast_by_their_files_sizes(spark):
+    shelf = Scratch(spark, "sizes")
+    one, two = (shelf.table(spark.range(100).selectExpr("id as k", f"id as {n}"), n) for n in ("a", "b"))
+    assert "Broadcast" not in one.join(two.where("b > 3"), "k")._jdf.queryExecution().executedPlan().toString()

@@ -10,16 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
+from . import chunks
 
 
-def components(edges: DataFrame, key: str, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, key: str, most_rounds: int = 64, most: int = chunks.MOST) -> DataFrame:
     """(key, node, root) of the undirected edges (key, src, dst): root is the component's least node.
 
-    Alternating large-star and small-star steps; rounds grow with the logarithm of a component's size. A node that only has a
-    loop is its own root.
+    Keys of at most so many edges are settled within tasks, many at a time. The others go by alternating large-star and small-star
+    steps, whose rounds grow with the logarithm of a component's size. A node that only has a loop is its own root.
     """
     kind = dict(edges.dtypes)["src"]
     shelf = Scratch(edges.sparkSession, "components")
+    if kind not in ("bigint", "int"):
+        return _stars(edges, key, kind, most_rounds, shelf)
+    whole = shelf.table(edges.select(key, F.coalesce("src", "dst").cast(kind).alias("src"), F.coalesce("dst", "src").cast(kind).alias("dst")).dropna(), "edges")
+    small, large = chunks.halves(whole, [key], shelf, "edges", most)
+    found = chunks.by_key(small, [key], [], chunks.components, f"node {kind}, root {kind}", most)
+    return found if large is None else found.union(_stars(large, key, kind, most_rounds, shelf))
+
+
+def _stars(edges: DataFrame, key: str, kind: str, most_rounds: int, shelf: Scratch) -> DataFrame:
     ends = edges.select(key, F.greatest("src", "dst").cast(kind).alias("u"), F.least("src", "dst").cast(kind).alias("v"))
     first = shelf.table(ends.distinct(), "first")
     now, before = first.where("u <> v"), None

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
+from . import chunks
 from .graphs import components
 from .raster import let
 from .points import chosen_circles
@@ -46,12 +47,22 @@ def touching(found: DataFrame, corners: bool = True) -> DataFrame:
     return met.select("image_id", F.col("run.id").alias("src"), F.col("_o.id").alias("dst"))
 
 
-def labelled_runs(pixels: DataFrame, corners: bool = True, sums: Sequence[str] = ()) -> DataFrame:
+def labelled_runs(pixels: DataFrame, corners: bool = True, sums: Sequence[str] = (), most: int = chunks.MOST) -> DataFrame:
     """runs() with root, the number of the component's first pixel, size, its pixels, peak, its largest v, and its sums.
 
-    Runs, not pixels, are the nodes of the star steps; sizes are added up by component before they are joined back.
+    Rasters of at most so many pixels are settled within tasks, many at a time. In larger ones runs, not pixels, are the nodes of the star
+    steps; sizes are added up by component before they are joined back.
     """
     shelf = Scratch(pixels.sparkSession, "runs")
+    one = shelf.table(pixels.dropna(subset=["y", "x"]).groupBy("image_id", "y", "x").agg(*[F.max(c).cast("double").alias(c) for c in ("v", *sums)]), "pixels")
+    small, large = chunks.halves(one, ["image_id"], shelf, "pixels", most)
+    kinds = dict(pixels.dtypes)
+    schema = ", ".join([f"y {kinds['y']}", f"x0 {kinds['x']}", f"x1 {kinds['x']}", "top double", "root long", "size long", "peak double", *[f"{c} double" for c in sums]])
+    found = chunks.by_key(small, ["image_id"], ["y", "x"], chunks.labelled_runs(int(corners), sums, ROW), schema, most)
+    return found if large is None else found.unionByName(_by_stars(large, corners, sums, shelf))
+
+
+def _by_stars(pixels: DataFrame, corners: bool, sums: Sequence[str], shelf: Scratch) -> DataFrame:
     found = shelf.table(runs(pixels, sums), "runs")
     number = (F.col("y").cast("long") * ROW + F.col("x0")).alias("node")
     alone = found.select("image_id", number.alias("src"), number.alias("dst"))
