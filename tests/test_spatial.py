@@ -9,7 +9,7 @@ import random
 import numpy as np
 import pytest
 
-from weftlens.operators import graphs, order, pixels as X, points as O, regions
+from weftlens.operators import chunks, graphs, order, pixels as X, points as O, regions
 from weftlens.plans import measure
 from weftlens.sources.scratch import Scratch
 
@@ -448,3 +448,14 @@ def test_written_tables_are_not_broadcast_by_their_files_sizes(spark):
     shelf = Scratch(spark, "sizes")
     one, two = (shelf.table(spark.range(100).selectExpr("id as k", f"id as {n}"), n) for n in ("a", "b"))
     assert "Broadcast" not in one.join(two.where("b > 3"), "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lower_envelopes_of_many_rows_at_a_time():
+    rng = np.random.default_rng(12)
+    places = [(g, x, float(rng.integers(0, 50)) ** 2) for g in range(9) for x in sorted(rng.choice(40, rng.integers(1, 30), replace=False))]
+    g, x, f = (np.array(c) for c in zip(*places, strict=True))
+    n, out = chunks.lower_envelopes(g, {"x": x, "f": f}, 40)
+    for k in range(9):
+        own = n == k
+        got = {c: out["f"][own][i] + (c - out["at"][own][i]) ** 2 for i in range(own.sum()) for c in range(out["_a"][own][i], out["_b"][own][i] + 1)}
+        assert got == {c: float(min(f[i] + (x[i] - c) ** 2 for i in range(len(g)) if g[i] == k)) for c in range(40)}

@@ -187,3 +187,44 @@ def chosen_circles(g: np.ndarray, c: dict[str, np.ndarray]) -> tuple[np.ndarray,
             if free[k]:
                 free[k + 1 :] &= ~(np.hypot(cy[k + 1 :] - cy[k], cx[k + 1 :] - cx[k]) < cr[k + 1 :] + cr[k])
     return g[taken], {k: v[taken] for k, v in c.items()}
+
+
+def lower_envelopes(g: np.ndarray, c: dict[str, np.ndarray], width: int) -> tuple[np.ndarray, dict]:
+    """Stretches _a to _b of 0 … width - 1 on which the parabola f + (x - at)^2 of a place at is the lowest one, for rows of places (x, f) in order.
+
+    All rows of the chunk take their next place at a time; a row's stack stands where its places did.
+    """
+    x, f = c["x"].astype(float), c["f"].astype(float)
+    start = np.flatnonzero(np.append(True, np.diff(g) != 0))
+    size = np.diff(np.append(start, len(g)))
+    by_size = np.argsort(-size, kind="stable")
+    start, size = start[by_size], size[by_size]
+    sx, sf, sz, top = np.empty(len(x)), np.empty(len(x)), np.empty(len(x)), np.zeros(len(start), np.int64)
+    many = np.searchsorted(-size, -np.arange(size[0]), "left")  # rows with more than so many places
+
+    def meet(qx, qf, at):
+        return ((qf + qx * qx) - (sf[at] + sx[at] * sx[at])) / (2 * (qx - sx[at]))
+
+    for k in range(size[0]):
+        n = many[k]
+        qx, qf, here = x[start[:n] + k], f[start[:n] + k], start[:n]
+        z = np.full(n, -np.inf)
+        i = np.arange(n) if k else np.arange(0)
+        while len(i):
+            at = here[i] + top[i] - 1
+            m = meet(qx[i], qf[i], at)
+            z[i] = m
+            i = i[sz[at] >= m]
+            top[i] -= 1
+        at = here + top[:n]
+        sx[at], sf[at], sz[at] = qx, qf, z
+        top[:n] += 1
+    row, at = spread(start, start + top)
+    after = np.full(len(at), np.inf)
+    same = row[1:] == row[:-1]
+    after[:-1][same] = sz[at[1:]][same]
+    a = np.ceil(np.maximum(sz[at], 0.0))
+    b = np.where(np.isinf(after), width - 1, np.ceil(np.clip(after, 0.0, width)) - 1)
+    kept = np.flatnonzero(a <= b)
+    kept = kept[np.argsort(g[at[kept]], kind="stable")]
+    return g[at[kept]], {"at": sx[at[kept]], "f": sf[at[kept]], "_a": a[kept].astype(np.int64), "_b": b[kept].astype(np.int64)}

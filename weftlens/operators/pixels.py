@@ -6,15 +6,16 @@ Rasters may be larger than a task: nothing here holds more than a row, a column
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 from . import chunks
 from .graphs import components
-from .raster import let
 from .points import chosen_circles
 from .tabular import gaps_filled
 
@@ -90,38 +91,21 @@ def hysteresis(pixels: DataFrame, low: float, high: float) -> DataFrame:
 def distances(pixels: DataFrame, height: int, width: int) -> DataFrame:
     """(image_id, y, x, d2): squared distance of each place of a raster to the nearest of its pixels (image_id, y, x).
 
-    One window finds the nearest set pixel of each column; then each row of the raster is one fold: the lower envelope of the
-    columns' parabolas, whose stretches are read off. Two shuffles; images without a pixel have no rows.
+    The set pixels of a column, sorted, divide its places; then each row of the raster has the lower envelope of its
+    columns' parabolas, whose stretches are read off, many rows at a time. Two shuffles; images without a pixel have no rows.
     """
-    one = pixels.select("image_id", "y", "x").distinct()
+    one = pixels.select("image_id", "y", "x").dropna().distinct()
     columns = one.groupBy("image_id", "x").agg(F.sort_array(F.collect_list("y")).alias("set"))  # one column of a raster
     grid = columns.select("image_id", "x", F.posexplode("set").alias("k", "y"), F.size("set").alias("m"), "set")
     until = F.when(F.col("k") == F.col("m") - 1, height - 1).otherwise(F.floor((F.col("y") + F.get("set", F.col("k") + 1)) / 2))
     since = F.when(F.col("k") == 0, 0).otherwise(F.floor((F.get("set", F.col("k") - 1) + F.col("y")) / 2) + 1)
     near = grid.withColumns({"_a": since.cast("long"), "_b": until.cast("long")}).where("_a <= _b").select("image_id", "x", "y", F.explode(F.sequence("_a", "_b")).alias("row"))
     gap = (F.col("row") - F.col("y")).cast("double")
-    rows = near.groupBy("image_id", "row").agg(F.sort_array(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), (gap * gap).alias("f")))).alias("p"))
-
-    def meet(q: Column, e: Column) -> Column:
-        return ((q["f"] + q["x"] * q["x"]) - (e["f"] + e["x"] * e["x"])) / (2 * (q["x"] - e["x"]))
-
-    empty = F.array().cast("array<struct<x:double,f:double,z:double>>")
-
-    def push(stack: Column, q: Column) -> Column:
-        def on(kept: Column) -> Column:
-            z = F.when(F.size(kept) > 0, meet(q, F.element_at(kept, -1))).otherwise(F.lit(-math.inf))
-            return F.concat(kept, F.array(F.struct(q["x"].alias("x"), q["f"].alias("f"), z.alias("z"))))
-
-        return let(F.filter(stack, lambda e: e["z"] < meet(q, e)), on)
-
-    lower = rows.select("image_id", F.col("row").alias("y"), F.aggregate("p", empty, push).alias("e")).select("image_id", "y", "e", F.posexplode("e").alias("k", "s"))
-    after = F.get("e", F.col("k") + 1)["z"]
-    since = F.greatest(F.ceil(F.greatest(F.col("s.z"), F.lit(0.0))), F.lit(0))
-    until = F.when(after.isNull(), width - 1).otherwise(F.ceil(F.least(F.greatest(after, F.lit(0.0)), F.lit(float(width)))) - 1)
-    spans = lower.withColumns({"_a": since.cast("long"), "_b": until.cast("long")}).where("_a <= _b")
-    out = spans.select("image_id", "y", "s", F.explode(F.sequence("_a", "_b")).alias("x"))
-    step = F.col("x") - F.col("s.x")
-    return out.select("image_id", "y", "x", (step * step + F.col("s.f")).alias("d2"))
+    places = near.select("image_id", F.col("row").alias("y"), F.col("x").cast("double").alias("x"), (gap * gap).alias("f"))
+    spans = chunks.by_key(places, ["image_id", "y"], ["x"], partial(chunks.lower_envelopes, width=width), "at double, f double, _a long, _b long")
+    out = spans.select("image_id", "y", "at", "f", F.explode(F.sequence("_a", "_b")).alias("x"))
+    step = F.col("x") - F.col("at")
+    return out.select("image_id", "y", "x", (step * step + F.col("f")).alias("d2"))
 
 
 def tiles_of(pixels: DataFrame, side: int, height: int, width: int) -> DataFrame:
@@ -131,12 +115,47 @@ def tiles_of(pixels: DataFrame, side: int, height: int, width: int) -> DataFrame
     """
     down, across = -(-height // side), -(-width // side)
     cells = pixels.groupBy("image_id", F.floor(F.col("y") / side).cast("int").alias("ty"), F.floor(F.col("x") / side).cast("int").alias("tx"), F.col("y"), F.col("x")).agg(F.sum("v").alias("v"))
-    held = cells.groupBy("image_id", "ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct(((F.col("y") - F.col("ty") * side) * side + F.col("x") - F.col("tx") * side).cast("int"), "v"))).alias("m"))  # one tile
+    at = ((F.col("y") - F.col("ty") * side) * side + F.col("x") - F.col("tx") * side).cast("int").alias("at")
+    held = cells.groupBy("image_id", "ty", "tx").agg(F.collect_list(F.struct(at, F.col("v").cast("double").alias("v"))).alias("m"))  # one tile
     every = pixels.select("image_id").distinct().withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
     th, tw = F.least(F.lit(side), height - F.col("ty") * side), F.least(F.lit(side), width - F.col("tx") * side)
     full = every.join(held, ["image_id", "ty", "tx"], "left").withColumns({"th": th, "tw": tw, "h": F.lit(height), "w": F.lit(width)})
-    value = F.transform(F.sequence(F.lit(0), F.col("th") * F.col("tw") - 1), lambda i: F.coalesce(F.try_element_at("m", (F.floor(i / F.col("tw")) * side + i % F.col("tw")).cast("int")), F.lit(0.0)))
-    return full.select("image_id", "ty", "tx", "th", "tw", "h", "w", value.alias("v"))
+
+    def dense(row):
+        m = np.zeros(side * side)
+        m[row["at"]] = np.nan_to_num(row["v"], nan=0.0) if np.isnan(row["v"]).any() else row["v"]
+        return m.reshape(side, side)[: row["th"], : row["tw"]].ravel()
+
+    return _each_tile(full.select(*TILE, F.col("m.at").alias("at"), F.col("m.v").alias("v")), dense, side)
+
+
+#: A tile's place, its own size and that of its raster.
+TILE = ("image_id", "ty", "tx", "th", "tw", "h", "w")
+
+
+def _each_tile(tiles: DataFrame, fn: Callable[[dict], np.ndarray], side: int) -> DataFrame:
+    """TILE and v, the values that fn gives for a row's numbers and arrays. Batches have about four million places at most."""
+    most = max(1, (1 << 22) // (side * side))
+    lists = [c for c in tiles.columns if c not in TILE]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, most):
+                batch = whole.slice(start, most)
+                own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in TILE[1:]}
+                more = {}
+                for c in lists:
+                    col = batch.column(c)
+                    values, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+                    more[c] = values, ends
+                out = [fn({**{c: int(v[k]) for c, v in own.items()}, **{c: v[e[k] : e[k + 1]] for c, (v, e) in more.items()}}) for k in range(batch.num_rows)]
+                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+                yield pa.record_batch([*[batch.column(c) for c in TILE], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))], names=[*TILE, "v"])
+
+    kinds = dict(tiles.dtypes)
+    return tiles.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in TILE) + ", v array<double>")
 
 
 def stencilled(tiles: DataFrame, side: int, down: Sequence[float], across: Sequence[float]) -> DataFrame:
@@ -160,40 +179,32 @@ def stencilled(tiles: DataFrame, side: int, down: Sequence[float], across: Seque
     sent = tiles.withColumn("_v", safe).withColumn("_s", F.explode(F.array(*[strip(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])))
     to = sent.withColumns({"ty": F.col("ty") - F.col("_s.sy"), "tx": F.col("tx") - F.col("_s.sx")})
     to = to.where((F.col("ty") >= 0) & (F.col("tx") >= 0) & (F.col("ty") * side < F.col("h")) & (F.col("tx") * side < F.col("w")))
-    parts = F.map_from_entries(F.collect_list(F.struct((F.col("_s.sy") * 3 + F.col("_s.sx")).alias("k"), F.col("_s.part").alias("p")))).alias("m")  # nine at most
-    got = to.groupBy("image_id", "ty", "tx").agg(F.max("h").alias("h"), F.max("w").alias("w"), parts)
+    part = F.struct((F.col("_s.sy") * 3 + F.col("_s.sx")).alias("k"), F.coalesce("_s.part", F.array().cast("array<double>")).alias("p"))
+    got = to.groupBy("image_id", "ty", "tx").agg(F.max("h").alias("h"), F.max("w").alias("w"), F.sort_array(F.collect_list(part)).alias("m"))  # nine at most
     got = got.withColumns({"th": F.least(F.lit(side), F.col("h") - F.col("ty") * side), "tw": F.least(F.lit(side), F.col("w") - F.col("tx") * side)})
-
-    def folded(j: Column, n: str) -> Column:
-        return F.when(j < 0, -1 - j).when(j >= F.col(n), 2 * F.col(n) - 1 - j).otherwise(j)
-
-    wide = F.col("tw") + 2 * s
-
-    def places(axis: str, n: str, own: str, arm: int) -> Column:
-        """For each row or column of the padded tile: which neighbour it comes from, where there, and how wide that strip is."""
-
-        def place(v: Column) -> Column:
-            near = F.floor(v / side) - F.col(axis)
-            at = v - (F.col(axis) + near) * side - F.when(near < 0, side - arm).otherwise(0)
-            return F.struct(near.alias("near"), at.alias("at"), F.when(near == 0, F.col(own)).otherwise(arm).alias("of"))
-
-        return F.transform(F.sequence(F.lit(0), F.col(own) + 2 * arm - 1), lambda i: let(folded(F.col(axis) * side + i - arm, n), place))
-
-    def value(y: Column, x: Column) -> Column:
-        return F.get(F.element_at("m", (y["near"] * 3 + x["near"]).cast("int")), (y["at"] * x["of"] + x["at"]).cast("int"))
-
-    padded = let(places("tx", "w", "tw", s), lambda xs: F.flatten(F.transform(places("ty", "h", "th", r), lambda y: F.transform(xs, lambda x: value(y, x)))))
-
-    def total(terms: list[Column]) -> Column:
-        return sum(terms[1:], terms[0])
-
-    def first(a: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.col("th") * wide - 1), lambda i: total([F.lit(float(k)) * F.get(a, (i + j * wide).cast("int")) for j, k in enumerate(down)]))
-
-    def second(a: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.col("th") * F.col("tw") - 1), lambda i: total([F.lit(float(k)) * F.get(a, (F.floor(i / F.col("tw")) * wide + i % F.col("tw") + j).cast("int")) for j, k in enumerate(across)]))
-
-    return got.select("image_id", "ty", "tx", "th", "tw", "h", "w", let(let(padded, first), second).alias("v"))
+    flat = got.select(*TILE, F.col("m.k").alias("k"), F.flatten("m.p").alias("p"))
+
+    def places(own: int, arm: int, first: int, n: int) -> np.ndarray:
+        """Where the padded tile's rows or columns stand when borders reflect."""
+        at = np.arange(first - arm, first + own + arm)
+        return np.where(at < 0, -1 - at, np.where(at >= n, 2 * n - 1 - at, at)) - first + arm
+
+    def filtered(row):
+        th, tw = row["th"], row["tw"]
+        padded, used = np.zeros((th + 2 * r, tw + 2 * s)), 0
+        spans = {-1: (0, r), 0: (r, r + th), 1: (r + th, th + 2 * r)}, {-1: (0, s), 0: (s, s + tw), 1: (s + tw, tw + 2 * s)}
+        for k in row["k"]:
+            sy = (int(k) + 4) // 3 - 1
+            (a, b), (c, d) = spans[0][sy], spans[1][int(k) - 3 * sy]
+            n = (b - a) * (d - c)
+            if n:
+                padded[a:b, c:d] = row["p"][used : used + n].reshape(b - a, d - c)
+                used += n
+        whole = padded[places(th, r, row["ty"] * side, row["h"])][:, places(tw, s, row["tx"] * side, row["w"])]
+        first = sum(float(k) * whole[j : j + th] for j, k in enumerate(down))
+        return sum(float(k) * first[:, j : j + tw] for j, k in enumerate(across)).ravel()
+
+    return _each_tile(flat, filtered, side)
 
 
 def tile_pixels(tiles: DataFrame, side: int) -> DataFrame:
