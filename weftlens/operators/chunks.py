@@ -228,3 +228,19 @@ def lower_envelopes(g: np.ndarray, c: dict[str, np.ndarray], width: int) -> tupl
     kept = np.flatnonzero(a <= b)
     kept = kept[np.argsort(g[at[kept]], kind="stable")]
     return g[at[kept]], {"at": sx[at[kept]], "f": sf[at[kept]], "_a": a[kept].astype(np.int64), "_b": b[kept].astype(np.int64)}
+
+
+def nearest(g: np.ndarray, c: dict[str, np.ndarray]) -> tuple[np.ndarray, dict]:
+    """For each point (_t 0) the id of the nearest target (_t 1) of its key, of equal ones the first, and the distance; NaN where there is none."""
+    y, x, ask = c["y"].astype(float), c["x"].astype(float), c["_t"] == 0
+    near, far = np.zeros(len(g), c["id"].dtype), np.full(len(g), np.nan)
+    starts = np.flatnonzero(np.append(True, np.diff(g) != 0))
+    for a, b in zip(starts, np.append(starts[1:], len(g)), strict=True):
+        m = a + int(ask[a:b].sum())
+        t = np.arange(m, b)[~np.isnan(y[m:b] + x[m:b])]
+        if not len(t) or m == a:
+            continue
+        d = np.square(y[t] - y[a:m, None]) + np.square(x[t] - x[a:m, None])
+        best = d.argmin(axis=1)
+        near[a:m], far[a:m] = c["id"][t[best]], np.sqrt(d[np.arange(m - a), best])
+    return g[ask], {"id": c["id"][ask], "_near": near[ask], "distance": far[ask]}

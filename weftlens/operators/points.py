@@ -17,14 +17,30 @@ def _square(c: Column) -> Column:
     return c * c
 
 
-def nearest_in_plane(points: DataFrame, targets: DataFrame, key: str, leaf: int = 16) -> DataFrame:
+def nearest_in_plane(points: DataFrame, targets: DataFrame, key: str, leaf: int = 16, most: int = 1 << 12) -> DataFrame:
     """For each point (key, id, y, x) the target of its key with the least distance, then least id; null where a key has none.
 
-    Targets stand in cells that shrink level by level, until a cell holds at most leaf places. A point follows only the cells whose box may hold a
+    Keys of at most so many points and targets are settled within tasks, so their points are shuffled once. For the others targets stand in cells that shrink level by level, until a cell holds at most leaf places. A point follows only the cells whose box may hold a
     target as near as one that some box is sure to hold, so it meets a few cells a level, whatever clusters the targets form, and only
     the targets of the last cells. Places are made distinct first. A point that stands in many rows has as many results.
     """
     shelf = Scratch(points.sparkSession, "nearest")
+    asked, kind = points.select(key, "id", "y", "x"), dict(points.dtypes)["id"]
+    if kind not in ("bigint", "int") or dict(targets.dtypes)["id"] != kind:
+        return _nearest_by_cells(asked, targets, key, leaf, shelf)
+    whole = shelf.table(asked.withColumn("_t", F.lit(0)).union(targets.select(key, "id", "y", "x", F.lit(1))), "all")
+    named = whole.where(F.col("id").isNotNull())
+    small, large = chunks.halves(named, [key], shelf, "all", most)
+    found = chunks.by_key(small, [key], ["_t", "id"], chunks.nearest, f"id {kind}, _near {kind}, distance double")
+    met = found.select(key, "id", F.when(F.col("distance").isNotNull(), F.col("_near")).alias("nearest_id"), "distance")
+    lost = whole.where((F.col("_t") == 0) & (F.col(key).isNull() | F.col("id").isNull()))
+    out = met.union(lost.select(key, "id", F.lit(None).cast(kind), F.lit(None).cast("double")))
+    if large is None:
+        return out
+    return out.union(_nearest_by_cells(large.where("_t = 0"), large.where("_t = 1"), key, leaf, shelf))
+
+
+def _nearest_by_cells(points: DataFrame, targets: DataFrame, key: str, leaf: int, shelf: Scratch) -> DataFrame:
     places = targets.groupBy(key, "y", "x").agg(F.min("id").alias("id"))
     box = shelf.table(places.groupBy(key).agg(F.min("y").alias("_y0"), F.min("x").alias("_x0"), F.greatest(F.max("y") - F.min("y"), F.max("x") - F.min("x")).alias("_side")), "box")
 
