@@ -9,8 +9,8 @@ import random
 import numpy as np
 import pytest
 
-from weftlens.operators import chunks, graphs, order, pixels as X, points as O, regions
-from weftlens.plans import measure
+from weftlens.operators import chunks, graphs, kernels, order, pixels as X, points as O, regions
+from weftlens.plans import imaging, measure
 from weftlens.sources.scratch import Scratch
 
 
@@ -440,6 +440,9 @@ def test_small_keys_in_tasks_equal_large_ones_by_rounds(spark):
     one, two, three = ({tuple(r) for r in graphs.components(edges, "k", most=m).collect()} for m in (0, 25, 1 << 18))
     assert one == two == three
     circles = spark.createDataFrame([(k, i, rng.uniform(0, 30), rng.uniform(0, 30), rng.choice([0.0, 1.0, 1.0, 4.0])) for k in range(3) for i in range(30 + 60 * k)], "k long, id long, y double, x double, r double")
+    targets = circles.withColumn("id", -circles["id"])
+    one, two, three = ({tuple(r) for r in O.nearest_in_plane(circles, targets, "k", most=m).collect()} for m in (0, 200, 1 << 12))
+    assert one == two == three
     one, two, three = ({tuple(r) for r in O.chosen_circles(circles, "k", most=m).collect()} for m in (0, 100, 1 << 12))
     assert one == two == three
 
@@ -459,3 +462,9 @@ def test_lower_envelopes_of_many_rows_at_a_time():
         own = n == k
         got = {c: out["f"][own][i] + (c - out["at"][own][i]) ** 2 for i in range(own.sum()) for c in range(out["_a"][own][i], out["_b"][own][i] + 1)}
         assert got == {c: float(min(f[i] + (x[i] - c) ** 2 for i in range(len(g)) if g[i] == k)) for c in range(40)}
+
+
+def test_workers_get_few_rasters_at_a_time(spark):
+    cells = spark.range(700).selectExpr("id as image_id", "0 as y", "0 as x", "1.0D as v").coalesce(1)
+    sizes = kernels.per_image(imaging.rasters(cells).coalesce(1), lambda m: [(len(m),)], "n long")
+    assert sizes.count() == 700 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") not in ("-1", str(2**63 - 1))

@@ -24,7 +24,7 @@ def rasters(cells: DataFrame, side: int = GRID) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
             data = []
             for at, v in zip(batch.column(1), batch.column(2), strict=True):
                 m = np.zeros(side * side)
