@@ -214,3 +214,18 @@ def test_scales_have_their_own_thresholds():
     assert set(np.unique(maps["low"])) <= {3, 9} and (maps["high"] == 10 * maps["low"]).all()
     wide = maps["sigma"] > 2
     assert (maps["low"][wide] == 9).all() and (maps["low"][~wide] == 3).all()
+
+
+def test_junctions_equal_all_pairs_of_contours():
+    rng = np.random.default_rng(13)
+    contours = [np.cumsum(rng.integers(-1, 2, (n, 3)), axis=0) + rng.integers(0, 12, 3).astype(float) for n in rng.integers(1, 12, 40)]
+    expected = set()
+    for i, c in enumerate(contours):
+        for end in (c[0], c[-1]):
+            for j, other in enumerate(contours):
+                d = np.hypot(other[:, 0] - end[0], other[:, 1] - end[1])
+                if i != j and d.min() <= 1.5:
+                    k = int(d.argmin())
+                    expected.add((i, j, k, float(other[k, 0]), float(other[k, 1])))
+    assert K.junctions(contours) == sorted(expected) and len(expected) > 40
+    assert K.junctions([]) == []
