@@ -468,3 +468,43 @@ def test_workers_get_few_rasters_at_a_time(spark):
     cells = spark.range(700).selectExpr("id as image_id", "0 as y", "0 as x", "1.0D as v").coalesce(1)
     sizes = kernels.per_image(imaging.rasters(cells).coalesce(1), lambda m: [(len(m),)], "n long")
     assert sizes.count() == 700 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") not in ("-1", str(2**63 - 1))
+
+
+def _same(a, b):
+    rows = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
+    assert rows(a) == rows(b)
+
+
+def _dots(spark, share, n=40, images=3):
+    rng = np.random.default_rng(5)
+    rows = [(k, int(y), int(x)) for k in range(images) for y, x in np.argwhere(rng.random((n, n)) < share)]
+    rows += [(9, *p) for p in ((0, 0), (0, 1), (1, 2), (2, 1), (2, 0), (1, -1))]  # a ring
+    return spark.createDataFrame([*rows, *rows[:5]], "image_id long, y long, x long")
+
+
+def _arrows(df, fn=None):
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+@pytest.mark.parametrize("share", [0.15, 0.3])
+def test_paths_and_routes_in_tasks_equal_rounds(spark, share):
+    dots = _dots(spark, share)
+    edges = _arrows(X.pixel_graph(dots))
+    _same(edges, X.pixel_graph(dots, most=10))
+    found = _arrows(graphs.paths(edges, "image_id"))
+    _same(found, graphs.paths(edges, "image_id", most=10))
+    some = found.where("kind <> 'ring'").select("image_id", "src", "dst", "length")
+    routes = _arrows(graphs.longest_routes(some, "image_id"))
+    _same(routes, graphs.longest_routes(some, "image_id", most=10))
+    _same(routes, graphs.longest_routes(some, "image_id", nodes=6))
+
+
+def test_routes_of_small_components_write_no_pairs(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(graphs, "_routes_by_rounds", refused)
+    edges = _arrows(X.pixel_graph(_dots(spark, 0.15)))
+    assert graphs.longest_routes(edges, "image_id").count()
+    with pytest.raises(AssertionError):
+        graphs.longest_routes(edges, "image_id", nodes=2)

@@ -6,6 +6,8 @@ shared folder, and what two joins read is written first, so that they read plain
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,14 +59,30 @@ def _arcs(edges: DataFrame, key: str) -> DataFrame:
     return one.union(one.select(key, F.col("v").alias("u"), F.col("u").alias("v"), "length"))
 
 
-def paths(edges: DataFrame, key: str) -> DataFrame:
+def _kind(tips):
+    return F.when(tips == 3, "ring").when(tips == 2, "end-to-end").when(tips == 1, "end-to-brh").otherwise("brh-to-brh")
+
+
+def paths(edges: DataFrame, key: str, most: int = chunks.MOST) -> DataFrame:
     """The graph with its chains of nodes of degree 2 made single paths: (key, src, dst, length, hops, kind).
 
+    Keys of at most so many edges are settled within tasks, many at a time; the others go by rounds of tables, in the same way.
+
     Each direction of an edge points to the one after it where its head has degree 2. Pointers double: a round joins each open one with
     what it points to, so chains end after the logarithm of their length. What is still open then, with its least node unchanged
     all over, lies on closed rings; those get one row, from their least node to itself. Kinds are end-to-end, end-to-brh, brh-to-brh and ring.
     """
-    shelf = Scratch(edges.sparkSession, "paths")
+    shelf, node = Scratch(edges.sparkSession, "paths"), dict(edges.dtypes)["src"]
+    if node not in ("bigint", "int"):
+        return _paths_by_rounds(edges, key, shelf)
+    whole = shelf.table(edges.where("src <> dst").select(key, "src", F.col("dst").cast(node).alias("dst"), F.col("length").cast("double").alias("length")), "edges")
+    small, large = chunks.halves(whole, [key], shelf, "edges", most)
+    found = chunks.by_key(small, [key], [], chunks.paths, f"src {node}, dst {node}, length double, hops long, tips int", most)
+    found = found.select(key, "src", "dst", "length", "hops", _kind(F.col("tips")).alias("kind"))
+    return found if large is None else found.union(_paths_by_rounds(large, key, shelf))
+
+
+def _paths_by_rounds(edges: DataFrame, key: str, shelf: Scratch) -> DataFrame:
     arcs = shelf.table(_arcs(edges, key), "arcs")
     degree = shelf.table(arcs.groupBy(key, "u").agg(F.count("*").alias("d")), "degree")
     through = degree.where("d = 2").select(key, F.col("u").alias("v"))
@@ -87,18 +105,36 @@ def paths(edges: DataFrame, key: str) -> DataFrame:
     found = state.where("next is null").select(key, F.col("arc.u").alias("src"), F.col("arc.v").alias("_a"), F.col("last.v").alias("dst"), F.col("last.u").alias("_b"), "length", "hops")
     found = found.where(F.struct("src", "_a") <= F.struct("dst", "_b")).join(ends.toDF(key, "src", "_ds"), [key, "src"]).join(ends.toDF(key, "dst", "_dd"), [key, "dst"])
     tips = F.when(F.col("_ds") == 1, 1).otherwise(0) + F.when(F.col("_dd") == 1, 1).otherwise(0)
-    kind = F.when(tips == 2, "end-to-end").when(tips == 1, "end-to-brh").otherwise("brh-to-brh")
+    kind = _kind(tips)
     rings = state.where("next is not null").groupBy(key, "low").agg((F.sum("own") / 2).alias("length"), (F.count("*") / 2).cast("long").alias("hops"))
     return found.select(key, "src", "dst", "length", "hops", kind.alias("kind")).union(rings.select(key, F.col("low").alias("src"), F.col("low").alias("dst"), "length", "hops", F.lit("ring").alias("kind")))
 
 
-def longest_routes(edges: DataFrame, key: str) -> DataFrame:
+#: Nodes of a component whose pairs a task holds at a time.
+NODES = 1 << 10
+
+
+def longest_routes(edges: DataFrame, key: str, most: int = chunks.MOST, nodes: int = NODES) -> DataFrame:
     """The longest shortest path of each component, (key, root, src, dst, length), of equal ones the least pair of ends.
 
-    All nodes are sources at a time. Only pairs whose distance fell in the last round are extended along the edges, and the candidates combine
+    All nodes are sources at a time. Components of at most so many nodes, of keys of at most so many edges, are settled within tasks, and only what
+    they give is written. For the others only pairs whose distance fell in the last round are extended along the edges, and the candidates combine
     before the shuffle. The pairs of a component are what the result is a maximum of; they are kept as a table, never in one task.
     """
-    shelf = Scratch(edges.sparkSession, "routes")
+    shelf, node = Scratch(edges.sparkSession, "routes"), dict(edges.dtypes)["src"]
+    if node not in ("bigint", "int"):
+        return _routes_by_rounds(edges, key, shelf)
+    whole = shelf.table(edges.where("src <> dst").select(key, "src", F.col("dst").cast(node).alias("dst"), F.col("length").cast("double").alias("length")), "edges")
+    small, large = chunks.halves(whole, [key], shelf, "edges", most)
+    settled = chunks.by_key(small, [key], [], partial(chunks.routes, most=nodes), f"root {node}, src {node}, dst {node}, length double, left boolean", most)
+    found = shelf.table(settled, "settled")
+    left = found.where("left").select(key, "src", "dst", "length")
+    rest = large if left.isEmpty() else left if large is None else large.select(*left.columns).union(left)
+    done = found.where("not left").select(key, "root", "src", "dst", "length")
+    return done if rest is None else done.union(_routes_by_rounds(rest, key, shelf))
+
+
+def _routes_by_rounds(edges: DataFrame, key: str, shelf: Scratch) -> DataFrame:
     arcs = shelf.table(_arcs(edges, key), "arcs")
     root = shelf.table(components(arcs.select(key, F.col("u").alias("src"), F.col("v").alias("dst")), key), "roots")
     known = shelf.table(root.select(key, F.col("node").alias("s"), F.col("node").alias("n"), F.lit(0.0).alias("d"), F.lit(True).alias("new")), "known-0")

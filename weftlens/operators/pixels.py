@@ -232,9 +232,19 @@ def ray_widths(points: DataFrame, edge: DataFrame, longest: int) -> DataFrame:
     return gaps_filled(along, "_c", ["idx"], "width", "along").drop("_c", "_step")
 
 
-def pixel_graph(pixels: DataFrame) -> DataFrame:
-    """Edges (image_id, src, dst, length) between neighbouring pixels, numbered in raster order."""
-    one = pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct()
+def pixel_graph(pixels: DataFrame, most: int = chunks.MOST) -> DataFrame:
+    """Edges (image_id, src, dst, length) between neighbouring pixels, numbered in raster order.
+
+    Rasters of at most so many pixels are settled within tasks, many at a time; in larger ones each pixel asks four places.
+    """
+    shelf = Scratch(pixels.sparkSession, "graph")
+    one = shelf.table(pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).dropna(), "pixels")
+    small, large = chunks.halves(one, ["image_id"], shelf, "pixels", most)
+    found = chunks.by_key(small, ["image_id"], ["y", "x"], chunks.pixel_edges(ROW), "src long, dst long, length double", most)
+    return found if large is None else found.union(_edges_by_joins(large.distinct()))
+
+
+def _edges_by_joins(one: DataFrame) -> DataFrame:
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(math.hypot(dy, dx)).alias("length")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
     ask = one.select("image_id", (F.col("y") * ROW + F.col("x")).alias("src"), "y", "x", F.explode(steps).alias("s")).select("image_id", "src", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "s.length")
     return ask.join(one, ["image_id", "y", "x"]).select("image_id", "src", (F.col("y") * ROW + F.col("x")).alias("dst"), "length")
