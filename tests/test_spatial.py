@@ -508,3 +508,19 @@ def test_routes_of_small_components_write_no_pairs(spark, monkeypatch):
     assert graphs.longest_routes(edges, "image_id").count()
     with pytest.raises(AssertionError):
         graphs.longest_routes(edges, "image_id", nodes=2)
+
+
+@pytest.mark.parametrize("side", [32, 256])
+def test_thinning_by_tiles_equals_whole_rasters(spark, side):
+    rng = np.random.default_rng(8)
+    masks = [kernels.filtered(rng.random((90, 110)), *[np.ones(9) / 9] * 2) > 0.5, np.ones((70, 90), bool), rng.random((80, 80)) < 0.5]
+    rows = [(k, int(y) - 40, int(x) - 30) for k, m in enumerate(masks) for y, x in np.argwhere(m)]
+    got = {(k, y, x) for k, y, x in X.thinned(spark.createDataFrame([*rows, *rows[:9]], "image_id long, y long, x long"), side).collect()}
+    want = {(k, int(y) - 40, int(x) - 30) for k, m in enumerate(masks) for y, x in np.argwhere(kernels.thinned(m))}
+    assert got == want
+
+
+def test_codes_and_thinning_take_one_shuffle_of_pixels(spark):
+    dots = _dots(spark, 0.3)
+    plan = X.neighbour_codes(dots)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "Aggregate" not in plan

@@ -255,15 +255,26 @@ AROUND = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
 UP, RIGHT, DOWN, LEFT = 1, 4, 16, 64
 
 
-def neighbour_codes(pixels: DataFrame) -> DataFrame:
-    """(image_id, y, x, code) of distinct pixels: which of the eight around each are set, as bits in the order of AROUND.
+#: Places of a tile's side for what neighbours decide.
+CORE = 256
+
+
+def _by_tiles(pixels: DataFrame, reach: int, fn: Callable, schema: str, side: int = CORE) -> DataFrame:
+    """(image_id, …, schema) of fn over tiles of pixels (image_id, y, x, core), which also hold what lies within reach of them and isn't their own.
 
-    Each pixel tells its neighbours; what they hear adds up before and after one shuffle.
+    One shuffle of little more than the pixels; a tile has at most the places of its square.
     """
-    one = pixels.select("image_id", "y", "x").distinct()
-    tell = F.explode(F.array(F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx"), F.lit(256).alias("bit")), *[F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx"), F.lit(1 << k).alias("bit")) for k, (dy, dx) in enumerate(AROUND)])).alias("t")
-    heard = one.select("*", tell).select("image_id", (F.col("y") + F.col("t.dy")).alias("y"), (F.col("x") + F.col("t.dx")).alias("x"), "t.bit")
-    return heard.groupBy("image_id", "y", "x").agg(F.sum("bit").cast("int").alias("code")).where("code >= 256").select("image_id", "y", "x", (F.col("code") - 256).alias("code"))
+    one = pixels.select("image_id", "y", "x")
+    at = {t: F.explode(F.sequence(F.floor((F.col(c) - reach) / side).cast("int"), F.floor((F.col(c) + reach) / side).cast("int"))) for t, c in (("ty", "y"), ("tx", "x"))}
+    held = one.withColumn("ty", at["ty"]).withColumn("tx", at["tx"])
+    own = (F.floor(F.col("y") / side) == F.col("ty")) & (F.floor(F.col("x") / side) == F.col("tx"))
+    return chunks.by_key(held.withColumn("core", own), ["image_id", "ty", "tx"], ["y", "x"], fn, schema)
+
+
+def neighbour_codes(pixels: DataFrame) -> DataFrame:
+    """(image_id, y, x, code) of distinct pixels: which of the eight around each are set, as bits in the order of AROUND."""
+    kinds = dict(pixels.dtypes)
+    return _by_tiles(pixels, 1, chunks.neighbour_codes(AROUND), f"y long, x long, code int").select("image_id", F.col("y").cast(kinds["y"]).alias("y"), F.col("x").cast(kinds["x"]).alias("x"), "code")
 
 
 def neighbours_of(code: Column) -> Column:
@@ -289,27 +300,35 @@ def matches(code: Column, patterns: Sequence[Sequence[Sequence[int]]]) -> Column
     return out
 
 
-def thinned(pixels: DataFrame) -> DataFrame:
+#: Half rounds of thinning that a tile makes before it has to hear from those around it; an even number.
+HALF_ROUNDS = 8
+
+
+def _going(sides: Sequence[int]) -> np.ndarray:
+    """For each code whether a pixel goes: two to six neighbours, one crossing, and none of the sides' triples complete."""
+    code = np.arange(256)
+    turned = (code >> 1) | ((code & 1) << 7)
+    n, crossings = (np.array([int(c).bit_count() for c in k]) for k in (code, turned & ~code & 255))
+    return (n >= 2) & (n <= 6) & (crossings == 1) & np.all([code & s != s for s in sides], axis=0)
+
+
+def thinned(pixels: DataFrame, side: int = CORE) -> DataFrame:
     """(image_id, y, x) of the lines that are left of pixels when borders are taken off alternately from two sides.
 
     A pixel goes in a half round if it has two to six neighbours, one crossing, and lacks a neighbour on the sides in turn; all of a half round go at a
-    time, so the result doesn't hang on partitions. Each half round is one shuffle and a table; rounds grow with the width of what is thinned.
+    time, so the result doesn't hang on partitions. What is left of a place after some half rounds hangs only on those as many places away, so tiles
+    make several of them between two shuffles; the shuffles grow with the width of what is thinned.
     """
-    shelf = Scratch(pixels.sparkSession, "thinned")
-    now, still, k = shelf.table(pixels.select("image_id", "y", "x").distinct(), "round-0"), 0, 0
-    n = now.count()
-    while still < 2 and n:
-        sides = ((UP | RIGHT | DOWN, RIGHT | DOWN | LEFT), (UP | RIGHT | LEFT, UP | DOWN | LEFT))[k % 2]
-        code = F.col("code")
-        goes = neighbours_of(code).between(2, 6) & (crossings_of(code) == 1)
-        for s in sides:
-            goes &= code.bitwiseAND(s) != s
-        k += 1
-        now = shelf.table(neighbour_codes(now).where(~goes).select("image_id", "y", "x"), f"round-{k}")
-        shelf.drop(f"round-{k - 1}")
-        left = now.count()
-        still, n = (still + 1 if left == n else 0), left
-    return now
+    shelf, kinds = Scratch(pixels.sparkSession, "thinned"), dict(pixels.dtypes)
+    goes = [_going(s) for s in ((UP | RIGHT | DOWN, RIGHT | DOWN | LEFT), (UP | RIGHT | LEFT, UP | DOWN | LEFT))]
+    now, k = pixels, 0
+    while True:
+        made = shelf.table(_by_tiles(now, HALF_ROUNDS, chunks.thinned(AROUND, goes, HALF_ROUNDS), "y long, x long, late boolean", side).drop("ty", "tx"), f"round-{k}")
+        if k:
+            shelf.drop(f"round-{k - 1}")
+        now, k = made.where("not late").select("image_id", F.col("y").cast(kinds["y"]).alias("y"), F.col("x").cast(kinds["x"]).alias("x")), k + 1
+        if made.where("late").isEmpty():
+            return now
 
 
 def key_points(lines: DataFrame) -> DataFrame:
