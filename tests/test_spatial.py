@@ -510,6 +510,18 @@ def test_routes_of_small_components_write_no_pairs(spark, monkeypatch):
         graphs.longest_routes(edges, "image_id", nodes=2)
 
 
+def test_rays_in_tasks_equal_rays_as_rows(spark):
+    rng = np.random.default_rng(3)
+    edge = [(k, int(y), int(x)) for k in range(3) for y, x in np.argwhere(rng.random((20, 20)) < 0.1)]
+    p = [(int(rng.integers(4)), int(rng.integers(2)), i, float(rng.random() * 24 - 2), float(rng.random() * 24 - 2), float(rng.random() * 6)) for i in range(300)]
+    p += [(0, 1, 400, None, 3.0, 1.0), (0, None, 401, 3.0, 3.0, 1.0), (None, 1, 402, 3.0, 3.0, 1.0)]
+    points, seen = spark.createDataFrame(p, "image_id long, contour_id long, idx long, y double, x double, angle double"), spark.createDataFrame(edge, "image_id long, y long, x long")
+    kept = ["image_id", "contour_id", "idx", "left", "right", "filled"]
+    known = points.where("contour_id is not null")
+    _same(X.ray_widths(known, seen, 8).select(*kept), X.ray_widths(known, seen, 8, most=10).select(*kept))
+    assert X.ray_widths(points, seen, 8).count() == len(p)
+
+
 @pytest.mark.parametrize("side", [32, 256])
 def test_thinning_by_tiles_equals_whole_rasters(spark, side):
     rng = np.random.default_rng(8)

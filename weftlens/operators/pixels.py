@@ -213,25 +213,44 @@ def tile_pixels(tiles: DataFrame, side: int) -> DataFrame:
     return one.select("image_id", (F.col("ty") * side + F.floor(F.col("i") / F.col("tw"))).cast("long").alias("y"), (F.col("tx") * side + F.col("i") % F.col("tw")).cast("long").alias("x"), "v")
 
 
-def ray_widths(points: DataFrame, edge: DataFrame, longest: int) -> DataFrame:
+def ray_widths(points: DataFrame, edge: DataFrame, longest: int, most: int = chunks.MOST) -> DataFrame:
     """points (image_id, contour_id, idx, y, x, angle) with left, right and width, all in steps, and filled.
 
     From each point rays go along its angle and against it; the first pixel of edge (image_id, y, x) that one meets within longest
     steps gives the side. width is their sum where both meet one, and filled bridges gaps by the length along the contour.
+
+    Images of at most so many points and edge pixels cast their rays within tasks; in larger ones each step of a ray is a row.
     """
-    side = F.explode(F.array(F.lit(-1), F.lit(1))).alias("s")
-    steps = points.select("*", side).select("*", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("t"))
-    cast = steps.select("image_id", "contour_id", "idx", "s", "t", F.floor(F.col("y") + F.col("s") * F.col("t") * F.sin("angle") + 0.5).alias("y"), F.floor(F.col("x") + F.col("s") * F.col("t") * F.cos("angle") + 0.5).alias("x"))
-    hit = cast.join(edge.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct(), ["image_id", "y", "x"])
-    sides = hit.groupBy("image_id", "contour_id", "idx").agg(F.min(F.when(F.col("s") < 0, F.col("t"))).alias("left"), F.min(F.when(F.col("s") > 0, F.col("t"))).alias("right"))
-    met = points.join(sides, ["image_id", "contour_id", "idx"], "left").withColumn("width", (F.col("left") + F.col("right")).cast("double"))
+    shelf = Scratch(points.sparkSession, "rays")
+    own = [c for c in points.columns if c not in ("image_id", "y", "x", "angle")]
+    asked = points.withColumns({"y": F.col("y").cast("double"), "x": F.col("x").cast("double"), "sin": F.sin("angle"), "cos": F.cos("angle"), "_t": F.lit(0)})
+    shown = edge.select("image_id", F.col("y").cast("long").cast("double").alias("y"), F.col("x").cast("long").cast("double").alias("x"), F.lit(1).alias("_t")).distinct()
+    both = shelf.table(asked.unionByName(shown, allowMissingColumns=True), "both")
+    small, large = chunks.halves(both, ["image_id"], shelf, "both", most)
+    alone = both.where("image_id is null and _t = 0").select(*points.columns, *[F.lit(0).alias(c) for c in ("left", "right")])  # they meet nothing
+    carried = small.withColumns({"_y": F.col("y"), "_x": F.col("x")}).withColumnsRenamed({"_y": "py", "_x": "px"})
+    met = chunks.by_key(carried, ["image_id"], [], chunks.first_hits(longest), "left int, right int", most, [*own, "angle", "py", "px"])
+    met = met.withColumnsRenamed({"py": "y", "px": "x"}).select(*points.columns, "left", "right").union(alone)
+    met = met.withColumns({c: F.when(F.col(c) > 0, F.col(c)) for c in ("left", "right")})
+    if large is not None:
+        met = met.unionByName(_ray_hits(large.where("_t = 0").select(*points.columns), large.where("_t = 1"), longest))
     key = F.struct("image_id", "contour_id").alias("_c")
     w = Window.partitionBy("_c").orderBy("idx")
     step = F.coalesce(F.hypot(F.col("y") - F.lag("y").over(w), F.col("x") - F.lag("x").over(w)), F.lit(0.0))
+    met = met.withColumn("width", (F.col("left") + F.col("right")).cast("double"))
     along = met.withColumn("_c", key).withColumn("_step", step).withColumn("along", F.sum("_step").over(w))
     return gaps_filled(along, "_c", ["idx"], "width", "along").drop("_c", "_step")
 
 
+def _ray_hits(points: DataFrame, edge: DataFrame, longest: int) -> DataFrame:
+    side = F.explode(F.array(F.lit(-1), F.lit(1))).alias("s")
+    steps = points.select("*", side).select("*", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("t"))
+    cast = steps.select("image_id", "contour_id", "idx", "s", "t", F.floor(F.col("y") + F.col("s") * F.col("t") * F.sin("angle") + 0.5).alias("y"), F.floor(F.col("x") + F.col("s") * F.col("t") * F.cos("angle") + 0.5).alias("x"))
+    hit = cast.join(edge.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct(), ["image_id", "y", "x"])
+    sides = hit.groupBy("image_id", "contour_id", "idx").agg(F.min(F.when(F.col("s") < 0, F.col("t"))).alias("left"), F.min(F.when(F.col("s") > 0, F.col("t"))).alias("right"))
+    return points.join(sides, ["image_id", "contour_id", "idx"], "left")
+
+
 def pixel_graph(pixels: DataFrame, most: int = chunks.MOST) -> DataFrame:
     """Edges (image_id, src, dst, length) between neighbouring pixels, numbered in raster order.
 
