@@ -229,3 +229,10 @@ def test_junctions_equal_all_pairs_of_contours():
                     expected.add((i, j, k, float(other[k, 0]), float(other[k, 1])))
     assert K.junctions(contours) == sorted(expected) and len(expected) > 40
     assert K.junctions([]) == []
+
+
+def test_many_paths_bend_as_each_alone():
+    rng = np.random.default_rng(4)
+    paths = [[tuple(map(int, p)) for p in np.cumsum(rng.integers(-1, 2, (n, 2)), 0)] for n in (1, 2, 3, 9, 40)]
+    for window in (1, 2, 10, 30):
+        assert (K.paths_curvature(paths, window) == np.concatenate([K.path_curvature(np.array(p), window) for p in paths])).all()
