@@ -236,3 +236,24 @@ def test_many_paths_bend_as_each_alone():
     paths = [[tuple(map(int, p)) for p in np.cumsum(rng.integers(-1, 2, (n, 2)), 0)] for n in (1, 2, 3, 9, 40)]
     for window in (1, 2, 10, 30):
         assert (K.paths_curvature(paths, window) == np.concatenate([K.path_curvature(np.array(p), window) for p in paths])).all()
+
+
+def test_steps_of_lines_are_ranked_once_for_both_ways():
+    rng = np.random.default_rng(6)
+    maps = K.ridge_maps(K.filtered((rng.random((30, 40)) < 0.2).astype(float), *[np.ones(3) / 3] * 2), (3,), dark=False)
+    line = (np.abs(maps["py"]) <= 0.6) & (np.abs(maps["px"]) <= 0.6)
+    on = np.flatnonzero(line)
+    ny, nx, py, px = ([float(v) for v in maps[c].ravel()[on]] for c in ("ny", "nx", "py", "px"))
+    places = list(zip(*map(np.ndarray.tolist, np.divmod(on, 40)), strict=True))
+    number = {p: i for i, p in enumerate(places)}
+    after, first = K._steps_ahead(line, on, *np.divmod(on, 40), *map(np.array, (ny, nx, py, px)))
+    for i, p in enumerate(places):
+        for way, s in ((0, 1), (1, -1)):
+            want = []
+            for dy, dx in K.AROUND:
+                q = number.get((p[0] + dy, p[1] + dx))
+                if q is not None and (dy * s * -nx[i] + dx * s * ny[i]) / math.hypot(dy, dx) >= 0.5:
+                    turn = math.acos(min(1.0, abs(ny[i] * ny[q] + nx[i] * nx[q])))
+                    back = s * (nx[q] * nx[i] + ny[q] * ny[i]) < 0
+                    want.append((math.hypot(dy + py[q] - py[i], dx + px[q] - px[i]) + turn, 2 * q + back))
+            assert after[first[2 * i + way] : first[2 * i + way + 1]] == [w for _, w in sorted(want, key=lambda w: w[0])]
