@@ -253,3 +253,21 @@ def test_version_of_a_folder(tmp_path):
 
     assert sinks.git_version(str(tmp_path))["version"] == "unknown"
     assert sinks.elapsed(3725.4) == "1h 2m 5s"
+
+
+def test_tables_bound_tasks_where_the_caller_has_not(spark, small):
+    from weftlens.sources import tables
+
+    kept = {k: spark.conf.get(k) for k in tables.BYTES if k in spark.conf.getAll}
+    try:
+        for key in tables.BYTES:
+            spark.conf.unset(key)
+        one = next(iter(tables.BYTES))
+        spark.conf.set(one, "77m")
+        assert tables.table(spark, small, "lineitem").count() > 0
+        assert {k: spark.conf.get(k) for k in tables.BYTES} == tables.BYTES | {one: "77m"}
+    finally:
+        for key in tables.BYTES:
+            spark.conf.unset(key)
+        for key, value in kept.items():
+            spark.conf.set(key, value)

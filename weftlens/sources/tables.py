@@ -4,6 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of files that a task reads, and of shuffled rows that a task gets when Spark joins small partitions.
+BYTES = {"spark.sql.files.maxPartitionBytes": "32m", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
+
+
+def bounded_tasks(spark: SparkSession) -> None:
+    """Sets the bytes of tasks where the caller has not.
+
+    Aggregations that find few equal rows hold all of a task's rows: tables of numbers are packed so tightly that Spark's own sizes are
+    millions of rows, and a task's memory grows with the input until it gets there.
+    """
+    set_ = spark.conf.getAll
+    for key, most in BYTES.items():
+        if key not in set_:
+            spark.conf.set(key, most)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_tasks(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
