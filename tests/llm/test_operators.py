@@ -351,6 +351,41 @@ def test_gradients_and_normalisation():
     assert np.allclose(sum(np.exp(gru_lm.outputs(w, states, np.full(20, t), v)) for t in range(v.inputs)), 1)
 
 
+def test_lm_sums_rows_by_number():
+    rng = np.random.default_rng(5)
+    which = np.concatenate([np.full(40, 3), rng.integers(0, 30, 90), [31]]).astype("<u2")
+    rng.shuffle(which)
+    rows = rng.standard_normal((3, len(which), 4))
+    want = np.zeros((3, 32, 4))
+    np.add.at(want, (slice(None), which), rows)
+    number, got = gru_lm._sums(rows, which)
+    assert sorted(number) == sorted(set(which.tolist())) and np.allclose(got, want[:, number])
+
+
+def test_lm_takes_large_logits():
+    p = gru_lm.LmParams(own=8, per_class=4, bins=3, hidden=5)
+    v = gru_lm.Vocabulary(np.arange(1, 41).astype(np.uint64), np.arange(40, 0, -1), 900, 41, p)
+    w = {k: x * 3000 for k, x in gru_lm.start(v).items()}
+    h, target = np.tanh(np.random.default_rng(2).standard_normal((60, 5))).astype(np.float32), np.arange(60) % v.inputs
+    exact = {k: x.astype(float) for k, x in w.items()}
+    got, want = gru_lm.outputs(w, h, target, v), gru_lm.outputs(exact, h.astype(float), target, v)
+    assert np.isfinite(got).all() and want.min() < -500 and np.allclose(got, want, rtol=1e-4, atol=1e-2)
+
+
+def test_lm_long_documents_take_few_calls(monkeypatch):
+    p = gru_lm.LmParams(own=8, per_class=4, bins=3, hidden=5)
+    v = gru_lm.Vocabulary(np.arange(1, 41).astype(np.uint64), np.arange(40, 0, -1), 900, 41, p)
+    w, calls, outputs = gru_lm.start(v), [], gru_lm.outputs
+    ids = np.random.default_rng(3).integers(0, v.inputs, 3000).astype(np.int32)
+    ids[-1] = v.end
+    h, before, want = np.zeros((1, 5), np.float32), v.end, 0.0
+    for t in ids:
+        h = gru_lm.step(w, np.array([before]), h)[0]
+        want, before = want + outputs(w, h, np.array([t]), v)[0] / math.log(10), t
+    monkeypatch.setattr(gru_lm, "outputs", lambda *a: calls.append(1) or outputs(*a))
+    assert np.isclose(gru_lm.document_scores(w, ids, np.array([0, 3000]), v)[0], want, rtol=1e-5) and len(calls) < 10  # 94 by 32 steps each
+
+
 def test_scores_go_on_from_window_to_window():
     p = gru_lm.LmParams(own=8, per_class=4, bins=3, hidden=5, in_step=3)
     v = gru_lm.Vocabulary(np.arange(1, 41).astype(np.uint64), np.arange(40, 0, -1), 900, 41, p)

@@ -164,67 +164,123 @@ def shapes(vocabulary: Vocabulary) -> dict[str, tuple[int, ...]]:
     return {k: v.shape for k, v in start(vocabulary).items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    out = np.tanh(x * x.dtype.type(0.5))
-    out += 1
-    out *= x.dtype.type(0.5)
+def _safe(logits: np.ndarray, most: float) -> np.ndarray:
+    """logits for exp(), less each row's largest where they may be too large for it: none of them is beyond most."""
+    if not most < 60:
+        logits -= logits.max(1, keepdims=True)
+    return logits
+
+
+def _sums(rows: np.ndarray, which: np.ndarray, often: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of which and the sums of their rows (parts, rows, columns); those that occur often are products with ones, the others go by their k-th rows."""
+    by = np.argsort(which, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(which[by]) != 0))
+    many = np.diff(np.append(first, len(by)))
+    order = np.argsort(-many, kind="stable")
+    first, many = first[order], many[order]
+    out = np.take(rows, by[first], axis=1)
+    n = int(np.searchsorted(-many, -often, "left"))  # rows of more than that
+    ones = np.ones(int(many[0]), rows.dtype)
+    for i in range(n):
+        out[:, i] = ones[: many[i]] @ np.take(rows, by[first[i] : first[i] + many[i]], axis=1)
+    for k in range(1, often):
+        to = int(np.searchsorted(-many, -k, "left"))
+        if to <= n:
+            break
+        out[:, n:to] += np.take(rows, by[first[n:to] + k], axis=1)
+    return which[by[first]], out
+
+
+def ready(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """x with the bias, and u, for advance(): z, r and new one after the other, such that exp() of the sums gives each.
+
+    exp() takes half of the time of tanh(), and parts that lie together half of that of parts of rows.
+    """
+    k = w["u"].shape[0]
+    scale = np.array([-1, -1, -2], w["u"].dtype)[:, None, None]
+    x, u = (a.reshape(-1, 3, k).transpose(1, 0, 2) * scale for a in (w["x"] + w["b"], w["u"]))
+    return np.ascontiguousarray(x), np.ascontiguousarray(u)
+
+
+def advance(xs: np.ndarray, u: np.ndarray, h: np.ndarray, gates: np.ndarray, reset: np.ndarray, new: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The next state, to out, given rows of ready(); what backpropagation needs goes to gates (z and r), reset (-2 times r times h's part) and new."""
+    hs = np.matmul(h, u)
+    np.add(hs[:2], xs[:2], out=gates)
+    np.exp(gates, out=gates)  # may be inf, as 1 / inf is 0
+    gates += 1
+    np.divide(1, gates, out=gates)
+    np.multiply(gates[1], hs[2], out=reset)
+    np.add(reset, xs[2], out=new)
+    np.exp(new, out=new)
+    new += 1
+    np.divide(2, new, out=new)
+    new -= 1
+    np.subtract(h, new, out=out)
+    out *= gates[0]
+    out += new
     return out
 
 
 def step(w: dict[str, np.ndarray], inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """The next state, and what backpropagation needs."""
-    k = h.shape[1]
-    xs = w["x"][inputs] + w["b"]
-    hs = h @ w["u"]
-    gates = _sigmoid(xs[:, : 2 * k] + hs[:, : 2 * k])
-    z, r = gates[:, :k], gates[:, k:]
-    new = np.tanh(xs[:, 2 * k :] + r * hs[:, 2 * k :])
-    return new + z * (h - new), z, r, new, hs[:, 2 * k :]
+    x, u = ready(w)
+    gates, reset, new, out = np.empty((2, *h.shape), h.dtype), *(np.empty_like(h) for _ in range(3))
+    with np.errstate(over="ignore"):
+        return advance(x[:, inputs], u, h, gates, reset, new, out), gates, reset, new
 
 
 def outputs(w: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, vocabulary: Vocabulary, gradient: bool = False):
     """Natural log probabilities of targets (input numbers) given states h; with their gradients if asked for."""
     p = vocabulary.params
-    klass = np.where(target < p.own, target // p.per_class, target - p.own + vocabulary.word_classes)
-    logits = h @ w["c"] + w["cb"]
-    logits -= logits.max(1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(1)
-    rows = np.arange(len(h))
-    out = logits[rows, klass] - np.log(total)
-    own = np.flatnonzero(target < p.own)
-    own = own[np.argsort(klass[own], kind="stable")]
-    edges = np.searchsorted(klass[own], np.arange(vocabulary.word_classes + 1))
+    klass = np.where(target < p.own, target // p.per_class, target - p.own + vocabulary.word_classes).astype(np.uint16 if vocabulary.outputs <= 1 << 16 else np.int64)
+    # rows by class, so those of a class's own words are a slice; a last column of ones takes the biases
+    by = np.argsort(klass, kind="stable")
+    klass, target = klass[by], target[by]
+    edges = np.searchsorted(klass, np.arange(vocabulary.word_classes + 1))
+    k = h.shape[1]
+    far = max(float(h.max(initial=1)), -float(h.min(initial=-1)))
+    h1 = np.empty((len(h), k + 1), h.dtype)
+    h1[:, :k] = np.take(h, by, axis=0)
+    h1[:, k] = 1
+    c, o = np.concatenate([w["c"], w["cb"][None]]), np.concatenate([w["o"], w["ob"][:, None]], axis=1)
+    ones = np.ones(max(k + 1, c.shape[1], p.per_class), h.dtype)
+    logits = _safe(h1 @ c, far * float((ones[: k + 1] @ np.abs(c)).max()))
+    at = np.arange(len(h)) * logits.shape[1] + klass
+    hit = logits.reshape(-1)[at]
+    e = np.exp(logits, out=logits)
+    total = e @ ones[: e.shape[1]]
+    found = hit - np.log(total)
     if gradient:
-        d = e / total[:, None]
-        d[rows, klass] -= 1
-        grads = {"c": h.T @ d, "cb": d.sum(0), "o": np.zeros_like(w["o"]), "ob": np.zeros_like(w["ob"])}
-        dh = d @ w["c"].T
-    met = np.flatnonzero(np.diff(edges))
-    if len(met):
-        # own words by class: the rows of one class are a slice
-        part = [slice(k * p.per_class, (k + 1) * p.per_class) for k in met]
-        span = [slice(a, b) for a, b in zip(edges[met], edges[met + 1], strict=True)]
-        mine = h[own]
-        inner = w["ob"].reshape(-1, p.per_class)[klass[own]]
-        for i, j in zip(part, span, strict=True):
-            inner[j] += mine[j] @ w["o"][i].T
-        inner -= inner.max(1, keepdims=True)
-        at = np.arange(len(own)), target[own] % p.per_class
-        hit = inner[at]
+        e *= (1 / total)[:, None]
+        e.reshape(-1)[at] -= 1
+        g_c, g_o = h1.T @ e, np.zeros_like(o)
+        dh = e @ w["c"].T
+    met = np.flatnonzero(np.diff(edges)).tolist()
+    if met:
+        own, edges = int(edges[-1]), edges.tolist()
+        pairs = [(slice(i * p.per_class, (i + 1) * p.per_class), slice(edges[i], edges[i + 1])) for i in met]
+        inner = np.empty((own, p.per_class), h.dtype)
+        for i, j in pairs:
+            np.matmul(h1[j], o[i].T, out=inner[j])
+        inner = _safe(inner, far * float((np.abs(o) @ ones[: k + 1]).max()))
+        at = np.arange(own) * p.per_class + target[:own] % p.per_class
+        hit = inner.reshape(-1)[at]
         e = np.exp(inner, out=inner)
-        total = e.sum(1)
-        out[own] += hit - np.log(total)
+        total = e @ ones[: p.per_class]
+        found[:own] += hit - np.log(total)
         if gradient:
-            e /= total[:, None]
-            e[at] -= 1
-            change = np.empty_like(mine)
-            for i, j in zip(part, span, strict=True):
-                np.matmul(e[j].T, mine[j], out=grads["o"][i])
-                np.matmul(e[j], w["o"][i], out=change[j])
-            grads["ob"].reshape(-1, p.per_class)[met] = np.add.reduceat(e, edges[met], axis=0)
-            dh[own] += change
-    return (out, dh, grads) if gradient else out
+            e *= (1 / total)[:, None]
+            e.reshape(-1)[at] -= 1
+            for i, j in pairs:
+                np.matmul(e[j].T, h1[j], out=g_o[i])
+                dh[j] += e[j] @ w["o"][i]
+    out = np.empty_like(found)
+    out[by] = found
+    if not gradient:
+        return out
+    change = np.empty_like(dh)
+    change[by] = dh
+    return out, change, {"c": g_c[:k], "cb": g_c[k], "o": np.ascontiguousarray(g_o[:, :k]), "ob": np.ascontiguousarray(g_o[:, k])}
 
 
 class Moments:
@@ -256,51 +312,60 @@ def train_on(w: dict[str, np.ndarray], ids: np.ndarray, vocabulary: Vocabulary,
     moments = moments or Moments(w)
     m, v = moments.m, moments.v
     room = {k: np.empty_like(x) for k, x in w.items()}
+    small = vocabulary.number_type  # numbers of two bytes are sorted by radix
+    held = [np.empty((p.window, *n, streams, p.hidden), np.float32) for n in ((2,), (), (), (), ())]
     for _ in range(passes):
-        h = np.zeros((streams, p.hidden), np.float32)
+        k, h = p.hidden, np.zeros((streams, p.hidden), np.float32)
         for at in range(0, length, p.window):
             inputs, target, some = before_[at : at + p.window], target_[at : at + p.window], is_target[at : at + p.window]
-            t_all, kept = len(inputs), []
-            states, dxs, dhss = (np.empty((t_all, streams, k * p.hidden), np.float32) for k in (1, 3, 3))
+            t_all = len(inputs)
+            gates, reset, new, before, states = (a[:t_all] for a in held)
             ended = inputs == vocabulary.end
-            ends = ended.any(1)
-            for t in range(t_all):
-                if ends[t]:
-                    h = np.where(ended[t][:, None], np.float32(0), h)
-                before = h
-                h, *rest = step(w, inputs[t], h)
-                kept.append((before, *rest))
-                states[t] = h
+            ends = ended.any(1).tolist()
+            x, u = ready(w)
+            with np.errstate(over="ignore"):
+                for t in range(t_all):
+                    before[t] = h
+                    if ends[t]:
+                        before[t][ended[t]] = 0
+                    h = advance(np.take(x, inputs[t], axis=1), u, before[t], gates[t], reset[t], new[t], states[t])
             whole = bool(some.all())
-            _, d, g = outputs(w, states.reshape(-1, p.hidden) if whole else states[some], target.reshape(-1) if whole else target[some], vocabulary, gradient=True)
+            _, d, g = outputs(w, states.reshape(-1, k) if whole else states[some], target.reshape(-1) if whole else target[some], vocabulary, gradient=True)
             if whole:
                 dh_out = d.reshape(states.shape)
             else:
                 dh_out = np.zeros_like(states)
                 dh_out[some] = d
+            # what a state's derivative is multiplied by, for all steps at a time
+            z, r = gates[:, 0], gates[:, 1]
+            to_new = 1 - z
+            to_z = before - new
+            to_z *= z
+            to_z *= to_new
+            to_new *= 1 - new * new
+            to_r = 1 - r
+            to_r *= reset
+            to_r *= np.float32(-0.5)
+            # derivatives of new, z and r, as the inputs have them, and of z, r and new, as the state has them
+            ds = np.empty((4, t_all, streams, k), np.float32)
             dh = np.zeros_like(h)
-            back = np.ascontiguousarray(w["u"].T)
+            back = np.ascontiguousarray(w["u"].reshape(k, 3, k).transpose(1, 2, 0))
             for t in range(t_all - 1, -1, -1):
-                before, z, r, new, hs = kept[t]
-                dh = dh + dh_out[t]
-                k, dx, dhs = p.hidden, dxs[t], dhss[t]
-                d_new = dh * (1 - z)
-                d_new *= 1 - new * new
-                dx[:, :k] = dh * (before - new) * z * (1 - z)
-                dx[:, k : 2 * k] = d_new * hs * r * (1 - r)
-                dx[:, 2 * k :] = d_new
-                dhs[:, : 2 * k] = dx[:, : 2 * k]
-                dhs[:, 2 * k :] = d_new * r
-                dh = dh * z + dhs @ back
+                dh += dh_out[t]
+                d_new = np.multiply(dh, to_new[t], out=ds[0, t])
+                np.multiply(dh, to_z[t], out=ds[1, t])
+                np.multiply(d_new, to_r[t], out=ds[2, t])
+                np.multiply(d_new, r[t], out=ds[3, t])
+                dh *= z[t]
+                for part in np.matmul(ds[1:, t], back):
+                    dh += part
                 if ends[t]:
-                    dh = np.where(ended[t][:, None], np.float32(0), dh)
-            dx = dxs.reshape(-1, 3 * p.hidden)
-            g["u"] = np.concatenate([x[0] for x in kept]).T @ dhss.reshape(-1, 3 * p.hidden)
-            g["b"] = dx.sum(0)
-            flat = inputs.reshape(-1)
-            by = np.argsort(flat, kind="stable")
-            rows, first = np.unique(flat[by], return_index=True)
-            g["x"] = np.add.reduceat(dx[by], first, axis=0)  # of the rows that occur
+                    dh[ended[t]] = 0
+            ds = ds.reshape(4, -1, k)
+            g["u"] = np.matmul(before.reshape(-1, k).T, ds[1:]).transpose(1, 0, 2).reshape(k, -1)
+            rows, sums = _sums(ds[:3], inputs.reshape(-1).astype(small))  # of the rows that occur
+            g["x"] = sums[[1, 2, 0]].transpose(1, 0, 2).reshape(len(rows), -1)
+            g["b"] = g["x"].sum(0)
             moments.n += 1
             scale = 1 / int(some.sum())
             norm = float(np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))) * scale
@@ -327,26 +392,31 @@ def document_scores(w: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarra
     size = np.diff(bounds)
     order = np.argsort(-size, kind="stable")
     out = np.zeros(len(size))
+    x, u = ready(w)
     for at in range(0, len(order), p.in_step):
         some = order[at : at + p.in_step]
         n = size[some]
-        h = np.zeros((len(some), p.hidden), np.float32)
-        for t0 in range(0, int(n[0]), 32):
-            t1 = min(t0 + 32, int(n[0]))
-            active = int((n > t0).sum())
+        h, t0, held = np.zeros((len(some), p.hidden), np.float32), 0, None
+        while t0 < n[0]:
             # documents are by descending length, so those that go on are the first ones
-            states, targets, rows = [], [], []
-            h = h[:active]
-            for t in range(t0, t1):
-                go = int(np.searchsorted(-n[:active], -t, "left"))
-                now = bounds[some[:go]] + t
-                before = ids[now - 1] if t else np.full(go, vocabulary.end, np.int32)
-                h = step(w, before, h[:go])[0]
-                states.append(h)
-                targets.append(ids[now])
-                rows.append(some[:go])
-            found = outputs(w, np.concatenate(states), np.concatenate(targets), vocabulary)
-            out += np.bincount(np.concatenate(rows), found, minlength=len(out))
+            active = int((n > t0).sum())
+            t1 = min(t0 + max(32, min(1024, (1 << 13) // active)), int(n[0]))
+            go = np.searchsorted(-n[:active], -np.arange(t0, t1), "left")
+            on = np.arange(active) < go[:, None]
+            now = (bounds[some[:active]] + np.arange(t0, t1)[:, None])[on]
+            before = ids[now - 1]
+            if not t0:
+                before[: go[0]] = vocabulary.end
+            states, a = np.empty((len(now), p.hidden), np.float32), 0
+            with np.errstate(over="ignore"):
+                for m in go.tolist():
+                    if held is None or m != held[1].shape[0]:
+                        held = np.empty((2, m, p.hidden), np.float32), *np.empty((2, m, p.hidden), np.float32)
+                    h = advance(np.take(x, before[a : a + m], axis=1), u, h[:m], *held, states[a : a + m])
+                    a += m
+            found = outputs(w, states, ids[now], vocabulary)
+            out += np.bincount(np.broadcast_to(some[:active], on.shape)[on], found, minlength=len(out))
+            t0 = t1
     return out / np.log(10)
 
 
