@@ -271,3 +271,29 @@ def test_tables_bound_tasks_where_the_caller_has_not(spark, small):
             spark.conf.unset(key)
         for key, value in kept.items():
             spark.conf.set(key, value)
+
+
+def test_shuffles_begin_with_partitions_by_the_size_of_a_table(spark, small, monkeypatch):
+    from weftlens.sources import tables
+
+    monkeypatch.setattr(tables, "SHARE", 1 << 12)
+    held = {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    kept = {k: spark.conf.get(k) for k in (*held, tables.FIRST, tables.OURS) if k in spark.conf.getAll}
+    try:
+        for key in (tables.FIRST, tables.OURS):
+            spark.conf.unset(key)
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        rows = tables.table(spark, small, "lineitem").groupBy("l_orderkey", "l_linenumber").count()
+        assert rows.groupBy(F.spark_partition_id()).count().count() > 2
+        first = int(spark.conf.get(tables.FIRST))
+        tables.table(spark, small, "region")  # a smaller one changes nothing
+        assert int(spark.conf.get(tables.FIRST)) == first > 2
+        spark.conf.set(tables.FIRST, "3")  # the caller's
+        tables.table(spark, small, "lineitem")
+        assert spark.conf.get(tables.FIRST) == "3"
+    finally:
+        for key in (*held, tables.FIRST, tables.OURS):
+            spark.conf.unset(key)
+        for key, value in kept.items():
+            spark.conf.set(key, value)

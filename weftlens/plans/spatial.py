@@ -329,9 +329,10 @@ SELECT image_id, count(*) AS regions, coalesce(sum(size) FILTER (WHERE f > 0.2),
 def hue_regions(spark, sf):
     """Regions of one shade in each supplier's picture, pixels of those close to the hue, and the closeness of all pixels."""
     shelf = Scratch(spark, "hue_regions")
-    found = regions.relative_closeness(shelf.table(regions.colour_runs(pictures(spark, sf), 2), "runs"), 0.96)
-    one = found.groupBy("image_id", "shade", "root").agg(F.max("size").alias("size"), F.max("closeness").alias("f"))
-    by = one.groupBy("image_id").agg(F.count("*").alias("regions"), F.coalesce(F.sum(F.when(F.col("f") > 0.2, F.col("size"))), F.lit(0)).alias("chosen"), F.round(F.sum(F.col("f") * F.col("size")), 5).alias("closeness"))
+    runs = regions.colour_runs(pictures(spark, sf), 2)
+    one = runs.groupBy("image_id", "shade", "root").agg(*[F.max(c).alias(c) for c in ("size", *regions.RGB)])  # a region's runs have the same ones
+    found = regions.relative_closeness(shelf.table(one, "one"), 0.96).withColumnRenamed("closeness", "f")
+    by = found.groupBy("image_id").agg(F.count("*").alias("regions"), F.coalesce(F.sum(F.when(F.col("f") > 0.2, F.col("size"))), F.lit(0)).alias("chosen"), F.round(F.sum(F.col("f") * F.col("size")), 5).alias("closeness"))
     return by
 
 
