@@ -729,6 +729,15 @@ def test_common_elements_in_slices(monkeypatch):
         assert all(both[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(loads) for j, b in enumerate(loads) if i != j)
 
 
+@pytest.mark.parametrize("size", [200, 201, 267, 399, 400, 401])
+def test_common_elements_in_one_to_three_slices(monkeypatch, size):
+    rng = np.random.default_rng(9)
+    pool = np.unique(rng.integers(0, 1 << 64, 300, dtype=np.uint64))
+    loads = [np.sort(rng.choice(pool, 200, replace=False)) for _ in range(2)]
+    monkeypatch.setattr(minhash_stars, "SLICE", size)
+    assert minhash_stars.common_elements(loads)[0, 1] == len(np.intersect1d(*loads))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_stars.near_duplicates(empty(spark)).count() == 0
 

@@ -180,7 +180,7 @@ def common_elements(loads: list[np.ndarray]) -> np.ndarray:
     m, total = len(loads), sum(len(x) for x in loads)
     both = np.zeros((m, m), np.float32)
     slices_ = max(1, -(-total // SLICE))
-    edges = (np.arange(1, slices_) * ((1 << 64) // slices_)).astype(np.uint64) if slices_ > 1 else np.zeros(0, np.uint64)
+    edges = np.array([k * (1 << 64) // slices_ for k in range(1, slices_)], np.uint64)
     cuts = [np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in loads]
     matrix = np.empty((m, COLUMNS), np.float32)
     for k in range(slices_):
