@@ -30,6 +30,17 @@ def test_query_against_duckdb(spark, small, name):
     assert said([tuple(r) for r in df.collect()]) == said(expected.fetchall())
 
 
+@pytest.mark.parametrize("name", ["curvature_path"])
+def test_curvature_where_points_stand_still(spark, small, tmp_path, name):
+    """Points that stay in place have chords without length, whose angle hangs on the signs of zeros."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT event_id + 97000 * c AS event_id, ts, user_id, value FROM '{small}/events.parquet', range(7) t(c)) TO '{tmp_path}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    expected = con.sql(f"SELECT user_id, event_id, angle FROM ({ORACLE[name]})").fetchall()
+    got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    assert said(got) == said(expected) and sum(r[2] == 180 for r in got) > 100
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql_runs(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0

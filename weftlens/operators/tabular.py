@@ -149,13 +149,19 @@ def fractal_dimension(cells: DataFrame, key: str, sizes: Sequence[int]) -> DataF
     return box_counts(cells, key, sizes).groupBy(key).agg((-F.regr_slope(F.ln("n"), F.ln("k"))).alias("dimension"))
 
 
+def chord_angle(cross: Column, dot: Column) -> Column:
+    """Degrees between two chords by their cross and dot product. Where both are zero the sign of the dot's zero decides, as in SQL's atan2; Spark's drops it."""
+    turned = (cross == 0) & (dot == 0) & (F.pow(dot, F.lit(-1.0)) < 0)
+    return F.when(turned, F.lit(180.0)).otherwise(F.degrees(F.abs(F.atan2(cross, dot))))
+
+
 def curvature(points: DataFrame, key: str, order: Sequence[str], y: str, x: str, side: int) -> DataFrame:
     """points with angle: degrees between the chords to the points side steps back and ahead, null within side of an end."""
     w = Window.partitionBy(key).orderBy(*order)
     back = (F.col(y) - F.lag(y, side).over(w), F.col(x) - F.lag(x, side).over(w))
     ahead = (F.lead(y, side).over(w) - F.col(y), F.lead(x, side).over(w) - F.col(x))
     cross, dot = back[1] * ahead[0] - back[0] * ahead[1], back[0] * ahead[0] + back[1] * ahead[1]
-    return points.withColumn("angle", F.degrees(F.abs(F.atan2(cross, dot))))
+    return points.withColumn("angle", chord_angle(cross, dot))
 
 
 def reflected_curvature(points: DataFrame, key: str, order: Sequence[str], y: str, x: str, side: int) -> DataFrame:
