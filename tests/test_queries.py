@@ -30,7 +30,7 @@ def test_query_against_duckdb(spark, small, name):
     assert said([tuple(r) for r in df.collect()]) == said(expected.fetchall())
 
 
-@pytest.mark.parametrize("name", ["curvature_path"])
+@pytest.mark.parametrize("name", ["curvature_path", "reflected_curvature"])
 def test_curvature_where_points_stand_still(spark, small, tmp_path, name):
     """Points that stay in place have chords without length, whose angle hangs on the signs of zeros."""
     con = duckdb.connect()

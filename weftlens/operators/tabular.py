@@ -186,7 +186,7 @@ def reflected_curvature(points: DataFrame, key: str, order: Sequence[str], y: st
     chord = {f"_{d}{c}": (F.col("_p")[c] - point("_back", F.col("_i") - s, c) if d == "a" else point("_ahead", F.col("_i") + s, c) - F.col("_p")[c]) for d in "ab" for c in "yx"}
     met = known.withColumns(chord)
     cross, dot = F.col("_ax") * F.col("_by") - F.col("_ay") * F.col("_bx"), F.col("_ay") * F.col("_by") + F.col("_ax") * F.col("_bx")
-    return met.withColumn("angle", F.degrees(F.abs(F.atan2(cross, dot)))).select(*points.columns, "angle")
+    return met.withColumn("angle", chord_angle(cross, dot)).select(*points.columns, "angle")
 
 
 def path_lengths(points: DataFrame, key: str, order: Sequence[str], y: str, x: str) -> DataFrame:
