@@ -107,6 +107,40 @@ def test_overlapping_circles_of_many_sizes_against_all_pairs(spark):
     assert set(got) == expected and len(got) == len(expected)
 
 
+@pytest.mark.parametrize("most", [1 << 12, 100, 0])
+def test_overlapping_circles_within_tasks_and_by_grids(spark, most):
+    import math
+    import random
+
+    from weftlens.operators import tabular as T
+
+    rng = random.Random(6)
+    rows = [(k, i * 3, float(rng.randint(0, 60)), float(rng.randint(0, 60)), rng.choice([0.0, -1.0, 0.25, 2.5, 7.0, 30.0])) for k in range(40) for i in range(rng.choice([1, 2, 30, 130]))]
+    rows += [(50, 1, 0.0, 0.0, 2.5), (50, 2, 3.0, 4.0, 2.5), (50, 3, 3.0, 4.0, 2.5), (50, 3, 3.0, 4.0, 1.0)]
+    expected = sorted((k, i, j) for k, i, y, x, r in rows for l, j, v, u, s in rows if k == l and i < j and math.hypot(y - v, x - u) < r + s)
+    rows += [(None, 1, 0.0, 0.0, 9.0), (None, 2, 0.0, 0.0, 9.0), (0, None, 0.0, 0.0, 9.0), (0, 1, None, 0.0, 9.0), (0, 1, 0.0, 0.0, None)]
+    got = T.overlapping_circles(spark.createDataFrame(rows, "k long, id long, y double, x double, r double").repartition(3), "k", most)
+    assert sorted(map(tuple, got.collect())) == expected
+
+
+def test_overlapping_circles_of_small_keys_are_shuffled_once(spark, small):
+    plan = QUERIES["circle_overlap_pairs"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_pairs_of_a_chunk_come_in_parts():
+    import numpy as np
+
+    from weftlens.operators import chunks
+
+    g, n = np.repeat([0, 1, 2], 50), 150
+    c = {"id": np.arange(n)[::-1].copy(), "y": np.zeros(n), "x": np.zeros(n), "r": np.where(np.arange(n) % 3, 1.0, 2.0)}
+    parts = list(chunks.overlapping_circles(g, c, 100))
+    assert len(parts) > 30 and max(len(k) for k, _ in parts) <= 150
+    pairs = {(int(k), int(a), int(b)) for of, made in parts for k, a, b in zip(of, made["a"], made["b"], strict=True)}
+    assert len(pairs) == sum(len(k) for k, _ in parts) == 3 * 50 * 49 // 2 and all(a < b for _, a, b in pairs)
+
+
 def test_gap_summaries_without_a_region(spark):
     from weftlens.operators import tabular as T
 

@@ -60,8 +60,8 @@ def first_rows(columns: Sequence[pa.Array]) -> np.ndarray:
 def by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[np.ndarray, dict[str, np.ndarray]], tuple[np.ndarray, dict]], schema: str, rows: int = MOST, along: Sequence[str] = ()) -> DataFrame:
     """(keys, along, schema) of fn over chunks of whole keys: fn gets the keys' numbers, in order, and the other columns as arrays.
 
-    It gives back the numbers of its own rows' keys and their columns. Rows come sorted by keys and order. Columns along, which fn doesn't get,
-    are taken as they are from the rows that fn names in _row.
+    It gives back the numbers of its own rows' keys and their columns, or yields such parts one after the other. Rows come sorted by keys and order.
+    Columns along, which fn doesn't get, are taken as they are from the rows that fn names in _row.
     """
     n, m = len(keys), len(keys) + len(along)
     cols = [*keys, *along, *[c for c in df.columns if c not in (*keys, *along)]]
@@ -75,10 +75,11 @@ def by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callabl
         starts = first_rows(parts[:n])
         number = np.zeros(len(table), np.int64)
         number[starts[1:]] = 1
-        at, made = fn(np.cumsum(number), {c: p.to_numpy(zero_copy_only=False) for c, p in zip(cols[m:], parts[m:], strict=True)})
-        kept = [p.take(pa.array(starts[at])) for p in parts[:n]] + [p.take(pa.array(made["_row"])) for p in parts[n:m]]
-        for k in range(0, len(at), 1 << 16):
-            yield pa.record_batch([*[p.slice(k, 1 << 16) for p in kept], *[pa.array(made[c][k : k + (1 << 16)], from_pandas=True) for c in names]], names=[*keys, *along, *names])
+        found = fn(np.cumsum(number), {c: p.to_numpy(zero_copy_only=False) for c, p in zip(cols[m:], parts[m:], strict=True)})
+        for at, made in [found] if isinstance(found, tuple) else found:
+            kept = [p.take(pa.array(starts[at])) for p in parts[:n]] + [p.take(pa.array(made["_row"])) for p in parts[n:m]]
+            for k in range(0, len(at), 1 << 16):
+                yield pa.record_batch([*[p.slice(k, 1 << 16) for p in kept], *[pa.array(made[c][k : k + (1 << 16)], from_pandas=True) for c in names]], names=[*keys, *along, *names])
 
     def run(batches):
         held, size = [], 0
@@ -413,6 +414,35 @@ def routes(g: np.ndarray, c: dict[str, np.ndarray], most: int, cells: int = 1 <<
     return keys[root], made | {"left": np.arange(len(root)) >= len(root) - len(left)}
 
 
+def overlapping_circles(g: np.ndarray, c: dict[str, np.ndarray], candidates: int = 1 << 20):
+    """Pairs a < b of circles (id, y, x, r) that overlap, about so many candidates at a time; circles come by y.
+
+    The wider one of a pair finds the other one, since its centre lies within the wider one's diameter on each axis.
+    """
+    ids, y, x, r = c["id"], c["y"], c["x"], c["r"]
+    n, reach = len(g), 2 * np.maximum(r, 0) * (1 + 1e-9)
+
+    def before(v: np.ndarray, right: int) -> np.ndarray:
+        """How many circles come before each circle's own key and place v."""
+        order = np.lexsort((np.repeat([0, 2 * right - 1], n), np.append(y, v), np.append(g, g)))
+        own = order < n
+        out = np.empty(n, np.int64)
+        out[order[~own] - n] = np.cumsum(own)[~own]
+        return out
+
+    first, end = before(y - reach, 0), before(y + reach, 1)
+    slab = np.cumsum(end - first) // candidates
+    for part in np.split(np.arange(n), np.flatnonzero(np.diff(slab)) + 1):
+        i, j = spread(first[part], end[part])
+        i = part[i]
+        ok = (r[j] < r[i]) | ((r[j] == r[i]) & (j < i))
+        i, j = i[ok], j[ok]
+        ok = (np.hypot(y[i] - y[j], x[i] - x[j]) < r[i] + r[j]) & (ids[i] != ids[j])
+        i, j = i[ok], j[ok]
+        less = ids[i] < ids[j]
+        yield g[i], {"a": ids[np.where(less, i, j)], "b": ids[np.where(less, j, i)]}
+
+
 def chosen_circles(g: np.ndarray, c: dict[str, np.ndarray]) -> tuple[np.ndarray, dict]:
     """What a greedy choice takes of circles (id, y, x, r), which come by falling radius."""
     y, x, r = (c[k].astype(float) for k in ("y", "x", "r"))

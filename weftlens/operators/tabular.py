@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_divide
+from ..sources.scratch import Scratch
+from . import chunks
 
 
 def eligible(h: Column, w: Column, bright: Column, widest_line: int, least: float = 1e-4) -> Column:
@@ -222,8 +224,24 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, value: str) -> Data
     return seen.select(key, "id", F.coalesce(pick, F.col("_b"))["id"].alias("nearest_id"), F.abs(F.col(value) - F.coalesce(pick, F.col("_b"))["v"]).alias("distance"))
 
 
-def overlapping_circles(circles: DataFrame, key: str) -> DataFrame:
-    """Pairs a < b of circles (key, id, y, x, r) that overlap, by way of grids whose cells halve from level to level.
+def overlapping_circles(circles: DataFrame, key: str, most: int = 1 << 12) -> DataFrame:
+    """Pairs a < b of circles (key, id, y, x, r) that overlap.
+
+    Keys of at most so many circles are settled within tasks, so their circles are shuffled once; larger ones, and those with places or radii that aren't
+    finite, go by grids. circles is read twice, once for the keys' sizes.
+    """
+    kind = dict(circles.dtypes)["id"]
+    if kind not in ("bigint", "int", "string"):
+        return _overlapping_by_grids(circles, key)
+    all_, far = circles.select(key, "id", *[F.col(c).cast("double").alias(c) for c in ("y", "x", "r")]).dropna(), F.lit(float("inf"))
+    odd = F.greatest(*[F.abs(c) for c in ("y", "x", "r")]) >= far  # so is what isn't a number
+    small, large = chunks.halves(all_, [key], Scratch(circles.sparkSession, "overlaps"), "all", most, F.when(odd, most + 1).otherwise(1))
+    found = chunks.by_key(small, [key], ["y"], chunks.overlapping_circles, f"a {kind}, b {kind}", 1 << 16)
+    return found if large is None else found.union(_overlapping_by_grids(large, key))
+
+
+def _overlapping_by_grids(circles: DataFrame, key: str) -> DataFrame:
+    """Pairs of overlapping_circles() by way of grids whose cells halve from level to level.
 
     A circle's level has the narrowest cells, from the largest diameter of its key down, that are no narrower than the circle. It
     is looked for in its cell there and the eight around it, and stands by its centre in the grids of all wider circles, so a
