@@ -340,6 +340,37 @@ def test_gap_circles_of_all_rounds(spark):
     assert X.inside(got, region).count() == sum(y < 12 for y, *_ in taken)
 
 
+@pytest.mark.parametrize("rounds, apart", [(1, 3), (None, 1), (2, 40)])
+def test_gap_circles_within_tasks_and_by_rounds(spark, rounds, apart):
+    rng = random.Random(apart)
+    h, w = 13, 17
+    rows = [(k, rng.randrange(h), rng.randrange(w)) for k in range(-6, 6) for _ in range(rng.choice([1, 2, 5, 25, 150]))]
+    df = spark.createDataFrame([*rows, *rows[::3], (None, 1, 1), (3, None, 1), (90, None, None)], "image_id long, y long, x long").repartition(3)
+    one, other = (sorted(map(tuple, X.gap_circles(df, h, w, 1.0, apart, rounds, most).collect())) for most in (h * w, 0))
+    assert one == other and len({r[0] for r in one}) > 6 and (rounds == 1 or max(r[4] for r in one) > 1)
+
+
+def test_gap_circles_of_chunks_in_slabs():
+    rng = np.random.default_rng(3)
+    g = np.sort(rng.integers(0, 40, 400))
+    g = np.unique(g, return_inverse=True)[1]
+    c = {"y": rng.integers(0, 9, 400), "x": rng.integers(0, 11, 400)}
+
+    def found(places):
+        parts = list(chunks.gap_circles(9, 11, 0.5, 2, None, places)(g, c))
+        return len(parts), sorted((int(k), *map(float, r)) for of, m in parts for k, *r in zip(of, m["y"], m["x"], m["r"], m["round"], strict=True))
+
+    (few, whole), (many, cut) = found(1 << 19), found(99)
+    assert whole == cut and len(whole) > 40 and many > 10 * few
+
+
+def test_widest_gaps_are_shuffled_once(spark, small):
+    from weftlens.plans import spatial
+
+    plan = spatial.widest_gaps(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+
+
 def test_line_pixels_and_samples(spark):
     rows = [(k, y0, x0, y1, x1) for k, (y0, x0, y1, x1) in enumerate([(0, 0, 0, 0), (0, 0, 3, 9), (5, 5, 0, 2), (2, 7, 2, 0), (-3, 4, 4, -3)])]
     got = collections.defaultdict(list)

@@ -57,11 +57,11 @@ def first_rows(columns: Sequence[pa.Array]) -> np.ndarray:
     return np.concatenate([np.zeros(min(n, 1), np.int64), np.flatnonzero(new) + 1])
 
 
-def by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[np.ndarray, dict[str, np.ndarray]], tuple[np.ndarray, dict]], schema: str, rows: int = MOST, along: Sequence[str] = ()) -> DataFrame:
+def by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[np.ndarray, dict[str, np.ndarray]], tuple[np.ndarray, dict]], schema: str, rows: int = MOST, along: Sequence[str] = (), dealt: bool = False) -> DataFrame:
     """(keys, along, schema) of fn over chunks of whole keys: fn gets the keys' numbers, in order, and the other columns as arrays.
 
     It gives back the numbers of its own rows' keys and their columns, or yields such parts one after the other. Rows come sorted by keys and order.
-    Columns along, which fn doesn't get, are taken as they are from the rows that fn names in _row.
+    Columns along, which fn doesn't get, are taken as they are from the rows that fn names in _row. dealt says that a key's rows stand in one partition.
     """
     n, m = len(keys), len(keys) + len(along)
     cols = [*keys, *along, *[c for c in df.columns if c not in (*keys, *along)]]
@@ -97,7 +97,8 @@ def by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callabl
         if size:
             yield from done(pa.Table.from_batches(held))
 
-    return df.select(*cols).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
+    whole = df.select(*cols) if dealt else df.select(*cols).repartition(*keys)
+    return whole.sortWithinPartitions(*keys, *order).mapInArrow(run, out)
 
 
 def spread(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -497,6 +498,65 @@ def lower_envelopes(g: np.ndarray, c: dict[str, np.ndarray], width: int) -> tupl
     return g[at[kept]], {"at": sx[at[kept]], "f": sf[at[kept]], "_a": a[kept].astype(np.int64), "_b": b[kept].astype(np.int64)}
 
 
+def _squared_distances(g: np.ndarray, y: np.ndarray, x: np.ndarray, many: int, height: int, width: int) -> np.ndarray:
+    """Squared distance of each place of rasters 0 … many - 1, (many, height, width), to the nearest of their pixels; each has one."""
+    order = np.lexsort((y, x, g))
+    g, y, x = g[order], y[order], x[order]
+    beside = (np.diff(g) == 0) & (np.diff(x) == 0)
+    half = (y[:-1] + y[1:]) // 2
+    since, until = np.zeros(len(g), np.int64), np.full(len(g), height)
+    since[1:][beside], until[:-1][beside] = half[beside] + 1, half[beside] + 1
+    i, row = spread(np.clip(since, 0, height), np.clip(until, 0, height))  # a column's places go to its pixels
+    line = g[i] * height + row
+    by = np.argsort(line, kind="stable")
+    line, i = line[by], i[by]
+    gap = (row[by] - y[i]).astype(float)
+    _, c = lower_envelopes(line, {"x": x[i], "f": gap * gap}, width)
+    j, at = spread(c["_a"], c["_b"] + 1)
+    step = at - c["at"][j]
+    return (step * step + c["f"][j]).reshape(many, height, width)
+
+
+def _greatest_within(v: np.ndarray, apart: int, axis: int) -> np.ndarray:
+    """The largest value within so many places on an axis."""
+    v, out = np.moveaxis(v, axis, 0), np.moveaxis(v.copy(), axis, 0)
+    for k in range(1, min(apart, len(v) - 1) + 1):
+        np.maximum(out[k:], v[:-k], out=out[k:])
+        np.maximum(out[:-k], v[k:], out=out[:-k])
+    return np.moveaxis(out, 0, axis)
+
+
+def gap_circles(height: int, width: int, least: float, apart: int, rounds: int | None, places: int = 1 << 19):
+    """Circles (y, x, r, round) in the gaps between pixels (y, x), as pixels.gap_circles() says; about so many places of rasters at a time."""
+    together = max(1, places // (height * width))
+
+    def fn(g, c):
+        y, x = c["y"].astype(np.int64), c["x"].astype(np.int64)
+        for first in range(0, int(g[-1]) + 1, together):
+            a, b = np.searchsorted(g, [first, first + together])
+            mg, my, mx, k = g[a:b], y[a:b], x[a:b], 0
+            while len(mg) and (rounds is None or k < rounds):
+                k += 1
+                open_, at = np.unique(mg, return_inverse=True)
+                d = _squared_distances(at, my, mx, len(open_), height, width)
+                i, py, px = np.nonzero((d == _greatest_within(_greatest_within(d, apart, 2), apart, 1)) & (d > least * least))
+                r = np.sqrt(d[i, py, px])
+                by = np.lexsort((px, py, -r, i))
+                i, taken = chosen_circles(i[by], {"y": py[by], "x": px[by], "r": r[by]})
+                tg, ty, tx, r = open_[i], taken["y"], taken["x"], taken["r"]
+                yield tg, {"y": ty.astype(float), "x": tx.astype(float), "r": r, "round": np.full(len(tg), k, np.int32)}
+                whole = np.floor(r).astype(np.int64)
+                n, dy = spread(-whole, whole + 1)
+                wide = np.floor(np.sqrt(whole[n] * whole[n] - dy * dy)).astype(np.int64)
+                m, dx = spread(tx[n] - wide, tx[n] + wide + 1)
+                dg, dy = tg[n[m]], (ty[n] + dy)[m]
+                ok = (dy >= 0) & (dy < height) & (dx >= 0) & (dx < width)
+                old = np.isin(mg, tg)
+                mg, my, mx = np.append(mg[old], dg[ok]), np.append(my[old], dy[ok]), np.append(mx[old], dx[ok])
+
+    return fn
+
+
 def nearest(g: np.ndarray, c: dict[str, np.ndarray]) -> tuple[np.ndarray, dict]:
     """For each point (_t 0) the id of the nearest target (_t 1) of its key, of equal ones the first, and the distance; NaN where there is none."""
     y, x, ask = c["y"].astype(float), c["x"].astype(float), c["_t"] == 0

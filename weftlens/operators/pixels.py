@@ -370,12 +370,17 @@ def without_small_holes(pixels: DataFrame, height: int, width: int, least: int,
     return one.union(of_runs(holes).select("image_id", "y", "x"))
 
 
-def gap_circles(pixels: DataFrame, height: int, width: int, least: float, apart: int, rounds: int | None = None) -> DataFrame:
+def gap_circles(pixels: DataFrame, height: int, width: int, least: float, apart: int, rounds: int | None = None, most: int = chunks.MOST) -> DataFrame:
     """Circles (image_id, y, x, r, round) that fill the gaps between pixels: largest first, none over another of its round.
 
     A round takes the distances to the pixels, the places that are the largest within apart on both axes and farther than least, and the greedy
     choice among their circles; the discs of what it took are pixels for the next one. It ends when no place is left, or after so many rounds.
+    Rasters of at most so many places are settled within tasks, so their pixels are shuffled once; larger ones go by rounds of tables.
     """
+    if height * width <= most:
+        known = pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).dropna()
+        known = known.repartition("image_id").distinct()
+        return chunks.by_key(known, ["image_id"], [], chunks.gap_circles(height, width, least, apart, rounds), "y double, x double, r double, round int", dealt=True)
     shelf = Scratch(pixels.sparkSession, "gaps")
     mask, found, k = shelf.table(pixels.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct(), "mask-0"), [], 0
     while rounds is None or k < rounds:

@@ -281,7 +281,9 @@ o AS (SELECT image_id AS k, list([{{'y': y::DOUBLE, 'x': x::DOUBLE, 'r': sqrt(d)
 )
 def widest_gaps(spark, sf):
     """The first round of gap circles of each supplier's raster."""
-    return X.gap_circles(cells(spark, sf), GRID, GRID, LEAST, APART, rounds=1).select("image_id", "y", "x", r6("r", "r"))
+    li = tables.table(spark, sf, "lineitem")
+    pixels = li.select(F.col("l_suppkey").alias("image_id"), (F.col("l_partkey") * 7 % GRID).alias("y"), (F.col("l_orderkey") * 13 % GRID).alias("x"))
+    return X.gap_circles(pixels, GRID, GRID, LEAST, APART, rounds=1).select("image_id", "y", "x", r6("r", "r"))
 
 
 _SEGMENTS = f"s AS (SELECT DISTINCT l_suppkey AS k, {ID} AS id, l_partkey * 7 % {GRID} AS y0, l_orderkey * 13 % {GRID} AS x0, l_orderkey * 5 % {GRID} AS y1, l_partkey * 3 % {GRID} AS x1 FROM lineitem)"
